@@ -8,6 +8,7 @@ from skyledger.llm.common import table
 from skyledger.llm.mixing import MIX_SQL, mix
 from skyledger.llm.packing import pack_documents
 from skyledger.llm.quality import BASE, quality_rules
+from skyledger.llm.simhash import simhash_near_duplicates
 from skyledger.llm.token_counts import token_counts
 from skyledger.llm.toxicity import toxicity
 from skyledger.llm.urls import url_filter
@@ -39,6 +40,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"))
 
 
+def op8_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", *BASE, "base_failed", "kept")
@@ -50,6 +55,7 @@ QUERIES = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_mix_sources": op6_mix_sources,
     "op7_url_filter": op7_url_filter,
+    "op8_simhash_near_duplicates": op8_simhash_near_duplicates,
     "op9_quality_rules": op9_quality_rules,
 }
 ORACLE = {"op6_mix_sources": MIX_SQL}
