@@ -58,56 +58,50 @@ def mix(docs: DataFrame, *keep: str, weights: tuple = (5.0, 2.0, 1.0), share: fl
     A source's documents are shuffled by md5 of seed, id and text, and pass ``most`` times. A copy's
     virtual finish time is its source's words so far over the source's target, which is its weight
     after the stops. All copies are put in the order of finish time and taken whole up to
-    the budget, ``share`` times all words. Reruns agree: rows that tie in the shuffle have equal ids and
-    texts and are interchangeable. Null text: size 0, takes nothing. Null source: a source of its
-    own, last. A table without words has targets of 0.
+    the budget, ``share`` times all words. In a source finish times rise with the shuffle, so what is taken
+    is told by one last turn for each source and pass, and whole texts are never shuffled. Reruns agree.
+    Rows of equal id, text and source share a turn and are taken alike. Null text: size 0, takes nothing. Null
+    source: a source of its own, last. A table without words has targets of 0.
     """
     keep = keep or ("doc_id",)
     text = F.coalesce(F.col("text"), F.lit(""))
     turn = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.md5(text.cast("binary"))).cast("binary"))
     queue = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))
-    sized = docs.withColumns({"_source": F.col("source"), "_size": words_of(F.col("text")), "_turn": turn, "_queue": queue})
-    slim = sized.select(F.col("_source").alias("source"), F.col("_size").alias("size"), F.col("_turn").alias("turn"), F.col("_queue").alias("queue"), F.struct(*keep).alias("kept"))
-    rows = durable(slim)
+    measured = docs.select(F.struct(*keep).alias("kept"), words_of(F.col("text")).alias("size"), turn.alias("turn"), queue.alias("queue"), F.col("source").alias("source"))
+    rows = durable(measured.drop("kept"))
     sources = durable(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), list(weights), share, most))
     facts = rows.agg(F.count("*").alias("n"), F.sum("size").alias("words")).first()
     buckets = max(1, min(4096, -(-facts.n // BUCKET_ROWS)))
     budget = share * (facts.words or 0)
     place = F.floor(F.conv(F.substring("turn", 1, 6), 16, 10).cast("long") * buckets / 16777216).cast("int")
+    few = sources.count() <= 10_000  # else Spark's own choice, which splits skewed joins
     targets = sources.select(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null")).alias("queue"), "source_size", "target")
-    targets = F.broadcast(targets) if sources.count() <= 10_000 else targets  # else Spark's own choice, with split skew
-    timed = durable(running_sums(rows.withColumn("bucket", place)).join(targets, "queue").drop("bucket", "queue"))
+    timed = running_sums(rows.withColumn("bucket", place)).join(F.broadcast(targets) if few else targets, "queue")
 
     finish = [F.when(F.col("target") > 0, (F.col("so_far") + k * F.col("source_size")) / F.col("target")) for k in range(most)]
-    copies = timed.select("source", "turn", "size", F.posexplode(F.array(*finish)).alias("round", "finish")).where("size > 0 and finish is not null")
+    copies = timed.select("queue", "source", "turn", "size", F.posexplode(F.array(*finish)).alias("round", "finish")).where("size > 0 and finish is not null")
     slots = 16 * buckets
-    line = copies.withColumn("slot", F.floor(F.least(F.col("finish"), F.lit(4.0)) * slots).cast("long"))
+    line = durable(copies.withColumn("slot", F.floor(F.least(F.col("finish"), F.lit(4.0)) * slots).cast("long")))
     # the slot of finish times in which the budget runs out, and the words before it
     filled = line.groupBy("slot").agg(F.sum("size").alias("words")).withColumn("before", F.sum("words").over(W.orderBy("slot")) - F.col("words"))
     last = filled.where(F.col("before") <= budget).orderBy(F.desc("slot")).first()
+    if last is not None:  # in that slot alone the order of single copies matters
+        order = W.orderBy("finish", F.col("source").asc_nulls_last(), "turn", "round", "size").rowsBetween(W.unboundedPreceding, 0)
+        ends = line.where(F.col("slot") == last.slot).withColumn("queued", F.lit(last.before) + F.sum("size").over(order))
+        line = line.where(F.col("slot") < last.slot).unionByName(ends.where(F.col("queued") <= budget).drop("queued"))
+    turns = [F.max(F.when(F.col("round") == k, F.col("turn"))).alias(f"turn{k}") for k in range(most)]
+    until = durable(targets.join(line.groupBy("queue").agg(*turns), "queue", "left"))
     taken = F.lit(0)
-    if last is not None:
-        order = [F.col("finish"), F.col("source").asc_nulls_last(), F.col("turn"), F.col("round")]
-        queued = F.lit(last.before) + F.sum("size").over(W.orderBy(*order, "size").rowsBetween(W.unboundedPreceding, 0))
-        ends = line.where(F.col("slot") == last.slot).withColumn("queued", queued).where(F.col("queued") <= budget)
-        end = ends.orderBy(F.desc("queued"), F.desc("finish")).first()
-        if end is None:  # the budget runs out at the slot's very first copy
-            before = [F.floor(F.least(f, F.lit(4.0)) * slots) < last.slot for f in finish]
-        else:
-            rest = lambda k: (F.col("turn") < end.turn) | ((F.col("turn") == end.turn) & (F.lit(k) <= end["round"]))
-            later = F.col("source").isNull() if end.source is not None else F.lit(False)
-            earlier = (F.col("source") < end.source) if end.source is not None else F.col("source").isNotNull()
-            same = F.col("source").eqNullSafe(F.lit(end.source))
-            before = [(f < end.finish) | ((f == end.finish) & ~later & (F.coalesce(earlier, F.lit(False)) | (same & rest(k)))) for k, f in enumerate(finish)]
-        for x in before:
-            taken = taken + F.coalesce(x, F.lit(False)).cast("int")
-    counted = timed.withColumn("copies", F.when(F.col("size") > 0, taken).otherwise(0))
+    for k in range(most):
+        taken = taken + F.coalesce(F.col("turn") <= F.col(f"turn{k}"), F.lit(False)).cast("int")
+    counted = measured.join(F.broadcast(until) if few else until, "queue").withColumn("copies", F.when(F.col("size") > 0, taken).otherwise(0))
     return counted.select("kept.*", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies")
 
 
 MIX_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'))::BIGINT AS size,
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+'))::BIGINT AS size,
          md5('mix|' || coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))) AS turn
   FROM documents),
 per AS (SELECT source, sum(size) AS source_size FROM sized GROUP BY source),
