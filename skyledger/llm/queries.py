@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from skyledger.llm.common import table
+from skyledger.llm.lm import lm_scores
 from skyledger.llm.mixing import MIX_SQL, mix
+from skyledger.llm.neighbours import nearest
 from skyledger.llm.packing import pack_documents
 from skyledger.llm.quality import BASE, quality_rules
+from skyledger.llm.sharding import shard_documents
 from skyledger.llm.simhash import simhash_near_duplicates
 from skyledger.llm.token_counts import token_counts
 from skyledger.llm.toxicity import toxicity
@@ -20,6 +23,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
@@ -32,6 +39,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op5_anisotropic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -49,13 +60,20 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *BASE, "base_failed", "kept")
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_label_propagation_shards": op1_label_propagation_shards,
     "op2_token_counts": op2_token_counts,
     "op3_toxicity": op3_toxicity,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_anisotropic_neighbours": op5_anisotropic_neighbours,
     "op6_mix_sources": op6_mix_sources,
     "op7_url_filter": op7_url_filter,
     "op8_simhash_near_duplicates": op8_simhash_near_duplicates,
     "op9_quality_rules": op9_quality_rules,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 ORACLE = {"op6_mix_sources": MIX_SQL}
