@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of an Arrow batch are worked on in slices of about this many text bytes.
 SLICE_BYTES = 4 << 20
@@ -42,6 +43,11 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def schema_with(docs: DataFrame, keep: tuple[str, ...], more: str) -> T.StructType:
+    """The schema of kept columns, whatever their names, and those that the DDL text ``more`` adds."""
+    return T.StructType([*docs.select(*keep).schema.fields, *T.StructType.fromDDL(more).fields])
+
+
 def crc32_mod(column, n: int):
     """crc32 of a value's decimal text, modulo ``n``; null ids count as the empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % F.lit(n)

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import durable, slices, with_text
+from skyledger.llm.common import durable, schema_with, slices, with_text
 from skyledger.llm.simhash import fingerprints, simhash_components
 
 #: Members that one task compares pair by pair; larger groups first lose those that are near a leader.
@@ -33,8 +33,7 @@ def bounded(df: DataFrame) -> DataFrame:
 
 def shingle_sets(docs: DataFrame, width: int, *keep: str) -> DataFrame:
     """The kept columns and ``shingles``: sorted hashes of the distinct shingles of the lower-cased words."""
-    kept = docs.select(*keep).schema.fields
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "shingles array<long>"])
+    schema = schema_with(docs, keep, "shingles array<long>")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = xxhash.xxh64_intdigest

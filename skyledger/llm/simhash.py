@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import durable, slices, with_text
+from skyledger.llm.common import durable, schema_with, slices, with_text
 from skyledger.llm.components import components
 
 #: Fingerprints that a leaf should hold, and how many of a leaf one task compares at most.
@@ -49,8 +49,7 @@ def fingerprint(words: list[bytes], width: int, distinct: bool = False) -> int:
 def fingerprints(docs: DataFrame, width: int = 4, distinct: bool = False, *keep: str) -> DataFrame:
     """The kept columns and ``fp long``. Texts equal within a slice are hashed once."""
     keep = keep or ("doc_id",)
-    kept = docs.select(*keep).schema.fields
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "fp long"])
+    schema = schema_with(docs, keep, "fp long")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in slices(batches):

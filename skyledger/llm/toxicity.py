@@ -15,7 +15,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import crc32_mod, durable, slices, with_text
+from skyledger.llm.common import crc32_mod, durable, schema_with, slices, with_text
 
 FEATURES = [
     "seed_hits", "seed_density", "word_hits", "word_density", "word_weight", "stem_hits", "stem_density", "stem_weight",
@@ -134,8 +134,7 @@ def features(text: bytes, marks: WordMarks) -> tuple[float, ...]:
 
 def with_features(docs: DataFrame, lexicon: dict[str, float], *keep: str) -> DataFrame:
     """The kept columns and ``FEATURES``, from whole texts."""
-    kept = docs.select(*keep).schema.fields
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"{n} double" for n in FEATURES)])
+    schema = schema_with(docs, keep, ", ".join(f"{n} double" for n in FEATURES))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = WordMarks(lexicon)
