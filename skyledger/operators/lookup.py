@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -79,21 +83,37 @@ def completeness(parts: DataFrame, comparable: bool, expected: int | None) -> Da
     return parts.agg(F.sum("kept").alias("kept"), F.count_if(F.col("status") == "possibly_truncated").alias("truncated_parts"), F.round(share, 6).alias("fraction"))
 
 
-def walk_json(texts: DataFrame, column: str) -> DataFrame:
-    """``path, field, value`` of every scalar of objects nested to any depth, by unrolling one level of variants after another."""
+def walk_json(texts: DataFrame, column: str, levels: int = 6) -> DataFrame:
+    """``path, field, value`` of every scalar at any depth. Variants are unrolled level by level inside the JVM; what is
+    nested deeper than ``levels`` is walked in Python batches."""
     level = texts.select(F.lit("$").alias("path"), F.lit("").alias("field"), F.try_parse_json(column).alias("v")).where("v is not null")
-    level.createOrReplaceTempView("_walk_0")
-    spark, out = texts.sparkSession, None
-    for depth in range(6):
+    tvf, out = texts.sparkSession.tvf, None
+    for _ in range(levels):
         kind = F.schema_of_variant("v")
         nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
         scalars = level.where(~nested).select("path", "field", F.col("v").cast("string").alias("value"))
         out = scalars if out is None else out.unionByName(scalars)
-        level.where(nested).createOrReplaceTempView(f"_walk_{depth}")
-        level = spark.sql(f"""
-            SELECT concat(w.path, '.', coalesce(e.key, cast(e.pos AS string))) AS path, coalesce(e.key, w.field) AS field, e.value AS v
-            FROM _walk_{depth} w, LATERAL variant_explode(w.v) e""")
-    return out
+        below = level.where(nested).lateralJoin(tvf.variant_explode(F.col("v").outer()).toDF("pos", "key", "inner"))
+        level = below.select(F.concat_ws(".", "path", F.coalesce("key", F.col("pos").cast("string"))).alias("path"), F.coalesce("key", "field").alias("field"), F.col("inner").alias("v"))
+    deep = level.select("path", "field", F.to_json("v").alias("j"))
+    return out.unionByName(deep.mapInPandas(walk_batch, "path string, field string, value string"))
+
+
+def walk_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Scalars below (path, field, JSON text) rows; without recursion, so that depth has no limit."""
+    for batch in batches:
+        found = []
+        for path, field, text in batch.itertuples(index=False):
+            todo = [(path, field, json.loads(text))]
+            while todo:
+                p, f, x = todo.pop()
+                if isinstance(x, dict):
+                    todo += [(f"{p}.{k}", k, v) for k, v in x.items()]
+                elif isinstance(x, list):
+                    todo += [(f"{p}.{k}", f, v) for k, v in enumerate(x)]
+                else:
+                    found.append((p, f, None if x is None else json.dumps(x).strip('"') if not isinstance(x, str) else x))
+        yield pd.DataFrame(found, columns=["path", "field", "value"])
 
 
 def candidate_ids(scalars: DataFrame) -> DataFrame:

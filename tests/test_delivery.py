@@ -143,6 +143,10 @@ def test_walk_json(spark):
     df = spark.createDataFrame([('{"a": {"objectId": 12, "list": [{"sourceId": 7}, {"sourceId": 7}]}}',), ("not json",), (None,)], "j string")
     found = L.candidate_ids(L.walk_json(df, "j"))
     assert sorted((r.type, r.value) for r in found.collect()) == [("object", "12"), ("source", "7")]
+    deep = spark.createDataFrame([('{"a":' * 9 + '{"objectId": 5, "x": [true, "t", null]}' + "}" * 9,)], "j string")
+    got = sorted((r.field, r.value) for r in L.walk_json(deep, "j").collect() if r.value is not None)
+    assert got == [("objectId", "5"), ("x", "t"), ("x", "true")]
+    assert L.walk_json(deep, "j").count() == 4
 
 
 def test_time_columns_count_only_numbers(spark):
