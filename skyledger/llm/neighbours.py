@@ -19,7 +19,7 @@ from skyledger.llm.common import durable
 #: Rows that fit the index on the driver; rows and queries that meet in one task.
 FIT_ROWS, CHUNK_ROWS, QUERY_ROWS = 12_000, 8_192, 2_048
 #: Candidates of a chunk that are scored exactly, at least so many times the wanted number.
-RERANK = 8
+RERANK = 12
 
 
 class Index:
@@ -115,23 +115,39 @@ class Index:
         return (one[:, ::2, :, None] + one[:, 1::2, None, :]).reshape(len(q), -1, 256)
 
 
+def copies(ids: np.ndarray, rows: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One place of each different row; where its ids start; and the ids, of copies the ``most`` least ones. ids rise.
+    More copies than are wanted can't be among the nearest, and would crowd out other rows when candidates are chosen."""
+    whole = np.ascontiguousarray(rows).view(np.dtype((np.void, rows.dtype.itemsize * rows.shape[1]))).ravel()
+    _, first, group = np.unique(whole, return_index=True, return_inverse=True)
+    order = np.argsort(group.ravel(), kind="stable")
+    sizes = np.bincount(group.ravel())
+    starts = np.cumsum(sizes) - sizes
+    kept = np.arange(len(ids)) - np.repeat(starts, sizes) < most
+    return first, np.append(0, np.cumsum(np.minimum(sizes, most))), ids[order][kept]
+
+
 def search(index: Index, cell: int, ids: np.ndarray, codes: np.ndarray, rows: np.ndarray, asked: np.ndarray, queries: np.ndarray, wanted: int) -> list[tuple]:
-    """The best ``wanted`` of a chunk (in order of id) for each query: scanned by tables, then scored exactly."""
-    most, out = min(len(ids), RERANK * wanted + 1), []
+    """The best ``wanted`` of a chunk (in order of id) for each query: different rows are scanned by tables, the best of them
+    scored exactly."""
+    first, starts, own_ids = copies(ids, rows, wanted + 1)
+    codes, rows, out = codes[first], rows[first], []
+    most = min(len(first), RERANK * wanted + 1)
     for start in range(0, len(asked), 32):
         q = queries[start : start + 32]
         tables = index.tables(q)
-        scores = np.repeat((q @ index.centres[cell]).astype(np.float32)[:, None], len(ids), 1)
+        scores = np.repeat((q @ index.centres[cell]).astype(np.float32)[:, None], len(first), 1)
         for j in range(codes.shape[1]):
             scores += tables[:, j][:, codes[:, j]]
-        edge = np.partition(scores, len(ids) - most, 1)[:, len(ids) - most]
+        edge = np.partition(scores, len(first) - most, 1)[:, len(first) - most]
         for k in range(len(q)):
-            above, level = np.flatnonzero(scores[k] > edge[k]), np.flatnonzero(scores[k] == edge[k])
-            chosen = np.sort(np.concatenate([above, level[: most - len(above)]]))  # ties: the least ids
-            chosen = chosen[ids[chosen] != asked[start + k]]
+            chosen = np.flatnonzero(scores[k] >= edge[k])  # with all rows of one code: near copies tie there
             exact = (rows[chosen] * q[k]).sum(1)
-            best = chosen[order := np.lexsort((ids[chosen], -exact))[:wanted]]
-            out += zip([asked[start + k]] * len(best), ids[best], exact[order], strict=True)
+            found = np.concatenate([own_ids[starts[c] : starts[c + 1]] for c in chosen])
+            score = np.repeat(exact, starts[chosen + 1] - starts[chosen])
+            score, found = score[found != asked[start + k]], found[found != asked[start + k]]
+            best = np.lexsort((found, -score))[:wanted]
+            out += zip([asked[start + k]] * len(best), found[best], score[best], strict=True)
     return out
 
 
@@ -158,6 +174,7 @@ def nearest(rows: DataFrame, wanted: int = 20, every: int = 20, id_column: str =
     held = held.where(F.size("v") == lengths.n)
     sample = np.stack(held.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).toPandas()["v"].to_numpy())
     n = lengths["count"]
+    sample = np.unique(sample, axis=0)  # copies of one vector must not draw the codebooks to it
     index = Index(sample, max(1, min(256, n // 8192)), wanted)
 
     def encode(batches):
