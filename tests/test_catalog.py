@@ -10,7 +10,7 @@ from skyledger.operators import characterize as K
 
 SCHEMA = (
     "diaSourceId long, diaObjectId long, midpointMjdTai double, pred struct<is_sso: boolean, new_flag: boolean>, ra double, dec double, band string, psfFlux double, psfFluxErr float, "
-    "clf struct<cats_class: long, cats_score: double>, lc_features map<string, struct<mean: double>>, misc struct<firstDiaSourceMjdTaiFink: double>"
+    "clf struct<cats_class: long, cats_score: double>, lc_features map<string, struct<mean: double>>, misc struct<firstDiaSourceMjdTai: double>"
 )
 
 
