@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -37,17 +38,17 @@ class WordIds:
         return cls.held[path]
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        if len(self.ids) > CACHE_UNITS:
-            self.ids.clear()
-        words = [t.split() for t in texts]
-        missing = list(set().union(*words).difference(self.ids)) if words else []
+        if len(self.ids) > CACHE_UNITS:  # the words met first are the frequent ones
+            self.ids = dict(islice(self.ids.items(), CACHE_UNITS // 2))
+        get = self.ids.get
+        parts = [list(map(get, t.split())) for t in texts]
+        away = {k: t.split() for k, (t, p) in enumerate(zip(texts, parts, strict=True)) if None in p}
+        missing = list({w for k, words in away.items() for w, x in zip(words, parts[k], strict=True) if x is None})
         found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in missing], add_special_tokens=False)
         fresh = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(missing, found, strict=True)}
         self.ids.update((w, x) for w, x in fresh.items() if len(w) <= CACHE_CHARS)
-        rare = {w: x for w, x in fresh.items() if len(w) > CACHE_CHARS}
-        get = self.ids.__getitem__
-        for w in words:
-            yield b"".join(map(get, w)) if not rare else b"".join([rare[x] if x in rare else get(x) for x in w])
+        for k, p in enumerate(parts):
+            yield b"".join(p if k not in away else [fresh[w] if x is None else x for w, x in zip(away[k], p, strict=True)])
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int = 0) -> DataFrame:

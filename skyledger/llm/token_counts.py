@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,7 +24,7 @@ from skyledger.llm.common import slices, with_text
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 UNIT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 #: Units that a worker's cache may hold, and the longest unit kept.
-CACHE_UNITS, CACHE_CHARS = 400_000, 64
+CACHE_UNITS, CACHE_CHARS = 800_000, 64
 
 
 def load(path: str):
@@ -48,8 +49,8 @@ class LengthCache:
         return cls.held[path]
 
     def counts(self, texts: list[str]) -> list[int]:
-        if len(self.lengths) > CACHE_UNITS:
-            self.lengths.clear()
+        if len(self.lengths) > CACHE_UNITS:  # the units met first are the frequent ones
+            self.lengths = dict(islice(self.lengths.items(), CACHE_UNITS // 2))
         units = [UNIT.findall(t) for t in texts]
         missing = list(set().union(*units).difference(self.lengths)) if units else []
         encoded = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
