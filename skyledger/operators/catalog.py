@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skyledger.functions.scalars import AMBIGUOUS, DIA, SSO, population
-from skyledger.functions.timescale import calendar, is_finite, utc_date, window_bounds
+from skyledger.functions.timescale import is_finite, utc_date, window_bounds
 
 #: name, path in the packet, type; the first three and the flag must exist with just these types
 FLAT = [
@@ -134,10 +134,11 @@ def multiplicity_stats(sources: DataFrame) -> DataFrame:
 def daily_coverage(sources: DataFrame, acquisitions: DataFrame, start: str, stop: str) -> DataFrame:
     """Rows of each requested UTC day of each acquisition. Days without rows are results too.
 
-    The range join of times with day edges becomes an equi-join: the day of a time is computed exactly,
-    and the calendar, the smaller side, is joined to day counts.
+    The range join of times with day edges becomes an equi-join: the day of a time is computed exactly, and the days
+    of each window that was asked for are joined to day counts.
     """
-    days = calendar(sources.sparkSession, start, stop).select("utc_date").join(acquisitions).where("utc_date >= start and utc_date < stop").select("acquisition_id", "utc_date")
+    first, last = F.greatest("start", F.lit(start).cast("date")), F.date_sub(F.least("stop", F.lit(stop).cast("date")), 1)
+    days = acquisitions.where(first <= last).select("acquisition_id", F.explode(F.sequence(first, last)).alias("utc_date"))
     seen = sources.groupBy("acquisition_id", utc_date(F.col("mjd_tai")).alias("utc_date")).agg(F.count("*").alias("n"))
     rows = F.coalesce("n", F.lit(0))
     status = F.when(rows > 0, F.lit("rows")).otherwise(F.lit("zero_rows_in_validated_delivery"))

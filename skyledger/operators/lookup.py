@@ -145,3 +145,10 @@ def concepts(fields: DataFrame, marks: dict[str, list[str]]) -> DataFrame:
     rows = F.array(*(F.struct(F.lit(c).alias("concept"), F.lit(m).alias("mark")) for c, ms in marks.items() for m in ms))
     found = fields.select("field", F.explode(rows).alias("r")).where(F.lower("field").contains(F.col("r.mark")))
     return found.groupBy(F.col("r.concept").alias("concept")).agg(F.countDistinct("field").alias("fields"))
+
+
+def partition_labels(df: DataFrame, column: str, wanted: list[str]) -> DataFrame:
+    """``label, rows`` of each wanted value of a band or tag column, those without rows included."""
+    labels = df.sparkSession.createDataFrame([(w,) for w in wanted], "value string")
+    counts = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("rows"))
+    return labels.join(counts, "value", "left").select(F.concat(F.lit(f"{column}="), "value").alias("label"), F.coalesce("rows", F.lit(0)).alias("rows"))

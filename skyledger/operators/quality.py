@@ -135,3 +135,8 @@ def next_action(states: DataFrame) -> DataFrame:
     c = F.col("state")
     action = F.when(c.startswith("ready"), "ingest").when(c == "still_downloading", "wait").when(c == "empty", "request").when(c == "blocked_disk", "free_disk").otherwise("inspect")
     return states.withColumn("action", action)
+
+
+def remaining_rows(runs: DataFrame) -> DataFrame:
+    """``run, remaining``: expected rows that are not readable yet; unknown without an expectation."""
+    return runs.select("run", F.when(F.col("expected_rows").isNotNull(), F.greatest(F.col("expected_rows") - F.col("readable_rows"), F.lit(0))).cast("long").alias("remaining"))

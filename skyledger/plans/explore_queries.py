@@ -270,3 +270,8 @@ def payload_rows(spark, sf_dir):
     one = F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("name")))
     text = F.when(F.col("event_id") % 3 == 0, one).when(F.col("event_id") % 3 == 1, F.concat(F.lit("["), one, F.lit("]"))).otherwise(F.concat(F.lit('{"rows":['), one, F.lit("]}")))
     return L.payload_rows(e.select(text.alias("t")), "t", "id bigint, name string")
+
+
+@query("partition_labels", over_packets("SELECT 'band=' || b.value AS label, count(s.source_id) AS rows FROM (VALUES ('g'), ('r'), ('u')) b(value) LEFT JOIN sources s ON s.band = b.value GROUP BY 1"))
+def partition_labels(spark, sf_dir):
+    return L.partition_labels(packets(spark, sf_dir), "band", ["g", "r", "u"])

@@ -223,3 +223,8 @@ def raw_readiness(spark, sf_dir):
 @query("run_scopes", "SELECT 'a1' AS acquisition_id, 'date_range' AS scope UNION ALL SELECT 'a2', 'date_range'")
 def run_scopes(spark, sf_dir):
     return acquisition_table(spark).select("acquisition_id", S.window_scope(F.col("start"), F.col("stop")).alias("scope"))
+
+
+@query("remaining_rows", RUNS + "SELECT run, CASE WHEN expected_rows IS NOT NULL THEN greatest(expected_rows - readable_rows, 0) END::BIGINT AS remaining FROM runs")
+def remaining_rows(spark, sf_dir):
+    return Q.remaining_rows(runs(spark, sf_dir))
