@@ -9,6 +9,7 @@ of five-word shingles then decides inside the groups that they propose.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -80,24 +81,26 @@ def near_groups(docs: DataFrame, width: int = 5, least: float = 0.8, bits: int =
     sets = durable(shingle_sets(chosen, width, "copy", "doc_id", "family").dropDuplicates(["copy"]))
 
     near = F.pandas_udf(lambda x, y: pd.Series([jaccard(np.asarray(a), np.asarray(b)) for a, b in zip(x, y, strict=True)]), "double")
-    grouped = []
+    small, big = by_size(sets)
+    paired, grouped = [small], []
     for _ in range(ROUNDS):
-        big = sets.groupBy("family").agg(F.count("*").alias("n"), F.min_by(F.struct("copy", "shingles"), F.struct(F.col("doc_id").isNull(), "doc_id", "copy")).alias("lead")).where(f"n > {PAIRED}")
-        big = durable(big)
         if big.isEmpty():
             break
-        compared = sets.join(big, "family", "left").withColumn("close", F.when(F.col("lead").isNotNull(), near("shingles", "lead.shingles")))
-        compared = durable(compared.select("copy", "doc_id", "family", "shingles", "close", F.col("lead.copy").alias("first")))
-        grouped.append(compared.where(f"close >= {least}").select("copy", "first"))
-        # the leader itself goes too: its group is closed
-        sets = compared.where(f"close is null or close < {least}").select("copy", "doc_id", "family", "shingles")
-    else:
-        sizes = sets.groupBy("family").agg(F.count("*").alias("n")).where(f"n <= {PAIRED}")
-        sets = sets.join(sizes.select("family"), "family", "left_semi")  # what many rounds leave of a family stays as it is
-    paired = sets.groupBy("family").applyInPandas(lambda rows: pair_up(rows, least), "copy string, first string")
-    for x in grouped:
-        paired = paired.unionByName(x)
-    return durable(paired)
+        order = F.struct(F.col("doc_id").isNull(), "doc_id", "copy")
+        leaders = big.groupBy("family").agg(F.min_by(F.struct("copy", "shingles"), order).alias("lead"))
+        compared = durable(big.join(leaders, "family").withColumn("close", near("shingles", "lead.shingles")).withColumn("first", F.col("lead.copy")).drop("lead"))
+        grouped.append(compared.where(f"close >= {least}").select("copy", "first"))  # the leader itself too: its group is closed
+        small, big = by_size(compared.where(f"close < {least}").drop("close", "first"))
+        paired.append(small)
+    # what is left in big after many rounds stays as it is
+    out = [x.groupBy("family").applyInPandas(lambda rows: pair_up(rows, least), "copy string, first string") for x in paired]
+    return durable(reduce(DataFrame.unionByName, [*out, *grouped]))
+
+
+def by_size(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of families that one task can pair, and of larger ones."""
+    many = durable(sets.groupBy("family").agg(F.count("*").alias("n")).where(f"n > {PAIRED}").select("family"))
+    return sets.join(many, "family", "left_anti"), durable(sets.join(many, "family", "left_semi"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, least: float = 0.8, bits: int = 7) -> DataFrame:
@@ -108,7 +111,7 @@ def keep_one(docs: DataFrame, width: int = 5, least: float = 0.8, bits: int = 7)
     empty texts are copies of each other. Rows equal in id and text count once. Null ids come last.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.withColumn("_copy", F.md5(text.cast("binary")))
+    keyed = docs.select("doc_id", F.md5(text.cast("binary")).alias("_copy"), F.struct("*").alias("_all"))
     near = near_groups(docs.select("doc_id", text.alias("text"), F.md5(text.cast("binary")).alias("copy")), width, least, bits)
     rows = durable(keyed.select("doc_id", "_copy"))
     grouped = rows.join(near.withColumnRenamed("copy", "_copy"), "_copy", "left").withColumn("group", F.coalesce("first", "_copy"))
@@ -116,10 +119,10 @@ def keep_one(docs: DataFrame, width: int = 5, least: float = 0.8, bits: int = 7)
     # what goes is told by key; most rows are no copies, so that the list is short beside the texts
     alone = grouped.join(best.where("n > 1"), "group").select("doc_id", "_copy", "best").distinct()
     stays = F.col("best.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("best._copy") == F.col("_copy"))
-    listed = durable(alone.select(row_key().alias("_row"), stays.alias("stays")))
-    marked = keyed.withColumn("_row", row_key()).join(bounded(listed), "_row", "left")
-    firsts = marked.where("stays").dropDuplicates(["_row"])
-    return marked.where("stays is null").unionByName(firsts).select(docs.columns)
+    listed = durable(alone.select(row_key().alias("_key"), stays.alias("_stays")))
+    marked = keyed.withColumn("_key", row_key()).join(bounded(listed), "_key", "left")
+    firsts = marked.where("_stays").dropDuplicates(["_key"])
+    return marked.where("_stays is null").unionByName(firsts).select("_all.*")
 
 
 def row_key():
