@@ -13,7 +13,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows of an Arrow batch are worked on in slices of about this many text bytes.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+
+#: What a Python worker keeps from task to task, by name.
+CACHES: dict = {}
+
+
+def release() -> None:
+    """Let go of kept caches: called in the tasks of operators that do not need them."""
+    CACHES.clear()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import durable, schema_with, slices, with_text
+from skyledger.llm.common import durable, release, schema_with, slices, with_text
 from skyledger.llm.simhash import fingerprints, simhash_components
 
 #: Members that one task compares pair by pair; larger groups first lose those that are near a leader.
@@ -37,6 +37,7 @@ def shingle_sets(docs: DataFrame, width: int, *keep: str) -> DataFrame:
     schema = schema_with(docs, keep, "shingles array<long>")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         h = xxhash.xxh64_intdigest
         for rows, texts in slices(batches):
             sets = []

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import durable, slices, with_text
+from skyledger.llm.common import CACHES, durable, slices, with_text
 from skyledger.llm.token_counts import CACHE_CHARS, CACHE_UNITS, load
 
 #: Pieces that one packing task takes. Each task wastes less than a sequence's tail or so, which
@@ -26,16 +26,14 @@ class WordIds:
     The tokenizer drops white space and never joins characters across it, so words encode alone.
     """
 
-    held: dict[str, WordIds] = {}
-
     def __init__(self, path: str):
         self.tokenizer, self.ids = load(path), {}
 
     @classmethod
     def of(cls, path: str) -> WordIds:
-        if path not in cls.held:
-            cls.held[path] = cls(path)
-        return cls.held[path]
+        if ("ids", path) not in CACHES:
+            CACHES["ids", path] = cls(path)
+        return CACHES["ids", path]
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         if len(self.ids) > CACHE_UNITS:  # the words met first are the frequent ones

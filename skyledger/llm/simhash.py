@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import durable, schema_with, slices, with_text
+from skyledger.llm.common import durable, release, schema_with, slices, with_text
 from skyledger.llm.components import components
 
 #: Fingerprints that a leaf should hold, and how many of a leaf one task compares at most.
@@ -52,6 +52,7 @@ def fingerprints(docs: DataFrame, width: int = 4, distinct: bool = False, *keep:
     schema = schema_with(docs, keep, "fp long")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for rows, texts in slices(batches):
             of = {t: fingerprint(t.lower().split(), width, distinct) for t in set(texts)}  # bytes: A-Z and ASCII white space alone
             yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array([of[t] for t in texts], pa.int64())], names=[*rows.schema.names[:-1], "fp"])

@@ -18,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import slices, with_text
+from skyledger.llm.common import CACHES, slices, with_text
 
 #: Unicode White_Space, as the tokenizer's patterns see it (Python's own class has four more).
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 UNIT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 #: Units that a worker's cache may hold, and the longest unit kept.
-CACHE_UNITS, CACHE_CHARS = 800_000, 64
+CACHE_UNITS, CACHE_CHARS = 250_000, 64
 
 
 def load(path: str):
@@ -37,16 +37,14 @@ def load(path: str):
 class LengthCache:
     """Lengths of units; kept by the Python worker from task to task."""
 
-    held: dict[str, LengthCache] = {}
-
     def __init__(self, path: str):
         self.tokenizer, self.lengths = load(path), {}
 
     @classmethod
     def of(cls, path: str) -> LengthCache:
-        if path not in cls.held:
-            cls.held[path] = cls(path)
-        return cls.held[path]
+        if ("lengths", path) not in CACHES:
+            CACHES["lengths", path] = cls(path)
+        return CACHES["lengths", path]
 
     def counts(self, texts: list[str]) -> list[int]:
         if len(self.lengths) > CACHE_UNITS:  # the units met first are the frequent ones

@@ -15,7 +15,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import crc32_mod, durable, schema_with, slices, with_text
+from skyledger.llm.common import crc32_mod, durable, release, schema_with, slices, with_text
 
 FEATURES = [
     "seed_hits", "seed_density", "word_hits", "word_density", "word_weight", "stem_hits", "stem_density", "stem_weight",
@@ -80,7 +80,7 @@ class WordMarks:
     """What the lexicons say about a word as it is written: None for a word that counts for nothing,
     else (seed, word weight, stem weight, second person, masked, shouted). Kept for one task, in a bounded cache."""
 
-    def __init__(self, lexicon: dict[str, float], most: int = 500_000):
+    def __init__(self, lexicon: dict[str, float], most: int = 200_000):
         self.lexicon, self.most, self.seen = lexicon, most, {}
 
     def of(self, raw: str) -> tuple | None:
@@ -137,6 +137,7 @@ def with_features(docs: DataFrame, lexicon: dict[str, float], *keep: str) -> Dat
     schema = schema_with(docs, keep, ", ".join(f"{n} double" for n in FEATURES))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         marks = WordMarks(lexicon)
         for rows, texts in slices(batches):
             columns = zip(*(features(t, marks) for t in texts), strict=True)
