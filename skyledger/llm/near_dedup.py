@@ -1,9 +1,8 @@
-"""Keep one document of each near-duplicate group: SimHash proposes, word shingles decide.
+"""Keep one document of each near-duplicate group: SimHash links most of them, exact prefixes the rest.
 
-Five-word shingles at a similarity of 0.8 differ in about one word in forty-five, but their SimHash differs
-in a dozen bits, too many for an exact search. The SimHash of a text's distinct words differs in four or five
-bits there, so the vantage-point trees search that one, at seven bits, and the exact Jaccard similarity
-of five-word shingles then decides inside the groups that they propose.
+The vantage-point trees over the SimHash of a text's distinct words, at seven bits, propose families, and what is near a
+leader of its family is linked at once. Texts of one similarity of shingles can lie further apart, so a prefix-filter
+join over the shingles then finds all other pairs, and the exact Jaccard similarity decides.
 """
 
 from __future__ import annotations
@@ -12,17 +11,19 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyledger.llm.common import durable, release, schema_with, slices, with_text
+from skyledger.llm.components import components
 from skyledger.llm.simhash import fingerprints, simhash_components
 
-#: Members that one task compares pair by pair; larger groups first lose those that are near a leader.
+#: Families in which more than PAIRED texts are near no leader get a further one, up to ROUNDS; this changes the work and not the links.
 PAIRED, ROUNDS = 64, 10
+#: Leaders that may be broadcast, texts of a shingle that one tile holds, texts in the sample and shingles told to be common.
+FEW, TILE, SAMPLED, COMMON = 1000, 1000, 4000, 200_000
 #: Keys that may be broadcast (16 bytes each and some overhead).
 SMALL = 1_000_000
 
@@ -50,22 +51,113 @@ def shingle_sets(docs: DataFrame, width: int, *keep: str) -> DataFrame:
     return with_text(docs, *keep).mapInArrow(measure, schema)
 
 
-def jaccard(x: np.ndarray, y: np.ndarray) -> float:
-    shared = len(np.intersect1d(x, y, assume_unique=True))
-    return shared / max(1, len(x) + len(y) - shared)
+def similarity(x: str, y: str) -> Column:
+    """Exact Jaccard similarity of two columns of distinct values."""
+    shared = F.size(F.array_intersect(x, y))
+    return shared / (F.size(x) + F.size(y) - shared)
 
 
-def pair_up(rows: pd.DataFrame, least: float) -> pd.DataFrame:
-    """``copy, least_key``: the first member of each linked set, for all its members."""
-    rows = rows.sort_values(["doc_id", "copy"], na_position="last").reset_index(drop=True)
-    sets, n = [np.asarray(x) for x in rows["shingles"]], len(rows)
-    label = np.arange(n)
-    for i in range(n):
-        for j in range(i + 1, n):
-            short, long = sorted((len(sets[i]), len(sets[j])))
-            if label[i] != label[j] and short >= least * long and jaccard(sets[i], sets[j]) >= least:
-                label[label == max(label[i], label[j])] = min(label[i], label[j])
-    return pd.DataFrame({"copy": rows["copy"], "first": rows["copy"].to_numpy()[label]})
+def leader_links(sets: DataFrame, least: float) -> DataFrame:
+    """Edges ``a, b`` of texts near a leader of their family. They only save work: exact_links finds what they miss."""
+    near, edges = sets.where("family is not null"), []
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "copy")
+    for _ in range(ROUNDS):
+        leaders = durable(near.groupBy("family").agg(F.min_by(F.struct("id", "shingles"), order).alias("lead")))
+        few = F.broadcast(leaders) if leaders.count() <= FEW else leaders
+        compared = durable(near.join(few, "family").withColumn("close", similarity("shingles", "lead.shingles") >= least))
+        edges.append(compared.where("close and id <> lead.id").select(F.col("id").alias("a"), F.col("lead.id").alias("b")))
+        left = compared.where("not close").drop("close", "lead")
+        many = durable(left.groupBy("family").agg(F.count("*").alias("n")).where(f"n > {PAIRED}").select("family"))
+        if many.isEmpty():
+            break
+        near = durable(left.join(bounded(many), "family", "left_semi"))
+    return durable(reduce(DataFrame.unionByName, edges))
+
+
+def rooted(edges: DataFrame) -> DataFrame:
+    """``id, root`` of texts with an edge."""
+    return durable(components(edges).select(F.col("node").alias("id"), "root"))
+
+
+def common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many texts of a sample share, sorted, and how common they are. They decide the order in which
+    shingles are looked at, and so the work; any order finds the same pairs."""
+    part = max(1, sets.count() // SAMPLED)
+    shared = sets.where(F.pmod(F.xxhash64("id"), F.lit(part)) == 0).select(F.explode("shingles").alias("shingle")).groupBy("shingle").count()
+    found = shared.where("count > 2").orderBy(F.desc("count"), "shingle").limit(COMMON).toPandas().sort_values("shingle")
+    return found["shingle"].to_numpy(np.int64), np.log2(found["count"].to_numpy(np.float64)).astype(np.int64)
+
+
+def prefixes(sets: DataFrame, least: float) -> DataFrame:
+    """``shingle, id, root, n, at``: the first shingles of each set in one order for all, rare ones first; n: the set's size.
+
+    Two sets of similarity ``least`` share one of the first n - ceil(least * n) + 1.
+    """
+    common = sets.sparkSession.sparkContext.broadcast(common_shingles(sets))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared, level = common.value
+        for batch in batches:
+            sizes = np.diff(batch.column(2).offsets.to_numpy())
+            part = np.cumsum(sizes) // 500_000  # runs of rows of about so many shingles
+            for run in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(part)) + 1):
+                if not len(run):
+                    continue
+                rows = batch.slice(run[0], len(run))
+                n, flat = sizes[run], rows.column(2).flatten().to_numpy()
+                row, rank = np.repeat(np.arange(len(n)), n), np.zeros(len(flat), np.int64)
+                if len(shared):
+                    spot = np.minimum(np.searchsorted(shared, flat), len(shared) - 1)
+                    rank = np.where(shared[spot] == flat, level[spot], 0)
+                order = np.lexsort((flat, rank, row))
+                at = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+                first = at < (n - np.ceil(least * n - 1e-9) + 1)[row]
+                of = row[first]
+                columns = [pa.array(flat[order][first]), rows.column(0).take(pa.array(of)), rows.column(1).take(pa.array(of)), pa.array(n[of], pa.int32()), pa.array(at[first], pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, names=["shingle", "id", "root", "n", "at"])
+
+    return sets.select("id", "root", "shingles").mapInArrow(cut, "shingle long, id long, root long, n int, at int")
+
+
+def candidates(sets: DataFrame, least: float) -> DataFrame:
+    """``a, b, shared``: all pairs of texts of different roots that can have a similarity of ``least``.
+
+    Sizes and places of a shared shingle bound the similarity. A shingle of very many texts is dealt to tiles.
+    """
+    first = durable(prefixes(sets, least))
+    keys = first.groupBy("shingle").agg(F.count("*").alias("texts"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    keys = durable(keys.select("shingle", F.ceil(F.col("texts") / TILE).cast("int").alias("tiles")))
+    hits = durable(first.join(bounded(keys), "shingle"))
+    one = hits.select("shingle", F.pmod(F.xxhash64("id"), "tiles").cast("int").alias("tile"), F.col("id").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("at").alias("i"))
+    other = hits.select("shingle", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.col("id").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("at").alias("j"))
+    able = f"1 + least(na - i - 1, nb - j - 1) >= {least / (1 + least)!r}D * (na + nb) - 1e-6D"
+    pairs = one.join(other, ["shingle", "tile"]).where(f"a < b and ra <> rb and least(na, nb) >= {least!r}D * greatest(na, nb) - 1e-6D and {able}")
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("shared"))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of the pairs that have a similarity of ``least`` or more."""
+    ids = durable(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+    needed = durable(sets.select("id", "shingles").join(bounded(ids), "id", "left_semi"))
+    x, y = needed.toDF("a", "x"), needed.toDF("b", "y")
+    return durable(pairs.join(x, "a").join(y, "b").where(similarity("x", "y") >= least).select("a", "b"))
+
+
+def exact_links(sets: DataFrame, least: float) -> DataFrame:
+    """Edges ``a, b`` that connect, with those behind the roots, whatever a similarity of ``least`` connects.
+
+    The partner with most shingles in common is tried first; then all pairs whose ends are still apart.
+    """
+    pairs = durable(candidates(sets, least))
+    both = pairs.select("a", "b", "shared").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared"))
+    best = both.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
+    sure = verified(durable(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), sets, least)
+    roots = sets.select("id", "root")
+    old = roots.toDF("a", "ra"), roots.toDF("b", "rb")
+    merged = rooted(sure.join(old[0], "a").join(old[1], "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    now = durable(roots.join(bounded(merged.toDF("root", "top")), "root", "left").select("id", F.coalesce("top", "root").alias("root")))
+    apart = pairs.select("a", "b").join(now.toDF("a", "ra"), "a").join(now.toDF("b", "rb"), "b").where("ra <> rb").select("a", "b")
+    return sure.unionByName(verified(durable(apart), sets, least))
 
 
 def near_groups(docs: DataFrame, width: int = 5, least: float = 0.8, bits: int = 7) -> DataFrame:
@@ -73,43 +165,31 @@ def near_groups(docs: DataFrame, width: int = 5, least: float = 0.8, bits: int =
 
     docs: ``doc_id, copy`` (the key of a text) and ``text``.
     """
-    texts = durable(fingerprints(docs, 1, True, "doc_id", "copy")).groupBy("copy").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"))
-    found = durable(simhash_components(texts, bits).select("copy", "doc_id", F.col("component_id").alias("family"), "fp"))
+    texts = durable(fingerprints(docs, 1, True, "doc_id", "copy")).groupBy("copy").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.count("*").alias("times"))
+    found = durable(simhash_components(durable(texts), bits).select("copy", "doc_id", F.col("component_id").alias("family"), "times"))
     many = found.groupBy("family").agg(F.count("*").alias("n")).where("n > 1")
-    members = durable(found.join(many, "family").select("copy", "doc_id", "family"))
-    chosen = docs.select(F.col("doc_id").alias("_own"), "copy", "text").join(bounded(members), "copy")
-    chosen = chosen.where(F.col("_own").eqNullSafe(F.col("doc_id")))
-    sets = durable(shingle_sets(chosen, width, "copy", "doc_id", "family").dropDuplicates(["copy"]))
-
-    near = F.pandas_udf(lambda x, y: pd.Series([jaccard(np.asarray(a), np.asarray(b)) for a, b in zip(x, y, strict=True)]), "double")
-    small, big = by_size(sets)
-    paired, grouped = [small], []
-    for _ in range(ROUNDS):
-        if big.isEmpty():
-            break
-        order = F.struct(F.col("doc_id").isNull(), "doc_id", "copy")
-        leaders = big.groupBy("family").agg(F.min_by(F.struct("copy", "shingles"), order).alias("lead"))
-        compared = durable(big.join(leaders, "family").withColumn("close", near("shingles", "lead.shingles")).withColumn("first", F.col("lead.copy")).drop("lead"))
-        grouped.append(compared.where(f"close >= {least}").select("copy", "first"))  # the leader itself too: its group is closed
-        small, big = by_size(compared.where(f"close < {least}").drop("close", "first"))
-        paired.append(small)
-    # what is left in big after many rounds stays as it is
-    out = [x.groupBy("family").applyInPandas(lambda rows: pair_up(rows, least), "copy string, first string") for x in paired]
-    return durable(reduce(DataFrame.unionByName, [*out, *grouped]))
-
-
-def by_size(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members of families that one task can pair, and of larger ones."""
-    many = durable(sets.groupBy("family").agg(F.count("*").alias("n")).where(f"n > {PAIRED}").select("family"))
-    return sets.join(many, "family", "left_anti"), durable(sets.join(many, "family", "left_semi"))
+    members = durable(found.join(many, "family").select("copy", "family"))
+    # each text once: most rows are no copies, so that the list of those that are is short beside the texts
+    repeated = durable(found.where("times > 1").select("copy", F.col("doc_id").alias("_own"), F.lit(True).alias("_again")))
+    told = docs.join(bounded(repeated), "copy", "left")
+    again = told.where(F.col("_again") & F.col("_own").eqNullSafe(F.col("doc_id"))).dropDuplicates(["copy"])
+    once = told.where("_again is null").unionByName(again)
+    sets = durable(shingle_sets(once, width, "copy", "doc_id").withColumn("id", F.monotonically_increasing_id()))
+    sets = durable(sets.join(bounded(members), "copy"))
+    close = leader_links(sets, least)
+    sets = durable(sets.join(bounded(rooted(close)), "id", "left").withColumn("root", F.coalesce("root", "id")))
+    linked = rooted(close.unionByName(exact_links(sets, least)))
+    named = durable(sets.select("id", "copy", "doc_id").join(bounded(linked), "id"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "copy")
+    first = named.groupBy("root").agg(F.min_by("copy", order).alias("first"))
+    return durable(named.join(first, "root").select("copy", "first"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, least: float = 0.8, bits: int = 7) -> DataFrame:
     """The rows of ``docs`` without exact and near copies: of each group the row of least doc_id stays.
 
     Two texts are near if ``width``-word shingles have a Jaccard similarity of ``least`` or more; groups are
-    what such links connect (in groups of over ``PAIRED`` different texts: what is near a leader). Null and
-    empty texts are copies of each other. Rows equal in id and text count once. Null ids come last.
+    what such links connect, at any size. Null and empty texts are copies of each other. Rows equal in id and text count once. Null ids come last.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select("doc_id", F.md5(text.cast("binary")).alias("_copy"), F.struct("*").alias("_all"))

@@ -123,3 +123,23 @@ def test_odd_column_names_pass_through(spark):
     df = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(80)), "s", 1, 2)], "doc_id long, text string, source string, `n words` int, copies int")
     assert P.mixture(spark, df, SF).columns == df.columns
     assert P.quality(spark, df, SF).columns == df.columns
+
+
+def edited(rng, base, n, mark):
+    """The words with ``n`` of them changed."""
+    w = list(base)
+    for k, at in enumerate(rng.choice(len(w), n, replace=False)):
+        w[at] = f"{mark}-{k}"
+    return w
+
+
+def kept_and_wanted(spark, texts):
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    return {r.doc_id for r in keep_one(df).collect()}, first_of_groups([" ".join(w) for w in texts], range(len(texts)))
+
+
+def test_copies_of_an_original_that_is_no_leader(spark):
+    rng = np.random.default_rng(1)
+    base = [f"w{k}" for k in rng.integers(0, 10**6, 400)]
+    got, want = kept_and_wanted(spark, [*[edited(rng, base, 7, f"x{i}") for i in range(150)], base])
+    assert got == want == {0}
