@@ -143,3 +143,20 @@ def test_copies_of_an_original_that_is_no_leader(spark):
     base = [f"w{k}" for k in rng.integers(0, 10**6, 400)]
     got, want = kept_and_wanted(spark, [*[edited(rng, base, 7, f"x{i}") for i in range(150)], base])
     assert got == want == {0}
+
+
+@pytest.mark.parametrize("paired", [4, 64])
+def test_chain_whose_ends_are_not_near(spark, monkeypatch, paired):
+    from skyledger.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "PAIRED", paired)
+    rng = np.random.default_rng(2)
+    w = [f"w{k}" for k in rng.integers(0, 10**6, 400)]
+    texts = [list(w)]
+    for i in range(1, 25):  # each is near its neighbours alone
+        w[16 * i - 8] = f"x{i}-0"
+        w[16 * i - 2] = f"x{i}-1"
+        w[16 * i + 4] = f"x{i}-2"
+        texts.append(list(w))
+    got, want = kept_and_wanted(spark, texts)
+    assert got == want == {0}
