@@ -175,7 +175,7 @@ def near_groups(docs: DataFrame, width: int = 5, least: float = 0.8, bits: int =
     again = told.where(F.col("_again") & F.col("_own").eqNullSafe(F.col("doc_id"))).dropDuplicates(["copy"])
     once = told.where("_again is null").unionByName(again)
     sets = durable(shingle_sets(once, width, "copy", "doc_id").withColumn("id", F.monotonically_increasing_id()))
-    sets = durable(sets.join(bounded(members), "copy"))
+    sets = durable(sets.join(bounded(members), "copy", "left"))
     close = leader_links(sets, least)
     sets = durable(sets.join(bounded(rooted(close)), "id", "left").withColumn("root", F.coalesce("root", "id")))
     linked = rooted(close.unionByName(exact_links(sets, least)))

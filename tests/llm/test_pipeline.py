@@ -160,3 +160,15 @@ def test_chain_whose_ends_are_not_near(spark, monkeypatch, paired):
         texts.append(list(w))
     got, want = kept_and_wanted(spark, texts)
     assert got == want == {0}
+
+
+def test_passages_added_and_blocks_replaced(spark):
+    rng = np.random.default_rng(3)
+    words = lambda n: [f"w{k}" for k in rng.zipf(1.3, n) % 10**6]
+    texts = []
+    for _ in range(60):
+        base, block = words(400), words(70)
+        texts += [base, base + block, words(400)]
+        texts += [texts[-1][:180] + words(30) + texts[-1][210:]]
+    got, want = kept_and_wanted(spark, texts)
+    assert got == want and len(want) < 150
