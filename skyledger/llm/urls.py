@@ -43,18 +43,21 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return found.where("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = 12, damping: float = 0.85) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = 12, damping: float = 0.85, pull: bool = False) -> DataFrame:
     """Personalised PageRank of two kinds at once.
 
     seeds: ``kind, host, seed``; kind ``trust`` walks along the links, ``distrust`` against them, so a
     host that links to blocked ones is suspected. Returns ``kind, host, rank`` of the hosts reached.
+    With ``pull`` the shares are those of the host that receives, so that a rank is the seeds' part of the walk that starts
+    at the host: 1 at most, and not thinned by how many others link to a seed.
     Every round is an equi-join on (kind, host) and a grouping; each third round is written out.
     """
     both = edges.select(F.lit("trust").alias("kind"), "src", "dst", "weight").unionByName(
         edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
     )
-    degree = both.groupBy("kind", "src").agg(F.sum("weight").alias("degree"))
-    flows = durable(both.join(degree, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("weight") / F.col("degree")).alias("share")))
+    side = "dst" if pull else "src"
+    degree = both.groupBy("kind", side).agg(F.sum("weight").alias("degree"))
+    flows = durable(both.join(degree, ["kind", side]).select("kind", F.col("src").alias("host"), "dst", (F.col("weight") / F.col("degree")).alias("share")))
     rank = start = durable(seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("rank")))
     if flows.isEmpty():  # without links between hosts the seeds alone have rank
         return start
@@ -70,16 +73,17 @@ def host_verdicts(pages: DataFrame, rules: list[tuple[str, str]], blocked_parts:
     """``host, blocked`` of every host among the pages.
 
     Trusted seeds are hosts with a page that an allow rule fits, blocked seeds hosts whose name has
-    a blocked part. A host is blocked if its distrust exceeds both ``least`` and its trust.
+    a blocked part or all of whose pages a rule blocks (a rule may be about some paths of a host alone). A host is blocked if its distrust exceeds both ``least`` and its trust.
     """
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     allowed = F.max(F.coalesce(matching_rule(host, path, rules)["verdict"] == "allow", F.lit(False)))
-    hosts = durable(pages.where(host != "").groupBy(host.alias("host")).agg(allowed.alias("trusted")))
-    bad = F.arrays_overlap(F.split("host", "[.-]"), F.array(*map(F.lit, blocked_parts)))
+    ruled_out = F.min(F.coalesce(matching_rule(host, path, rules)["verdict"] == "block", F.lit(False)))
+    hosts = durable(pages.where(host != "").groupBy(host.alias("host")).agg(allowed.alias("trusted"), ruled_out.alias("ruled_out")))
+    bad = F.col("ruled_out") | F.arrays_overlap(F.split("host", "[.-]"), F.array(*map(F.lit, blocked_parts)))
     seeds = hosts.where(F.col("trusted") & ~bad).select(F.lit("trust").alias("kind"), "host", F.lit(1.0).alias("seed")).unionByName(
         hosts.where(bad).select(F.lit("distrust").alias("kind"), "host", F.lit(1.0).alias("seed"))
     )
-    rank = propagate(seeds, host_edges(pages)).groupBy("host").agg(
+    rank = propagate(seeds, host_edges(pages), pull=True).groupBy("host").agg(
         F.coalesce(F.sum(F.when(F.col("kind") == "trust", F.col("rank"))), F.lit(0.0)).alias("trust"),
         F.coalesce(F.sum(F.when(F.col("kind") == "distrust", F.col("rank"))), F.lit(0.0)).alias("distrust"),
     )

@@ -220,6 +220,16 @@ def test_page_rank_follows_the_plain_iteration(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
 
 
+def test_farms_are_blocked_whatever_their_size(spark):
+    link = lambda *hosts: "".join(f'<a href="http://{h}/">x</a>' for h in hosts)
+    rows = [(f"http://farm{i}.biz/", link("big-casino.biz")) for i in range(100)] + [(f"http://rule{i}.biz/", link("x.org")) for i in range(30)]
+    rows += [("http://big-casino.biz/", None), ("http://second.biz/", link("farm0.biz")), ("http://usual.biz/", link("big-casino.biz", *(f"site{i}.biz" for i in range(30)))), ("http://x.org/es/1", None), ("http://y.org/es/1", None), ("http://y.org/fr", None), ("http://z.biz/", link("y.org"))]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    blocked = {r.host for r in url_filter(df).where("verdict = 'block'").collect()}
+    assert blocked == {*(f"farm{i}.biz" for i in range(100)), *(f"rule{i}.biz" for i in range(30)), "second.biz", "big-casino.biz", "x.org", "y.org"}
+    assert {r.verdict for r in url_filter(df).where("host = 'y.org' and path = '/fr'").collect()} == {"allow"}
+
+
 def brute_components(prints, ids, bits):
     own = list(range(len(prints)))
 
