@@ -50,8 +50,8 @@ def fingerprint(text: Column) -> Column:
 
 
 def text_of_bytes(b: Column) -> Column:
-    """Bytes for JSON: as text where they are UTF-8, else in base 64."""
-    return F.when(F.is_valid_utf8(b.cast("string")), b.cast("string")).otherwise(F.base64(b))
+    """Bytes for JSON: as text where they are UTF-8, else in base 64, on one line."""
+    return F.when(F.is_valid_utf8(b.cast("string")), b.cast("string")).otherwise(F.translate(F.base64(b), "\r\n", ""))
 
 
 def packet_type(description: Column) -> Column:

@@ -69,6 +69,13 @@ def json_safe_bytes(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text_of_bytes(raw).alias("safe"))
 
 
+@query("json_safe_texts", r"SELECT doc_id, text AS safe, base64('\xFF'::BLOB || encode(text)) AS broken FROM documents")
+def json_safe_texts(spark, sf_dir):
+    """Whole texts of all rows, as they are and behind a byte that makes them no UTF-8."""
+    whole = F.col("text").cast("binary")
+    return table(spark, sf_dir, "documents").select("doc_id", text_of_bytes(whole).alias("safe"), text_of_bytes(F.concat(F.unhex(F.lit("FF")), whole)).alias("broken"))
+
+
 @query("packet_types", "SELECT event_type, 'full' AS kind FROM events WHERE event_type = 'view' UNION ALL SELECT event_type, 'light' FROM events WHERE event_type = 'click' UNION ALL SELECT event_type, 'unknown' FROM events WHERE event_type NOT IN ('view', 'click')")
 def packet_types(spark, sf_dir):
     text = F.when(F.col("event_type") == "view", "Full packets").when(F.col("event_type") == "click", "LIGHT").otherwise("something")
