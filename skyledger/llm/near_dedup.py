@@ -166,7 +166,7 @@ def near_groups(docs: DataFrame, width: int = 5, least: float = 0.8, bits: int =
     docs: ``doc_id, copy`` (the key of a text) and ``text``.
     """
     texts = durable(fingerprints(docs, 1, True, "doc_id", "copy")).groupBy("copy").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.count("*").alias("times"))
-    found = durable(simhash_components(durable(texts), bits).select("copy", "doc_id", F.col("component_id").alias("family"), "times"))
+    found = durable(simhash_components(durable(texts), bits).select("copy", "doc_id", F.col("root").alias("family"), "times"))
     many = found.groupBy("family").agg(F.count("*").alias("n")).where("n > 1")
     members = durable(found.join(many, "family").select("copy", "family"))
     # each text once: most rows are no copies, so that the list of those that are is short beside the texts

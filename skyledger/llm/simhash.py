@@ -190,7 +190,8 @@ def links(fps: DataFrame, bits: int, leaf_rows: int = LEAF_ROWS, tile_rows: int
 
 
 def simhash_components(rows: DataFrame, bits: int = 4) -> DataFrame:
-    """Add ``component_id`` to ``doc_id, fp, ...``: the least doc_id that links reach, itself included.
+    """Add ``root``, a component's least fingerprint, and ``component_id`` to ``doc_id, fp, ...``: the least doc_id
+    that links reach, itself included.
 
     Copies meet in their fingerprint before anything is compared. Null doc_ids join in but give no
     component its name, unless it has no other.
@@ -200,7 +201,7 @@ def simhash_components(rows: DataFrame, bits: int = 4) -> DataFrame:
     named = classes.join(linked, classes["fp"] == linked["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = durable(named)
     roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(named.select("fp", "root").join(roots, "root").select("fp", "component_id"), "fp")
+    return rows.join(named.select("fp", "root").join(roots, "root").select("fp", "root", "component_id"), "fp")
 
 
 def simhash_near_duplicates(docs: DataFrame, width: int = 4, bits: int = 4) -> DataFrame:

@@ -172,3 +172,10 @@ def test_passages_added_and_blocks_replaced(spark):
         texts += [texts[-1][:180] + words(30) + texts[-1][210:]]
     got, want = kept_and_wanted(spark, texts)
     assert got == want and len(want) < 150
+
+
+def test_near_copies_without_ids(spark):
+    rng = np.random.default_rng(4)
+    base = [f"w{k}" for k in rng.integers(0, 10**6, 300)]
+    df = spark.createDataFrame([(None, " ".join(w)) for w in (base, edited(rng, base, 1, "x"), edited(rng, base, 1, "y"))], "doc_id long, text string")
+    assert keep_one(df).count() == 1
