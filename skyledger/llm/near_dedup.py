@@ -64,9 +64,9 @@ def leader_links(sets: DataFrame, least: float) -> DataFrame:
     for _ in range(ROUNDS):
         leaders = durable(near.groupBy("family").agg(F.min_by(F.struct("id", "shingles"), order).alias("lead")))
         few = F.broadcast(leaders) if leaders.count() <= FEW else leaders
-        compared = durable(near.join(few, "family").withColumn("close", similarity("shingles", "lead.shingles") >= least))
-        edges.append(compared.where("close and id <> lead.id").select(F.col("id").alias("a"), F.col("lead.id").alias("b")))
-        left = compared.where("not close").drop("close", "lead")
+        compared = durable(near.join(few, "family").withColumn("close", similarity("shingles", "lead.shingles") >= least).withColumn("head", F.col("lead.id")).drop("lead"))
+        edges.append(compared.where("close and id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")))
+        left = compared.where("not close").drop("close", "head")
         many = durable(left.groupBy("family").agg(F.count("*").alias("n")).where(f"n > {PAIRED}").select("family"))
         if many.isEmpty():
             break
@@ -175,9 +175,9 @@ def near_groups(docs: DataFrame, width: int = 5, least: float = 0.8, bits: int =
     again = told.where(F.col("_again") & F.col("_own").eqNullSafe(F.col("doc_id"))).dropDuplicates(["copy"])
     once = told.where("_again is null").unionByName(again)
     sets = durable(shingle_sets(once, width, "copy", "doc_id").withColumn("id", F.monotonically_increasing_id()))
-    sets = durable(sets.join(bounded(members), "copy", "left"))
+    sets = sets.join(bounded(members), "copy", "left")
     close = leader_links(sets, least)
-    sets = durable(sets.join(bounded(rooted(close)), "id", "left").withColumn("root", F.coalesce("root", "id")))
+    sets = sets.join(bounded(rooted(close)), "id", "left").withColumn("root", F.coalesce("root", "id"))
     linked = rooted(close.unionByName(exact_links(sets, least)))
     named = durable(sets.select("id", "copy", "doc_id").join(bounded(linked), "id"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "copy")
