@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,9 +20,19 @@ SLICE_BYTES = 2 << 20
 CACHES: dict = {}
 
 
+def trim() -> None:
+    """Give memory that is free inside this worker back to the system: a worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def release() -> None:
     """Let go of kept caches: called in the tasks of operators that do not need them."""
     CACHES.clear()
+    trim()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,19 +77,23 @@ def with_text(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("_text"))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "_text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Cut Arrow batches into runs of rows of about ``SLICE_BYTES``, so that memory follows bytes
-    and not row counts; a longer text comes alone."""
+def runs(batches: Iterator[pa.RecordBatch], column: str = "_text", most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Cut Arrow batches into runs of rows of about ``most`` bytes of text, so that memory follows bytes and
+    not row counts; a longer text comes alone."""
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(column))
         sizes = pa.compute.binary_length(texts).to_pylist()
         start = held = 0
         for i, n in enumerate(sizes):
-            if i > start and held + n > SLICE_BYTES:
-                yield batch.slice(start, i - start), texts.slice(start, i - start).to_pylist()
+            if i > start and held + n > most:
+                yield batch.slice(start, i - start), texts.slice(start, i - start)
                 start, held = i, 0
             held += n
         if start < len(sizes):
-            yield batch.slice(start), texts.slice(start).to_pylist()
+            yield batch.slice(start), texts.slice(start)
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: str = "_text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """As ``runs``, with the texts as a list."""
+    for rows, texts in runs(batches, column):
+        yield rows, texts.to_pylist()

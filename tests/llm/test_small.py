@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 from tokenizers import Tokenizer
@@ -82,34 +83,19 @@ def test_token_counts(docs, rows, empty):
 
 def test_token_counts_of_odd_white_space():
     cache, rng = LengthCache.of(tokenizer("byte_bpe_50k.json")), np.random.default_rng(1)
-    alphabet = list(" \t\n\r\x0b\x0c\x1c\x1d\x85\xa0\u2003\u3000") + ["a", "B", "é", "1", "!", "'s", "'", "中", "\u0301", "<|endoftext|>"]
-    texts = ["".join(rng.choice(alphabet, 40)) for _ in range(400)]
-    assert cache.counts(texts) == [len(cache.tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
-
-
-def test_packing(docs, rows, empty):
-    t, got = Tokenizer.from_file(tokenizer("word_bpe_49k.json")), pack_documents(docs, tokenizer("word_bpe_49k.json"), 64).toPandas()
-    want = Counter()
-    for i, x in text_of(rows):
-        ids = np.array([*t.encode(x, add_special_tokens=False).ids, 0], "<u4")
-        for k, at in enumerate(range(0, len(ids), 64)):
-            want[(i, k, at, len(ids[at : at + 64]), zlib.crc32(ids[at : at + 64].tobytes()))] += 1
-    key = lambda r: (None if pd.isna(r.doc_id) else int(r.doc_id), r.piece, r.start, r.length, r.ids_crc32)
-    assert Counter(map(key, got.itertuples())) == want
-    for _, part in got.sort_values("offset").groupby("sequence_id"):
-        assert (part.offset.to_numpy() == np.append(0, part.length.cumsum()[:-1])).all() and part.length.sum() <= 64
-    assert got.sequence_id.nunique() <= 1.02 * math.ceil(got.length.sum() / 64) + 1
-    assert pack_documents(empty, tokenizer("word_bpe_49k.json")).count() == 0
-
-
-def test_word_ids_of_odd_white_space():
-    from skyledger.llm.packing import WordIds
-
-    coder, rng = WordIds.of(tokenizer("word_bpe_49k.json")), np.random.default_rng(2)
-    alphabet = list(" \t\n\r\x0b\x0c\x1c\x85\xa0\u3000") + ["a", "B", "É", "e\u0301", "Σ", "1", "!", "'s", "'ll", "中", "\u0301", "<|endoftext|>"]
+    alphabet = list(" \t\n\r\x0b\x0c\x1c\x85\xa0\u3000") + ["a", "B", "É", "e\u0301", "Σ", "İ", "Ɓ", "ŸŒ", "×÷", "1", "!", "'s", "'ll", "中", "\u0301", "<|endoftext|>"]
     texts = ["".join(rng.choice(alphabet, 30)) for _ in range(400)]
-    want = [np.array(coder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
-    assert list(coder.encode([t.encode() for t in texts])) == want
+    want = [coder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    ids, edges = coder.encode(pa.array([t.encode() for t in texts], pa.binary()))
+    assert [ids[a:b].tolist() for a, b in zip(edges, edges[1:])] == want
+    monkeypatch.setattr("skyledger.llm.packing.RUN_BYTES", 50)  # a long text is cut at white space
+    assert coder.encode_long(" ".join(texts).encode()).tolist() == coder.tokenizer.encode(" ".join(texts), add_special_tokens=False).ids
+    monkeypatch.setattr("skyledger.llm.packing.KEPT_WORDS", 100)  # the words used least go
+    coder.encode(pa.array([t.encode() for t in texts], pa.binary()))
+    coder.shrink()
+    assert len(coder.words) == 50
+    ids, edges = coder.encode(pa.array([t.encode() for t in texts], pa.binary()))
+    assert [ids[a:b].tolist() for a, b in zip(edges, edges[1:])] == want
 
 
 def test_best_fit_takes_the_tightest_bin():
