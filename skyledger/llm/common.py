@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -53,15 +55,39 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def durable(df: DataFrame) -> DataFrame:
+#: Folders of the steps that run now, the innermost last, by thread.
+STEPS = threading.local()
+
+
+def durable(df: DataFrame, result: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later jobs neither recompute it nor
-    depend on an executor that may be lost."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+    depend on an executor that may be lost. Inside a ``tidy`` step the table goes with the step, but for its ``result``."""
+    spark, steps = df.sparkSession, getattr(STEPS, "open", [])
+    steps = steps[: len(steps) - result]
+    path = f"{steps[-1] if steps else shared_dir(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(step: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A step whose first argument and result are DataFrames: the result is written, and the tables that were written on
+    the way are deleted."""
+
+    @functools.wraps(step)
+    def run(df: DataFrame, *more, **named) -> DataFrame:
+        spark = df.sparkSession
+        folder = f"{shared_dir(spark)}/step-{uuid.uuid4().hex}"
+        STEPS.open = [*getattr(STEPS, "open", []), folder]
+        try:
+            return durable(step(df, *more, **named), result=True)
+        finally:
+            STEPS.open = STEPS.open[:-1]
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    return run
+
+
 def schema_with(docs: DataFrame, keep: tuple[str, ...], more: str) -> T.StructType:
     """The schema of kept columns, whatever their names, and those that the DDL text ``more`` adds."""
     return T.StructType([*docs.select(*keep).schema.fields, *T.StructType.fromDDL(more).fields])

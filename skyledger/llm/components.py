@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import durable
+from skyledger.llm.common import durable, tidy
 
 
 def star(edges: DataFrame, large: bool) -> DataFrame:
@@ -24,6 +24,7 @@ def star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
+@tidy
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``node, root`` of every node with an edge; the root is the component's least node.
 

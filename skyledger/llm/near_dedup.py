@@ -2,7 +2,8 @@
 
 The vantage-point trees over the SimHash of a text's distinct words, at seven bits, propose families, and what is near a
 leader of its family is linked at once. Texts of one similarity of shingles can lie further apart, so a prefix-filter
-join over the shingles then finds all other pairs, and the exact Jaccard similarity decides.
+join over the shingles then finds all other pairs, and the exact Jaccard similarity decides. Shingles are hashed anew in each
+pass over the texts; only those of texts that are compared are ever written.
 """
 
 from __future__ import annotations
@@ -12,11 +13,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import durable, release, schema_with, slices, with_text
+from skyledger.llm.common import durable, release, runs, schema_with, tidy, trim, with_text
 from skyledger.llm.components import components
 from skyledger.llm.simhash import fingerprints, simhash_components
 
@@ -26,6 +28,8 @@ PAIRED, ROUNDS = 64, 10
 FEW, TILE, SAMPLED, COMMON = 1000, 1000, 4000, 200_000
 #: Keys that may be broadcast (16 bytes each and some overhead).
 SMALL = 1_000_000
+#: Odd factors that join word hashes to a shingle's and mix its bits.
+JOIN, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
 def bounded(df: DataFrame) -> DataFrame:
@@ -33,20 +37,55 @@ def bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL else df
 
 
+def shingle_hashes(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """``row, hash`` of every shingle of the lower-cased words, repeats included, in order of rows.
+
+    Each different word is hashed once, and a shingle's hash is made of its words'. Fewer words than a shingle has, or
+    none, are one shingle.
+    """
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.string())))
+    row = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy())
+    words = lists.flatten().dictionary_encode()
+    known = words.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False)
+    of_word = np.fromiter((xxhash.xxh64_intdigest(w) for w in known), np.uint64, len(known))
+    which = words.indices.to_numpy()
+    if len(known):  # an empty word stands before leading white space
+        real = np.fromiter((w != b"" for w in known), bool, len(known))[which]
+        row, which = row[real], which[real]
+    h, n = of_word[which], np.bincount(row, minlength=len(texts))
+    span = np.minimum(np.maximum(n, 1), width)
+    left = np.repeat(np.cumsum(n), n) - np.arange(len(h))  # words from here to the text's end
+    start = left >= span[row]
+    code = np.zeros(len(h), np.uint64)
+    for k in range(width):
+        used = np.minimum(np.arange(len(h)) + k, len(h) - 1)
+        code = np.where(k < span[row], code * JOIN + h[used], code) if (n < width).any() else code * JOIN + h[used]
+    empty = np.flatnonzero(n == 0)
+    code = np.append(code[start], np.zeros(len(empty), np.uint64))
+    code = (code ^ (code >> np.uint64(29))) * MIX
+    code ^= code >> np.uint64(32)
+    row = np.append(row[start], empty)
+    if len(empty):
+        order = np.argsort(row, kind="stable")
+        row, code = row[order], code[order]
+    return row, code.view(np.int64)
+
+
 def shingle_sets(docs: DataFrame, width: int, *keep: str) -> DataFrame:
-    """The kept columns and ``shingles``: sorted hashes of the distinct shingles of the lower-cased words."""
+    """The kept columns and ``shingles``: sorted hashes of the distinct shingles of each text."""
     schema = schema_with(docs, keep, "shingles array<long>")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        h = xxhash.xxh64_intdigest
-        for rows, texts in slices(batches):
-            sets = []
-            for t in texts:
-                w = t.lower().split()
-                found = {h(b" ".join(w[i : i + width])) for i in range(max(1, len(w) - width + 1))}
-                sets.append(np.sort(np.fromiter(found, np.uint64, len(found))).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(sets, pa.list_(pa.int64()))], names=[*rows.schema.names[:-1], "shingles"])
+        for rows, texts in runs(batches):
+            row, code = shingle_hashes(texts, width)
+            order = np.lexsort((code, row))
+            row, code = row[order], code[order]
+            new = np.append(True, (np.diff(row) != 0) | (np.diff(code) != 0)) if len(row) else np.zeros(0, bool)
+            ends = np.append(0, np.cumsum(np.bincount(row[new], minlength=len(texts))))
+            sets = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(code[new]))
+            yield pa.RecordBatch.from_arrays([*rows.columns[:-1], sets], names=[*rows.schema.names[:-1], "shingles"])
+        trim()
 
     return with_text(docs, *keep).mapInArrow(measure, schema)
 
@@ -57,77 +96,88 @@ def similarity(x: str, y: str) -> Column:
     return shared / (F.size(x) + F.size(y) - shared)
 
 
+@tidy
 def leader_links(sets: DataFrame, least: float) -> DataFrame:
-    """Edges ``a, b`` of texts near a leader of their family. They only save work: exact_links finds what they miss."""
-    near, edges = sets.where("family is not null"), []
+    """Edges ``a, b`` of texts near a leader of their family. They only save work: exact_links finds what they miss.
+
+    sets: ``id, family, doc_id, copy, shingles``.
+    """
+    near, edges = sets, []
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "copy")
     for _ in range(ROUNDS):
         leaders = durable(near.groupBy("family").agg(F.min_by(F.struct("id", "shingles"), order).alias("lead")))
         few = F.broadcast(leaders) if leaders.count() <= FEW else leaders
-        compared = durable(near.join(few, "family").withColumn("close", similarity("shingles", "lead.shingles") >= least).withColumn("head", F.col("lead.id")).drop("lead"))
+        close = similarity("shingles", "lead.shingles") >= least
+        compared = durable(near.join(few, "family").select("id", "family", close.alias("close"), F.col("lead.id").alias("head")))
         edges.append(compared.where("close and id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")))
-        left = compared.where("not close").drop("close", "head")
+        left = compared.where("not close").select("id", "family")
         many = durable(left.groupBy("family").agg(F.count("*").alias("n")).where(f"n > {PAIRED}").select("family"))
         if many.isEmpty():
             break
-        near = durable(left.join(bounded(many), "family", "left_semi"))
-    return durable(reduce(DataFrame.unionByName, edges))
+        near = sets.join(bounded(durable(left.join(bounded(many), "family", "left_semi").select("id"))), "id", "left_semi")
+    return reduce(DataFrame.unionByName, edges)
 
 
 def rooted(edges: DataFrame) -> DataFrame:
     """``id, root`` of texts with an edge."""
-    return durable(components(edges).select(F.col("node").alias("id"), "root"))
+    return components(edges).select(F.col("node").alias("id"), "root")
 
 
-def common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def common_shingles(texts: DataFrame, width: int, count: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that many texts of a sample share, sorted, and how common they are. They decide the order in which
     shingles are looked at, and so the work; any order finds the same pairs."""
-    part = max(1, sets.count() // SAMPLED)
-    shared = sets.where(F.pmod(F.xxhash64("id"), F.lit(part)) == 0).select(F.explode("shingles").alias("shingle")).groupBy("shingle").count()
+    part = max(1, count // SAMPLED)
+    sets = shingle_sets(texts.where(F.pmod(F.xxhash64("id"), F.lit(part)) == 0), width)
+    shared = sets.select(F.explode("shingles").alias("shingle")).groupBy("shingle").count()
     found = shared.where("count > 2").orderBy(F.desc("count"), "shingle").limit(COMMON).toPandas().sort_values("shingle")
     return found["shingle"].to_numpy(np.int64), np.log2(found["count"].to_numpy(np.float64)).astype(np.int64)
 
 
-def prefixes(sets: DataFrame, least: float) -> DataFrame:
-    """``shingle, id, root, n, at``: the first shingles of each set in one order for all, rare ones first; n: the set's size.
+def prefixes(texts: DataFrame, width: int, least: float, count: int) -> DataFrame:
+    """``shingle, id, spot, apart``: the first shingles of each text's set in one order for all, rare ones first.
 
-    Two sets of similarity ``least`` share one of the first n - ceil(least * n) + 1.
+    Two sets of similarity ``least`` share one of the first n - ceil(least * n) + 1. spot: n, the set's size, and the
+    shingle's place, 32 bits each; apart: the root's bits that are not the id's, which is 0 for most and so packs well.
     """
-    common = sets.sparkSession.sparkContext.broadcast(common_shingles(sets))
+    common = texts.sparkSession.sparkContext.broadcast(common_shingles(texts, width, count))  # COMMON bounds it
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         shared, level = common.value
-        for batch in batches:
-            sizes = np.diff(batch.column(2).offsets.to_numpy())
-            part = np.cumsum(sizes) // 500_000  # runs of rows of about so many shingles
-            for run in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(part)) + 1):
-                if not len(run):
-                    continue
-                rows = batch.slice(run[0], len(run))
-                n, flat = sizes[run], rows.column(2).flatten().to_numpy()
-                row, rank = np.repeat(np.arange(len(n)), n), np.zeros(len(flat), np.int64)
-                if len(shared):
-                    spot = np.minimum(np.searchsorted(shared, flat), len(shared) - 1)
-                    rank = np.where(shared[spot] == flat, level[spot], 0)
-                order = np.lexsort((flat, rank, row))
-                at = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
-                first = at < (n - np.ceil(least * n - 1e-9) + 1)[row]
-                of = row[first]
-                columns = [pa.array(flat[order][first]), rows.column(0).take(pa.array(of)), rows.column(1).take(pa.array(of)), pa.array(n[of], pa.int32()), pa.array(at[first], pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, names=["shingle", "id", "root", "n", "at"])
-
-    return sets.select("id", "root", "shingles").mapInArrow(cut, "shingle long, id long, root long, n int, at int")
-
-
-def candidates(sets: DataFrame, least: float) -> DataFrame:
+        for rows, texts in runs(batches):
+            row, code = shingle_hashes(texts, width)
+            rank = np.zeros(len(code), np.int64)
+            if len(shared):
+                near = np.minimum(np.searchsorted(shared, code), len(shared) - 1)
+                rank = np.where(shared[near] == code, level[near], 0)
+            order = np.lexsort((code, rank, row))
+            row, code = row[order], code[order]
+            new = np.append(True, (np.diff(row) != 0) | (np.diff(code) != 0)) if len(row) else np.zeros(0, bool)
+            row, code = row[new], code[new]
+            n = np.bincount(row, minlength=len(texts))
+            at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            first = at < (n - np.ceil(least * n - 1e-9) + 1)[row]
+            of = row[first]
+            spot = (n[of].astype(np.int64) << 32) | at[first]
+            columns = [pa.array(code[first]), rows.column(0).take(pa.array(of)), pa.array(spot), rows.column(1).take(pa.array(of))]
+            yield pa.RecordBatch.from_arrays(columns, names=["shingle", "id", "spot", "apart"])
+        trim()
+
+    return with_text(texts, "id", "apart").mapInArrow(cut, "shingle long, id long, spot long, apart long")
+
+
+@tidy
+def candidates(texts: DataFrame, width: int, least: float, count: int) -> DataFrame:
     """``a, b, shared``: all pairs of texts of different roots that can have a similarity of ``least``.
 
-    Sizes and places of a shared shingle bound the similarity. A shingle of very many texts is dealt to tiles.
+    texts: ``id, apart, text``. Prefixes are shuffled once, by shingle, and both uses of them read that. Sizes and places of
+    a shared shingle bound the similarity. A shingle of very many texts is dealt to tiles.
     """
-    first = durable(prefixes(sets, least))
-    keys = first.groupBy("shingle").agg(F.count("*").alias("texts"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    keys = durable(keys.select("shingle", F.ceil(F.col("texts") / TILE).cast("int").alias("tiles")))
-    hits = durable(first.join(bounded(keys), "shingle"))
+    first = prefixes(texts, width, least, count).repartition("shingle")
+    root = F.col("id").bitwiseXOR(F.col("apart"))
+    keys = first.groupBy("shingle").agg(F.count("*").alias("texts"), F.min(root).alias("low"), F.max(root).alias("high")).where("low <> high")
+    keys = keys.select("shingle", F.ceil(F.col("texts") / TILE).cast("int").alias("tiles"))
+    hits = durable(first.join(keys.hint("merge"), "shingle").select("shingle", "id", root.alias("root"), F.shiftright("spot", 32).cast("int").alias("n"), F.col("spot").bitwiseAND(0xFFFFFFFF).cast("int").alias("at"), "tiles"))
     one = hits.select("shingle", F.pmod(F.xxhash64("id"), "tiles").cast("int").alias("tile"), F.col("id").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("at").alias("i"))
     other = hits.select("shingle", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.col("id").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("at").alias("j"))
     able = f"1 + least(na - i - 1, nb - j - 1) >= {least / (1 + least)!r}D * (na + nb) - 1e-6D"
@@ -137,29 +187,43 @@ def candidates(sets: DataFrame, least: float) -> DataFrame:
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Those of the pairs that have a similarity of ``least`` or more."""
-    ids = durable(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
-    needed = durable(sets.select("id", "shingles").join(bounded(ids), "id", "left_semi"))
-    x, y = needed.toDF("a", "x"), needed.toDF("b", "y")
+    x, y = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     return durable(pairs.join(x, "a").join(y, "b").where(similarity("x", "y") >= least).select("a", "b"))
 
 
-def exact_links(sets: DataFrame, least: float) -> DataFrame:
+@tidy
+def exact_links(texts: DataFrame, width: int, least: float, count: int) -> DataFrame:
     """Edges ``a, b`` that connect, with those behind the roots, whatever a similarity of ``least`` connects.
 
-    The partner with most shingles in common is tried first; then all pairs whose ends are still apart.
+    texts: ``id, apart, text``. The partner with most shingles in common is tried first; then all pairs whose ends are still apart.
     """
-    pairs = durable(candidates(sets, least))
+    pairs = candidates(texts, width, least, count)
     both = pairs.select("a", "b", "shared").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared"))
-    best = both.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
-    sure = verified(durable(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), sets, least)
-    roots = sets.select("id", "root")
+    best = durable(both.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b")))
+    compared = texts.join(bounded(best.select(F.col("a").alias("id"))), "id", "left_semi")
+    sets = durable(shingle_sets(compared, width, "id", "apart"))
+    sure = verified(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, least)
+    roots = sets.select("id", F.col("id").bitwiseXOR(F.col("apart")).alias("root"))
     old = roots.toDF("a", "ra"), roots.toDF("b", "rb")
     merged = rooted(sure.join(old[0], "a").join(old[1], "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
     now = durable(roots.join(bounded(merged.toDF("root", "top")), "root", "left").select("id", F.coalesce("top", "root").alias("root")))
     apart = pairs.select("a", "b").join(now.toDF("a", "ra"), "a").join(now.toDF("b", "rb"), "b").where("ra <> rb").select("a", "b")
-    return sure.unionByName(verified(durable(apart), sets, least))
+    return sure.unionByName(verified(apart, sets, least))
+
+
+def numbered(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Add ``id``, a number of the text ``copy``, to docs: a hash, or another where two texts have one hash.
+
+    texts: ``copy`` of each different text. Of n texts about n * n / 2 ** 65 pairs share a hash: a short list at any size.
+    """
+    twins = texts.select("copy", F.xxhash64("copy").alias("h"))
+    twins = durable(twins.join(twins.groupBy("h").count().where("count > 1"), "h").select("copy", F.xxhash64("copy", F.lit("again")).alias("other")))
+    if twins.isEmpty():
+        return docs.withColumn("id", F.xxhash64("copy"))
+    return docs.join(bounded(twins), "copy", "left").withColumn("id", F.coalesce("other", F.xxhash64("copy"))).drop("other")
 
 
+@tidy
 def near_groups(docs: DataFrame, width: int = 5, least: float = 0.8, bits: int = 7) -> DataFrame:
     """``copy, first`` of texts that have near-duplicates: the key of a text and of its group's first text.
 
@@ -168,21 +232,25 @@ def near_groups(docs: DataFrame, width: int = 5, least: float = 0.8, bits: int =
     texts = durable(fingerprints(docs, 1, True, "doc_id", "copy")).groupBy("copy").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.count("*").alias("times"))
     found = durable(simhash_components(durable(texts), bits).select("copy", "doc_id", F.col("root").alias("family"), "times"))
     many = found.groupBy("family").agg(F.count("*").alias("n")).where("n > 1")
-    members = durable(found.join(many, "family").select("copy", "family"))
+    members = durable(numbered(found.join(many, "family").select("copy", "family"), found))
     # each text once: most rows are no copies, so that the list of those that are is short beside the texts
     repeated = durable(found.where("times > 1").select("copy", F.col("doc_id").alias("_own"), F.lit(True).alias("_again")))
     told = docs.join(bounded(repeated), "copy", "left")
-    again = told.where(F.col("_again") & F.col("_own").eqNullSafe(F.col("doc_id"))).dropDuplicates(["copy"])
-    once = told.where("_again is null").unionByName(again)
-    sets = durable(shingle_sets(once, width, "copy", "doc_id").withColumn("id", F.monotonically_increasing_id()))
-    sets = sets.join(bounded(members), "copy", "left")
+    again = durable(told.where(F.col("_again") & F.col("_own").eqNullSafe(F.col("doc_id"))).dropDuplicates(["copy"]))
+    once = numbered(told.where("_again is null").unionByName(again).select("copy", "doc_id", "text"), found)
+    sets = durable(shingle_sets(once.join(bounded(members.select("copy", "family")), "copy"), width, "id", "family", "doc_id", "copy"))
     close = leader_links(sets, least)
-    sets = sets.join(bounded(rooted(close)), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    linked = rooted(close.unionByName(exact_links(sets, least)))
-    named = durable(sets.select("id", "copy", "doc_id").join(bounded(linked), "id"))
+    told_roots = bounded(rooted(close).select("id", F.col("root").bitwiseXOR(F.col("id")).alias("apart")))
+    rest = once.join(told_roots, "id", "left").select("id", F.coalesce("apart", F.lit(0)).cast("long").alias("apart"), "text")
+    linked = rooted(close.unionByName(exact_links(rest, width, least, found.count())))
+    named = durable(numbered(found.select("copy", "doc_id"), found).join(bounded(linked), "id"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "copy")
     first = named.groupBy("root").agg(F.min_by("copy", order).alias("first"))
-    return durable(named.join(first, "root").select("copy", "first"))
+    return named.join(first, "root").select("copy", "first")
+
+
+def row_key() -> Column:
+    return F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_copy")
 
 
 def keep_one(docs: DataFrame, width: int = 5, least: float = 0.8, bits: int = 7) -> DataFrame:
@@ -194,17 +262,18 @@ def keep_one(docs: DataFrame, width: int = 5, least: float = 0.8, bits: int = 7)
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select("doc_id", F.md5(text.cast("binary")).alias("_copy"), F.struct("*").alias("_all"))
     near = near_groups(docs.select("doc_id", text.alias("text"), F.md5(text.cast("binary")).alias("copy")), width, least, bits)
-    rows = durable(keyed.select("doc_id", "_copy"))
-    grouped = rows.join(near.withColumnRenamed("copy", "_copy"), "_copy", "left").withColumn("group", F.coalesce("first", "_copy"))
-    best = grouped.groupBy("group").agg(F.min_by(F.struct("doc_id", "_copy"), F.struct(F.col("doc_id").isNull(), "doc_id", "_copy")).alias("best"), F.count("*").alias("n"))
-    # what goes is told by key; most rows are no copies, so that the list is short beside the texts
-    alone = grouped.join(best.where("n > 1"), "group").select("doc_id", "_copy", "best").distinct()
-    stays = F.col("best.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("best._copy") == F.col("_copy"))
-    listed = durable(alone.select(row_key().alias("_key"), stays.alias("_stays")))
+    listed = stays_or_goes(keyed.select("doc_id", "_copy"), near)
     marked = keyed.withColumn("_key", row_key()).join(bounded(listed), "_key", "left")
     firsts = marked.where("_stays").dropDuplicates(["_key"])
     return marked.where("_stays is null").unionByName(firsts).select("_all.*")
 
 
-def row_key():
-    return F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_copy")
+@tidy
+def stays_or_goes(keyed: DataFrame, near: DataFrame) -> DataFrame:
+    """``_key, _stays`` of rows whose group has several; most rows are no copies, so that the list is short beside the texts."""
+    rows = durable(keyed)
+    grouped = rows.join(near.withColumnRenamed("copy", "_copy"), "_copy", "left").withColumn("group", F.coalesce("first", "_copy"))
+    best = grouped.groupBy("group").agg(F.min_by(F.struct("doc_id", "_copy"), F.struct(F.col("doc_id").isNull(), "doc_id", "_copy")).alias("best"), F.count("*").alias("n"))
+    alone = grouped.join(best.where("n > 1"), "group").select("doc_id", "_copy", "best").distinct()
+    stays = F.col("best.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("best._copy") == F.col("_copy"))
+    return alone.select(row_key().alias("_key"), stays.alias("_stays"))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import durable, release, schema_with, slices, with_text
+from skyledger.llm.common import durable, release, schema_with, slices, tidy, trim, with_text
 from skyledger.llm.components import components
 
 #: Fingerprints that a leaf should hold, and how many of a leaf one task compares at most.
@@ -56,6 +56,7 @@ def fingerprints(docs: DataFrame, width: int = 4, distinct: bool = False, *keep:
         for rows, texts in slices(batches):
             of = {t: fingerprint(t.lower().split(), width, distinct) for t in set(texts)}  # bytes: A-Z and ASCII white space alone
             yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array([of[t] for t in texts], pa.int64())], names=[*rows.schema.names[:-1], "fp"])
+        trim()
 
     return with_text(docs, *keep).mapInArrow(measure, schema)
 
@@ -147,6 +148,7 @@ def link_tile(rows: pd.DataFrame, bits: int) -> pd.DataFrame:
     return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
 
 
+@tidy
 def links(fps: DataFrame, bits: int, leaf_rows: int = LEAF_ROWS, tile_rows: int = TILE_ROWS) -> DataFrame:
     """Edges ``a, b`` that span, exactly, the sets linked at ``bits`` or fewer differing bits.
 
