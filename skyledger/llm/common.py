@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 
 #: Rows of an Arrow batch are worked on in slices of about this many text bytes.
 SLICE_BYTES = 2 << 20
+#: The session's bound on the bytes of an Arrow batch, and what operators on whole texts set it to.
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 #: What a Python worker keeps from task to task, by name.
 CACHES: dict = {}
@@ -99,7 +101,8 @@ def crc32_mod(column, n: int):
 
 
 def with_text(docs: DataFrame, *keep: str) -> DataFrame:
-    """The kept columns and, last, the text as UTF-8 bytes in ``_text``; a null text is empty."""
+    """The kept columns and, last, the text as UTF-8 bytes in ``_text``; a null text is empty. Batches that go to Python are cut by bytes."""
+    docs.sparkSession.conf.set(BATCH_CONF, str(BATCH_BYTES))
     return docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("_text"))
 
 

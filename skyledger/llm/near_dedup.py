@@ -170,19 +170,20 @@ def prefixes(texts: DataFrame, width: int, least: float, count: int) -> DataFram
 def candidates(texts: DataFrame, width: int, least: float, count: int) -> DataFrame:
     """``a, b, shared``: all pairs of texts of different roots that can have a similarity of ``least``.
 
-    texts: ``id, apart, text``. Prefixes are shuffled once, by shingle, and both uses of them read that. Sizes and places of
-    a shared shingle bound the similarity. A shingle of very many texts is dealt to tiles.
+    texts: ``id, apart, text``. Prefixes are shuffled once, by shingle, and both uses of them read that. Sizes bound the
+    similarity, and so do the shared shingles of both prefixes with what can follow the last of them. A shingle of very many texts is dealt to tiles.
     """
     first = prefixes(texts, width, least, count).repartition("shingle")
     root = F.col("id").bitwiseXOR(F.col("apart"))
-    keys = first.groupBy("shingle").agg(F.count("*").alias("texts"), F.min(root).alias("low"), F.max(root).alias("high")).where("low <> high")
-    keys = keys.select("shingle", F.ceil(F.col("texts") / TILE).cast("int").alias("tiles"))
+    keys = first.groupBy("shingle").agg(F.count("*").alias("texts"), F.min(root).alias("low"), F.max(root).alias("high"), F.max("spot").alias("spot"))
+    # spot is asked for here as well so that both uses of the shuffle read the same columns, and it is made once
+    keys = keys.where("low <> high and spot >= 0").select("shingle", F.ceil(F.col("texts") / TILE).cast("int").alias("tiles"))
     hits = durable(first.join(keys.hint("merge"), "shingle").select("shingle", "id", root.alias("root"), F.shiftright("spot", 32).cast("int").alias("n"), F.col("spot").bitwiseAND(0xFFFFFFFF).cast("int").alias("at"), "tiles"))
     one = hits.select("shingle", F.pmod(F.xxhash64("id"), "tiles").cast("int").alias("tile"), F.col("id").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("at").alias("i"))
     other = hits.select("shingle", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.col("id").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("at").alias("j"))
-    able = f"1 + least(na - i - 1, nb - j - 1) >= {least / (1 + least)!r}D * (na + nb) - 1e-6D"
-    pairs = one.join(other, ["shingle", "tile"]).where(f"a < b and ra <> rb and least(na, nb) >= {least!r}D * greatest(na, nb) - 1e-6D and {able}")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("shared"))
+    met = one.join(other, ["shingle", "tile"]).where(f"a < b and ra <> rb and least(na, nb) >= {least!r}D * greatest(na, nb) - 1e-6D")
+    pairs = met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("i").alias("i"), F.max("j").alias("j"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    return pairs.where(f"shared + least(na - i - 1, nb - j - 1) >= {least / (1 + least)!r}D * (na + nb) - 1e-6D").select("a", "b", "shared")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
