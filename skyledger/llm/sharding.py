@@ -1,26 +1,30 @@
 """Sharding by balanced label propagation: linked documents move to their neighbours' shards under quotas.
 
-Links are equal texts and equal long lines. Linked documents start in the order of their first link, cut into
-shards of equal bytes, so that few groups are cut at all; then rounds of label propagation move
-documents to the shard in which most of their neighbours are, as far as quotas allow. Documents
-without links fill the shards up to equal sizes.
+Documents of equal texts are one node and stay together; links are equal long lines. The few nodes that are large beside a
+shard are placed first, and only one that fits no shard is cut. Linked nodes start in the order of their first link, cut into
+shards of equal bytes; then rounds of label propagation move nodes to the shard in which most of
+their neighbours are, as far as quotas allow, until hardly any moves. Nodes without links fill the shards up to equal sizes.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import durable
+from skyledger.llm.common import durable, tidy
 
 #: Rows that one task numbers or sums at once, about.
 BUCKET_ROWS = 20_000
 #: Shorter lines are no links.
 LINE_CHARS = 60
-#: Weight of a shared line beside an equal text's 1.
-LINE_WEIGHT = 0.25
+#: Nodes of more than this part of a shard are placed one by one: at most 1 / LARGE of them a shard.
+LARGE = 1 / 20
+#: Propagation ends after so many rounds, or when a round moves less than this part of the linked bytes.
+ROUNDS, SETTLED = 8, 0.005
 
 
 def choose(index: Column, values: list) -> Column:
@@ -56,9 +60,9 @@ def cut(position: Column, shares: np.ndarray) -> Column:
     return out
 
 
-def first_shards(linked: DataFrame, n: int, total: float, shards: int) -> DataFrame:
-    """``rid, size, shard``: linked documents in the order of their first link, cut by bytes. A link with very
-    many documents is dealt over several buckets, in which its documents stay neighbours."""
+def first_shards(linked: DataFrame, n: int, shares: np.ndarray) -> DataFrame:
+    """``rid, size, shard``: linked nodes in the order of their first link, cut by bytes into ``shares``. A link with very
+    many nodes is dealt over several buckets, in which its nodes stay neighbours."""
     buckets = max(1, -(-n // BUCKET_ROWS))
     hot = durable(linked.groupBy("first").agg(F.count("*").alias("n")).where(f"n > {BUCKET_ROWS}").select("first", F.ceil(F.col("n") / BUCKET_ROWS).alias("pieces")))
     marked = linked.join(F.broadcast(hot) if hot.count() <= 100_000 else hot, "first", "left")
@@ -72,7 +76,24 @@ def first_shards(linked: DataFrame, n: int, total: float, shards: int) -> DataFr
     starts = sums.withColumn("_start", F.sum("_sum").over(W.orderBy("k0", "k1", "k2").rowsBetween(W.unboundedPreceding, 0)) - F.col("_sum")).drop("_sum")
     summed = marked.withColumn("_in", inside).join(starts, ["k0", "k1", "k2"])
     middle = F.col("_start") + F.col("_in") - F.col("size") / 2
-    return durable(summed.select("rid", "size", F.least(F.floor(middle * shards / F.lit(max(1.0, total))), F.lit(shards - 1)).cast("int").alias("shard")))
+    return durable(summed.select("rid", "size", cut(middle, shares).alias("shard")))
+
+
+def place_large(large: list, loads: np.ndarray, share: float) -> list[tuple[int, int, float]]:
+    """``(rid, shard, until)`` of nodes that are large beside a shard, the largest first, each into the emptiest shard; loads
+    grow. A node beyond the room there is cut: rows whose place in 0..1 lies below ``until`` (and not below an earlier one) go to the shard."""
+    found = []
+    for r in sorted(large, key=lambda r: (-r.size, r.rid)):
+        k = int(np.argmin(loads))
+        if loads[k] + r.size <= share * (1 + LARGE):
+            loads[k] += r.size
+            found.append((r.rid, k, 1.0))
+            continue
+        parts = water(loads, float(r.size))
+        loads += parts
+        filled, ends = np.flatnonzero(parts > 0), np.cumsum(parts) / parts.sum()
+        found += [(r.rid, int(k), 1.0 if k == filled[-1] else float(ends[k])) for k in filled]
+    return found
 
 
 def allowed_moves(flows: list, loads: np.ndarray, capacity: float) -> list[tuple[int, int, int, int]]:
@@ -104,11 +125,11 @@ def allowed_moves(flows: list, loads: np.ndarray, capacity: float) -> list[tuple
     return found
 
 
-def propagate(state: DataFrame, links: DataFrame, shards: int, capacity: float, rounds: int = 3, parts: int = 64) -> DataFrame:
-    """Rounds of label propagation over ``rid, size, shard`` and ``rid, link, weight``.
+def propagate(state: DataFrame, links: DataFrame, shards: int, capacity: float, fixed: np.ndarray | None = None, rounds: int = ROUNDS, parts: int = 64) -> DataFrame:
+    """Rounds of label propagation over ``rid, size, shard`` and ``rid, link, weight``. fixed: what shards hold besides.
 
-    A link's documents are counted by shard (merged before the shuffle, eight numbers a link), and
-    those counts go back to the documents by an equi-join, which Spark splits where a link is hot.
+    A link's nodes are counted by shard (merged before the shuffle, eight numbers a link), and
+    those counts go back to the nodes by an equi-join, which Spark splits where a link is hot.
     """
     spark = state.sparkSession
     here = [F.sum(F.when(F.col("shard") == k, 1).otherwise(0)).alias(f"c{k}") for k in range(shards)]
@@ -122,7 +143,7 @@ def propagate(state: DataFrame, links: DataFrame, shards: int, capacity: float,
         gain = F.array_max(others) - F.element_at(vote, F.col("shard") + 1) + F.col("self")
         part = F.pmod(F.xxhash64("rid", F.lit(turn)), F.lit(parts)).cast("int")
         seen = durable(seen.select("rid", "size", "shard", "to", F.least(F.ceil(gain * 16), F.lit(64)).cast("int").alias("level"), part.alias("part")))
-        loads = np.zeros(shards)
+        loads = np.zeros(shards) if fixed is None else fixed.copy()
         for r in seen.groupBy("shard").agg(F.sum("size").alias("bytes")).collect():
             loads[r.shard] = r.bytes
         # at most shards x shards x 65 x parts rows
@@ -133,12 +154,16 @@ def propagate(state: DataFrame, links: DataFrame, shards: int, capacity: float,
         bounds = spark.createDataFrame(edges, "shard int, to int, edge int, before int")
         may = (F.col("level") > 0) & ((F.col("level") > F.col("edge")) | ((F.col("level") == F.col("edge")) & (F.col("part") < F.col("before"))))
         moved = seen.join(F.broadcast(bounds), ["shard", "to"], "left")  # shards x shards rows
-        state = durable(moved.select("rid", "size", F.when(F.coalesce(may, F.lit(False)), F.col("to")).otherwise(F.col("shard")).alias("shard")))
+        goes = F.coalesce(may, F.lit(False))
+        moved = durable(moved.select("rid", "size", F.when(goes, F.col("to")).otherwise(F.col("shard")).alias("shard"), goes.alias("moved")))
+        state, done = moved.drop("moved"), moved.agg(F.sum(F.when(F.col("moved"), F.col("size"))).alias("moved"), F.sum("size").alias("all")).first()
+        if (done.moved or 0) < SETTLED * done["all"]:
+            break
     return state
 
 
 def fill(alone: DataFrame, n: int, loads: np.ndarray, total: float) -> list[DataFrame]:
-    """Shards for documents without links, ``rid, shard``: large ones first and small ones last, each tier cut
+    """Shards for nodes without links, ``rid, shard``: large ones first and small ones last, each tier cut
     into intervals that bring the shards to one level."""
     buckets, average, out = max(1, -(-n // BUCKET_ROWS)), total / len(loads), []
     tiers = [(average / 20, np.inf), (average / 400, average / 20), (average / 8000, average / 400), (-1.0, average / 8000)]
@@ -155,46 +180,58 @@ def fill(alone: DataFrame, n: int, loads: np.ndarray, total: float) -> list[Data
     return out
 
 
+@tidy
+def node_shards(rows: DataFrame, shards: int) -> DataFrame:
+    """``whole, shard, until`` of every node: equal texts. until: 1, or, of a node that is cut, the end of the shard's part of it.
+
+    rows: ``size, whole, lines``.
+    """
+    nodes = durable(rows.groupBy(F.col("whole").alias("rid")).agg(F.sum("size").alias("size"), F.first("lines").alias("lines")))
+    facts = nodes.agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).first()
+    share, loads = float(facts.bytes or 0) / shards, np.zeros(shards)
+    placed_first = place_large(nodes.where(F.col("size") > share * LARGE).select("rid", "size").collect(), loads, share)  # shards / LARGE nodes at most
+    nodes = nodes.where(F.col("size") <= share * LARGE)
+    every = nodes.select("rid", "size", F.explode("lines").alias("link"))
+    shared = every.groupBy("link").agg(F.count("*").alias("members")).where("members > 1").select("link")
+    links = durable(every.join(shared, "link", "left_semi"))
+    linked = links.groupBy("rid").agg(F.first("size").alias("size"), F.max("link").alias("first"))
+    sums, parts = linked.agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).first(), []
+    if sums.n:
+        state = first_shards(linked, sums.n, water(loads, float(sums.bytes)))
+        state = propagate(state, links.select("rid", "link", F.lit(1.0).alias("weight")), shards, share, loads)
+        for r in state.groupBy("shard").agg(F.sum("size").alias("bytes")).collect():
+            loads[r.shard] += r.bytes
+        parts.append(state.select("rid", "shard"))
+    alone = durable(nodes.select("rid", "size").join(links.select("rid"), "rid", "left_anti"))
+    parts += fill(alone, facts.n - (sums.n or 0), loads, share * shards)
+    large = rows.sparkSession.createDataFrame(placed_first, "whole long, shard int, until double")
+    return reduce(DataFrame.unionByName, [large, *(p.select(F.col("rid").alias("whole"), "shard", F.lit(1.0).alias("until")) for p in parts)])
+
+
 def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` of every row; the law is ``bytes``.
 
-    Size is the text's UTF-8 bytes and 1; a null text counts as empty, with crc32 0. Equal texts are linked, and so are
-    equal lines of ``LINE_CHARS`` or more. A group larger than a shard is cut, into as few as fit. Slots number a
+    Size is the text's UTF-8 bytes and 1; a null text counts as empty, with crc32 0. Equal texts are one node, and nodes are linked by
+    equal lines of ``LINE_CHARS`` or more. Equal texts stay in one shard, if they fit one; a group larger than a shard is cut. Slots number a
     shard's rows from 0 without gaps. Repeated rows get a place each. grown_shard is null: this law makes no
     promise about one more shard.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.transform(F.filter(F.split(text, "\n"), lambda x: F.length(x) >= LINE_CHARS), lambda x: F.xxhash64(x))
-    nodes = durable(
+    rows = durable(
         docs.select(
             F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text, F.lit("whole")).alias("whole"), F.array_distinct(lines).alias("lines"),
         )
     )
-    facts = nodes.agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).first()
-    total = float(facts.bytes or 0)
-    every = nodes.select("rid", "size", F.explode(F.concat(F.array(F.struct(F.col("whole").alias("link"), F.lit(1.0).alias("weight"))), F.transform("lines", lambda x: F.struct(x.alias("link"), F.lit(LINE_WEIGHT).alias("weight"))))).alias("l"))
-    every = every.select("rid", "size", "l.link", "l.weight")
-    shared = every.groupBy("link").agg(F.count("*").alias("members")).where("members > 1").select("link")
-    links = durable(every.join(shared, "link", "left_semi"))
-    linked = links.groupBy("rid").agg(F.first("size").alias("size"), F.max_by("link", F.struct("weight", "link")).alias("first"))
-    sums = linked.agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).first()
-    loads, parts = np.zeros(shards), []
-    if sums.n:
-        state = first_shards(linked, sums.n, float(sums.bytes), shards)
-        state = propagate(state, links.select("rid", "link", "weight"), shards, total / shards)
-        for r in state.groupBy("shard").agg(F.sum("size").alias("bytes")).collect():
-            loads[r.shard] = r.bytes
-        parts.append(state.select("rid", "shard"))
-    alone = durable(nodes.select("rid", "size").join(links.select("rid"), "rid", "left_anti"))
-    parts += fill(alone, facts.n - (sums.n or 0), loads, total)
-    if not parts:
-        return nodes.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
-    dealt = parts[0]
-    for p in parts[1:]:
-        dealt = dealt.unionByName(p)
-    buckets = max(1, -(-facts.n // BUCKET_ROWS))
-    joined = nodes.select("rid", "doc_id", "size", "text_crc32").join(dealt, "rid").withColumn("bucket", F.pmod(F.xxhash64("rid"), F.lit(buckets)))
+    n = rows.count()
+    dealt = node_shards(rows, shards)
+    cut_nodes = durable(dealt.groupBy("whole").agg(F.array_sort(F.collect_list(F.struct("until", "shard"))).alias("ways")))  # shards entries at most
+    place = F.pmod(F.xxhash64("rid", F.lit("place")), F.lit(1 << 30)) / float(1 << 30)
+    way = F.filter("ways", lambda w: place < w["until"])[0]["shard"]
+    buckets = max(1, -(-n // BUCKET_ROWS))
+    joined = rows.select("rid", "doc_id", "size", "text_crc32", "whole").join(cut_nodes, "whole").select("rid", "doc_id", "size", "text_crc32", way.alias("shard"), F.pmod(F.xxhash64("rid"), F.lit(buckets)).alias("bucket"))
+    joined = durable(joined)
     counts = joined.groupBy("shard", "bucket").agg(F.count("*").alias("rows"))
     starts = counts.withColumn("start", F.sum("rows").over(W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)) - F.col("rows")).drop("rows")
     numbered = joined.withColumn("_in", F.row_number().over(W.partitionBy("shard", "bucket").orderBy("rid")) - 1).join(starts, ["shard", "bucket"])
