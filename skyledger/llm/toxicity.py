@@ -27,6 +27,8 @@ SECOND = frozenset("you your yours yourself u ur du dich dir dein deine tu te to
 LEET = str.maketrans("013457@$!", "oieastasi")
 #: The lexicon keeps at most so many words and stems; a stem is a word's first letters.
 LEXICON_WORDS, STEM = 4096, 5
+#: Documents of each kind that trees and calibration need to learn apart.
+FEW = 50
 EDGE = "".join(map(chr, range(33, 48))) + ":;<=>?[\\]^_`{|}~\"'«»“”¡¿…"
 
 
@@ -154,8 +156,8 @@ def vectors(df: DataFrame) -> DataFrame:
 
 class ToxicityModel:
     """Lexicon, trees and calibration. Labels of documents whose crc32(doc_id) is 0 modulo 5 are never
-    looked at; 1 and 2 give the lexicon, 3 and 4 the trees and the calibration, so that the trees
-    see lexicon features of documents from which the lexicon did not learn."""
+    looked at; 1 and 2 give the lexicon, 3 the trees and 4 the calibration, so that each sees documents
+    from which those before it did not learn. With fewer than ``FEW`` documents of a kind in 3 or 4, both learn from both."""
 
     def __init__(self, docs: DataFrame, labels: DataFrame, trees: int = 20, depth: int = 3, fit_rows: int = 150_000):
         """fit_rows: at most so many labelled documents (those of least hash: an even, repeatable choice)
@@ -166,19 +168,21 @@ class ToxicityModel:
         rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
         learning = with_text(rows.where("part <= 2"), "toxic")
         self.lexicon = learn_lexicon(learning)
-        fit = with_features(rows.where("part >= 3"), self.lexicon, "doc_id", "toxic")
-        fit = durable(fit)
-        counts = {r.toxic: r["count"] for r in fit.groupBy("toxic").count().collect()}
-        self.share = counts.get(1, 0) / max(1, sum(counts.values()))
+        fit = durable(with_features(rows.where("part >= 3"), self.lexicon, "toxic", "part"))
+        counts = {(r.toxic, r.part): r["count"] for r in fit.groupBy("toxic", "part").count().collect()}
+        self.share = sum(n for (toxic, _), n in counts.items() if toxic == 1) / max(1, sum(counts.values()))
         self.trees = self.calibration = None
         if 0 < self.share < 1:
-            data = vectors(fit).withColumn("label", F.col("toxic").cast("double")).select("vector", "label")
+            apart = all(counts.get((toxic, part), 0) >= FEW for toxic in (0, 1) for part in (3, 4))
+            data = vectors(fit).withColumn("label", F.col("toxic").cast("double")).select("vector", "label", "part")
             learner = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.3, maxBins=64, seed=7)
-            data = data.repartition(6).cache()
-            self.trees = learner.fit(data)
-            raised = self.trees.transform(data).select(vector_to_array("probability")[1].alias("raw"), "label")
-            self.calibration = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="level").fit(raised)
-            data.unpersist()
+            learnt = (data.where("part = 3") if apart else data).select("vector", "label").repartition(6).cache()
+            self.trees = learner.fit(learnt)
+            learnt.unpersist()
+            raised = self.trees.transform(data.where("part = 4") if apart else data).select(vector_to_array("probability")[1].alias("raw"), "label")
+            # equal raw scores are one row with a weight, so that they don't meet in one task
+            merged = raised.groupBy("raw").agg(F.avg("label").alias("label"), F.count("*").cast("double").alias("weight"))
+            self.calibration = IsotonicRegression(featuresCol="raw", labelCol="label", weightCol="weight", predictionCol="level").fit(merged)
 
     def score(self, docs: DataFrame, *keep: str) -> DataFrame:
         """The kept columns and ``score, predicted``. The calibrated level leads; the trees' own order
