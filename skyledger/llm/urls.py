@@ -10,7 +10,8 @@ from skyledger.llm.common import durable
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, rule): a rule is a host and a path prefix, written together.
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
-#: Parts of host names (between dots and hyphens) that make a host a blocked seed.
+#: Labels of a name that may be a site of its own, and parts of host names (between dots and hyphens) that make a host a blocked seed.
+SITE_LABELS = 3
 BLOCKED_PARTS = "adult ads bet bets casino pills porn poker spam track tracker viagra xxx".split()
 
 
@@ -43,6 +44,17 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return found.where("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
+def site_edges(hosts: DataFrame) -> DataFrame:
+    """``src, dst, weight`` between each host and the one it is a subdomain of, both ways: parts of one site.
+
+    A site has at least ``SITE_LABELS`` labels in its name; shorter ones hold the sites of many. The parent need not have pages: then it
+    links its subdomains with each other.
+    """
+    labels = F.split("host", "[.]")
+    up = hosts.where(F.size(labels) > SITE_LABELS).select(F.col("host").alias("src"), F.array_join(F.slice(labels, 2, F.size(labels) - 1), ".").alias("dst"))
+    return up.unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().withColumn("weight", F.lit(1).cast("long"))
+
+
 def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = 12, damping: float = 0.85, pull: bool = False) -> DataFrame:
     """Personalised PageRank of two kinds at once.
 
@@ -70,7 +82,7 @@ def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = 12, damping: flo
 
 
 def host_verdicts(pages: DataFrame, rules: list[tuple[str, str]], blocked_parts: list[str], least: float = 0.02) -> DataFrame:
-    """``host, blocked`` of every host among the pages.
+    """``host, blocked`` of every host among the pages. Edges are links between hosts, and those of a host with its subdomains.
 
     Trusted seeds are hosts with a page that an allow rule fits, blocked seeds hosts whose name has
     a blocked part or all of whose pages a rule blocks (a rule may be about some paths of a host alone). A host is blocked if its distrust exceeds both ``least`` and its trust.
@@ -83,7 +95,8 @@ def host_verdicts(pages: DataFrame, rules: list[tuple[str, str]], blocked_parts:
     seeds = hosts.where(F.col("trusted") & ~bad).select(F.lit("trust").alias("kind"), "host", F.lit(1.0).alias("seed")).unionByName(
         hosts.where(bad).select(F.lit("distrust").alias("kind"), "host", F.lit(1.0).alias("seed"))
     )
-    rank = propagate(seeds, host_edges(pages), pull=True).groupBy("host").agg(
+    edges = host_edges(pages).unionByName(site_edges(hosts)).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    rank = propagate(seeds, edges, pull=True).groupBy("host").agg(
         F.coalesce(F.sum(F.when(F.col("kind") == "trust", F.col("rank"))), F.lit(0.0)).alias("trust"),
         F.coalesce(F.sum(F.when(F.col("kind") == "distrust", F.col("rank"))), F.lit(0.0)).alias("distrust"),
     )
