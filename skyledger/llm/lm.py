@@ -4,7 +4,7 @@ A word is predicted in two steps: its unit, and the word inside the unit. Units
 words, and classes of all other words by their last bytes. The log-bilinear model gives the units' probabilities from
 the two units before; inside a class, words follow their counts. All training texts are read: the
 numbers of all runs of three units (a table whose size is bounded by the units, not the corpus) are what the
-model is trained on, and word counts are exact.
+model is trained on, every one with its whole weight, and word counts are exact.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.llm.common import crc32_mod, durable, schema_with, slices, with_text
+from skyledger.llm.common import crc32_mod, durable, release, schema_with, slices, trim, with_text
 
 #: Units that are words (the end among them) and classes (the last is for all other endings).
 WORD_UNITS, CLASSES = 96, 32
@@ -35,6 +35,7 @@ def word_counts(texts: DataFrame, most: int = 300_000) -> DataFrame:
     """``word binary, n``: words are counted in the task (in bounded tables), then by Spark."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held: Counter = Counter()
 
         def out():
@@ -131,53 +132,59 @@ def runs_of_three(texts: DataFrame, vocabulary) -> DataFrame:
 
 
 class LogBilinear:
-    """score(unit | context) = (C1 r1 + C2 r2) . q + b, with vectors r of the two context units and q of the unit."""
+    """score(unit | context) = (C1 r1 + C2 r2) . q + b, with vectors r of the two context units and q of the unit.
 
-    def __init__(self, code: np.ndarray, n: np.ndarray, dim: int = 32, steps: int = 600, batch: int = 2048, noise: int = 96, rate: float = 0.02, seed: int = 11):
+    Trained by noise-contrastive estimation with every counted run and its whole weight: a step takes the loss of all contexts
+    and units at once, each true unit by its count and each noise unit by its expected number, so that nothing is drawn, and the work depends on
+    the units alone.
+    """
+
+    def __init__(self, code: np.ndarray, n: np.ndarray, dim: int = 32, steps: int = 300, noise: int = 24, rate: float = 0.05, seed: int = 11):
         rng = np.random.default_rng(seed)
-        self.r = rng.normal(0, 0.1, (2, UNITS + 1, dim))
-        self.c = np.stack([np.eye(dim), np.eye(dim)])
-        self.q = rng.normal(0, 0.1, (UNITS, dim))
+        self.r = rng.normal(0, 0.1, (2, UNITS + 1, dim)).astype(np.float32)
+        self.c = np.stack([np.eye(dim), np.eye(dim)]).astype(np.float32)
+        self.q = rng.normal(0, 0.1, (UNITS, dim)).astype(np.float32)
         base = np.bincount(code % UNITS, n, UNITS) + 1.0 if len(code) else np.ones(UNITS)
         base = base / base.sum()
-        self.b = np.log(base)
+        self.b = np.log(base).astype(np.float32)
         if not len(code):
             return
-        cumulative = np.cumsum(n) / n.sum()
-        names = ["r", "c", "q", "b"]
-        first = {k: np.zeros_like(getattr(self, k)) for k in names}
-        second = {k: np.zeros_like(getattr(self, k)) for k in names}
+        context, unit = np.divmod(code, UNITS)
+        seen, row = np.unique(context, return_inverse=True)  # contexts that occur
+        real = np.zeros((len(seen), UNITS), np.float32)
+        np.add.at(real, (row, unit), n / n.sum())
+        fake = noise * real.sum(1, keepdims=True) * base.astype(np.float32)
+        two, one = np.divmod(seen, UNITS + 1)
+        shift, names = np.log(noise * base).astype(np.float32), ["r", "c", "q", "b"]
+        first, second = ({k: np.zeros_like(getattr(self, k)) for k in names} for _ in range(2))
         for step in range(1, steps + 1):
-            drawn = code[np.minimum(np.searchsorted(cumulative, rng.random(batch)), len(code) - 1)]
-            grads = self.gradient(drawn // UNITS // (UNITS + 1), drawn // UNITS % (UNITS + 1), drawn % UNITS, rng.choice(UNITS, noise, p=base), base)
+            grads = self.gradient(two, one, real, fake, shift)
             lr = rate * min(1.0, 2 * (1 - step / (steps + 1)))
             for k in names:  # Adam
                 first[k] += 0.1 * (grads[k] - first[k])
                 second[k] += 0.001 * (grads[k] ** 2 - second[k])
                 getattr(self, k)[...] -= lr * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
 
-    def gradient(self, two: np.ndarray, one: np.ndarray, target: np.ndarray, noise: np.ndarray, base: np.ndarray) -> dict:
-        """Of the NCE loss: the target against noise units drawn by frequency, which the batch shares."""
-        r1, r2 = self.r[0][one], self.r[1][two]
-        h = r1 @ self.c[0] + r2 @ self.c[1]
-        k = len(noise)
-        real = (h * self.q[target]).sum(1) + self.b[target] - np.log(k * base[target])
-        fake = h @ self.q[noise].T + self.b[noise] - np.log(k * base[noise])
-        dreal = (-1 / (1 + np.exp(np.clip(real, -30, 30)))) / len(target)
-        dfake = (1 / (1 + np.exp(-np.clip(fake, -30, 30)))) / len(target)
-        dh = dreal[:, None] * self.q[target] + dfake @ self.q[noise]
-        drawn, before = self.hot(noise, UNITS), [self.hot(x, UNITS + 1) for x in (one, two)]
-        return {
-            "q": self.hot(target, UNITS).T @ (dreal[:, None] * h) + drawn.T @ (dfake.T @ h),
-            "b": np.bincount(target, dreal, UNITS) + np.bincount(noise, dfake.sum(0), UNITS),
-            "c": np.stack([r1.T @ dh, r2.T @ dh]),
-            "r": np.stack([x.T @ (dh @ c.T) for x, c in zip(before, self.c, strict=True)]),
-        }
-
-    @staticmethod
-    def hot(index: np.ndarray, size: int) -> np.ndarray:
-        """One-hot rows: sums by index become matrix products."""
-        return (index[:, None] == np.arange(size)).astype(float)
+    def gradient(self, two: np.ndarray, one: np.ndarray, real: np.ndarray, fake: np.ndarray, shift: np.ndarray, rows: int = 4096) -> dict:
+        """Of the loss -sum(real log p + fake log(1 - p)), where p = sigmoid(score - shift) says that a unit is no noise."""
+        out = {k: np.zeros_like(getattr(self, k)) for k in ("r", "c", "q", "b")}
+        sums = np.zeros_like(self.r)
+        for at in range(0, len(one), rows):  # blocks of contexts bound the memory
+            o, t = one[at : at + rows], two[at : at + rows]
+            r1, r2 = self.r[0][o], self.r[1][t]
+            h = r1 @ self.c[0] + r2 @ self.c[1]
+            p = 1 / (1 + np.exp(-np.clip(h @ self.q.T + self.b - shift, -30, 30)))
+            d = p * (real[at : at + rows] + fake[at : at + rows]) - real[at : at + rows]
+            dh = d @ self.q
+            out["q"] += d.T @ h
+            out["b"] += d.sum(0)
+            out["c"] += np.stack([r1.T @ dh, r2.T @ dh])
+            for k, index in ((0, o), (1, t)):
+                order = np.argsort(index, kind="stable")
+                starts = np.flatnonzero(np.diff(index[order], prepend=-1))
+                sums[k][index[order][starts]] += np.add.reduceat(dh[order], starts)
+        out["r"] = np.stack([sums[k] @ self.c[k].T for k in (0, 1)])
+        return out
 
     def table(self) -> np.ndarray:
         """Normalised log10 probabilities, contexts x units, by one batched matrix product."""
@@ -213,6 +220,7 @@ def score_texts(texts: DataFrame, vocabulary, model, *keep: str) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), away_type]
             columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*rows.columns[:-1], *columns], names=[*rows.schema.names[:-1], "n_tokens", "n_head", "head_log", "unit_log", "away"])
+        trim()
 
     return texts.mapInArrow(score, schema)
 
