@@ -18,6 +18,8 @@ from skyledger.llm.common import durable
 
 #: Rows that fit the index on the driver; rows and queries that meet in one task.
 FIT_ROWS, CHUNK_ROWS, QUERY_ROWS = 12_000, 8_192, 2_048
+#: Cells grow with the rows up to this many, for which the fit rows are enough.
+MOST_CELLS = FIT_ROWS // 16
 #: Candidates of a chunk that are scored exactly, at least so many times the wanted number.
 RERANK = 12
 
@@ -151,11 +153,18 @@ def search(index: Index, cell: int, ids: np.ndarray, codes: np.ndarray, rows: np
     return out
 
 
+def stacked(vectors: pd.Series) -> np.ndarray:
+    """Vectors as rows of doubles."""
+    return np.stack(vectors.to_numpy()).astype(np.float64)
+
+
 def usable(rows: DataFrame, id_column: str, vector: str) -> DataFrame:
     """``id, v``: one row for each id (of several vectors the least), without those that take no part."""
     fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vector, lambda x: x != 0)
     kept = rows.where(F.col(id_column).isNotNull() & F.col(vector).isNotNull()).where(fine)
-    return kept.select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).groupBy("id").agg(F.min("v").alias("v"))
+    floats = rows.schema[vector].dataType.elementType.simpleString() == "float"  # kept so where they came so: half the bytes, and no digit less
+    v = F.col(vector) if floats else F.col(vector).cast("array<double>")
+    return kept.select(F.col(id_column).cast("long").alias("id"), v.alias("v")).groupBy("id").agg(F.min("v").alias("v"))
 
 
 def nearest(rows: DataFrame, wanted: int = 20, every: int = 20, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -163,7 +172,7 @@ def nearest(rows: DataFrame, wanted: int = 20, every: int = 20, id_column: str =
 
     Null, zero and non-finite vectors, vectors of another than the commonest length and rows without an id
     take no part. Rows with one id count once. Score ties go to smaller ids. Fewer candidates than
-    ``wanted``: all of them. Rows of a cell are dealt into chunks and queries into blocks, so that copies of
+    ``wanted``: all of them. Rows of a cell are dealt into chunks and its queries into blocks, so that copies of
     one vector never fill a task.
     """
     held = durable(usable(rows, id_column, vector))
@@ -172,36 +181,38 @@ def nearest(rows: DataFrame, wanted: int = 20, every: int = 20, id_column: str =
     if lengths is None:
         return held.sparkSession.createDataFrame([], schema)
     held = held.where(F.size("v") == lengths.n)
-    sample = np.stack(held.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).toPandas()["v"].to_numpy())
+    kind = held.schema["v"].dataType.simpleString()
+    sample = stacked(held.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).toPandas()["v"])
     n = lengths["count"]
     sample = np.unique(sample, axis=0)  # copies of one vector must not draw the codebooks to it
-    index = Index(sample, max(1, min(256, n // 8192)), wanted)
+    index = Index(sample, max(1, min(MOST_CELLS, n // CHUNK_ROWS)), wanted)
 
     def encode(batches):
         for b in batches:
-            x = np.stack(b["v"].to_numpy())
-            cell, codes = index.encode(x)
+            cell, codes = index.encode(stacked(b["v"]))
             yield pd.DataFrame({"id": b["id"], "v": b["v"], "cell": cell.astype(np.int32), "codes": [c.tobytes() for c in codes]})
 
-    coded = durable(held.mapInPandas(encode, "id long, v array<double>, cell int, codes binary"))
+    coded = durable(held.mapInPandas(encode, f"id long, v {kind}, cell int, codes binary"))
     sizes = {r.cell: r["count"] for r in coded.groupBy("cell").count().collect()}  # a row a cell
     chunks = {c: -(-k // CHUNK_ROWS) for c, k in sizes.items()}
     asked = held.where(F.col("id") % every == 0)
-    blocks = max(1, -(-asked.count() // QUERY_ROWS))
 
     def probe(batches):
         for b in batches:
-            q = np.stack(b["v"].to_numpy())
-            order = np.argsort(-(q @ index.centres.T), 1)[:, : index.probes]
-            at = [(i, c, k) for i in range(len(q)) for c in order[i].tolist() for k in range(chunks.get(c, 0))]
-            i, c, k = (np.array(x, np.int64) for x in zip(*at, strict=True)) if at else (np.zeros(0, np.int64),) * 3
-            yield pd.DataFrame({"id": b["id"].to_numpy()[i], "v": b["v"].to_numpy()[i], "cell": c, "codes": None, "chunk": k, "block": b["block"].to_numpy()[i]})
-
-    to = F.array(*(F.lit(chunks.get(c, 1)) for c in range(len(index.centres))))
-    chunk = F.pmod(F.xxhash64("id"), F.element_at(to, F.col("cell") + 1)).cast("int")
-    layout = "id long, v array<double>, cell int, codes binary, chunk int, block int"
-    left = coded.withColumn("chunk", chunk).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).mapInPandas(probe, layout)
+            order = np.argsort(-(stacked(b["v"]) @ index.centres.T), 1)[:, : index.probes]
+            for start in range(0, len(b), 1000):
+                part = order[start : start + 1000]
+                i = np.repeat(np.arange(start, start + len(part)), part.shape[1])
+                yield pd.DataFrame({"id": b["id"].to_numpy()[i], "v": b["v"].to_numpy()[i], "cell": part.ravel().astype(np.int32)})
+
+    probed = durable(asked.mapInPandas(probe, f"id long, v {kind}, cell int"))
+    # queries of a cell are dealt into blocks; rows of a cell meet its own blocks alone, and none where no query looks
+    blocks = {r.cell: -(-r["count"] // QUERY_ROWS) for r in probed.groupBy("cell").count().collect()}  # a row a cell
+    of_cell = lambda values, other: F.element_at(F.array(*(F.lit(values.get(c, other)) for c in range(len(index.centres)))), F.col("cell") + 1)
+    chunk = F.pmod(F.xxhash64("id"), of_cell(chunks, 1)).cast("int")
+    left = coded.withColumn("chunk", chunk).withColumn("blocks", of_cell(blocks, 0)).where("blocks > 0").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    right = probed.withColumn("block", F.pmod(F.xxhash64("id"), of_cell(blocks, 1)).cast("int")).withColumn("chunks", of_cell(chunks, 0)).where("chunks > 0")
+    right = right.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("id", "v", "cell", F.lit(None).cast("binary").alias("codes"), "chunk", "block")
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         is_row = pdf["codes"].notna().to_numpy()
@@ -209,7 +220,7 @@ def nearest(rows: DataFrame, wanted: int = 20, every: int = 20, id_column: str =
         out = []
         if len(r) and len(q):
             codes = np.frombuffer(b"".join(r["codes"]), np.uint8).reshape(len(r), -1)
-            out = search(index, int(r["cell"].iloc[0]), r["id"].to_numpy(), codes, np.stack(r["v"].to_numpy()), q["id"].to_numpy(), np.stack(q["v"].to_numpy()), wanted)
+            out = search(index, int(r["cell"].iloc[0]), r["id"].to_numpy(), codes, stacked(r["v"]), q["id"].to_numpy(), stacked(q["v"]), wanted)
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     met = left.unionByName(right).groupBy("cell", "chunk", "block").applyInPandas(meet, "query_id long, vec_id long, score double")
