@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from skyledger.llm.lm import lm_scores
@@ -72,6 +73,25 @@ def test_shards(docs, rows, empty):
     assert shard_documents(empty).count() == 0
 
 
+def test_equal_texts_stay_in_one_shard(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    word = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    lines = [word(70) for _ in range(12)]
+    texts = [f"{word(int(n))}\n{lines[k % 12] if k % 3 else ''}" for k, n in enumerate(rng.integers(20, 300, 400))]
+    texts += [word(200)] * 60 + [word(90)] * 200 + [word(int(n)) for n in (1, 1, 40) for _ in range(20)] + [word(400)] * 300  # the last is larger than a shard
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = shard_documents(df, 4).toPandas()
+    total, by = got["size"].sum(), got.groupby("shard")["size"].sum()
+    assert by.max() - by.min() < 0.03 * total / 4
+    groups = got.groupby("text_crc32").agg(shards=("shard", "nunique"), size=("size", "sum"))
+    assert (groups[groups["size"] <= total / 4].shards == 1).all() and groups[groups["size"] > total / 4].shards.iloc[0] > 1
+    for _, part in got.groupby("shard"):
+        assert sorted(part.slot) == list(range(len(part)))
+    monkeypatch.setattr("skyledger.llm.sharding.BUCKET_ROWS", 20)  # hot links are dealt over buckets
+    small = shard_documents(df, 4).toPandas()
+    assert (small.groupby("text_crc32").shard.nunique()[groups[groups["size"] <= total / 4].index] == 1).all()
+
+
 def test_token_counts(docs, rows, empty):
     t = Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
     want = Counter((i, len(x.encode()), len(t.encode(x, add_special_tokens=False).ids)) for i, x in text_of(rows))
@@ -240,6 +260,37 @@ def test_farms_are_blocked_whatever_their_size(spark):
     assert {r.verdict for r in url_filter(df).where("host = 'y.org' and path = '/fr'").collect()} == {"allow"}
 
 
+def test_parts_of_one_site_share_its_standing(spark):
+    urls = ["http://www.casino-x.shop.com/", "http://blog.good.site.com/", "http://m.good.site.com/", "http://a.bad.site.org/es/1", "http://b.bad.site.org/fr", "http://other.site.org/"]
+    df = spark.createDataFrame([(i, u, None) for i, u in enumerate([*urls, urls[-1]])], "page_id long, url string, html string").withColumn("rank", F.lit(1))
+    got = [(r.page_id, r.rule, r.verdict) for r in url_filter(df).orderBy("page_id").collect()]
+    assert got == [(0, None, "block"), (1, None, "allow"), (2, None, "allow"), (3, "org/es/", "block"), (4, None, "block"), (5, None, "allow"), (6, None, "allow")]
+
+
+def test_forest_paths_and_threshold_follow_the_plain_ones():
+    from skyledger.llm.quality import best_cut, expected_path
+
+    rng = np.random.default_rng(6)
+    usual, odd = rng.normal(0, 1, (300, 3)), rng.normal(4, 1, (40, 3))
+    forest = IsolationForest(usual, np.concatenate([usual, odd]), trees=20, sample=64)
+    seen = np.concatenate([usual, odd])
+    want = []
+    for x in np.clip(seen, forest.low, forest.high):
+        depths = []
+        for f, t, path in zip(forest.feature, forest.threshold, forest.path, strict=True):
+            i = 0
+            while f[i] >= 0:
+                i = 2 * i + 1 + int(x[f[i]] > t[i])
+            depths.append(path[i])
+        want.append(2 ** (-np.mean(depths) / expected_path(64)))
+    score = forest.score(seen)
+    assert np.allclose(score, want)
+    good = np.arange(len(seen)) < 300
+    tried = [c for c in sorted(set(score)) if (score[good] <= c).mean() >= 0.9]
+    value = lambda c: (score[good] <= c).mean() + (score[~good] > c).mean()
+    assert abs(value(best_cut(score, good, 0.9)) - max(map(value, tried))) < 1e-12
+
+
 def brute_components(prints, ids, bits):
     own = list(range(len(prints)))
 
@@ -367,3 +418,42 @@ def test_lm_gives_proper_probabilities():
     rng = np.random.default_rng(11)
     m = LogBilinear(rng.integers(0, (UNITS + 1) ** 2 * UNITS, 5000), np.ones(5000), steps=20)
     assert np.allclose((10.0 ** m.table().astype(float)).sum(1), 1, atol=1e-4)
+
+
+def test_lm_scores_follow_the_plain_sum(spark):
+    """Every token's probability from the model's vectors and the counts, one by one; over the whole vocabulary they add up to 1."""
+    from skyledger.llm import lm
+
+    rng = np.random.default_rng(12)
+    words = [f"{a}{b}{c}" for a in "abcde" for b in "xyz" for c in ("ing", "ed", "er", "o", "um")] + [f"w{i}ing" for i in range(90)]
+    rows = [(i, " ".join(rng.choice(words, 30, p=np.arange(len(words), 0, -1) / sum(range(len(words) + 1))))) for i in range(80)]
+    learnt = [t.encode().split() for i, t in rows if zlib.crc32(str(i).encode()) % 10]
+    counts = Counter(w for t in learnt for w in [*t, b""])
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    known = lm.Vocabulary(lm.word_counts(lm.with_text(texts.where(lm.crc32_mod(F.col("doc_id"), 10) != 0))))
+    runs = Counter()
+    for t in learnt:
+        unit = np.append(known.read(t)[1], 0)
+        runs.update((lm.contexts(unit) * lm.UNITS + unit).tolist())
+    code = np.array(sorted(runs))
+    model = lm.LogBilinear(code, np.array([runs[k] for k in code], float))
+    units = [b"", *[w for w, _ in sorted(counts.items(), key=lambda p: (-p[1], p[0])) if w][: lm.WORD_UNITS - 1]]
+
+    def log10p(word, one, two):
+        h = model.r[0][one].astype(float) @ model.c[0] + model.r[1][two].astype(float) @ model.c[1]
+        s = model.q.astype(float) @ h + model.b
+        s -= np.log(np.exp(s).sum())
+        if word in units:
+            return s[units.index(word)] / math.log(10)
+        unit = known.class_of(word)
+        mates = [w for w in counts if w not in units and known.class_of(w) == unit]
+        return s[unit] / math.log(10) + math.log10((counts[word] + 0.1) / (sum(counts[w] for w in mates) + 0.1 * (len(mates) + 1)))
+
+    of = lambda w: units.index(w) if w in units else known.class_of(w)
+    got = {r.doc_id: r.score for r in lm_scores(texts).collect()}
+    for i, t in rows[:12]:
+        own = [*t.encode().split(), b""]
+        before = [lm.UNITS, lm.UNITS, *map(of, own)]
+        assert abs(got[i] - sum(log10p(w, before[k + 1], before[k]) for k, w in enumerate(own))) < 1e-3 * len(own)
+    total = sum(10 ** log10p(w, of(b"axing"), of(b"eyo")) for w in counts)
+    assert 0.9 < total < 1 + 1e-6  # what is left is kept for unknown words
