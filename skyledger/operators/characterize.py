@@ -88,13 +88,17 @@ def composition(packets: DataFrame, is_sso: str = "pred.is_sso", object_id: str
 
 def repeat_sample(packets: DataFrame, objects: int = 12, id_column: str = "diaObjectId", source: str = "diaSourceId", time: str = "midpointMjdTai", features: str = "lc_features") -> DataFrame:
     """The first and last two snapshots of objects spread evenly over the order of (rows, id), and whether their
-    features changed. The ordered list of repeated objects is ranked in two steps (bins of equal row counts, then
-    inside a bin), so that no task orders all objects."""
+    features changed. The ordered list of repeated objects is ranked in two steps (pieces of the ids of one row count, then
+    inside a piece of about ``PIECE_ROWS``), so that no task orders all objects, nor all of one row count."""
     usable = packets.where(F.col(id_column) > 0)
     sizes = usable.groupBy(F.col(id_column).alias("object_id")).agg(F.count("*").alias("n")).where("n > 1")
-    bins = sizes.groupBy("n").agg(F.count("*").alias("c"))
-    starts = bins.withColumn("before", F.sum("c").over(W.orderBy("n")) - F.col("c")).withColumn("total", F.sum("c").over(W.partitionBy())).drop("c")
-    ranked = sizes.withColumn("inside", F.row_number().over(W.partitionBy("n").orderBy("object_id"))).join(starts, "n")
+    span = sizes.agg(F.count("*").alias("total"), F.min("object_id").alias("low"), F.max("object_id").alias("high")).first()
+    pieces = max(1, -(-span.total // PIECE_ROWS))
+    width = max(1, -(-((span.high or 0) - (span.low or 0) + 1) // pieces))
+    sizes = sizes.withColumn("piece", F.floor((F.col("object_id") - (span.low or 0)) / width).cast("long"))
+    bins = sizes.groupBy("n", "piece").agg(F.count("*").alias("c"))
+    starts = bins.withColumn("before", F.sum("c").over(W.orderBy("n", "piece")) - F.col("c")).withColumn("total", F.lit(span.total)).drop("c")
+    ranked = sizes.withColumn("inside", F.row_number().over(W.partitionBy("n", "piece").orderBy("object_id"))).join(starts, ["n", "piece"])
     place = F.col("before") + F.col("inside") - 1
     slot = F.when(F.col("total") <= objects, place).otherwise(F.floor(place * (objects - 1) / (F.col("total") - 1)))
     wanted = F.when(F.col("total") <= objects, place).otherwise(F.ceil(slot * (F.col("total") - 1) / F.lit(objects - 1)))
@@ -108,27 +112,87 @@ def repeat_sample(packets: DataFrame, objects: int = 12, id_column: str = "diaOb
     return kept.select("object_id", "n", F.col(source).alias("source_id"), "from_start", "feature_hash", changed.alias("changed"))
 
 
-def capability_matrix(spark: SparkSession, coverage_rows: DataFrame, capabilities: dict[str, list[str]]) -> DataFrame:
-    """``capability, status``: available if all evidence paths hold values, partial if some do, else missing."""
-    wanted = spark.createDataFrame([(c, p) for c, paths in capabilities.items() for p in paths], "capability string, path string")
-    has = F.coalesce(F.col("observed") > F.col("nulls"), F.lit(False))
-    found = wanted.join(coverage_rows, "path", "left").groupBy("capability").agg(F.bool_and(has).alias("every"), F.bool_or(has).alias("some"))
-    return found.select("capability", F.when(F.col("every"), "available").when(F.col("some"), "partial").otherwise("missing").alias("status"))
-
-
-def schema_admission(spark: SparkSession, df: DataFrame, contract: list[tuple[str, str, str]]) -> DataFrame:
-    """``path, status``: contract rows are (path, type, required | optional | snapshot); what is not in it is for review,
-    and new lists or ids are refused."""
-    wanted = spark.createDataFrame(contract, "path string, want string, role string")
-    seen = schema_inventory(df).where("unit = 'rows'")
-    roots = [p for p, _, role in contract if role == "snapshot"]
-    inside = reduce(lambda a, b: a | b, [F.col("path").startswith(r + ".") for r in roots], F.lit(False))
-    joined = seen.join(wanted, "path", "full_outer").where(~inside)
-    suspect = (F.col("kind") == "list") | F.lower("path").endswith("id")
-    status = (
-        F.when(F.col("role").isNull(), F.when(suspect, "refused").otherwise("review"))
-        .when(F.col("type").isNull(), F.when(F.col("role") == "required", "missing").otherwise("absent"))
-        .when((F.col("want") != "") & (F.col("want") != F.col("type")), "wrong_type")
-        .otherwise("admitted")
-    )
-    return joined.select("path", F.coalesce("role", F.lit("none")).alias("role"), status.alias("status"))
+#: Objects that one task ranks, about.
+PIECE_ROWS = 20_000
+#: Families of analyses, what a delivery supports at best, and the fields that are the evidence.
+CAPABILITIES = [
+    ("source-level photometric analysis", "PARTIALLY_SUPPORTED", ["psfFlux", "psfFluxErr", "scienceFlux", "scienceFluxErr", "band", "snr", "reliability"]),
+    ("object-level population analysis", "PARTIALLY_SUPPORTED", ["diaObjectId", "xm", "pred"]),
+    ("repeated-detection/time-domain analysis", "SUPPORTED", ["diaObjectId", "diaSourceId", "midpointMjdTai", "band"]),
+    ("lightcurve reconstruction", "PARTIALLY_SUPPORTED", ["diaObjectId", "diaSourceId", "midpointMjdTai", "psfFlux", "psfFluxErr", "band"]),
+    ("variability-feature analysis", "PARTIALLY_SUPPORTED", ["lc_features"]),
+    ("broker classification/prediction analysis", "PARTIALLY_SUPPORTED", ["clf", "pred"]),
+    ("DIA/static-object selection", "PARTIALLY_SUPPORTED", ["pred.is_sso", "diaObjectId"]),
+    ("Solar System Object analysis", "PARTIALLY_SUPPORTED", ["pred.is_sso", "ra", "dec", "midpointMjdTai"]),
+    ("basic sky-position filtering", "SUPPORTED", ["ra", "dec"]),
+    ("temporal filtering", "SUPPORTED", ["midpointMjdTai"]),
+    ("future crossmatch/enrichment workflows", "PARTIALLY_SUPPORTED", ["ra", "dec", "diaObjectId", "xm"]),
+    ("project cadence and band summaries", "SUPPORTED", ["diaObjectId", "midpointMjdTai", "band"]),
+    ("project upper-limit evolution", "NOT_SUPPORTED", []),
+    ("project candidate ranking", "PARTIALLY_SUPPORTED", ["clf", "pred", "lc_features", "reliability"]),
+]
+#: Families that repeated source ids spoil.
+NEED_UNIQUE_SOURCES = ["repeated-detection/time-domain analysis", "project cadence and band summaries"]
+
+
+def capability_matrix(df: DataFrame, source: str = "diaSourceId", capabilities: list[tuple[str, str, list[str]]] = CAPABILITIES) -> DataFrame:
+    """``analysis, status, evidence, claim_status`` of each family.
+
+    A field is evidence if it is there and holds a value in some row. Without all of them a family is supported in part, without any not
+    at all. Repeated source ids leave what needs unique ones supported in part.
+    """
+    fields = sorted({p for _, _, paths in capabilities for p in paths})
+    there = {p for p, *_ in schema_paths(df.schema)}
+    filled = {p: F.count(F.col(p)) > 0 if p in there else F.lit(False) for p in fields}
+    held = df.agg(F.struct(*(x.alias(p.replace(".", "_")) for p, x in filled.items())).alias("held"))
+    has = lambda p: F.col(f"held.{p.replace('.', '_')}")
+    repeated = df.where(F.col(source).isNotNull()).groupBy(source).agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n") > 1, F.lit(False)).alias("repeated"))
+    rows = []
+    for family, status, evidence in capabilities:
+        best = F.lit(status)
+        if evidence:
+            every, some = reduce(lambda a, b: a & b, map(has, evidence)), reduce(lambda a, b: a | b, map(has, evidence))
+            best = F.when(every, status).when(some, "PARTIALLY_SUPPORTED").otherwise("NOT_SUPPORTED")
+        if family in NEED_UNIQUE_SOURCES:
+            best = F.when(F.col("repeated"), "PARTIALLY_SUPPORTED").otherwise(best)
+        claim = F.when(best == "NOT_SUPPORTED", "VERIFIED").otherwise("STRONGLY SUPPORTED")
+        rows.append(F.struct(F.lit(family).alias("analysis"), best.alias("status"), F.lit(",".join(evidence)).alias("evidence"), claim.alias("claim_status")))
+    return held.crossJoin(repeated).select(F.explode(F.array(*rows)).alias("r")).select("r.*")  # one row each
+
+
+#: What a delivery must hold and of which types, what it may, and what needs a review.
+REQUIRED = {
+    "diaSourceId": ["bigint"], "diaObjectId": ["bigint"], "midpointMjdTai": ["double"], "pred.is_sso": ["boolean"], "ra": ["double"], "dec": ["double"],
+    "band": ["string"], "psfFlux": ["float", "double"], "psfFluxErr": ["float", "double"],
+}
+OPTIONAL_NUMERIC = ["reliability", "scienceFlux", "scienceFluxErr", "snr", "templateFlux", "templateFluxErr"]
+SNAPSHOTS = ["pred", "clf", "lc_features", "xm", "misc"]
+REVIEW = ["diaForcedSources", "diaObject", "mpc_orbits", "prvDiaForcedSources", "prvDiaSources", "ssObject", "ssObjectId", "ssSource"]
+
+
+def schema_admission(df: DataFrame) -> DataFrame:
+    """``path, role, type, status`` of every field that the contract names and of additions, in one table.
+
+    Required fields must have an allowed type, optional numbers may be missing but not of another kind, snapshots must be structs (features a
+    map of structs by text), identities and histories that the contract doesn't know need a review, and all else is an addition.
+    """
+    found = {p: (kind, unit) for p, kind, _, unit in schema_paths(df.schema)}
+    types = {f.name: f.dataType for f in df.schema.fields}
+    rows = [(p, "required", found.get(p, ("ABSENT",))[0], "admitted" if found.get(p, ("ABSENT",))[0] in kinds else "rejected") for p, kinds in REQUIRED.items()]
+    for p in OPTIONAL_NUMERIC:
+        kind = found.get(p, ("ABSENT",))[0]
+        rows.append((p, "optional", kind, "absent" if p not in found else "admitted" if kind in ("float", "double") else "rejected"))
+    for p in SNAPSHOTS:
+        kind = types.get(p)
+        shaped = isinstance(kind, T.StructType) if p != "lc_features" else isinstance(kind, T.MapType) and isinstance(kind.keyType, T.StringType) and isinstance(kind.valueType, T.StructType)
+        rows.append((p, "snapshot", kind.simpleString() if kind else "ABSENT", "absent" if kind is None else "admitted" if shaped else "rejected"))
+    rows += [(p, "review", found[p][0], "rejected") for p in REVIEW if p in found]
+    known = {*REQUIRED, *OPTIONAL_NUMERIC, *SNAPSHOTS, *REVIEW}
+    rows += [(p, "addition", kind, "admitted") for p, (kind, _) in found.items() if p.split(".")[0] not in known]
+    return df.sparkSession.createDataFrame(rows, "path string, role string, type string, status string")
+
+
+def admission_status(admission: DataFrame) -> DataFrame:
+    """``status, errors``: one rejected field makes a delivery incompatible."""
+    bad = F.count_if(F.col("status") == "rejected")
+    return admission.agg(F.when(bad > 0, "INCOMPATIBLE").otherwise("COMPATIBLE_WITH_LIMITATIONS").alias("status"), bad.alias("errors"))

@@ -20,7 +20,9 @@ def value_counts(df: DataFrame, column: str, most: int = 20, chars: int = 200) -
 
 
 def delivery_summary(df: DataFrame, source: str, obj: str) -> DataFrame:
-    return df.agg(F.count("*").alias("rows"), F.countDistinct(source).alias("unique_sources"), F.countDistinct(obj).alias("unique_objects"))
+    """Rows, and distinct sources and objects: one grouping by each id beside the count, so that no row is expanded."""
+    distinct = lambda c, name: df.where(F.col(c).isNotNull()).groupBy(c).agg(F.lit(1)).agg(F.count("*").alias(name))
+    return df.agg(F.count("*").alias("rows")).crossJoin(distinct(source, "unique_sources")).crossJoin(distinct(obj, "unique_objects"))  # one row each
 
 
 def stacked(df: DataFrame, facts: list[Column]) -> DataFrame:
@@ -65,13 +67,14 @@ def flux_amplitude(df: DataFrame, obj: str, flux: str) -> DataFrame:
 def chi_like(df: DataFrame, obj: str, flux: str, error: str) -> DataFrame:
     """By object: sum of ((flux - mean) / error)^2 over max(n - 1, 1), for positive errors and two rows or more.
 
-    The mean joins as sums, so that one map-side-combined grouping serves: sum w f^2 - 2 m sum w f + m^2 sum w.
+    The mean is joined back before anything is squared, since a difference of sums of squares would lose all digits where fluxes are large
+    beside their errors. Both groupings are merged before the shuffle, and Spark splits the join where an object is hot.
     """
     f, e = number(F.col(flux)), number(F.col(error))
-    rows = df.where(F.col(obj).isNotNull() & f.isNotNull() & (e > 0)).select(F.col(obj).alias("object_id"), f.alias("f"), (1 / (e * e)).alias("w"))
-    s = rows.groupBy("object_id").agg(F.count("*").alias("n"), F.avg("f").alias("m"), F.sum("w").alias("w"), F.sum(F.col("w") * F.col("f")).alias("wf"), F.sum(F.col("w") * F.col("f") * F.col("f")).alias("wff"))
-    value = (F.col("wff") - 2 * F.col("m") * F.col("wf") + F.col("m") * F.col("m") * F.col("w")) / F.greatest(F.col("n") - 1, F.lit(1))
-    return s.where("n >= 2").select("object_id", "n", value.alias("chi_like"))
+    rows = df.where(F.col(obj).isNotNull() & f.isNotNull() & (e > 0)).select(F.col(obj).alias("object_id"), f.alias("f"), e.alias("e"))
+    means = rows.groupBy("object_id").agg(F.count("*").alias("n"), F.avg("f").alias("m")).where("n >= 2")
+    z = (F.col("f") - F.col("m")) / F.col("e")
+    return rows.join(means, "object_id").groupBy("object_id", "n").agg(F.sum(z * z).alias("s")).select("object_id", "n", (F.col("s") / F.greatest(F.col("n") - 1, F.lit(1))).alias("chi_like"))
 
 
 def bin_of(x: Column, low: Column, high: Column, bins: int) -> Column:
@@ -92,13 +95,41 @@ def histogram(df: DataFrame, column: str, bins: int, low: float | None = None, h
     return counted.select("bin", "n", F.round(F.col("low") + (F.col("high") - F.col("low")) * F.col("bin") / bins, 6).alias("left_edge"))
 
 
+def ranked_value(values: DataFrame, rank: int, bins: int = 1024, few: int = 10_000) -> float | None:
+    """The value of a rank (from 0) of the column ``x``: bins of equal width are counted, and the one that holds the rank is cut again,
+    until it holds one value or a few, so that no task gathers all values. Two scans mostly; null if there are too few values."""
+    part, edge = values, values.agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count("x").alias("n")).first()
+    if rank >= edge.n:
+        return None
+    while edge.low < edge.high:
+        if edge.n <= few:
+            return sorted(r.x for r in part.collect())[rank]
+        place = F.least(F.floor((F.col("x") / 2 - edge.low / 2) / (edge.high / 2 - edge.low / 2) * bins), F.lit(bins - 1))
+        for found in part.groupBy(place.alias("bin")).agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).orderBy("bin").collect():  # bins rows
+            if rank < found.n:
+                break
+            rank -= found.n
+        part, edge = values.where(F.col("x").between(found.low, found.high)), found
+    return edge.low
+
+
+def quantile(values: DataFrame, share: float, n: int) -> float:
+    """The exact quantile of the column ``x`` of n values, between two neighbours in proportion."""
+    at = share * (n - 1)
+    low = ranked_value(values, int(at))
+    high = ranked_value(values, int(at) + 1) if at > int(at) else low
+    return low + (high - low) * (at - int(at))
+
+
 def clipped_histogram(df: DataFrame, column: str, bins: int, low: float = 0.005, high: float = 0.995) -> DataFrame:
-    """Values beyond two exact quantiles are moved to them first."""
+    """Finite values beyond two exact quantiles are moved to them first."""
     x = number(F.col(column))
-    values = df.select(x.alias("x")).where("x is not null")
-    edges = values.agg(F.percentile("x", F.array(F.lit(low), F.lit(high))).alias("q"))
-    clipped = values.join(F.broadcast(edges)).select(F.greatest(F.least("x", F.col("q")[1]), F.col("q")[0]).alias(column))  # one row
-    return histogram(clipped, column, bins)
+    values = df.select(x.alias("x")).where(F.col("x").isNotNull() & (F.abs("x") < float("inf")))
+    n = values.count()
+    if n == 0:
+        return histogram(values, "x", bins)
+    edges = quantile(values, low, n), quantile(values, high, n)
+    return histogram(values.select(F.greatest(F.least("x", F.lit(edges[1])), F.lit(edges[0])).alias(column)), column, bins, *edges)
 
 
 def alerts_per_object(df: DataFrame, obj: str) -> DataFrame:

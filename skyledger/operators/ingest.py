@@ -14,12 +14,20 @@ from skyledger.functions.timescale import approximate_night
 
 #: Internal names, and the names by which deliveries call them, best first.
 ALIASES = {
-    "object_id": ["r:diaObjectId", "diaObjectId", "objectId", "i:objectId"], "source_id": ["r:diaSourceId", "diaSourceId", "candid"],
-    "forced_source_id": ["diaForcedSourceId"], "ra": ["r:ra", "ra", "i:ra"], "dec": ["r:dec", "dec", "decl", "i:dec"],
-    "mjd": ["r:midpointMjdTai", "midpointMjdTai", "mjd"], "jd": ["i:jd", "jd"], "band": ["r:band", "band", "filter"],
-    "flux": ["r:psfFlux", "psfFlux", "scienceFlux", "forcedFlux"], "flux_err": ["r:psfFluxErr", "psfFluxErr"], "mag": ["i:magpsf", "mag"], "night": ["f:night", "night"],
-}
-NUMERIC = {"ra", "dec", "mjd", "jd", "flux", "flux_err", "mag"}
+    "internal_object_id": ["diaObjectId", "r:diaObjectId", "objectId"],
+    "internal_source_id": ["diaSourceId", "r:diaSourceId", "diaForcedSourceId", "r:diaForcedSourceId"],
+    "ra": ["ra", "r:ra"],
+    "dec": ["dec", "r:dec"],
+    "time_mjd": ["midpointMjdTai", "r:midpointMjdTai", "firstDiaSourceMjdTai", "f:firstDiaSourceMjdTaiFink"],
+    "band": ["band", "r:band"],
+    "mag": ["mag", "r:mag"],
+    "mag_err": ["magErr", "r:magErr"],
+    "flux": ["psfFlux", "r:psfFlux", "scienceFlux", "r:scienceFlux"],
+    "flux_err": ["psfFluxErr", "r:psfFluxErr", "scienceFluxErr", "r:scienceFluxErr"],
+    "class_label": ["main_label_classifier", "f:main_label_classifier", "clf_cats_class", "f:clf_cats_class"],
+    "tag": ["tag", "f:tag"],
+}
+NUMERIC = {"ra", "dec", "time_mjd", "mag", "mag_err", "flux", "flux_err"}
 CLASS_MARKS, FORCED_MARKS = ("clf", "class", "score", "tag"), ("forced", "fp", "prv")
 
 
@@ -31,12 +39,17 @@ def first_present(df: DataFrame, names: list[str]) -> str | None:
     return next((n for n in names if n in df.columns), None)
 
 
-def normalize(df: DataFrame) -> DataFrame:
-    """The twelve internal columns, from the first alias that is there, with the names of columns that nothing maps."""
-    found = {k: first_present(df, names) for k, names in ALIASES.items()}
-    rest = sorted(set(df.columns) - set(found.values()))
-    columns = [((number(quoted(c)) if k in NUMERIC else quoted(c).cast("string")) if c else F.lit(None).cast("double" if k in NUMERIC else "string")).alias(k) for k, c in found.items()]
-    return df.select(*columns, F.to_json(F.array(*map(F.lit, rest))).alias("_unmapped_fields") if rest else F.lit("[]").alias("_unmapped_fields"))
+def normalize(df: DataFrame, table_type: str = "sources") -> DataFrame:
+    """All columns as they came, and internal ones beside them: the table's type, each internal name of which an alias is there (from the
+    first one; numbers as doubles, null where text is none), and the names of columns that nothing maps, as JSON in their order.
+
+    An internal column takes the place of an original one of its name.
+    """
+    found = {k: c for k, names in ALIASES.items() if (c := first_present(df, names))}
+    rest = [c for c in df.columns if c not in found.values()]
+    new = {k: number(quoted(c)) if k in NUMERIC else quoted(c) for k, c in found.items()}
+    unmapped = F.to_json(F.array(*map(F.lit, rest))) if rest else F.lit("[]")
+    return df.withColumns({"internal_table_type": F.lit(table_type), **new, "_unmapped_fields": unmapped})
 
 
 def outer_union(frames: list[DataFrame]) -> DataFrame:
@@ -68,8 +81,11 @@ def lightcurve_features(packets: DataFrame, column: str = "lc_features", keep: t
 
 
 def first_rows(df: DataFrame, key: str, order: list) -> DataFrame:
-    """The first row of each key in a total order; null keys make one row."""
-    return df.withColumn("_row", F.row_number().over(W.partitionBy(key).orderBy(*order))).where("_row = 1").drop("_row")
+    """The first row of each key in a total order; null keys make one row. First rows are chosen in the task before the shuffle, so that
+    rows of one key, or without one, never meet in one task."""
+    columns = F.struct(*map(quoted, df.columns))
+    rows = df.groupBy(F.col(key).alias("_key")).agg(F.min_by(columns, F.struct(*order)).alias("_row"))
+    return rows.select("_row.*")
 
 
 def marked_columns(df: DataFrame, marks: tuple[str, ...], always: tuple[str, ...]) -> DataFrame:

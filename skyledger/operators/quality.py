@@ -78,65 +78,6 @@ def night_coverage(rows: DataFrame, night: Column, expected: DataFrame) -> DataF
     return expected.select("night").join(seen, "night", "left").select("night", F.when(F.col("seen"), "present").otherwise("missing").alias("status"))
 
 
-def completeness_claim(runs: DataFrame) -> DataFrame:
-    """``run, claim``: readable rows never prove completeness. A claim needs one night, all expected rows, a finished
-    transfer and passed checks; more nights than one are never claimed complete."""
-    c = F.col
-    claim = (
-        F.when(c("state") != "finished", "not_allowed_unfinished")
-        .when(c("checks_status") == "failed", "not_allowed_failed_checks")
-        .when(c("expected_rows").isNull(), "unknown_no_expectation")
-        .when(c("readable_rows") != c("expected_rows"), "not_allowed_row_mismatch")
-        .when(c("nights") != 1, "not_allowed_multi_night")
-        .otherwise("allowed")
-    )
-    return runs.select("run", claim.alias("claim"))
-
-
-def run_rules(runs: DataFrame) -> DataFrame:
-    """``run, problems``: contradictions of a run's own entries, joined by semicolons."""
-    c = F.col
-    nights = F.datediff(c("stop"), c("start"))
-    rules = F.array(
-        F.when(nights <= 0, F.lit("empty window")), F.when(c("nights") != nights, F.lit("nights differ from window")),
-        F.when((c("scope") == "single_night") & (nights != 1), F.lit("scope differs from window")),
-        F.when((c("packet") == "light") & c("has_cutouts"), F.lit("light packets have no cutouts")),
-        F.when((c("claim") == "allowed") & (c("state") != "finished"), F.lit("claim before the end")),
-    )
-    return runs.select("run", F.array_join(F.array_compact(rules), "; ").alias("problems"))
-
-
-def illegal_transitions(runs: DataFrame, edges: DataFrame) -> DataFrame:
-    """Rows of ``run, from_state, to_state`` whose step no edge allows (edges are a short list)."""
-    return runs.join(F.broadcast(edges), ["from_state", "to_state"], "left_anti").select("run", "from_state", "to_state")
-
-
-def with_policy(runs: DataFrame, policies: DataFrame) -> DataFrame:
-    """Each run with its scope's policy, by name or alias; unknown scopes get the default."""
-    named = policies.select("policy", F.explode(F.concat(F.array("policy"), "aliases")).alias("scope"), "claim_default")
-    return runs.join(F.broadcast(named), "scope", "left").select("run", F.coalesce("policy", F.lit("unknown")).alias("policy"), F.coalesce("claim_default", F.lit("not_allowed")).alias("claim_default"))
-
-
-def readiness(audit: DataFrame) -> DataFrame:
-    """``state`` of a raw delivery from its audit row, by ordered rules."""
-    c = F.col
-    state = (
-        F.when(c("files") == 0, "empty")
-        .when(c("unreadable") > 0, "blocked_unreadable")
-        .when(c("partial") > 0, "still_downloading")
-        .when(c("free_bytes") < 2 * c("bytes"), "blocked_disk")
-        .when(c("schema_groups") > 1, "ready_mixed_schemas")
-        .otherwise("ready")
-    )
-    return audit.select("*", state.alias("state"))
-
-
-def next_action(states: DataFrame) -> DataFrame:
-    c = F.col("state")
-    action = F.when(c.startswith("ready"), "ingest").when(c == "still_downloading", "wait").when(c == "empty", "request").when(c == "blocked_disk", "free_disk").otherwise("inspect")
-    return states.withColumn("action", action)
-
-
 def remaining_rows(runs: DataFrame) -> DataFrame:
     """``run, remaining``: expected rows that are not readable yet; unknown without an expectation."""
     return runs.select("run", F.when(F.col("expected_rows").isNotNull(), F.greatest(F.col("expected_rows") - F.col("readable_rows"), F.lit(0))).cast("long").alias("remaining"))

@@ -57,20 +57,34 @@ def schema_inventory(spark, sf_dir):
 
 
 @query("capability_matrix", over_packets("""
-SELECT * FROM (VALUES ('sequences', 'available'), ('scores', 'available'), ('crossmatch', 'missing'), ('features', 'partial')) c(capability, status)"""))
+, f AS (SELECT count(*) > 0 AS rows, count(flux) > 0 AS flux, count(raw_object_id) > 0 AS obj, count(mjd_tai) > 0 AS t, count(band) > 0 AS band, count(*) FILTER (k % 10 <> 0) > 0 AS features, count(source_id) > count(DISTINCT source_id) AS repeated FROM sources),
+c AS (SELECT UNNEST([
+  {'analysis': 'source-level photometric analysis', 'status': CASE WHEN flux OR rows OR band THEN 1 ELSE 0 END, 'evidence': 'psfFlux,psfFluxErr,scienceFlux,scienceFluxErr,band,snr,reliability'},
+  {'analysis': 'object-level population analysis', 'status': CASE WHEN obj OR rows THEN 1 ELSE 0 END, 'evidence': 'diaObjectId,xm,pred'},
+  {'analysis': 'repeated-detection/time-domain analysis', 'status': CASE WHEN repeated THEN 1 WHEN obj AND rows AND t AND band THEN 2 WHEN obj OR rows OR t OR band THEN 1 ELSE 0 END, 'evidence': 'diaObjectId,diaSourceId,midpointMjdTai,band'},
+  {'analysis': 'lightcurve reconstruction', 'status': CASE WHEN obj OR rows OR t OR flux OR band THEN 1 ELSE 0 END, 'evidence': 'diaObjectId,diaSourceId,midpointMjdTai,psfFlux,psfFluxErr,band'},
+  {'analysis': 'variability-feature analysis', 'status': CASE WHEN features THEN 1 ELSE 0 END, 'evidence': 'lc_features'},
+  {'analysis': 'broker classification/prediction analysis', 'status': CASE WHEN rows THEN 1 ELSE 0 END, 'evidence': 'clf,pred'},
+  {'analysis': 'DIA/static-object selection', 'status': CASE WHEN rows OR obj THEN 1 ELSE 0 END, 'evidence': 'pred.is_sso,diaObjectId'},
+  {'analysis': 'Solar System Object analysis', 'status': CASE WHEN rows OR t THEN 1 ELSE 0 END, 'evidence': 'pred.is_sso,ra,dec,midpointMjdTai'},
+  {'analysis': 'basic sky-position filtering', 'status': CASE WHEN rows THEN 2 ELSE 0 END, 'evidence': 'ra,dec'},
+  {'analysis': 'temporal filtering', 'status': CASE WHEN t THEN 2 ELSE 0 END, 'evidence': 'midpointMjdTai'},
+  {'analysis': 'future crossmatch/enrichment workflows', 'status': CASE WHEN rows OR obj THEN 1 ELSE 0 END, 'evidence': 'ra,dec,diaObjectId,xm'},
+  {'analysis': 'project cadence and band summaries', 'status': CASE WHEN repeated THEN 1 WHEN obj AND t AND band THEN 2 WHEN obj OR t OR band THEN 1 ELSE 0 END, 'evidence': 'diaObjectId,midpointMjdTai,band'},
+  {'analysis': 'project upper-limit evolution', 'status': 0, 'evidence': ''},
+  {'analysis': 'project candidate ranking', 'status': CASE WHEN rows OR features THEN 1 ELSE 0 END, 'evidence': 'clf,pred,lc_features,reliability'}]) AS c FROM f)
+SELECT c.analysis, (['NOT_SUPPORTED', 'PARTIALLY_SUPPORTED', 'SUPPORTED'])[c.status + 1] AS status, c.evidence, CASE WHEN c.status = 0 THEN 'VERIFIED' ELSE 'STRONGLY SUPPORTED' END AS claim_status FROM c"""))
 def capability_matrix(spark, sf_dir):
-    wanted = {"sequences": ["diaObjectId", "midpointMjdTai"], "scores": ["clf.cats_score"], "crossmatch": ["xm.name"], "features": ["lc_features.mean", "lc_features.amplitude"]}
-    return C.capability_matrix(spark, C.coverage(packets(spark, sf_dir)), wanted)
-
-
-CONTRACT = [("diaSourceId", "bigint", "required"), ("diaObjectId", "bigint", "required"), ("midpointMjdTai", "double", "required"), ("pred.is_sso", "boolean", "required"), ("band", "string", "required"), ("psfFlux", "double", "optional"), ("extra", "double", "optional"), ("ra", "float", "optional"), ("clf", "", "snapshot"), ("lc_features", "", "snapshot")]
+    return C.capability_matrix(packets(spark, sf_dir))
 
 
 @query("schema_admission", """
-SELECT * FROM (VALUES ('diaSourceId', 'required', 'admitted'), ('diaObjectId', 'required', 'admitted'), ('midpointMjdTai', 'required', 'admitted'), ('pred.is_sso', 'required', 'admitted'), ('band', 'required', 'admitted'),
-  ('psfFlux', 'optional', 'admitted'), ('extra', 'optional', 'absent'), ('ra', 'optional', 'wrong_type'), ('clf', 'snapshot', 'admitted'), ('lc_features', 'snapshot', 'admitted'), ('pred', 'none', 'review'), ('dec', 'none', 'review'), ('psfFluxErr', 'none', 'review')) a(path, role, status)""")
+SELECT * FROM (VALUES ('diaSourceId', 'required', 'bigint', 'admitted'), ('diaObjectId', 'required', 'bigint', 'admitted'), ('midpointMjdTai', 'required', 'double', 'admitted'), ('pred.is_sso', 'required', 'boolean', 'admitted'), ('ra', 'required', 'double', 'admitted'),
+  ('dec', 'required', 'double', 'admitted'), ('band', 'required', 'string', 'admitted'), ('psfFlux', 'required', 'double', 'admitted'), ('psfFluxErr', 'required', 'double', 'admitted'),
+  ('reliability', 'optional', 'ABSENT', 'absent'), ('scienceFlux', 'optional', 'ABSENT', 'absent'), ('scienceFluxErr', 'optional', 'ABSENT', 'absent'), ('snr', 'optional', 'ABSENT', 'absent'), ('templateFlux', 'optional', 'ABSENT', 'absent'), ('templateFluxErr', 'optional', 'ABSENT', 'absent'),
+  ('pred', 'snapshot', 'struct<is_sso:boolean>', 'admitted'), ('clf', 'snapshot', 'struct<cats_class:bigint,cats_score:double>', 'admitted'), ('lc_features', 'snapshot', 'map<string,struct<mean:double,n:bigint>>', 'admitted'), ('xm', 'snapshot', 'ABSENT', 'absent'), ('misc', 'snapshot', 'ABSENT', 'absent')) a(path, role, type, status)""")
 def schema_admission(spark, sf_dir):
-    return C.schema_admission(spark, packets(spark, sf_dir), CONTRACT)
+    return C.schema_admission(packets(spark, sf_dir))
 
 
 @query("feature_hash_changes", over_packets("""

@@ -36,12 +36,12 @@ def largest_files(spark, sf_dir):
 
 @query("partial_files")
 def partial_files(spark, sf_dir):
-    return named(D.partial_files(files(spark, sf_dir), "2040-01-01 00:00:00")).select("name", "length")
+    return named(D.partial_files(files(spark, sf_dir))).select("name", "length")
 
 
 @query("download_activity")
 def download_activity(spark, sf_dir):
-    return D.activity(files(spark, sf_dir), "2040-01-01 00:00:00").drop("newest", "oldest")
+    return D.activity(files(spark, sf_dir)).drop("newest", "oldest")
 
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -49,29 +49,29 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 @query("footer_rows", "\nUNION ALL ".join(f"SELECT '{t}.parquet' AS name, count(*) AS rows FROM {t}" for t in TABLES))
 def footer_rows(spark, sf_dir):
-    return named(D.footers(spark, files(spark, sf_dir))).groupBy("name").agg(F.sum("rows").alias("rows"))
+    return named(D.footers(files(spark, sf_dir))).groupBy("name").agg(F.sum("rows").alias("rows"))
 
 
 @query("readability_audit")
 def readability_audit(spark, sf_dir):
-    return D.readability(D.footers(spark, files(spark, sf_dir)))
+    return D.readability(D.footers(files(spark, sf_dir)))
 
 
 @query("schema_groups")
 def schema_groups(spark, sf_dir):
-    return D.schema_groups(D.footers(spark, files(spark, sf_dir))).drop("example")
+    return D.schema_groups(D.footers(files(spark, sf_dir))).drop("example")
 
 
 @query("hash_inventory")
 def hash_inventory(spark, sf_dir):
-    return named(D.hash_inventory(spark, [r.path for r in files(spark, sf_dir).select("path").toLocalIterator()])).select("name", "length", "sha256")
+    return named(D.hash_inventory(files(spark, sf_dir))).select("name", "length", "sha256")
 
 
 @query("delivery_receipt")
 def delivery_receipt(spark, sf_dir):
     found = files(spark, sf_dir)
-    inventory = D.hash_inventory(spark, [r.path for r in found.select("path").toLocalIterator()])
-    return D.receipt(D.footers(spark, found), D.size_summary(found), D.root_digest(D.shard_digests(inventory)))
+    inventory = D.hash_inventory(found)
+    return D.receipt(D.footers(found), D.size_summary(found), D.root_digest(D.shard_digests(inventory)))
 
 
 @query("stat_fingerprint")
@@ -89,14 +89,18 @@ def sampled_files(spark, sf_dir):
     return named(sampled(files(spark, sf_dir).select("path"), "evenly_spaced", 5)).select("name")
 
 
-@query("heavy_fields", "SELECT 'embedding' AS path, 'array<float>' AS type WHERE false")
+@query("heavy_fields", "SELECT 'text_bytes' AS path, 'binary' AS type UNION ALL SELECT 'cutout.size', 'int'  UNION ALL SELECT 'cutout', 'struct<size:int>'")
 def heavy_fields(spark, sf_dir):
-    return D.heavy_fields(table(spark, sf_dir, "embeddings"))
+    docs = table(spark, sf_dir, "documents")
+    return D.heavy_fields(docs.select("doc_id", F.col("text").cast("binary").alias("text_bytes"), F.struct(F.length("text").alias("size")).alias("cutout")))
 
 
-@query("null_fractions", "SELECT 'o_orderkey' AS \"column\", count(*) FILTER (o_orderkey IS NULL) AS missing, round(avg((o_orderkey IS NULL)::INT), 9) AS fraction FROM orders UNION ALL SELECT 'o_orderstatus', count(*) FILTER (o_orderstatus IS NULL), round(avg((o_orderstatus IS NULL)::INT), 9) FROM orders")
+ORDER_COLUMNS = "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority".split()
+
+
+@query("null_fractions", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) FILTER ({c} IS NULL) AS missing, round(avg(({c} IS NULL)::INT), 9) AS fraction FROM orders" for c in ORDER_COLUMNS))
 def null_fractions(spark, sf_dir):
-    return D.null_fractions(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"))
+    return D.null_fractions(table(spark, sf_dir, "orders"))
 
 
 @query("delivery_reconciliation", """

@@ -6,15 +6,19 @@ from skyledger.functions import scalars as S
 from skyledger.functions import timescale as T
 from skyledger.operators import ingest as I
 from skyledger.operators import quality as Q
+from skyledger.operators import runs as R
 from skyledger.plans.catalog_queries import sources
 from skyledger.plans.registry import query
 from skyledger.plans.sql import over_packets
 from skyledger.sources.adapters import acquisition_table, packets, table
 
 
-@query("normalized_sources", over_packets("SELECT raw_object_id::VARCHAR AS object_id, source_id::VARCHAR AS source_id, ra, dec, band, flux, flux_err, NULL::DOUBLE AS mag, '[\"clf\",\"lc_features\",\"pred\"]' AS _unmapped_fields FROM sources"))
+@query("normalized_sources", over_packets("""
+SELECT 'sources' AS internal_table_type, raw_object_id AS internal_object_id, source_id AS internal_source_id, source_id AS "diaSourceId", ra, dec, round(mjd_tai, 6) AS time_mjd, band, flux, flux_err,
+  flux AS "psfFlux", '["pred","clf","lc_features"]' AS _unmapped_fields FROM sources"""))
 def normalized_sources(spark, sf_dir):
-    return I.normalize(packets(spark, sf_dir)).select("object_id", "source_id", "ra", "dec", "band", "flux", "flux_err", "mag", "_unmapped_fields")
+    names = "internal_table_type internal_object_id internal_source_id diaSourceId ra dec time_mjd band flux flux_err psfFlux _unmapped_fields".split()
+    return I.normalize(packets(spark, sf_dir)).select(*names).withColumn("time_mjd", F.round("time_mjd", 6))
 
 
 @query("lc_feature_rows", over_packets("SELECT source_id AS \"diaSourceId\", band AS feature_band, flux AS feature_mean, k AS feature_n FROM sources WHERE k % 10 <> 0"))
@@ -148,7 +152,9 @@ UNION ALL SELECT 'duplicate_keys', count(*) = count(DISTINCT source_id), 'error'
 
 @query("table_checks", CHECKS + 'SELECT "check", passed, severity, bad_rows::BIGINT AS bad_rows FROM c')
 def table_checks(spark, sf_dir):
-    return Q.validate_table(I.normalize(packets(spark, sf_dir)), "sources")
+    names = {"source_id": "internal_source_id", "ra": "ra", "dec": "dec", "mjd": "time_mjd", "flux_err": "flux_err"}
+    rows = I.normalize(packets(spark, sf_dir)).select(*(F.col(c).alias(n) for n, c in names.items()), *(F.lit(None).cast("double").alias(n) for n in ("jd", "mag")))
+    return Q.validate_table(rows, "sources")
 
 
 @query("check_status", CHECKS + "SELECT CASE WHEN count(*) FILTER (NOT passed) > 0 THEN 'failed' ELSE 'passed' END AS status, count(*) FILTER (NOT passed) AS errors, 0::BIGINT AS warnings, count(*) AS checks FROM c")
@@ -163,61 +169,126 @@ def night_coverage(spark, sf_dir):
 
 
 RUNS = """
-WITH runs AS (SELECT user_id AS run, CASE WHEN user_id % 4 = 0 THEN 'running' ELSE 'finished' END AS state, CASE WHEN user_id % 5 = 0 THEN 'failed' ELSE 'passed' END AS checks_status,
-  CASE WHEN user_id % 3 <> 0 THEN count(*) END AS expected_rows, count(*) - CASE WHEN user_id % 7 = 0 THEN 1 ELSE 0 END AS readable_rows, CASE WHEN user_id % 2 = 0 THEN 1 ELSE 2 END AS nights FROM events GROUP BY user_id)
+WITH g AS (SELECT user_id AS run, count(*) AS n, min(event_id) AS e FROM events GROUP BY user_id),
+runs AS (SELECT run, n, (['smoke', 'single_night', 'single_night', 'multi_night', 'full_week', 'date_range', 'date_range', 'elsewhere'])[(run % 8 + 1)::INT] AS scope,
+  (['light_static', 'light_static', 'light_static', 'light_static', 'full', 'unknown', 'odd'])[(e % 7 + 1)::INT] AS packet_type, run % 11 <> 3 AS is_all_alert, CASE WHEN run % 13 = 1 THEN 1 ELSE 0 END AS n_filters,
+  (['declared', 'raw_partial', 'validated', 'validated', 'validated_with_warnings', 'ingested', 'failed', 'nowhere'])[(e % 8 + 1)::INT] AS lifecycle_state,
+  (['raw_inspected', 'validated', 'archived', 'failed', 'declared'])[(n % 5 + 1)::INT] AS later_state, run % 17 = 2 AS execution_partial,
+  CASE WHEN run % 5 = 0 THEN 'failed' ELSE 'passed' END AS validation_status, CASE WHEN run % 9 <> 0 THEN run % 6 <> 1 END AS lag_zero,
+  CASE WHEN run % 3 <> 0 THEN n END AS expected_total, n - CASE WHEN run % 7 = 0 THEN 1 ELSE 0 END AS readable_rows, CASE WHEN run % 8 IN (3, 4, 5) THEN 3 ELSE 1 END AS nights,
+  DATE '2024-01-01' AS start, DATE '2024-01-01' + (CASE WHEN run % 8 IN (3, 4, 5, 6) THEN 3 ELSE 1 END - CASE WHEN run % 19 = 4 THEN 3 ELSE 0 END)::INT AS stop,
+  CASE WHEN e % 3 = 0 THEN 'allowed' ELSE 'unresolved' END AS c0, CASE WHEN e % 4 = 0 THEN 'allowed' ELSE 'blocked' END AS c1, CASE WHEN e % 5 = 0 THEN 'allowed' ELSE 'rejected' END AS c2,
+  CASE WHEN e % 6 = 0 THEN 'allowed' WHEN e % 6 = 1 THEN 'perhaps' ELSE 'blocked' END AS c3 FROM g)
 """
 
 
 def runs(spark, sf_dir):
-    """A run a user: states, counts and nights by fixed formulas."""
-    u, n = F.col("run"), F.col("n")
-    return table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("run")).agg(F.count("*").alias("n")).select(
-        "run", F.when(u % 4 == 0, "running").otherwise("finished").alias("state"), F.when(u % 5 == 0, "failed").otherwise("passed").alias("checks_status"),
-        F.when(u % 3 != 0, n).alias("expected_rows"), (n - F.when(u % 7 == 0, 1).otherwise(0)).alias("readable_rows"), F.when(u % 2 == 0, 1).otherwise(2).alias("nights"),
+    """A run a user, with entries by fixed formulas that meet every branch of the rules."""
+    u, n, e = F.col("run"), F.col("n"), F.col("e")
+    one_of = lambda values, k: F.element_at(F.array(*map(F.lit, values)), (k % len(values) + 1).cast("int"))
+    g = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("run")).agg(F.count("*").alias("n"), F.min("event_id").alias("e"))
+    long = lambda *k: F.when((u % 8).isin(*k), 3).otherwise(1)
+    allowed = lambda k, other: F.when(e % k == 0, "allowed").otherwise(other)
+    return g.select(
+        "run", "n", one_of(["smoke", "single_night", "single_night", "multi_night", "full_week", "date_range", "date_range", "elsewhere"], u).alias("scope"),
+        one_of(["light_static", "light_static", "light_static", "light_static", "full", "unknown", "odd"], e).alias("packet_type"), (u % 11 != 3).alias("is_all_alert"),
+        F.when(u % 13 == 1, F.array(F.lit("tag=x"))).otherwise(F.array().cast("array<string>")).alias("filters"),
+        one_of(["declared", "raw_partial", "validated", "validated", "validated_with_warnings", "ingested", "failed", "nowhere"], e).alias("lifecycle_state"),
+        one_of(["raw_inspected", "validated", "archived", "failed", "declared"], n).alias("later_state"), (u % 17 == 2).alias("execution_partial"),
+        F.when(u % 5 == 0, "failed").otherwise("passed").alias("validation_status"), F.when(u % 9 != 0, u % 6 != 1).alias("lag_zero"),
+        F.when(u % 3 != 0, n).alias("expected_total"), (n - F.when(u % 7 == 0, 1).otherwise(0)).alias("readable_rows"), long(3, 4, 5).alias("nights"),
+        F.lit("2024-01-01").cast("date").alias("start"), F.date_add(F.lit("2024-01-01").cast("date"), long(3, 4, 5, 6) - F.when(u % 19 == 4, 3).otherwise(0)).alias("stop"),
+        allowed(3, "unresolved").alias(R.CLAIMS[0]), allowed(4, "blocked").alias(R.CLAIMS[1]), allowed(5, "rejected").alias(R.CLAIMS[2]),
+        F.when(e % 6 == 0, "allowed").when(e % 6 == 1, "perhaps").otherwise("blocked").alias(R.CLAIMS[3]),
     )
 
 
 @query("completeness_claims", RUNS + """
-SELECT run, CASE WHEN state <> 'finished' THEN 'not_allowed_unfinished' WHEN checks_status = 'failed' THEN 'not_allowed_failed_checks' WHEN expected_rows IS NULL THEN 'unknown_no_expectation'
-  WHEN readable_rows <> expected_rows THEN 'not_allowed_row_mismatch' WHEN nights <> 1 THEN 'not_allowed_multi_night' ELSE 'allowed' END AS claim FROM runs""")
+, j AS (SELECT run, scope, CASE WHEN execution_partial OR n_filters > 0 OR NOT is_all_alert THEN 'partial/debug or filtered run cannot support completeness claims' WHEN packet_type = 'unknown' THEN 'packet type is unknown'
+  WHEN validation_status = 'passed' AND lag_zero AND expected_total > 0 AND readable_rows = expected_total AND nights = 1 THEN 'strict single-night evidence is present' ELSE 'strict completeness evidence is not present' END AS reason FROM runs),
+k AS (SELECT *, CASE WHEN reason LIKE 'partial%' THEN 'blocked' WHEN reason LIKE 'strict single%' THEN 'allowed' ELSE 'unresolved' END AS every FROM j)
+SELECT run, every AS all_alert_completeness, every AS night_completeness, CASE WHEN scope = 'date_range' OR every <> 'unresolved' THEN 'blocked' ELSE 'unresolved' END AS week_completeness,
+  CASE WHEN scope = 'date_range' AND every <> 'blocked' THEN 'unresolved' ELSE 'blocked' END AS range_completeness, reason FROM k""")
 def completeness_claims(spark, sf_dir):
-    return Q.completeness_claim(runs(spark, sf_dir))
+    return R.completeness_claims(runs(spark, sf_dir))
+
+
+@query("default_claims", RUNS + """
+, f AS (SELECT *, lifecycle_state IN ('declared', 'topic_registered', 'download_pending', 'download_active', 'raw_missing', 'raw_partial') AS raw, n_filters > 0 OR NOT is_all_alert AS bare FROM runs),
+o AS (SELECT run, scope, CASE WHEN scope = 'date_range' THEN NOT (bare OR packet_type <> 'light_static' OR raw) ELSE NOT (raw OR bare) END AS open,
+  CASE WHEN scope = 'date_range' THEN false WHEN raw THEN n_filters = 0 WHEN bare THEN false WHEN packet_type = 'unknown' THEN true ELSE scope IN ('full_week', 'full_month', 'multi_night') END AS week,
+  scope = 'date_range' AND NOT bare AND packet_type = 'light_static' AS ranged FROM f)
+SELECT run, CASE WHEN open THEN 'unresolved' ELSE 'blocked' END AS all_alert_completeness, CASE WHEN open THEN 'unresolved' ELSE 'blocked' END AS night_completeness,
+  CASE WHEN week THEN 'unresolved' ELSE 'blocked' END AS week_completeness, CASE WHEN ranged THEN 'unresolved' ELSE 'blocked' END AS range_completeness FROM o""")
+def default_claims(spark, sf_dir):
+    return R.default_claims(runs(spark, sf_dir))
 
 
 @query("run_problems", RUNS + """
-SELECT run, concat_ws('; ', CASE WHEN nights <> 1 THEN 'nights differ from window' END, CASE WHEN state <> 'finished' THEN 'claim before the end' END) AS problems FROM runs""")
+, f AS (SELECT *, date_diff('day', start, stop) AS days, lifecycle_state IN ('declared', 'topic_registered', 'download_pending', 'download_active', 'raw_missing', 'raw_partial') AS raw FROM runs)
+SELECT run, concat_ws('; ', CASE WHEN days <= 0 THEN 'stopdate must be after startdate' END, CASE WHEN days > 0 AND nights <> days THEN 'expected_nights must match the half-open UTC startdate/stopdate window' END,
+  CASE WHEN scope = 'elsewhere' THEN 'unknown scope' END, CASE WHEN lifecycle_state = 'nowhere' THEN 'unknown lifecycle_state' END, CASE WHEN c3 = 'perhaps' THEN 'range_completeness: unknown claim state' END,
+  CASE WHEN packet_type = 'odd' THEN 'packet_type must be one of [''full'', ''light_static'', ''medium'', ''unknown'']' END,
+  CASE WHEN n_filters > 0 AND is_all_alert THEN 'filters imply is_all_alert = false' END, CASE WHEN n_filters > 0 AND is_all_alert THEN 'all-alert manifests must not have filters' END,
+  CASE WHEN scope = 'date_range' AND packet_type <> 'light_static' THEN 'date_range scope is defined only for packet_type light_static' END,
+  CASE WHEN scope = 'date_range' AND (n_filters > 0 OR NOT is_all_alert) THEN 'date_range scope is defined only for unfiltered all-alert requests' END,
+  CASE WHEN scope = 'date_range' AND days < 2 THEN 'date_range scope needs at least two nights; use full_night for one night' END,
+  CASE WHEN raw AND c0 = 'allowed' THEN 'all_alert_completeness cannot be allowed while lifecycle_state is ' || lifecycle_state END, CASE WHEN raw AND c1 = 'allowed' THEN 'night_completeness cannot be allowed while lifecycle_state is ' || lifecycle_state END,
+  CASE WHEN raw AND c2 = 'allowed' THEN 'week_completeness cannot be allowed while lifecycle_state is ' || lifecycle_state END, CASE WHEN raw AND c3 = 'allowed' THEN 'range_completeness cannot be allowed while lifecycle_state is ' || lifecycle_state END,
+  CASE WHEN n_filters > 0 AND c0 = 'allowed' THEN 'tag-filtered runs cannot allow all-alert completeness claims' END,
+  CASE WHEN c2 = 'allowed' THEN 'week_completeness cannot be allowed by default' END, CASE WHEN c3 = 'allowed' THEN 'range_completeness cannot be allowed by default' END) AS problems,
+  concat_ws('; ', CASE WHEN packet_type = 'unknown' THEN 'unknown packet_type keeps completeness claims strict' END,
+  CASE WHEN NOT is_all_alert AND n_filters = 0 AND scope IN ('single_night', 'multi_night', 'full_week', 'full_month', 'date_range') THEN 'unfiltered non-all-alert manifest has conservative completeness claims' END,
+  CASE WHEN lifecycle_state = 'validated_with_warnings' AND 'allowed' IN (c0, c1, c2, c3) THEN 'validated_with_warnings requires explicit review before allowing claims' END) AS warnings FROM f""")
 def run_problems(spark, sf_dir):
-    r = runs(spark, sf_dir).withColumns({
-        "start": F.lit("2024-01-01").cast("date"), "stop": F.lit("2024-01-02").cast("date"), "scope": F.lit("single_night"), "packet": F.lit("light"), "has_cutouts": F.lit(False), "claim": F.lit("allowed"),
-    })
-    return Q.run_rules(r)
+    return R.run_rules(runs(spark, sf_dir)).select("run", F.array_join("errors", "; ").alias("problems"), F.array_join("warnings", "; ").alias("warnings"))
 
 
-@query("illegal_transitions", RUNS + "SELECT run, checks_status AS from_state, state AS to_state FROM runs WHERE NOT (checks_status = 'passed' AND state = 'finished')")
+@query("illegal_transitions", RUNS + """
+SELECT run, lifecycle_state AS from_state, later_state AS to_state FROM runs WHERE NOT ((lifecycle_state IN ('declared', 'raw_partial', 'validated_with_warnings', 'ingested') AND later_state = 'failed') OR (lifecycle_state = 'raw_partial' AND later_state = 'raw_inspected')
+  OR (lifecycle_state IN ('validated', 'validated_with_warnings', 'failed') AND later_state = 'archived') OR (lifecycle_state IN ('validated_with_warnings', 'ingested') AND later_state = 'validated') OR (lifecycle_state = 'failed' AND later_state = 'declared'))""")
 def illegal_transitions(spark, sf_dir):
-    edges = spark.createDataFrame([("passed", "finished")], "from_state string, to_state string")
-    steps = runs(spark, sf_dir).select("run", F.col("checks_status").alias("from_state"), F.col("state").alias("to_state"))
-    return Q.illegal_transitions(steps, edges)
+    return R.illegal_steps(runs(spark, sf_dir).select("run", F.col("lifecycle_state").alias("from_state"), F.col("later_state").alias("to_state")))
 
 
-@query("run_policies", RUNS + "SELECT run, CASE WHEN state = 'running' THEN 'unknown' ELSE 'night' END AS policy, CASE WHEN state = 'running' THEN 'not_allowed' ELSE 'check' END AS claim_default FROM runs")
+@query("run_policies", """
+WITH s AS (SELECT user_id AS run, (['smoke_delivery', 'tag_filtered_smoke_delivery', 'full_night', 'full_night_all_alerts', 'full_week', 'full_week_full_packet', 'date_range', 'elsewhere'])[(user_id % 8 + 1)::INT] AS given FROM events GROUP BY 1),
+n AS (SELECT run, CASE given WHEN 'tag_filtered_smoke_delivery' THEN 'smoke_delivery' WHEN 'full_night_all_alerts' THEN 'full_night' ELSE given END AS scope FROM s),
+p AS (SELECT * FROM (VALUES ('smoke_delivery', 'smoke_delivery', true, false, true, false, 'light_static', 'Light static packet', 'blocked', true), ('full_night', 'full_night', false, true, true, false, 'light_static', 'Light static packet', 'unresolved', true),
+  ('full_week', 'full_week', false, true, false, true, 'light_static', 'Light static packet', 'unresolved', true), ('full_week_full_packet', 'full_week_full_packet', false, true, false, true, 'full', 'Full packet', 'unresolved', true),
+  ('date_range', 'date_range', false, true, false, true, 'light_static', 'Light static packet', 'unresolved', true))
+  p(scope, path_component, is_tag_filtered, is_all_alert, is_single_night, is_multi_night, packet_type, content_type, completeness_default, allow_completeness_only_after_validation))
+SELECT n.run, n.scope, p.scope IS NOT NULL AS supported, p.* EXCLUDE (scope) FROM n LEFT JOIN p ON n.scope = p.scope""")
 def run_policies(spark, sf_dir):
-    policies = spark.createDataFrame([("night", ["finished", "one_night"], "check")], "policy string, aliases array<string>, claim_default string")
-    return Q.with_policy(runs(spark, sf_dir).withColumn("scope", F.col("state")), policies)
+    given = ["smoke_delivery", "tag_filtered_smoke_delivery", "full_night", "full_night_all_alerts", "full_week", "full_week_full_packet", "date_range", "elsewhere"]
+    users = table(spark, sf_dir, "events").select(F.col("user_id").alias("run")).distinct()
+    return R.with_policy(users.withColumn("scope", F.element_at(F.array(*map(F.lit, given)), (F.col("run") % 8 + 1).cast("int"))))
 
 
 @query("raw_readiness", """
-WITH a AS (SELECT l_suppkey AS delivery, count(*) AS files, count(*) FILTER (l_returnflag = 'R' AND l_suppkey % 3 = 0) AS unreadable, count(*) FILTER (l_linenumber = 7 AND l_suppkey % 2 = 0) AS partial,
-  sum(l_quantity)::DOUBLE AS bytes, 2000.0::DOUBLE AS free_bytes, count(DISTINCT l_linestatus) AS schema_groups FROM lineitem GROUP BY 1),
-s AS (SELECT delivery, CASE WHEN files = 0 THEN 'empty' WHEN unreadable > 0 THEN 'blocked_unreadable' WHEN partial > 0 THEN 'still_downloading' WHEN free_bytes < 2 * bytes THEN 'blocked_disk' WHEN schema_groups > 1 THEN 'ready_mixed_schemas' ELSE 'ready' END AS state FROM a)
-SELECT delivery, state, CASE WHEN state LIKE 'ready%' THEN 'ingest' WHEN state = 'still_downloading' THEN 'wait' WHEN state = 'empty' THEN 'request' WHEN state = 'blocked_disk' THEN 'free_disk' ELSE 'inspect' END AS action FROM s""")
+WITH a AS (SELECT l_suppkey AS delivery, l_suppkey % 10 <> 3 AS present, CASE WHEN l_suppkey % 10 = 4 THEN 0 ELSE count(*) END AS files, count(*) AS parquet_files,
+  CASE WHEN l_suppkey % 10 = 5 THEN count(*) ELSE count(*) FILTER (l_returnflag = 'R' AND l_suppkey % 10 = 6) END AS unreadable, l_suppkey % 10 = 7 AS active, CASE WHEN l_suppkey % 10 = 8 THEN 2 ELSE 0 END AS tiny,
+  CASE WHEN l_suppkey % 30 = 19 THEN 0 ELSE sum(l_quantity)::BIGINT END AS readable_rows, CASE WHEN l_suppkey % 10 = 9 THEN 0 ELSE 600 * count(*) // 20 END AS expected_total, CASE WHEN l_suppkey % 4 <> 0 THEN 1000 END AS progress,
+  CASE WHEN l_suppkey % 10 = 2 THEN 19.5::DOUBLE ELSE 20.0::DOUBLE END AS free_gb FROM lineitem GROUP BY 1),
+s AS (SELECT *, nullif(expected_total, 0) AS expected, CASE WHEN free_gb < 20 THEN 1 WHEN NOT present THEN 2 WHEN files = 0 THEN 3 WHEN unreadable > 0 AND unreadable = parquet_files THEN 4 WHEN active THEN 5 WHEN unreadable > 0 THEN 6
+  WHEN tiny > 0 THEN 7 WHEN expected_total > 0 AND readable_rows < expected_total THEN 8 WHEN expected_total > 0 THEN 9 WHEN readable_rows > 0 THEN 10 ELSE 11 END AS k FROM a),
+l AS (SELECT * FROM (VALUES (1, 'blocked_disk_risk', 'Free disk space is below the configured safety threshold.'), (2, 'raw_missing', 'Raw directory is missing.'), (3, 'raw_missing', 'Raw directory exists but contains no delivery files.'),
+  (4, 'blocked_corrupt_raw', 'All discovered Parquet files are unreadable.'), (5, 'download_active', 'Files were modified recently; download may still be active.'), (6, 'partial_with_errors', 'Some Parquet files are unreadable.'),
+  (7, 'partial_download', 'Tiny suspicious files were detected.'), (8, 'partial_download', 'Readable rows are below the expected terminal total.'),
+  (9, 'ready_for_raw_schema_inspection', 'Readable rows meet or exceed the expected total; raw download appears complete but unvalidated.'), (10, 'appears_complete_unverified', 'Readable rows exist, but no expected total was supplied.'),
+  (11, 'partial_download', 'No readable rows were counted.')) l(k, state, reason))
+SELECT delivery, state, reason, k = 9 AS raw_download_appears_complete, k IN (9, 10) AS ingestion_allowed, round(readable_rows / expected * 100, 6) AS apparent_percent_complete, greatest(expected - readable_rows, 0)::BIGINT * CASE WHEN expected IS NULL THEN NULL ELSE 1 END AS remaining_rows,
+  (progress - readable_rows)::BIGINT AS terminal_progress_gap FROM s JOIN l USING (k)""")
 def raw_readiness(spark, sf_dir):
-    c = F.col
-    audit = table(spark, sf_dir, "lineitem").groupBy(c("l_suppkey").alias("delivery")).agg(
-        F.count("*").alias("files"), F.count_if((c("l_returnflag") == "R") & (c("l_suppkey") % 3 == 0)).alias("unreadable"), F.count_if((c("l_linenumber") == 7) & (c("l_suppkey") % 2 == 0)).alias("partial"),
-        F.sum("l_quantity").cast("double").alias("bytes"), F.lit(2000.0).alias("free_bytes"), F.countDistinct("l_linestatus").alias("schema_groups"),
+    s, n = F.col("l_suppkey"), F.count("*")
+    digit = lambda k: F.first(s) % 10 == k
+    audits = table(spark, sf_dir, "lineitem").groupBy(s.alias("delivery")).agg(
+        (~digit(3)).alias("present"), F.when(digit(4), 0).otherwise(n).alias("files"), n.alias("parquet_files"),
+        F.when(digit(5), n).otherwise(F.count_if((F.col("l_returnflag") == "R") & (s % 10 == 6))).alias("unreadable"), digit(7).alias("active"), F.when(digit(8), 2).otherwise(0).alias("tiny"),
+        F.when(F.first(s) % 30 == 19, 0).otherwise(F.sum("l_quantity").cast("long")).alias("readable_rows"), F.when(digit(9), 0).otherwise(F.floor(600 * n / 20)).alias("expected_total"),
+        F.when(F.first(s) % 4 != 0, 1000).alias("progress"), F.when(digit(2), 19.5).otherwise(20.0).alias("free_gb"),
     )
-    return Q.next_action(Q.readiness(audit)).select("delivery", "state", "action")
+    return R.raw_readiness(audits).withColumn("apparent_percent_complete", F.round("apparent_percent_complete", 6))
 
 
 @query("run_scopes", "SELECT 'a1' AS acquisition_id, 'date_range' AS scope UNION ALL SELECT 'a2', 'date_range'")
@@ -225,6 +296,6 @@ def run_scopes(spark, sf_dir):
     return acquisition_table(spark).select("acquisition_id", S.window_scope(F.col("start"), F.col("stop")).alias("scope"))
 
 
-@query("remaining_rows", RUNS + "SELECT run, CASE WHEN expected_rows IS NOT NULL THEN greatest(expected_rows - readable_rows, 0) END::BIGINT AS remaining FROM runs")
+@query("remaining_rows", RUNS + "SELECT run, CASE WHEN expected_total IS NOT NULL THEN greatest(expected_total - readable_rows, 0) END::BIGINT AS remaining FROM runs")
 def remaining_rows(spark, sf_dir):
-    return Q.remaining_rows(runs(spark, sf_dir))
+    return Q.remaining_rows(runs(spark, sf_dir).withColumnRenamed("expected_total", "expected_rows"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -34,45 +35,59 @@ def extremes(files: DataFrame, most: int = 20, largest: bool = True) -> DataFram
     return files.orderBy(F.desc("length") if largest else F.asc("length"), "path").limit(most)
 
 
-def partial_files(files: DataFrame, as_of: str) -> DataFrame:
-    """Files that may still be written: tiny, or modified less than ``SETTLED_SECONDS`` before ``as_of``."""
-    age = F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp("modified")
-    return files.where((F.col("length") <= TINY_BYTES) | (age < SETTLED_SECONDS))
+def aged(files: DataFrame, as_of: str | None) -> DataFrame:
+    """Add ``age`` in seconds at ``as_of``, or else at the time of the newest file."""
+    if as_of is not None:
+        return files.withColumn("age", F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp("modified"))
+    newest = files.agg(F.max("modified").alias("_newest"))  # one row
+    return files.crossJoin(F.broadcast(newest)).withColumn("age", F.unix_timestamp("_newest") - F.unix_timestamp("modified")).drop("_newest")
 
 
-def activity(files: DataFrame, as_of: str, minutes: tuple[int, ...] = (5, 15, 60)) -> DataFrame:
-    age = F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp("modified")
-    return files.agg(*(F.count_if(age <= 60 * m).alias(f"last_{m}_min") for m in minutes), F.max_by("path", F.struct("modified", "path")).alias("newest"), F.min_by("path", F.struct("modified", "path")).alias("oldest"))
+def partial_files(files: DataFrame, as_of: str | None = None) -> DataFrame:
+    """Files that may still be written: tiny, or modified less than ``SETTLED_SECONDS`` before ``as_of`` (or the newest file)."""
+    return aged(files, as_of).where((F.col("length") <= TINY_BYTES) | (F.col("age") < SETTLED_SECONDS)).drop("age")
 
 
-def footers(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """``path, readable, rows, row_groups, columns, nested, binary, schema_hash``, read on the executors.
+def activity(files: DataFrame, as_of: str | None = None, minutes: tuple[int, ...] = (5, 15, 60)) -> DataFrame:
+    return aged(files, as_of).agg(*(F.count_if(F.col("age") <= 60 * m).alias(f"last_{m}_min") for m in minutes), F.max_by("path", F.struct("modified", "path")).alias("newest"), F.min_by("path", F.struct("modified", "path")).alias("oldest"))
 
-    Spark hands over each file's bytes, so that any store it can read will do; a broken file is a row, not an error.
-    """
-    import pyarrow.parquet  # noqa: F401
 
-    schema = "path string, readable boolean, rows long, row_groups long, columns long, nested boolean, binary boolean, schema_hash string"
+def opened(path: str):
+    """A file that executors read by ranges, in any store that Arrow knows (file, hdfs, s3, gs, abfs)."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        return fs.LocalFileSystem().open_input_file(re.sub("^file:/+", "/", path))
+    store, place = fs.FileSystem.from_uri(path)
+    return store.open_input_file(place)
+
+
+def footers(files: DataFrame) -> DataFrame:
+    """``path, readable, rows, row_groups, columns, nested, binary, schema_hash, names``, read on the executors.
+
+    Only each file's footer is read, whatever its size; the paths never pass through the driver. A broken file is a row, not an error.
+    """
+    schema = "path string, readable boolean, rows long, row_groups long, columns long, nested boolean, binary boolean, schema_hash string, names array<string>"
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import pyarrow.parquet as pq
 
         for b in batches:
             out = []
-            for path, content in zip(b["path"], b["content"], strict=True):
+            for path in b["path"]:
                 try:
-                    f = pq.ParquetFile(pa.BufferReader(content))
-                    s = f.schema_arrow
-                    text = "\n".join(f"{x.name}:{x.type}" for x in s)
-                    nested = any(pa.types.is_nested(x.type) for x in s)
-                    binary = any(pa.types.is_binary(x.type) for x in s)
-                    out.append((path, True, f.metadata.num_rows, f.metadata.num_row_groups, len(s), nested, binary, hashlib.sha256(text.encode()).hexdigest()[:16]))
+                    with opened(path) as source:
+                        f = pq.ParquetFile(source)
+                        s = f.schema_arrow
+                        text = "\n".join(f"{x.name}:{x.type}" for x in s)
+                        nested = any(pa.types.is_nested(x.type) for x in s)
+                        binary = any(pa.types.is_binary(x.type) for x in s)
+                        out.append((path, True, f.metadata.num_rows, f.metadata.num_row_groups, len(s), nested, binary, hashlib.sha256(text.encode()).hexdigest()[:16], s.names))
                 except (pa.ArrowException, OSError):
-                    out.append((path, False, 0, 0, 0, False, False, None))
+                    out.append((path, False, 0, 0, 0, False, False, None, None))
             yield pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")])
 
-    listed = spark.read.format("binaryFile").load([r.path for r in files.select("path").toLocalIterator()])
-    return listed.select("path", "content").mapInPandas(read, schema)
+    return files.select("path").mapInPandas(read, schema)
 
 
 def readability(metadata: DataFrame) -> DataFrame:
@@ -83,9 +98,21 @@ def schema_groups(metadata: DataFrame) -> DataFrame:
     return metadata.where("readable").groupBy("schema_hash").agg(F.count("*").alias("files"), F.sum("rows").alias("rows"), F.first("columns").alias("columns"), F.min("path").alias("example"))
 
 
-def hash_inventory(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """``path, length, sha256`` of each file, hashed where it is read."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).select("path", "length", F.sha2("content", 256).alias("sha256"))
+def hash_inventory(files: DataFrame, block: int = 8 << 20) -> DataFrame:
+    """``path, length, sha256`` of each file, hashed on the executors by blocks, so that no file is held whole."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            digests = []
+            for path in b["path"]:
+                digest = hashlib.sha256()
+                with opened(path) as source:
+                    while part := source.read(block):
+                        digest.update(part)
+                digests.append(digest.hexdigest())
+            yield b.assign(sha256=digests)
+
+    return files.select("path", "length").mapInPandas(read, "path string, length long, sha256 string")
 
 
 def shard_digests(inventory: DataFrame) -> DataFrame:
@@ -175,7 +202,8 @@ def heavy_fields(df: DataFrame, marks: str = "cutout|stamp|image|fits|bytes|bina
     return schema_inventory(df).where(F.lower("path").rlike(marks) | (F.col("type") == "binary")).select("path", "type")
 
 
-def null_fractions(df: DataFrame, most: int = 50) -> DataFrame:
+def null_fractions(df: DataFrame, most: int | None = None) -> DataFrame:
+    """``column, missing, fraction`` of all columns, or of the first ``most``."""
     from skyledger.operators.explore import missingness
 
     return missingness(df, df.columns[:most])

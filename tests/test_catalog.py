@@ -79,10 +79,23 @@ def test_missing_id_is_refused(packets):
         C.project_sources(packets.drop("diaObjectId"), "x")
 
 
-def test_new_lists_are_refused(spark, packets):
-    odd = packets.withColumn("history", F.array(F.lit(1.0)))
-    contract = [(f.name, "", "snapshot") for f in packets.schema.fields]
-    assert {r.path: r.status for r in K.schema_admission(spark, odd, contract).collect()}["history"] == "refused"
+def test_admission_of_deliveries(packets):
+    status = lambda df: K.admission_status(K.schema_admission(df)).first().status
+    assert status(packets) == "COMPATIBLE_WITH_LIMITATIONS"
+    assert status(packets.withColumn("history", F.array(F.lit(1.0)))) == "COMPATIBLE_WITH_LIMITATIONS"  # an addition
+    for odd in (
+        packets.drop("band"), packets.withColumn("ra", F.col("ra").cast("float")), packets.withColumn("snr", F.lit("x")), packets.withColumn("clf", F.lit(1)),
+        packets.withColumn("lc_features", F.create_map(F.lit("g"), F.lit(1.0))), packets.withColumn("ssObjectId", F.lit(1)), packets.withColumn("prvDiaSources", F.array(F.lit(1))),
+    ):
+        assert status(odd) == "INCOMPATIBLE"
+
+
+def test_capabilities(packets):
+    got = lambda df: {r.analysis: r.status for r in K.capability_matrix(df).collect()}
+    assert got(packets)["temporal filtering"] == "SUPPORTED"
+    assert got(packets.union(packets))["project cadence and band summaries"] == "PARTIALLY_SUPPORTED"
+    bare = got(packets.where("false"))
+    assert set(bare.values()) == {"NOT_SUPPORTED"}
 
 
 def test_population_truth_table(spark):

@@ -9,6 +9,7 @@ from skyledger.operators import explore as X
 from skyledger.operators import ingest as I
 from skyledger.operators import lookup as L
 from skyledger.operators import quality as Q
+from skyledger.operators import runs as R
 from skyledger.sources import delivery as D
 from skyledger.streaming.incremental import file_stream, ingest_available
 
@@ -25,9 +26,15 @@ def folder(spark, tmp_path_factory):
 
 def test_footers_report_broken_files(spark, folder):
     files = D.discover(spark, folder, "*.parquet")
-    found = D.readability(D.footers(spark, files)).first()
+    found = D.readability(D.footers(files)).first()
     assert (found.files, found.readable, found.unreadable, found.rows, found.schema_groups) == (4, 3, 1, 10, 1)
     assert D.partial_files(files, "2040-01-01 00:00:00").count() == 4  # all are tiny
+    import hashlib
+    from pathlib import Path
+
+    for r in D.hash_inventory(files, 100).collect():
+        assert r.sha256 == hashlib.sha256(Path(r.path.removeprefix("file:")).read_bytes()).hexdigest()
+    assert D.activity(files).first().last_60_min == 4
 
 
 def test_digests_change_in_one_shard(spark):
@@ -87,9 +94,28 @@ def test_nights(spark):
 
 
 def test_aliases(spark):
-    df = spark.createDataFrame([(1, "12.5", "r", 3)], "`r:diaObjectId` long, `r:ra` string, `r:band` string, other int")
-    r = I.normalize(df).first()
-    assert (r.object_id, r.ra, r.band, r._unmapped_fields) == ("1", 12.5, "r", '["other"]')
+    df = spark.createDataFrame([(1, "12.5", "x", "r", 3)], "`r:diaObjectId` long, `r:ra` string, ra string, `r:band` string, other int")
+    got = I.normalize(df)
+    r = got.first()
+    assert (r.internal_object_id, r.ra, r.band, r._unmapped_fields, r.internal_table_type) == (1, None, "r", '["r:ra","other"]', "sources")  # the plain name leads
+    assert set(df.columns) <= set(got.columns) and "mag" not in got.columns
+
+
+@pytest.mark.parametrize(
+    "change, want",
+    [
+        ({}, ("allowed", "allowed", "blocked", "blocked")), ({"filters": ["tag"]}, ("blocked",) * 4), ({"is_all_alert": False}, ("blocked",) * 4), ({"execution_partial": True}, ("blocked",) * 4),
+        ({"packet_type": "unknown"}, ("unresolved", "unresolved", "unresolved", "blocked")), ({"lag_zero": None}, ("unresolved", "unresolved", "unresolved", "blocked")),
+        ({"readable_rows": 9}, ("unresolved", "unresolved", "unresolved", "blocked")), ({"expected_total": 0, "readable_rows": 0}, ("unresolved", "unresolved", "unresolved", "blocked")),
+        ({"nights": 2}, ("unresolved", "unresolved", "unresolved", "blocked")), ({"scope": "date_range", "nights": 2}, ("unresolved", "unresolved", "blocked", "unresolved")),
+        ({"scope": "date_range", "filters": ["tag"]}, ("blocked",) * 4),
+    ],
+)
+def test_claims(spark, change, want):
+    run = {"run": 1, "scope": "single_night", "packet_type": "light_static", "is_all_alert": True, "filters": [], "execution_partial": False, "validation_status": "passed", "lag_zero": True, "expected_total": 10, "readable_rows": 10, "nights": 1}
+    layout = "run int, scope string, packet_type string, is_all_alert boolean, filters array<string>, execution_partial boolean, validation_status string, lag_zero boolean, expected_total long, readable_rows long, nights int"
+    r = R.completeness_claims(spark.createDataFrame([tuple((run | change).values())], layout)).first()
+    assert tuple(r[c] for c in R.CLAIMS) == want
 
 
 def test_deduplicate(spark):
@@ -131,6 +157,19 @@ def test_histogram_closes_its_last_bin(spark):
 def test_chi_like(spark):
     df = spark.createDataFrame([(1, 1.0, 1.0), (1, 3.0, 1.0), (2, 5.0, 1.0), (1, 9.0, 0.0)], "o long, f double, e double")
     assert [(r.object_id, r.n, r.chi_like) for r in X.chi_like(df, "o", "f", "e").collect()] == [(1, 2, 2.0)]
+    far = spark.createDataFrame([(1, 1e8 + 0.1, 0.01), (1, 1e8 + 0.2, 0.01), (1, 1e8 + 0.3, 0.01)], "o long, f double, e double")
+    assert abs(X.chi_like(far, "o", "f", "e").first().chi_like - 100) < 1e-3
+
+
+def test_exact_quantiles(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(0, 1, 3000), np.full(500, 2.0), [1e300, -1e300, 5.0, 5.0]])
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    for rank in (0, 1, 17, 2999, 3100, len(x) - 1):
+        assert X.ranked_value(df, rank, bins=8, few=50) == np.sort(x)[rank]
+    assert abs(X.quantile(df, 0.3, len(x)) - np.quantile(x, 0.3)) < 1e-12
 
 
 def test_flatten_skips_heavy_columns(spark):
