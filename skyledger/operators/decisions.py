@@ -84,7 +84,7 @@ def prefix_meaning(field: Column) -> Column:
     """What a field's prefix tells. Fixed values, by prefix."""
     known = {
         "i": "original alert/survey field", "d": "science-module or database-added value", "v": "runtime-generated value", "b": "cutout/image payload field",
-        "f": "statistics, filter, or summary field", "key": "database index or key field", "r": "measurement field",
+        "f": "statistics, filter, or summary field", "key": "database index or key field",
     }
     table = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
     named = F.coalesce(F.element_at(table, F.split(field, ":")[0]), F.lit("unknown column family"))

@@ -94,9 +94,26 @@ def marked_columns(df: DataFrame, marks: tuple[str, ...], always: tuple[str, ...
     return df.select(*names)
 
 
-def with_night(df: DataFrame, *times: str) -> DataFrame:
-    """Add ``night_key``: the approximate night of the first usable time, ``unknown`` without one."""
-    return df.withColumn("night_key", F.coalesce(approximate_night(*map(F.col, times)).cast("string"), F.lit("unknown")))
+# Columns that tell a row's time, best first: MJDs, then timestamps.
+MJD_COLUMNS = ["time_mjd", "midpointMjdTai", "r:midpointMjdTai", "firstDiaSourceMjdTai", "brokerIngestMjd"]
+TIMESTAMP_COLUMNS = ["timestamp", "candidate_timestamp", "alert_timestamp", "brokerIngestTimestamp", "created_at"]
+
+
+def with_night(df: DataFrame, *times: str, start: str | None = None, stop: str | None = None) -> DataFrame:
+    """Add ``night_key``: the approximate UTC night of the first usable time of the row, ``out_of_window`` for nights not in
+    [start, stop) where both are given, and ``unknown`` without a time.
+
+    times: the columns that are looked at (all usual ones that are there, if none are named); timestamps among them are read as UTC.
+    """
+    times = times or tuple(c for c in MJD_COLUMNS + TIMESTAMP_COLUMNS if c in df.columns)
+    nights = []
+    for c in times:
+        stamped = c in TIMESTAMP_COLUMNS or isinstance(df.schema[c].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))
+        nights.append(F.col(f"`{c}`").cast("string").try_cast("timestamp_ntz").cast("date") if stamped else approximate_night(F.col(f"`{c}`")))
+    night = F.coalesce(*nights).cast("string") if nights else F.lit(None).cast("string")
+    if start and stop:
+        night = F.when((night >= start) & (night < stop), night).when(night.isNotNull(), "out_of_window")
+    return df.withColumn("night_key", F.coalesce(night, F.lit("unknown")))
 
 
 def split_nights(df: DataFrame, nights: list[str], time: str) -> DataFrame:

@@ -83,68 +83,148 @@ def completeness(parts: DataFrame, comparable: bool, expected: int | None) -> Da
     return parts.agg(F.sum("kept").alias("kept"), F.count_if(F.col("status") == "possibly_truncated").alias("truncated_parts"), F.round(share, 6).alias("fraction"))
 
 
-def walk_json(texts: DataFrame, column: str, levels: int = 6) -> DataFrame:
-    """``path, field, value`` of every scalar at any depth. Variants are unrolled level by level inside the JVM; what is
-    nested deeper than ``levels`` is walked in Python batches."""
-    level = texts.select(F.lit("$").alias("path"), F.lit("").alias("field"), F.try_parse_json(column).alias("v")).where("v is not null")
-    tvf, out = texts.sparkSession.tvf, None
-    for _ in range(levels):
-        kind = F.schema_of_variant("v")
-        nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
-        scalars = level.where(~nested).select("path", "field", F.col("v").cast("string").alias("value"))
-        out = scalars if out is None else out.unionByName(scalars)
-        below = level.where(nested).lateralJoin(tvf.variant_explode(F.col("v").outer()).toDF("pos", "key", "inner"))
-        level = below.select(F.concat_ws(".", "path", F.coalesce("key", F.col("pos").cast("string"))).alias("path"), F.coalesce("key", "field").alias("field"), F.col("inner").alias("v"))
-    deep = level.select("path", "field", F.to_json("v").alias("j"))
-    return out.unionByName(deep.mapInPandas(walk_batch, "path string, field string, value string"))
+def walk_json(texts: DataFrame, column: str) -> DataFrame:
+    """``path, field, value, kind`` of every scalar at any depth; each text is read once. kind: integer, number, text, boolean or null.
+    Text that is no JSON has none. The field of a list's own scalars is the one that the list stands under."""
+    return texts.select(column).where(F.col(column).isNotNull()).mapInPandas(walk_batch, "path string, field string, value string, kind string")
 
 
 def walk_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Scalars below (path, field, JSON text) rows; without recursion, so that depth has no limit."""
+    """Scalars of JSON texts; without recursion, so that depth has no limit but the parser's."""
     for batch in batches:
         found = []
-        for path, field, text in batch.itertuples(index=False):
-            todo = [(path, field, json.loads(text))]
+        for text in batch.iloc[:, 0]:
+            try:
+                todo = [("$", "", json.loads(text))]
+            except (ValueError, RecursionError):
+                continue
             while todo:
                 p, f, x = todo.pop()
                 if isinstance(x, dict):
                     todo += [(f"{p}.{k}", k, v) for k, v in x.items()]
                 elif isinstance(x, list):
-                    todo += [(f"{p}.{k}", f, v) for k, v in enumerate(x)]
+                    todo += [(f"{p}[{k}]", f, v) for k, v in enumerate(x)]
+                elif isinstance(x, str):
+                    found.append((p, f, x, "text"))
                 else:
-                    found.append((p, f, None if x is None else json.dumps(x).strip('"') if not isinstance(x, str) else x))
-        yield pd.DataFrame(found, columns=["path", "field", "value"])
+                    kind = "null" if x is None else "boolean" if isinstance(x, bool) else "integer" if isinstance(x, int) else "number"
+                    found.append((p, f, None if x is None else json.dumps(x), kind))
+        yield pd.DataFrame(found, columns=["path", "field", "value", "kind"])
 
 
-def candidate_ids(scalars: DataFrame) -> DataFrame:
-    """``type, field, value`` of what looks like an identifier: its field's name tells the type; each (value, field) once."""
-    name = F.lower("field")
-    kind = F.when(name.contains("object"), "object").when(name.contains("source"), "source").when(name.endswith("id") | name.endswith("_id"), "other")
-    number = F.col("value").rlike("^[1-9][0-9]*$")
-    return scalars.withColumn("type", kind).where(kind.isNotNull() & number).select("type", "field", "value").dropDuplicates(["value", "field"])
+# Names of identifiers.
+OBJECT_NAMES = ["diaobjectid", "r:diaobjectid", "dia_object_id", "objectid"]
+SOURCE_NAMES = ["diasourceid", "r:diasourceid", "dia_source_id"]
+ID_TYPES = ["diaObjectId", "diaSourceId", "other_object_ids", "other_source_ids"]
 
 
-def best_candidate(candidates: DataFrame, kind: str) -> DataFrame:
-    return candidates.where(F.col("type") == kind).orderBy(F.length("field"), "field", F.col("value").cast("decimal(38,0)")).limit(1)
+def candidate_ids(scalars: DataFrame) -> DataFrame:
+    """``id_type, confidence, field, value`` of what looks like an identifier, each value of a field once.
+
+    The field's name tells the type: names that are known are of high confidence, others that speak of an object's or a source's id of medium.
+    A number must be whole and positive; text must not be blank or say that it is nothing. A list's own scalars are no fields.
+    """
+    name, text = F.translate(F.lower("field"), "-", "_"), F.lower(F.trim("value"))
+    kind = (
+        F.when(name.isin(OBJECT_NAMES) | name.endswith("diaobjectid"), "diaObjectId").when(name.isin(SOURCE_NAMES) | name.endswith("diasourceid"), "diaSourceId")
+        .when(name.contains("object") & name.contains("id"), "other_object_ids").when(name.contains("source") & name.contains("id"), "other_source_ids")
+    )
+    number = F.col("value").try_cast("double")
+    usable = F.when(F.col("kind").isin("integer", "number"), (number > 0) & (number == F.floor(number))).when(F.col("kind") == "text", (text != "") & ~text.isin("nan", "none", "null"))
+    found = scalars.withColumn("id_type", kind).where(kind.isNotNull() & F.coalesce(usable, F.lit(False)) & ~F.col("path").endswith("]"))
+    confidence = F.when(F.col("id_type").isin("diaObjectId", "diaSourceId"), "high").otherwise("medium")
+    return found.select("id_type", confidence.alias("confidence"), "field", "value").distinct()
 
 
-def candidate_summary(candidates: DataFrame) -> DataFrame:
-    return candidates.groupBy("type").agg(F.count("*").alias("ids"), F.countDistinct("field").alias("fields"), F.min("value").alias("example"))
+def best_candidate(candidates: DataFrame, kind: str) -> DataFrame:
+    """The candidate object or source id of the highest confidence, of those the least value as text."""
+    types = [t for t in ID_TYPES if kind in t.lower()]
+    return candidates.where(F.col("id_type").isin(types)).orderBy(F.col("confidence") != "high", "value", "field").limit(1)
+
+
+def candidate_summary(candidates: DataFrame, most: int = 5) -> DataFrame:
+    """``id_type, ids, fields, examples`` of all four types; the examples are the ``most`` least values, as a JSON list."""
+    types = candidates.sparkSession.createDataFrame([(t,) for t in ID_TYPES], "id_type string")
+    counts = candidates.groupBy("id_type", "field").agg(F.count("*").alias("n")).groupBy("id_type").agg(F.sum("n").alias("ids"), F.count("*").alias("fields"))
+    first = candidates.select("id_type", "value").withColumn("place", F.row_number().over(W.partitionBy("id_type").orderBy("value"))).where(F.col("place") <= most)
+    shown = first.groupBy("id_type").agg(F.to_json(F.array_sort(F.collect_list("value"))).alias("examples"))
+    joined = types.join(counts, "id_type", "left").join(shown, "id_type", "left")
+    return joined.select("id_type", F.coalesce("ids", F.lit(0)).alias("ids"), F.coalesce("fields", F.lit(0)).alias("fields"), F.coalesce("examples", F.lit("[]")).alias("examples"))
+
+
+#: Names under which envelopes hold their rows, in the order in which they are looked for.
+ENVELOPES = ["data", "results", "rows", "items", "alerts", "objects", "sources"]
+
+
+def unwrapped(payload) -> list:
+    """The rows of one payload: of a list, of a list of lists, of a list of envelopes, of an envelope inside others, of lists by column, or one row."""
+    out, todo = [], [payload]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, list):
+            if x and all(isinstance(y, list) for y in x):
+                out += [z for y in x for z in y]
+            elif x and all(isinstance(y, dict) and "data" in y for y in x):
+                todo += [y["data"] for y in reversed(x)]
+            else:
+                out += x
+        elif isinstance(x, dict):
+            held = next((x[k] for k in ENVELOPES if isinstance(x.get(k), (list, dict))), None)
+            if isinstance(held, list):
+                out += held
+            elif held is not None:
+                todo.append(held)
+            elif x and all(isinstance(y, list) for y in x.values()):
+                out += [dict(zip(x, row, strict=True)) for row in zip(*x.values(), strict=False)]
+            else:
+                out.append(x)
+        elif x is not None:
+            out.append({"value": x})
+    return out
 
 
 def payload_rows(texts: DataFrame, column: str, schema: str) -> DataFrame:
-    """Rows of a payload: a list of objects, one object, or an object that holds the list under a usual name."""
-    names = ["data", "results", "rows", "items", "alerts", "objects", "sources"]
-    inner = F.coalesce(*(F.get_json_object(column, f"$.{n}") for n in names), F.col(column))
-    listed = F.when(inner.startswith("["), inner).otherwise(F.concat(F.lit("["), inner, F.lit("]")))
-    return texts.select(F.explode(F.from_json(listed, f"array<struct<{schema}>>")).alias("r")).select("r.*")
-
-
-def concepts(fields: DataFrame, marks: dict[str, list[str]]) -> DataFrame:
-    """``concept, fields``: how many field names have a mark of each concept."""
-    rows = F.array(*(F.struct(F.lit(c).alias("concept"), F.lit(m).alias("mark")) for c, ms in marks.items() for m in ms))
-    found = fields.select("field", F.explode(rows).alias("r")).where(F.lower("field").contains(F.col("r.mark")))
-    return found.groupBy(F.col("r.concept").alias("concept")).agg(F.countDistinct("field").alias("fields"))
+    """The rows of JSON payloads of the usual shapes (see ``unwrapped``), with the columns of ``schema``; what is no JSON has none."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for text in batch.iloc[:, 0]:
+                try:
+                    rows += map(json.dumps, unwrapped(json.loads(text)))
+                except (ValueError, TypeError):
+                    continue
+            yield pd.DataFrame({"row": rows}, dtype=object)
+
+    return texts.select(column).mapInPandas(read, "row string").select(F.from_json("row", schema).alias("r")).select("r.*")
+
+
+#: Concepts, and what a field's name holds that speaks of one.
+CONCEPTS = {
+    "object_id": ["objectid", "diaobjectid", "diaobject", "ssobjectid"],
+    "source_id": ["candid", "diasourceid", "diasource", "alertid"],
+    "ra": [":ra", " ra", "jradeg", "coord_ra", "ra"],
+    "dec": [":dec", "jdedeg", "coord_dec", "declination", "dec"],
+    "time": [":jd", "mjd", "midpointtai", "tai", "time", "timestamp"],
+    "band_or_filter": ["fid", "band", "filter"],
+    "magnitude_or_flux": ["mag", "flux", "psf", "snr"],
+    "classification": ["class", "classification", "rf_", "snn", "cats"],
+    "tag": ["tag"],
+    "crossmatch_or_context": ["xmatch", "simbad", "tns", "gaia", "host", "ssnamenr", "mpc"],
+    "forced_photometry": ["forced", "forcedsource", "diaforcedsource"],
+    "cutout": ["cutout", "stamp"],
+}
+
+
+def concepts(fields: DataFrame, marks: dict[str, list[str]] = CONCEPTS, most: int = 20) -> DataFrame:
+    """``concept, fields, examples`` of every concept: how many different field names speak of it, and the first ``most`` of them by name."""
+    names = fields.select("field").where("field <> ''").distinct()
+    has = lambda ms: F.lower("field").rlike("|".join(ms))  # noqa: E731  (marks are plain letters, colons and blanks)
+    told = names.select("field", F.explode(F.array_compact(F.array(*(F.when(has(ms), c) for c, ms in marks.items())))).alias("concept"))
+    ranked = told.withColumn("place", F.row_number().over(W.partitionBy("concept").orderBy("field")))  # names of columns: a small table
+    counted = ranked.groupBy("concept").agg(F.count("*").alias("fields"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("place") <= most, F.col("field")))), ", ").alias("examples"))
+    every = fields.sparkSession.createDataFrame([(c,) for c in marks], "concept string")
+    return every.join(counted, "concept", "left").select("concept", F.coalesce("fields", F.lit(0)).alias("fields"), F.coalesce("examples", F.lit("")).alias("examples"))
 
 
 def partition_labels(df: DataFrame, column: str, wanted: list[str]) -> DataFrame:

@@ -237,39 +237,48 @@ def refined_windows(spark, sf_dir):
     return L.refine_windows(sources(spark, sf_dir), "mjd_tai", LOW, HIGH, 2, 1300, 64)[0]
 
 
-@query("json_walk", "SELECT '$.k' AS path, 'k' AS field, json_extract_string(props, '$.k') AS value FROM events WHERE props IS NOT NULL")
+@query("json_walk", "SELECT '$.k' AS path, 'k' AS field, json_extract_string(props, '$.k') AS value, 'integer' AS kind FROM events WHERE props IS NOT NULL")
 def json_walk(spark, sf_dir):
     return L.walk_json(table(spark, sf_dir, "events"), "props")
 
 
 
-@query("json_candidate_ids", """
-SELECT DISTINCT type, field, value FROM (
-  SELECT 'object' AS type, 'objectId' AS field, user_id::VARCHAR AS value FROM events WHERE user_id > 0 UNION ALL SELECT 'source', 'sourceId', event_id::VARCHAR FROM events WHERE event_id > 0)""")
+IDS = """
+WITH c AS (SELECT DISTINCT * FROM (
+  SELECT 'diaObjectId' AS id_type, 'high' AS confidence, 'objectId' AS field, user_id::VARCHAR AS value FROM events WHERE user_id > 0 UNION ALL SELECT 'diaSourceId', 'high', 'r:diaSourceId', event_id::VARCHAR FROM events WHERE event_id > 0
+  UNION ALL SELECT 'other_object_ids', 'medium', 'host-object-id', event_type FROM events))
+"""
+
+
+@query("json_candidate_ids", IDS + "SELECT * FROM c")
 def json_candidate_ids(spark, sf_dir):
     """Identifiers found in nested JSON that is made of the events' own columns."""
-    e = table(spark, sf_dir, "events")
-    texts = e.select(F.concat(F.lit('{"objectId":'), F.col("user_id"), F.lit(',"rows":'), F.concat(F.lit("["), F.to_json(F.struct(F.col("event_id").alias("sourceId"))), F.lit(","), F.to_json(F.struct(F.col("event_type").alias("note"))), F.lit("]")), F.lit("}")).alias("j"))
+    inner = F.array(F.struct(F.col("event_id").alias("r:diaSourceId")).cast("struct<`r:diaSourceId`:bigint>"))
+    texts = table(spark, sf_dir, "events").select(F.to_json(F.struct(F.col("user_id").alias("objectId"), inner.alias("rows"), F.col("event_type").alias("host-object-id"), F.lit("none").alias("sourceId"), F.lit(True).alias("objectIdKnown"))).alias("j"))
     return L.candidate_ids(L.walk_json(texts, "j"))
 
 
-@query("candidate_summary", "SELECT 'object' AS type, count(DISTINCT user_id) FILTER (user_id > 0) AS ids, 1::BIGINT AS fields, min(user_id::VARCHAR) FILTER (user_id > 0) AS example FROM events UNION ALL SELECT 'source', count(DISTINCT event_id) FILTER (event_id > 0), 1, min(event_id::VARCHAR) FILTER (event_id > 0) FROM events")
+@query("candidate_summary", IDS + """
+, r AS (SELECT *, row_number() OVER (PARTITION BY id_type ORDER BY value) AS place FROM c)
+SELECT t.id_type, count(r.value) AS ids, count(DISTINCT r.field) AS fields, '[' || coalesce(string_agg('"' || r.value || '"', ',' ORDER BY r.value) FILTER (r.place <= 5), '') || ']' AS examples
+FROM (VALUES ('diaObjectId'), ('diaSourceId'), ('other_object_ids'), ('other_source_ids')) t(id_type) LEFT JOIN r ON r.id_type = t.id_type GROUP BY 1""")
 def candidate_summary(spark, sf_dir):
     return L.candidate_summary(json_candidate_ids(spark, sf_dir))
 
 
-@query("best_candidate", "SELECT 'source' AS type, 'sourceId' AS field, min(event_id)::VARCHAR AS value FROM events WHERE event_id > 0")
+@query("best_candidate", IDS + "SELECT * FROM c WHERE id_type = 'diaSourceId' ORDER BY value LIMIT 1")
 def best_candidate(spark, sf_dir):
     return L.best_candidate(json_candidate_ids(spark, sf_dir), "source")
 
 
 @query("payload_rows", "SELECT event_id AS id, event_type AS name FROM events")
 def payload_rows(spark, sf_dir):
-    """Payloads of three usual shapes, in turn."""
+    """Payloads of six usual shapes, in turn."""
     e = table(spark, sf_dir, "events")
     one = F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("name")))
-    text = F.when(F.col("event_id") % 3 == 0, one).when(F.col("event_id") % 3 == 1, F.concat(F.lit("["), one, F.lit("]"))).otherwise(F.concat(F.lit('{"rows":['), one, F.lit("]}")))
-    return L.payload_rows(e.select(text.alias("t")), "t", "id bigint, name string")
+    shapes = [one, F.concat(F.lit("["), one, F.lit("]")), F.concat(F.lit('{"rows":['), one, F.lit("]}")), F.concat(F.lit("[["), one, F.lit("]]")), F.concat(F.lit('[{"data":['), one, F.lit("]}]")),
+        F.concat(F.lit('{"results":{"items":{"id":['), F.col("event_id"), F.lit('],"name":["'), F.col("event_type"), F.lit('"]}}}'))]
+    return L.payload_rows(e.select(F.element_at(F.array(*shapes), (F.col("event_id") % 6 + 1).cast("int")).alias("t")), "t", "id bigint, name string")
 
 
 @query("partition_labels", over_packets("SELECT 'band=' || b.value AS label, count(s.source_id) AS rows FROM (VALUES ('g'), ('r'), ('u')) b(value) LEFT JOIN sources s ON s.band = b.value GROUP BY 1"))

@@ -45,7 +45,7 @@ def delivery_checks(spark, sf_dir):
     return Z.delivery_checks(packets(spark, sf_dir), 60310.0, 60320.0)
 
 
-@query("schema_doc_fields", "SELECT n_name AS family, 'r:' || r_name AS field, 'nation ' || n_nationkey AS description, 'measurement field' AS meaning FROM nation JOIN region ON n_regionkey = r_regionkey")
+@query("schema_doc_fields", "SELECT n_name AS family, 'r:' || r_name AS field, 'nation ' || n_nationkey AS description, 'unknown column family' AS meaning FROM nation JOIN region ON n_regionkey = r_regionkey")
 def schema_doc_fields(spark, sf_dir):
     """Documents family -> field -> text, one a nation."""
     joined = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -54,13 +54,18 @@ def schema_doc_fields(spark, sf_dir):
     return Z.schema_fields(texts, "doc").withColumn("meaning", Z.prefix_meaning(F.col("field")))
 
 
-@query("field_concepts", "SELECT 'time' AS concept, 2::BIGINT AS fields UNION ALL SELECT 'place', 2 UNION ALL SELECT 'flux', 2 UNION ALL SELECT 'band', 1")
+@query("field_concepts", """
+WITH f AS (SELECT event_type || '_' || c AS field FROM (SELECT DISTINCT event_type FROM events), (VALUES ('mjd'), ('diaObjectId'), ('r:ra'), ('psfFlux'), ('band')) v(c)),
+m AS (SELECT * FROM (VALUES ('object_id', 'objectid|diaobjectid|diaobject|ssobjectid'), ('source_id', 'candid|diasourceid|diasource|alertid'), ('ra', ':ra| ra|jradeg|coord_ra|ra'), ('dec', ':dec|jdedeg|coord_dec|declination|dec'),
+  ('time', ':jd|mjd|midpointtai|tai|time|timestamp'), ('band_or_filter', 'fid|band|filter'), ('magnitude_or_flux', 'mag|flux|psf|snr'), ('classification', 'class|classification|rf_|snn|cats'), ('tag', 'tag'),
+  ('crossmatch_or_context', 'xmatch|simbad|tns|gaia|host|ssnamenr|mpc'), ('forced_photometry', 'forced|forcedsource|diaforcedsource'), ('cutout', 'cutout|stamp')) m(concept, mark)),
+r AS (SELECT concept, field, row_number() OVER (PARTITION BY concept ORDER BY field) AS place FROM m, f WHERE regexp_matches(lower(field), mark))
+SELECT m.concept, count(r.field) AS fields, coalesce(string_agg(r.field, ', ' ORDER BY r.field) FILTER (r.place <= 20), '') AS examples FROM m LEFT JOIN r ON r.concept = m.concept GROUP BY 1""")
 def field_concepts(spark, sf_dir):
-    """Concepts that the packets' field names speak of."""
-    fields = spark.createDataFrame([(n,) for n in packets(spark, sf_dir).columns] + [("jd_time",)], "field string")
-    marks = {"time": ["mjd", "jd", "time"], "place": ["ra", "dec"], "flux": ["flux"], "band": ["band"]}
-    wanted = fields.where(~F.col("field").isin("pred", "lc_features", "clf"))
-    return L.concepts(wanted, marks)
+    """Concepts of field names that are made of the events' kinds."""
+    kinds = table(spark, sf_dir, "events").select("event_type").distinct()
+    names = F.array(*map(F.lit, ["mjd", "diaObjectId", "r:ra", "psfFlux", "band"]))
+    return L.concepts(kinds.select("event_type", F.explode(names).alias("c")).select(F.concat_ws("_", "event_type", "c").alias("field")))
 
 
 @query("json_safe_bytes", r"SELECT doc_id, CASE WHEN lang = 'en' THEN text ELSE base64('\xFF'::BLOB || encode(text)) END AS safe FROM documents")

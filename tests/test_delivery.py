@@ -93,6 +93,13 @@ def test_nights(spark):
     assert got == {"2026-02-25": 1, "2026-02-26": 1, "out_of_window": 1, "unknown": 1}
 
 
+def test_nights_by_any_time(spark):
+    rows = [(61096.1, None), (None, "2026-02-26T23:59:00"), (float("nan"), "2026-03-01 00:00:00"), (None, "no time"), (61200.0, "2026-02-25")]
+    df = spark.createDataFrame(rows, "midpointMjdTai double, created_at string")
+    got = [r.night_key for r in I.with_night(df, start="2026-02-25", stop="2026-02-27").collect()]
+    assert got == ["2026-02-25", "2026-02-26", "out_of_window", "unknown", "out_of_window"]
+
+
 def test_aliases(spark):
     df = spark.createDataFrame([(1, "12.5", "x", "r", 3)], "`r:diaObjectId` long, `r:ra` string, ra string, `r:band` string, other int")
     got = I.normalize(df)
@@ -181,13 +188,28 @@ def test_flatten_skips_heavy_columns(spark):
 def test_walk_json(spark):
     df = spark.createDataFrame([('{"a": {"objectId": 12, "list": [{"sourceId": 7}, {"sourceId": 7}]}}',), ("not json",), (None,)], "j string")
     found = L.candidate_ids(L.walk_json(df, "j"))
-    assert sorted((r.type, r.value) for r in found.collect()) == [("object", "12"), ("source", "7")]
+    assert sorted((r.id_type, r.confidence, r.value) for r in found.collect()) == [("diaObjectId", "high", "12"), ("other_source_ids", "medium", "7")]
     deep = spark.createDataFrame([('{"a":' * 9 + '{"objectId": 5, "x": [true, "t", null]}' + "}" * 9,)], "j string")
     got = sorted((r.field, r.value) for r in L.walk_json(deep, "j").collect() if r.value is not None)
     assert got == [("objectId", "5"), ("x", "t"), ("x", "true")]
     assert L.walk_json(deep, "j").count() == 4
 
 
+def test_identifiers(spark):
+    text = '{"r:diaSourceId": "a1", "xDiaObjectId": 3.0, "my-object-id": -4, "object_id_known": true, "SourceUID": " none ", "source_id": 2.5, "objectId": null, "objectIds": [8, 9], "sid": 5}'
+    found = L.candidate_ids(L.walk_json(spark.createDataFrame([(text,)], "j string"), "j"))
+    assert sorted((r.id_type, r.value) for r in found.collect()) == [("diaObjectId", "3.0"), ("diaSourceId", "a1")]
+    assert L.best_candidate(found, "object").first().value == "3.0"
+    told = {r.id_type: (r.ids, r.examples) for r in L.candidate_summary(found).collect()}
+    assert told == {"diaObjectId": (1, '["3.0"]'), "diaSourceId": (1, '["a1"]'), "other_object_ids": (0, "[]"), "other_source_ids": (0, "[]")}
+
+
+def test_payload_shapes():
+    a, b = {"x": 1}, {"x": 2}
+    assert L.unwrapped([[a], [b]]) == L.unwrapped([{"data": [a]}, {"data": [b]}]) == L.unwrapped({"data": {"rows": [a, b]}}) == L.unwrapped({"x": [1, 2]}) == [a, b]
+    assert L.unwrapped({"data": None, "items": [a]}) == L.unwrapped(a) == [a] and L.unwrapped(None) == [] and L.unwrapped(5) == [{"value": 5}]
+
+
 def test_time_columns_count_only_numbers(spark):
     from skyledger.functions.timescale import rows_in_window
 
