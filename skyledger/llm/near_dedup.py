@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -28,6 +29,8 @@ PAIRED, ROUNDS = 64, 10
 FEW, TILE, SAMPLED, COMMON = 1000, 1000, 4000, 200_000
 #: Keys that may be broadcast (16 bytes each and some overhead).
 SMALL = 1_000_000
+#: Pairs of one shingle that are joined with their sets one by one at most, and texts of a block where there are more.
+LONE, BLOCK = 4, 128
 #: Odd factors that join word hashes to a shingle's and mix its bits.
 JOIN, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -168,7 +171,7 @@ def prefixes(texts: DataFrame, width: int, least: float, count: int) -> DataFram
 
 @tidy
 def candidates(texts: DataFrame, width: int, least: float, count: int) -> DataFrame:
-    """``a, b, shared``: all pairs of texts of different roots that can have a similarity of ``least``.
+    """``a, b, shared, by``: all pairs of texts of different roots that can have a similarity of ``least``.
 
     texts: ``id, apart, text``. Prefixes are shuffled once, by shingle, and both uses of them read that. Sizes bound the
     similarity, and so do the shared shingles of both prefixes with what can follow the last of them. A shingle of very many texts is dealt to tiles.
@@ -182,14 +185,40 @@ def candidates(texts: DataFrame, width: int, least: float, count: int) -> DataFr
     one = hits.select("shingle", F.pmod(F.xxhash64("id"), "tiles").cast("int").alias("tile"), F.col("id").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("at").alias("i"))
     other = hits.select("shingle", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.col("id").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("at").alias("j"))
     met = one.join(other, ["shingle", "tile"]).where(f"a < b and ra <> rb and least(na, nb) >= {least!r}D * greatest(na, nb) - 1e-6D")
-    pairs = met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("i").alias("i"), F.max("j").alias("j"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    return pairs.where(f"shared + least(na - i - 1, nb - j - 1) >= {least / (1 + least)!r}D * (na + nb) - 1e-6D").select("a", "b", "shared")
+    pairs = met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("i").alias("i"), F.max("j").alias("j"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.min("shingle").alias("by"))
+    return pairs.where(f"shared + least(na - i - 1, nb - j - 1) >= {least / (1 + least)!r}D * (na + nb) - 1e-6D").select("a", "b", "shared", "by")
+
+
+def similar_pairs(pairs: pd.DataFrame, sets: pd.DataFrame, least: float) -> pd.DataFrame:
+    """The pairs ``a, b`` of one tile whose sets ``id, shingles`` (sorted) have a similarity of ``least`` or more."""
+    held = dict(zip(sets["id"], sets["shingles"], strict=True))
+    near = np.zeros(len(pairs), bool)
+    for k, (a, b) in enumerate(zip(pairs["a"], pairs["b"], strict=True)):
+        x, y = sorted((held[a], held[b]), key=len)
+        at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+        shared = int((y[at] == x).sum())
+        near[k] = shared >= least * (len(x) + len(y) - shared) - 1e-9
+    return pairs.loc[near, ["a", "b"]]
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Those of the pairs that have a similarity of ``least`` or more."""
+    """Those of the pairs ``a, b, by`` that have a similarity of ``least`` or more.
+
+    by: a shingle of both texts. Where one brings many pairs together, its texts are dealt to blocks and each pair of
+    blocks is a tile, to which each set goes once and not with each of its pairs. Other pairs meet their sets by joins.
+    """
+    pairs = durable(pairs)
+    tiles = F.ceil(F.sqrt(2.0 * F.count("*")) / BLOCK).cast("int")
+    hot = durable(pairs.groupBy("by").agg(F.count("*").alias("n"), tiles.alias("tiles")).where(f"n > {LONE}").select("by", "tiles"))
     x, y = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    return durable(pairs.join(x, "a").join(y, "b").where(similarity("x", "y") >= least).select("a", "b"))
+    told = durable(pairs.join(bounded(hot), "by", "left"))
+    lone = told.where("tiles is null").select("a", "b").join(x, "a").join(y, "b").where(similarity("x", "y") >= least).select("a", "b")
+    block = lambda c: F.pmod(F.xxhash64(c), F.col("tiles")).cast("int")
+    dealt = durable(told.where("tiles is not null").select("by", block("a").alias("p"), block("b").alias("q"), "a", "b"))
+    key = ["by", "p", "q"]
+    needed = durable(dealt.select(*key, F.explode(F.array("a", "b")).alias("id")).distinct()).join(sets.select("id", "shingles"), "id")
+    both = dealt.groupBy(*key).cogroup(needed.groupBy(*key)).applyInPandas(lambda p, s: similar_pairs(p, s, least), "a long, b long")
+    return durable(lone.unionByName(both))
 
 
 @tidy
@@ -199,16 +228,16 @@ def exact_links(texts: DataFrame, width: int, least: float, count: int) -> DataF
     texts: ``id, apart, text``. The partner with most shingles in common is tried first; then all pairs whose ends are still apart.
     """
     pairs = candidates(texts, width, least, count)
-    both = pairs.select("a", "b", "shared").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared"))
-    best = durable(both.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b")))
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared", "by"))
+    best = durable(both.groupBy("a").agg(F.max_by(F.struct("b", "by"), F.struct("shared", "b")).alias("r")).select("a", "r.*"))
     compared = texts.join(bounded(best.select(F.col("a").alias("id"))), "id", "left_semi")
     sets = durable(shingle_sets(compared, width, "id", "apart"))
-    sure = verified(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, least)
+    sure = verified(best.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("by").alias("by")), sets, least)
     roots = sets.select("id", F.col("id").bitwiseXOR(F.col("apart")).alias("root"))
     old = roots.toDF("a", "ra"), roots.toDF("b", "rb")
     merged = rooted(sure.join(old[0], "a").join(old[1], "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
     now = durable(roots.join(bounded(merged.toDF("root", "top")), "root", "left").select("id", F.coalesce("top", "root").alias("root")))
-    apart = pairs.select("a", "b").join(now.toDF("a", "ra"), "a").join(now.toDF("b", "rb"), "b").where("ra <> rb").select("a", "b")
+    apart = pairs.join(now.toDF("a", "ra"), "a").join(now.toDF("b", "rb"), "b").where("ra <> rb").select("a", "b", "by")
     return sure.unionByName(verified(apart, sets, least))
 
 
