@@ -89,7 +89,11 @@ def place_large(large: list, loads: np.ndarray, share: float) -> list[tuple[int,
             loads[k] += r.size
             found.append((r.rid, k, 1.0))
             continue
-        parts = water(loads, float(r.size))
+        parts, left = np.zeros(len(loads)), float(r.size)
+        for k in np.argsort(loads, kind="stable"):  # as few shards as have the room
+            parts[k] = min(left, max(0.0, share - loads[k]))
+            left -= parts[k]
+        parts += water(loads + parts, left)
         loads += parts
         filled, ends = np.flatnonzero(parts > 0), np.cumsum(parts) / parts.sum()
         found += [(r.rid, int(k), 1.0 if k == filled[-1] else float(ends[k])) for k in filled]
@@ -145,7 +149,7 @@ def propagate(state: DataFrame, links: DataFrame, shards: int, capacity: float,
         seen = durable(seen.select("rid", "size", "shard", "to", F.least(F.ceil(gain * 16), F.lit(64)).cast("int").alias("level"), part.alias("part")))
         loads = np.zeros(shards) if fixed is None else fixed.copy()
         for r in seen.groupBy("shard").agg(F.sum("size").alias("bytes")).collect():
-            loads[r.shard] = r.bytes
+            loads[r.shard] += r.bytes
         # at most shards x shards x 65 x parts rows
         flows = seen.where("level > 0").groupBy("shard", "to", "level", "part").agg(F.sum("size").alias("bytes")).collect()
         edges = allowed_moves(flows, loads, capacity)
@@ -180,16 +184,28 @@ def fill(alone: DataFrame, n: int, loads: np.ndarray, total: float) -> list[Data
     return out
 
 
+def assigned(rows: DataFrame, dealt: DataFrame, buckets: int) -> DataFrame:
+    """The rows with the shard of their node. Rows of a node that is cut are spread evenly over its parts, in
+    buckets, so that no task ranks them all."""
+    ways = dealt.groupBy("whole").agg(F.array_sort(F.collect_list(F.struct("until", "shard"))).alias("ways"))  # shards entries at most
+    joined = rows.join(ways, "whole").withColumn("bucket", F.pmod(F.xxhash64("rid"), F.lit(buckets)))
+    own = W.partitionBy("whole", "bucket")
+    ranked = joined.where("size(ways) > 1").withColumn("place", (F.row_number().over(own.orderBy("rid")) - 0.5) / F.count("*").over(own))
+    parts = ranked.withColumn("shard", F.filter("ways", lambda w: F.col("place") < w["until"])[0]["shard"]).drop("place")
+    return joined.where("size(ways) = 1").withColumn("shard", F.col("ways")[0]["shard"]).unionByName(parts).drop("ways")
+
+
 @tidy
 def node_shards(rows: DataFrame, shards: int) -> DataFrame:
     """``whole, shard, until`` of every node: equal texts. until: 1, or, of a node that is cut, the end of the shard's part of it.
 
-    rows: ``size, whole, lines``.
+    rows: ``rid, size, whole, lines``.
     """
     nodes = durable(rows.groupBy(F.col("whole").alias("rid")).agg(F.sum("size").alias("size"), F.first("lines").alias("lines")))
     facts = nodes.agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).first()
     share, loads = float(facts.bytes or 0) / shards, np.zeros(shards)
     placed_first = place_large(nodes.where(F.col("size") > share * LARGE).select("rid", "size").collect(), loads, share)  # shards / LARGE nodes at most
+    large = rows.sparkSession.createDataFrame(placed_first, "whole long, shard int, until double")
     nodes = nodes.where(F.col("size") <= share * LARGE)
     every = nodes.select("rid", "size", F.explode("lines").alias("link"))
     shared = every.groupBy("link").agg(F.count("*").alias("members")).where("members > 1").select("link")
@@ -204,7 +220,6 @@ def node_shards(rows: DataFrame, shards: int) -> DataFrame:
         parts.append(state.select("rid", "shard"))
     alone = durable(nodes.select("rid", "size").join(links.select("rid"), "rid", "left_anti"))
     parts += fill(alone, facts.n - (sums.n or 0), loads, share * shards)
-    large = rows.sparkSession.createDataFrame(placed_first, "whole long, shard int, until double")
     return reduce(DataFrame.unionByName, [large, *(p.select(F.col("rid").alias("whole"), "shard", F.lit(1.0).alias("until")) for p in parts)])
 
 
@@ -226,11 +241,8 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     )
     n = rows.count()
     dealt = node_shards(rows, shards)
-    cut_nodes = durable(dealt.groupBy("whole").agg(F.array_sort(F.collect_list(F.struct("until", "shard"))).alias("ways")))  # shards entries at most
-    place = F.pmod(F.xxhash64("rid", F.lit("place")), F.lit(1 << 30)) / float(1 << 30)
-    way = F.filter("ways", lambda w: place < w["until"])[0]["shard"]
     buckets = max(1, -(-n // BUCKET_ROWS))
-    joined = rows.select("rid", "doc_id", "size", "text_crc32", "whole").join(cut_nodes, "whole").select("rid", "doc_id", "size", "text_crc32", way.alias("shard"), F.pmod(F.xxhash64("rid"), F.lit(buckets)).alias("bucket"))
+    joined = assigned(rows.drop("lines"), dealt, buckets).select("rid", "doc_id", "size", "text_crc32", "shard", "bucket")
     joined = durable(joined)
     counts = joined.groupBy("shard", "bucket").agg(F.count("*").alias("rows"))
     starts = counts.withColumn("start", F.sum("rows").over(W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)) - F.col("rows")).drop("rows")
