@@ -201,22 +201,43 @@ def similar_pairs(pairs: pd.DataFrame, sets: pd.DataFrame, least: float) -> pd.D
     return pairs.loc[near, ["a", "b"]]
 
 
+def sets_of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The sets of the pairs ``a, b`` alone, so that no others are shuffled."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    return sets.join(bounded(durable(ids)), "id", "left_semi")
+
+
+def short_list(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Pairs ``a, b`` that can still be near when shingles are told by half of their bits, which takes half of the bytes.
+
+    Equal shingles have equal halves, so that two sets share no more than their halves do, and what one lost by equal halves of its own.
+    """
+    halves = F.array_distinct(F.transform("shingles", lambda x: F.shiftright(x, 32).cast("int")))
+    cut = sets.select("id", F.size("shingles").alias("n"), halves.alias("h"))
+    met = pairs.join(cut.toDF("a", "na", "x"), "a").join(cut.toDF("b", "nb", "y"), "b")
+    most = F.size(F.array_intersect("x", "y")) + F.least(F.col("na") - F.size("x"), F.col("nb") - F.size("y"))
+    return met.where(most >= least / (1 + least) * (F.col("na") + F.col("nb")) - 1e-6).select("a", "b")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Those of the pairs ``a, b, by`` that have a similarity of ``least`` or more.
 
     by: a shingle of both texts. Where one brings many pairs together, its texts are dealt to blocks and each pair of
-    blocks is a tile, to which each set goes once and not with each of its pairs. Other pairs meet their sets by joins.
+    blocks is a tile, to which each set goes once and not with each of its pairs. Other pairs meet their sets by joins, those that
+    are left on a short list.
     """
     pairs = durable(pairs)
     tiles = F.ceil(F.sqrt(2.0 * F.count("*")) / BLOCK).cast("int")
     hot = durable(pairs.groupBy("by").agg(F.count("*").alias("n"), tiles.alias("tiles")).where(f"n > {LONE}").select("by", "tiles"))
-    x, y = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     told = durable(pairs.join(bounded(hot), "by", "left"))
-    lone = told.where("tiles is null").select("a", "b").join(x, "a").join(y, "b").where(similarity("x", "y") >= least).select("a", "b")
+    lone = durable(told.where("tiles is null").select("a", "b"))
+    few = durable(short_list(lone, sets_of(lone, sets), least))
+    own = sets_of(few, sets).select("id", "shingles")
+    lone = few.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b").where(similarity("x", "y") >= least).select("a", "b")
     block = lambda c: F.pmod(F.xxhash64(c), F.col("tiles")).cast("int")
     dealt = durable(told.where("tiles is not null").select("by", block("a").alias("p"), block("b").alias("q"), "a", "b"))
     key = ["by", "p", "q"]
-    needed = durable(dealt.select(*key, F.explode(F.array("a", "b")).alias("id")).distinct()).join(sets.select("id", "shingles"), "id")
+    needed = durable(dealt.select(*key, F.explode(F.array("a", "b")).alias("id")).distinct()).join(sets_of(dealt, sets).select("id", "shingles"), "id")
     both = dealt.groupBy(*key).cogroup(needed.groupBy(*key)).applyInPandas(lambda p, s: similar_pairs(p, s, least), "a long, b long")
     return durable(lone.unionByName(both))
 
