@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 import tempfile
 import threading
 import uuid
@@ -86,6 +87,8 @@ def tidy(step: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
             STEPS.open = STEPS.open[:-1]
             path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            gc.collect()
+            spark._jvm.System.gc()  # Spark deletes shuffle files when the driver lets go of what made them
 
     return run
 
