@@ -10,11 +10,14 @@ from skyledger.llm.mixing import MIX_SQL, mix
 from skyledger.llm.neighbours import nearest
 from skyledger.llm.packing import pack_documents
 from skyledger.llm.quality import BASE, quality_rules
+from skyledger.llm.ranking import SEARCH_SQL, lexical_search
+from skyledger.llm.runs import run_digests
 from skyledger.llm.sharding import shard_documents
 from skyledger.llm.simhash import simhash_near_duplicates
 from skyledger.llm.token_counts import token_counts
 from skyledger.llm.toxicity import toxicity
 from skyledger.llm.urls import url_filter
+from skyledger.llm.window_packing import pack_windows
 
 
 def tokenizer(name: str) -> str:
@@ -64,6 +67,18 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_least_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_windows(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_label_propagation_shards": op1_label_propagation_shards,
     "op2_token_counts": op2_token_counts,
@@ -75,5 +90,8 @@ QUERIES = {
     "op8_simhash_near_duplicates": op8_simhash_near_duplicates,
     "op9_quality_rules": op9_quality_rules,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_least_squares_packing": op13_least_squares_packing,
 }
-ORACLE = {"op6_mix_sources": MIX_SQL}
+ORACLE = {"op6_mix_sources": MIX_SQL, "op12_lexical_search": SEARCH_SQL}
