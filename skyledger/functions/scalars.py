@@ -54,13 +54,8 @@ def text_of_bytes(b: Column) -> Column:
     return F.when(F.is_valid_utf8(b.cast("string")), b.cast("string")).otherwise(F.translate(F.base64(b), "\r\n", ""))
 
 
-def packet_type(description: Column) -> Column:
-    """``full``, ``light`` or ``unknown`` from a run's content text."""
-    text = F.lower(F.coalesce(description, F.lit("")))
-    return F.when(text.contains("full"), F.lit("full")).when(text.contains("light"), F.lit("light")).otherwise(F.lit("unknown"))
-
-
-def window_scope(start: Column, stop: Column) -> Column:
-    """A run's scope by the number of its nights."""
-    nights = F.datediff(stop, start)
-    return F.when(nights <= 0, F.lit("invalid")).when(nights == 1, F.lit("single_night")).when(nights <= 7, F.lit("week")).otherwise(F.lit("date_range"))
+def packet_type(content: Column) -> Column:
+    """``full``, ``medium``, ``light_static`` or ``unknown`` from a run's content text; the first of them that it speaks of."""
+    text = F.lower(F.coalesce(content, F.lit("")))
+    light = text.contains("light") | text.contains("static")
+    return F.when(text.contains("full"), F.lit("full")).when(text.contains("medium"), F.lit("medium")).when(light, F.lit("light_static")).otherwise(F.lit("unknown"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import zip_longest
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -175,7 +176,7 @@ def unwrapped(payload) -> list:
             elif held is not None:
                 todo.append(held)
             elif x and all(isinstance(y, list) for y in x.values()):
-                out += [dict(zip(x, row, strict=True)) for row in zip(*x.values(), strict=False)]
+                out += [dict(zip(x, row, strict=True)) for row in zip_longest(*x.values())]  # shorter lists end in nulls
             else:
                 out.append(x)
         elif x is not None:

@@ -3,7 +3,7 @@
 Every rule is a column expression, so that a table of any number of runs is judged in one pass without a shuffle. Columns
 that the rules read: ``run, scope, packet_type, is_all_alert, filters`` (an array of strings), ``lifecycle_state``,
 ``execution_partial``, ``validation_status``, ``lag_zero``, ``expected_total, readable_rows, nights`` (the number of
-expected nights), ``start, stop`` (dates) and the four claims. A null counts as absent evidence.
+expected nights), ``start, stop`` (dates) and the four claims. Scopes may go by their aliases. A null counts as absent evidence.
 """
 
 from __future__ import annotations
@@ -34,6 +34,11 @@ STEPS = {
     "failed": ["declared", "topic_registered", "archived"],
     "archived": [],
 }
+#: Names of data scopes by which requests call them.
+DATA_SCOPE_ALIASES = {
+    "smoke_delivery": "smoke", "tag_filtered_smoke_delivery": "bounded_tag", "full_night": "single_night", "full_night_all_alerts": "single_night",
+    "full_week_full_packet": "full_week",
+}
 SCOPE_ALIASES = {"tag_filtered_smoke_delivery": "smoke_delivery", "full_night_all_alerts": "full_night"}
 POLICY_FIELDS = "path_component string, is_tag_filtered boolean, is_all_alert boolean, is_single_night boolean, is_multi_night boolean, packet_type string, content_type string, completeness_default string, allow_completeness_only_after_validation boolean"
 POLICIES = {
@@ -50,6 +55,26 @@ def said(x: Column) -> Column:
     return F.coalesce(x, F.lit(False))
 
 
+def renamed(name: Column, aliases: dict[str, str]) -> Column:
+    """A name, or what it is an alias of."""
+    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in aliases.items() for x in pair)), name), name)
+
+
+def data_scope(name: Column) -> Column:
+    return renamed(name, DATA_SCOPE_ALIASES)
+
+
+def infer_scope(start: Column, stop: Column, filters: Column, asked: Column) -> Column:
+    """The scope of a request: the one that it asks for, by any alias; else ``bounded_tag`` if it filters, else by its number of nights.
+
+    What can't be told is null: a scope that isn't known, or a window without nights.
+    """
+    nights, known = F.datediff(stop, start), data_scope(asked)
+    by_length = F.when(nights == 1, "single_night").when(nights <= 7, "full_week").when(nights <= 31, "full_month").otherwise("multi_night")
+    free = F.when(nights > 0, F.when(F.size(filters) > 0, F.lit("bounded_tag")).otherwise(by_length))
+    return F.when(F.coalesce(asked, F.lit("")) != "", F.when(known.isin(DATA_SCOPES), known)).otherwise(free)
+
+
 def bare() -> Column:
     """Rows that are filtered, or not of all alerts: they can support no claim about all of them."""
     return said(F.size("filters") > 0) | ~said(F.col("is_all_alert"))
@@ -61,7 +86,7 @@ def completeness_claims(runs: DataFrame) -> DataFrame:
     Readable rows never prove completeness by themselves. One night may be claimed on strict evidence: validation passed,
     no lag, and as many readable rows as were expected. A range is its own unit and never a week.
     """
-    c, is_range = F.col, said(F.col("scope") == "date_range")
+    c, is_range = F.col, said(data_scope(F.col("scope")) == "date_range")
     strict = said((c("validation_status") == "passed") & c("lag_zero") & (c("expected_total") != 0) & (c("readable_rows") == c("expected_total")))
     case = (
         F.when(said(c("execution_partial")) | bare(), 0).when(c("packet_type") == "unknown", 1).when(strict & said(c("nights") == 1), 2).otherwise(3)
@@ -80,10 +105,11 @@ def completeness_claims(runs: DataFrame) -> DataFrame:
 def default_claims(runs: DataFrame) -> DataFrame:
     """``run`` and the four claims that a run may make before anything is validated."""
     c = F.col
-    is_range, filtered, raw = said(c("scope") == "date_range"), said(F.size("filters") > 0), said(c("lifecycle_state").isin(RAW_INCOMPLETE))
+    scope = data_scope(c("scope"))
+    is_range, filtered, raw = said(scope == "date_range"), said(F.size("filters") > 0), said(c("lifecycle_state").isin(RAW_INCOMPLETE))
     no_range = bare() | said(c("packet_type") != "light_static")
     open_ = F.when(is_range, ~(no_range | raw)).otherwise(~(raw | bare()))
-    long = c("scope").isin("full_week", "full_month", "multi_night")
+    long = scope.isin("full_week", "full_month", "multi_night")
     week = (
         F.when(is_range, False).when(raw, ~filtered).when(bare(), False).when(c("packet_type") == "unknown", True).otherwise(said(long))
     )
@@ -93,20 +119,25 @@ def default_claims(runs: DataFrame) -> DataFrame:
     )
 
 
+def unsupported(text: str, value: Column) -> Column:
+    return F.concat(F.lit(text), F.coalesce(value, F.lit("None")))
+
+
 def run_rules(runs: DataFrame) -> DataFrame:
     """``run, errors, warnings``: contradictions among a run's own entries, each an array of texts in a fixed order."""
     c = F.col
     nights = F.datediff(c("stop"), c("start"))
-    is_range, filtered, whole = said(c("scope") == "date_range"), said(F.size("filters") > 0), said(c("is_all_alert"))
+    scope = data_scope(c("scope"))
+    is_range, filtered, whole = said(scope == "date_range"), said(F.size("filters") > 0), said(c("is_all_alert"))
     raw = said(c("lifecycle_state").isin(RAW_INCOMPLETE))
     allowed = {k: said(c(k) == "allowed") for k in CLAIMS}
     when = lambda x, text: F.when(x, F.lit(text) if isinstance(text, str) else text)
     errors = F.array(
-        when(~said(nights > 0), "stopdate must be after startdate"),
+        when(~said(nights > 0), "startdate must be before stopdate"),
         when(said((nights > 0) & (c("nights") != nights)), "expected_nights must match the half-open UTC startdate/stopdate window"),
-        when(~said(c("scope").isin(DATA_SCOPES)), "unknown scope"),
-        when(~said(c("lifecycle_state").isin(list(STEPS))), "unknown lifecycle_state"),
-        *(when(~said(c(k).isin(CLAIM_STATES)), f"{k}: unknown claim state") for k in CLAIMS),
+        when(~said(scope.isin(DATA_SCOPES)), unsupported("Unsupported run scope: ", c("scope"))),
+        when(~said(c("lifecycle_state").isin(list(STEPS))), unsupported("Unsupported lifecycle state: ", c("lifecycle_state"))),
+        *(when(~said(c(k).isin(CLAIM_STATES)), unsupported(f"{k}: Unsupported claim state: ", c(k))) for k in CLAIMS),
         when(~said(c("packet_type").isin(PACKET_TYPES)), f"packet_type must be one of {sorted(PACKET_TYPES)}"),
         when(filtered & whole, "filters imply is_all_alert = false"),
         when(filtered & whole, "all-alert manifests must not have filters"),
@@ -121,15 +152,15 @@ def run_rules(runs: DataFrame) -> DataFrame:
     some = allowed[CLAIMS[0]] | allowed[CLAIMS[1]] | allowed[CLAIMS[2]] | allowed[CLAIMS[3]]
     warnings = F.array(
         when(said(c("packet_type") == "unknown"), "unknown packet_type keeps completeness claims strict"),
-        when(~whole & ~filtered & said(c("scope").isin("single_night", "multi_night", "full_week", "full_month", "date_range")), "unfiltered non-all-alert manifest has conservative completeness claims"),
+        when(~whole & ~filtered & said(scope.isin("single_night", "multi_night", "full_week", "full_month", "date_range")), "unfiltered non-all-alert manifest has conservative completeness claims"),
         when(said(c("lifecycle_state") == "validated_with_warnings") & some, "validated_with_warnings requires explicit review before allowing claims"),
     )
     return runs.select("run", F.array_compact(errors).alias("errors"), F.array_compact(warnings).alias("warnings"))
 
 
 def illegal_steps(steps: DataFrame) -> DataFrame:
-    """Rows of ``run, from_state, to_state`` whose step the lifecycle does not allow; unknown states allow none."""
-    legal = F.lit(False)
+    """Rows of ``run, from_state, to_state`` whose step the lifecycle does not allow. A known state may stay as it is; unknown states allow nothing."""
+    legal = (F.col("from_state") == F.col("to_state")) & F.col("from_state").isin(list(STEPS))
     for state, later in STEPS.items():
         if later:
             legal = legal | ((F.col("from_state") == state) & F.col("to_state").isin(later))
@@ -139,9 +170,7 @@ def illegal_steps(steps: DataFrame) -> DataFrame:
 def with_policy(runs: DataFrame) -> DataFrame:
     """``run, scope, supported`` and the policy's fields of each run's scope, which may go by an alias. A scope without a policy
     is not supported, and its fields are null."""
-    name = F.col("scope")
-    for alias, scope in SCOPE_ALIASES.items():
-        name = F.when(F.col("scope") == alias, scope).otherwise(name)
+    name = renamed(F.col("scope"), SCOPE_ALIASES)
     fields = [f.split() for f in POLICY_FIELDS.split(", ")]
     columns = []
     for k, (field, kind) in enumerate(fields):
@@ -182,3 +211,24 @@ def raw_readiness(audits: DataFrame, min_free_gb: float = 20.0) -> DataFrame:
         (n("readable_rows") / expected * 100).alias("apparent_percent_complete"),
         F.when(expected.isNotNull(), F.greatest(expected - n("readable_rows"), F.lit(0))).cast("long").alias("remaining_rows"), (terminal - n("readable_rows")).cast("long").alias("terminal_progress_gap"),
     )
+
+
+#: What to do next about a delivery in each state; in any other, to wait and look again.
+NEXT_ACTIONS = {
+    "raw_missing": "resume_same_topic_same_directory",
+    "download_active": "wait_and_check_again",
+    "blocked_disk_risk": "stop_due_to_disk_risk",
+    "blocked_corrupt_raw": "inspect_partial_only",
+    "partial_download": "resume_same_topic_same_directory",
+    "partial_with_errors": "resume_same_topic_same_directory",
+    "ready_for_raw_schema_inspection": "ready_for_ingestion",
+    "appears_complete_unverified": "ready_for_ingestion",
+    "ready_for_ingestion": "ready_for_ingestion",
+}
+OTHER_ACTION = "wait_and_check_again"
+
+
+def next_action(readiness: DataFrame) -> DataFrame:
+    """``delivery, state, action``: what to do next about each delivery, by its state (see ``raw_readiness``); without one, to wait and look again."""
+    action = F.element_at(F.create_map(*(F.lit(x) for pair in NEXT_ACTIONS.items() for x in pair)), F.col("state"))
+    return readiness.select("delivery", "state", F.coalesce(action, F.lit(OTHER_ACTION)).alias("action"))

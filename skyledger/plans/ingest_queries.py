@@ -169,8 +169,8 @@ def night_coverage(spark, sf_dir):
 
 
 RUNS = """
-WITH g AS (SELECT user_id AS run, count(*) AS n, min(event_id) AS e FROM events GROUP BY user_id),
-runs AS (SELECT run, n, (['smoke', 'single_night', 'single_night', 'multi_night', 'full_week', 'date_range', 'date_range', 'elsewhere'])[(run % 8 + 1)::INT] AS scope,
+WITH asked AS (SELECT *, (['smoke', 'single_night', 'single_night', 'multi_night', 'full_week', 'date_range', 'date_range', 'elsewhere', 'smoke_delivery', 'full_night', 'full_night_all_alerts', 'tag_filtered_smoke_delivery', 'full_week_full_packet', 'date_range', 'full_month', 'bounded_tag'])[(user_id % 16 + 1)::INT] AS asked, user_id AS run FROM (SELECT user_id, count(*) AS n, min(event_id) AS e FROM events GROUP BY user_id)),
+runs AS (SELECT run, n, asked, CASE asked WHEN 'smoke_delivery' THEN 'smoke' WHEN 'tag_filtered_smoke_delivery' THEN 'bounded_tag' WHEN 'full_night' THEN 'single_night' WHEN 'full_night_all_alerts' THEN 'single_night' WHEN 'full_week_full_packet' THEN 'full_week' ELSE asked END AS scope,
   (['light_static', 'light_static', 'light_static', 'light_static', 'full', 'unknown', 'odd'])[(e % 7 + 1)::INT] AS packet_type, run % 11 <> 3 AS is_all_alert, CASE WHEN run % 13 = 1 THEN 1 ELSE 0 END AS n_filters,
   (['declared', 'raw_partial', 'validated', 'validated', 'validated_with_warnings', 'ingested', 'failed', 'nowhere'])[(e % 8 + 1)::INT] AS lifecycle_state,
   (['raw_inspected', 'validated', 'archived', 'failed', 'declared'])[(n % 5 + 1)::INT] AS later_state, run % 17 = 2 AS execution_partial,
@@ -178,10 +178,16 @@ runs AS (SELECT run, n, (['smoke', 'single_night', 'single_night', 'multi_night'
   CASE WHEN run % 3 <> 0 THEN n END AS expected_total, n - CASE WHEN run % 7 = 0 THEN 1 ELSE 0 END AS readable_rows, CASE WHEN run % 8 IN (3, 4, 5) THEN 3 ELSE 1 END AS nights,
   DATE '2024-01-01' AS start, DATE '2024-01-01' + (CASE WHEN run % 8 IN (3, 4, 5, 6) THEN 3 ELSE 1 END - CASE WHEN run % 19 = 4 THEN 3 ELSE 0 END)::INT AS stop,
   CASE WHEN e % 3 = 0 THEN 'allowed' ELSE 'unresolved' END AS c0, CASE WHEN e % 4 = 0 THEN 'allowed' ELSE 'blocked' END AS c1, CASE WHEN e % 5 = 0 THEN 'allowed' ELSE 'rejected' END AS c2,
-  CASE WHEN e % 6 = 0 THEN 'allowed' WHEN e % 6 = 1 THEN 'perhaps' ELSE 'blocked' END AS c3 FROM g)
+  CASE WHEN e % 6 = 0 THEN 'allowed' WHEN e % 6 = 1 THEN 'perhaps' ELSE 'blocked' END AS c3 FROM asked)
 """
 
 
+ASKED = [
+    "smoke", "single_night", "single_night", "multi_night", "full_week", "date_range", "date_range", "elsewhere", "smoke_delivery", "full_night", "full_night_all_alerts",
+    "tag_filtered_smoke_delivery", "full_week_full_packet", "date_range", "full_month", "bounded_tag",
+]
+
+
 def runs(spark, sf_dir):
     """A run a user, with entries by fixed formulas that meet every branch of the rules."""
     u, n, e = F.col("run"), F.col("n"), F.col("e")
@@ -190,7 +196,7 @@ def runs(spark, sf_dir):
     long = lambda *k: F.when((u % 8).isin(*k), 3).otherwise(1)
     allowed = lambda k, other: F.when(e % k == 0, "allowed").otherwise(other)
     return g.select(
-        "run", "n", one_of(["smoke", "single_night", "single_night", "multi_night", "full_week", "date_range", "date_range", "elsewhere"], u).alias("scope"),
+        "run", "n", one_of(ASKED, u).alias("scope"),
         one_of(["light_static", "light_static", "light_static", "light_static", "full", "unknown", "odd"], e).alias("packet_type"), (u % 11 != 3).alias("is_all_alert"),
         F.when(u % 13 == 1, F.array(F.lit("tag=x"))).otherwise(F.array().cast("array<string>")).alias("filters"),
         one_of(["declared", "raw_partial", "validated", "validated", "validated_with_warnings", "ingested", "failed", "nowhere"], e).alias("lifecycle_state"),
@@ -226,8 +232,8 @@ def default_claims(spark, sf_dir):
 
 @query("run_problems", RUNS + """
 , f AS (SELECT *, date_diff('day', start, stop) AS days, lifecycle_state IN ('declared', 'topic_registered', 'download_pending', 'download_active', 'raw_missing', 'raw_partial') AS raw FROM runs)
-SELECT run, concat_ws('; ', CASE WHEN days <= 0 THEN 'stopdate must be after startdate' END, CASE WHEN days > 0 AND nights <> days THEN 'expected_nights must match the half-open UTC startdate/stopdate window' END,
-  CASE WHEN scope = 'elsewhere' THEN 'unknown scope' END, CASE WHEN lifecycle_state = 'nowhere' THEN 'unknown lifecycle_state' END, CASE WHEN c3 = 'perhaps' THEN 'range_completeness: unknown claim state' END,
+SELECT run, concat_ws('; ', CASE WHEN days <= 0 THEN 'startdate must be before stopdate' END, CASE WHEN days > 0 AND nights <> days THEN 'expected_nights must match the half-open UTC startdate/stopdate window' END,
+  CASE WHEN scope = 'elsewhere' THEN 'Unsupported run scope: elsewhere' END, CASE WHEN lifecycle_state = 'nowhere' THEN 'Unsupported lifecycle state: nowhere' END, CASE WHEN c3 = 'perhaps' THEN 'range_completeness: Unsupported claim state: perhaps' END,
   CASE WHEN packet_type = 'odd' THEN 'packet_type must be one of [''full'', ''light_static'', ''medium'', ''unknown'']' END,
   CASE WHEN n_filters > 0 AND is_all_alert THEN 'filters imply is_all_alert = false' END, CASE WHEN n_filters > 0 AND is_all_alert THEN 'all-alert manifests must not have filters' END,
   CASE WHEN scope = 'date_range' AND packet_type <> 'light_static' THEN 'date_range scope is defined only for packet_type light_static' END,
@@ -245,7 +251,7 @@ def run_problems(spark, sf_dir):
 
 
 @query("illegal_transitions", RUNS + """
-SELECT run, lifecycle_state AS from_state, later_state AS to_state FROM runs WHERE NOT ((lifecycle_state IN ('declared', 'raw_partial', 'validated_with_warnings', 'ingested') AND later_state = 'failed') OR (lifecycle_state = 'raw_partial' AND later_state = 'raw_inspected')
+SELECT run, lifecycle_state AS from_state, later_state AS to_state FROM runs WHERE NOT ((lifecycle_state = later_state AND lifecycle_state <> 'nowhere') OR (lifecycle_state IN ('declared', 'raw_partial', 'validated_with_warnings', 'ingested') AND later_state = 'failed') OR (lifecycle_state = 'raw_partial' AND later_state = 'raw_inspected')
   OR (lifecycle_state IN ('validated', 'validated_with_warnings', 'failed') AND later_state = 'archived') OR (lifecycle_state IN ('validated_with_warnings', 'ingested') AND later_state = 'validated') OR (lifecycle_state = 'failed' AND later_state = 'declared'))""")
 def illegal_transitions(spark, sf_dir):
     return R.illegal_steps(runs(spark, sf_dir).select("run", F.col("lifecycle_state").alias("from_state"), F.col("later_state").alias("to_state")))
@@ -265,7 +271,7 @@ def run_policies(spark, sf_dir):
     return R.with_policy(users.withColumn("scope", F.element_at(F.array(*map(F.lit, given)), (F.col("run") % 8 + 1).cast("int"))))
 
 
-@query("raw_readiness", """
+READINESS = """
 WITH a AS (SELECT l_suppkey AS delivery, l_suppkey % 10 <> 3 AS present, CASE WHEN l_suppkey % 10 = 4 THEN 0 ELSE count(*) END AS files, count(*) AS parquet_files,
   CASE WHEN l_suppkey % 10 = 5 THEN count(*) ELSE count(*) FILTER (l_returnflag = 'R' AND l_suppkey % 10 = 6) END AS unreadable, l_suppkey % 10 = 7 AS active, CASE WHEN l_suppkey % 10 = 8 THEN 2 ELSE 0 END AS tiny,
   CASE WHEN l_suppkey % 30 = 19 THEN 0 ELSE sum(l_quantity)::BIGINT END AS readable_rows, CASE WHEN l_suppkey % 10 = 9 THEN 0 ELSE 600 * count(*) // 20 END AS expected_total, CASE WHEN l_suppkey % 4 <> 0 THEN 1000 END AS progress,
@@ -277,6 +283,10 @@ l AS (SELECT * FROM (VALUES (1, 'blocked_disk_risk', 'Free disk space is below t
   (7, 'partial_download', 'Tiny suspicious files were detected.'), (8, 'partial_download', 'Readable rows are below the expected terminal total.'),
   (9, 'ready_for_raw_schema_inspection', 'Readable rows meet or exceed the expected total; raw download appears complete but unvalidated.'), (10, 'appears_complete_unverified', 'Readable rows exist, but no expected total was supplied.'),
   (11, 'partial_download', 'No readable rows were counted.')) l(k, state, reason))
+"""
+
+
+@query("raw_readiness", READINESS + """
 SELECT delivery, state, reason, k = 9 AS raw_download_appears_complete, k IN (9, 10) AS ingestion_allowed, round(readable_rows / expected * 100, 6) AS apparent_percent_complete, greatest(expected - readable_rows, 0)::BIGINT * CASE WHEN expected IS NULL THEN NULL ELSE 1 END AS remaining_rows,
   (progress - readable_rows)::BIGINT AS terminal_progress_gap FROM s JOIN l USING (k)""")
 def raw_readiness(spark, sf_dir):
@@ -291,9 +301,31 @@ def raw_readiness(spark, sf_dir):
     return R.raw_readiness(audits).withColumn("apparent_percent_complete", F.round("apparent_percent_complete", 6))
 
 
-@query("run_scopes", "SELECT 'a1' AS acquisition_id, 'date_range' AS scope UNION ALL SELECT 'a2', 'date_range'")
+@query("run_scopes", """
+WITH r AS (SELECT user_id AS run, count(*) AS n FROM events GROUP BY 1),
+w AS (SELECT run, ([1, 7, 8, 31, 32, 0, 2])[(run % 7 + 1)::INT] AS nights, run % 5 = 0 AS filtered, ([NULL, NULL, 'full_night', 'smoke_delivery', 'date_range', 'elsewhere', NULL, 'tag_filtered_smoke_delivery', 'full_night_all_alerts', 'full_week_full_packet', '', 'partial_schema_only'])[(n % 12 + 1)::INT] AS asked,
+  (['Full-packet', 'Medium packet', 'Light static packet', 'Static', 'full medium', 'something', NULL])[(n % 7 + 1)::INT] AS content FROM r)
+SELECT run, CASE asked WHEN 'full_night' THEN 'single_night' WHEN 'full_night_all_alerts' THEN 'single_night' WHEN 'smoke_delivery' THEN 'smoke' WHEN 'tag_filtered_smoke_delivery' THEN 'bounded_tag' WHEN 'full_week_full_packet' THEN 'full_week'
+  WHEN 'date_range' THEN 'date_range' WHEN 'partial_schema_only' THEN 'partial_schema_only' WHEN 'elsewhere' THEN NULL
+  ELSE CASE WHEN nights = 0 THEN NULL WHEN filtered THEN 'bounded_tag' WHEN nights = 1 THEN 'single_night' WHEN nights <= 7 THEN 'full_week' WHEN nights <= 31 THEN 'full_month' ELSE 'multi_night' END END AS scope,
+  CASE WHEN content ILIKE '%full%' THEN 'full' WHEN content ILIKE '%medium%' THEN 'medium' WHEN content ILIKE '%light%' OR content ILIKE '%static%' THEN 'light_static' ELSE 'unknown' END AS packet_type FROM w""")
 def run_scopes(spark, sf_dir):
-    return acquisition_table(spark).select("acquisition_id", S.window_scope(F.col("start"), F.col("stop")).alias("scope"))
+    """A request a user: windows of all lengths, filters, and scopes that are asked for by name or alias."""
+    asked = [None, None, "full_night", "smoke_delivery", "date_range", "elsewhere", None, "tag_filtered_smoke_delivery", "full_night_all_alerts", "full_week_full_packet", "", "partial_schema_only"]
+    one_of = lambda values, k: F.element_at(F.array(*map(F.lit, values)), (k % len(values) + 1).cast("int"))
+    r = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("run")).agg(F.count("*").alias("n"))
+    start = F.lit("2024-01-01").cast("date")
+    stop = F.date_add(start, one_of([1, 7, 8, 31, 32, 0, 2], F.col("run")))
+    filters = F.when(F.col("run") % 5 == 0, F.array(F.lit("tag=x"))).otherwise(F.array().cast("array<string>"))
+    content = one_of(["Full-packet", "Medium packet", "Light static packet", "Static", "full medium", "something", None], F.col("n"))
+    return r.select("run", R.infer_scope(start, stop, filters, one_of(asked, F.col("n")).cast("string")).alias("scope"), S.packet_type(content).alias("packet_type"))
+
+
+@query("next_action", READINESS + """
+SELECT delivery, state, CASE WHEN k = 1 THEN 'stop_due_to_disk_risk' WHEN k = 4 THEN 'inspect_partial_only' WHEN k = 5 THEN 'wait_and_check_again' WHEN k IN (9, 10) THEN 'ready_for_ingestion'
+  ELSE 'resume_same_topic_same_directory' END AS action FROM s JOIN l USING (k)""")
+def next_action(spark, sf_dir):
+    return R.next_action(raw_readiness(spark, sf_dir))
 
 
 @query("remaining_rows", RUNS + "SELECT run, CASE WHEN expected_total IS NOT NULL THEN greatest(expected_total - readable_rows, 0) END::BIGINT AS remaining FROM runs")

@@ -82,7 +82,7 @@ def json_safe_texts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text_of_bytes(whole).alias("safe"), text_of_bytes(F.concat(F.unhex(F.lit("FF")), whole)).alias("broken"))
 
 
-@query("packet_types", "SELECT event_type, 'full' AS kind FROM events WHERE event_type = 'view' UNION ALL SELECT event_type, 'light' FROM events WHERE event_type = 'click' UNION ALL SELECT event_type, 'unknown' FROM events WHERE event_type NOT IN ('view', 'click')")
+@query("packet_types", "SELECT event_type, 'full' AS kind FROM events WHERE event_type = 'view' UNION ALL SELECT event_type, 'light_static' FROM events WHERE event_type = 'click' UNION ALL SELECT event_type, 'unknown' FROM events WHERE event_type NOT IN ('view', 'click')")
 def packet_types(spark, sf_dir):
     text = F.when(F.col("event_type") == "view", "Full packets").when(F.col("event_type") == "click", "LIGHT").otherwise("something")
     return table(spark, sf_dir, "events").select("event_type", packet_type(text).alias("kind"))
