@@ -37,14 +37,14 @@ def admission_errors(schema: T.StructType) -> list[str]:
     return [f"{p}: {'missing' if (k := field_type(schema, p)) is None else k.simpleString()}" for p, want in STRICT.items() if field_type(schema, p) != want]
 
 
-def project_sources(packets: DataFrame, acquisition: str) -> DataFrame:
-    """One typed row a packet; optional paths that are missing become typed nulls."""
+def project_sources(packets: DataFrame, acquisition: str, *keep: str) -> DataFrame:
+    """One typed row a packet, with the columns ``keep`` beside it; optional paths that are missing become typed nulls."""
     if errors := admission_errors(packets.schema):
         raise ValueError("; ".join(errors))
     flat = [(F.col(path).cast(kind) if field_type(packets.schema, path) else F.lit(None).cast(kind)).alias(name) for name, path, kind in FLAT]
     options = {"ignoreNullFields": "false"}
     shots = [(F.to_json(c, options) if c in packets.columns else F.lit(None).cast("string")).alias(f"{c}_json") for c in SNAPSHOTS]
-    typed = packets.select(F.lit(acquisition).alias("acquisition_id"), *flat, *shots)
+    typed = packets.select(F.lit(acquisition).alias("acquisition_id"), *flat, *shots, *keep)
     kind = population(F.col("is_sso"), F.col("raw_object_id"))
     return typed.withColumn("population", kind).withColumn("object_id", F.when(kind == DIA, F.col("raw_object_id")))
 

@@ -4,10 +4,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from skyledger.operators import catalog as C
 from skyledger.operators.explore import sampled
 from skyledger.plans.registry import query
+from skyledger.plans.sql import over_packets
+from skyledger.sources import audit as A
 from skyledger.sources import delivery as D
-from skyledger.sources.adapters import table
+from skyledger.sources.adapters import alerts, table
 
 
 def files(spark, sf_dir):
@@ -19,29 +22,52 @@ def named(df):
     return df.withColumn("name", F.substring_index(F.regexp_replace("path", "\\.parquet/.*$", ".parquet"), "/", -1))
 
 
-@query("file_types")
+#: The files themselves, where DuckDB sees them: the folder of the scale at which results are compared.
+AT = "/root/testdata/sf0.01"
+BLOBS = f"""
+WITH b AS (SELECT filename AS path, parse_filename(filename) AS name, size AS length, sha256(content) AS sha256, last_modified, 'file:' || filename AS uri FROM read_blob('{AT}/*.parquet')),
+m AS (SELECT file_name AS path, num_rows AS rows, num_row_groups AS row_groups FROM parquet_file_metadata('{AT}/*.parquet')),
+c AS (SELECT file_name AS path, name, type FROM parquet_schema('{AT}/*.parquet') WHERE name NOT IN ('schema', 'list', 'element'))
+"""
+
+
+def visits(spark, sf_dir):
+    """The visit of all files, written once: every audit reads this."""
+    at = f"{scratch(spark)}/visits"
+    A.visit(files(spark, sf_dir)).write.parquet(at)
+    return spark.read.parquet(at)
+
+
+@query("file_types", BLOBS + "SELECT 'parquet' AS type, count(*) AS files FROM b")
 def file_types(spark, sf_dir):
     return files(spark, sf_dir).groupBy(D.file_type(F.col("path")).alias("type")).agg(F.count("*").alias("files"))
 
 
-@query("file_sizes")
+@query("file_sizes", BLOBS + "SELECT count(*) AS files, sum(length)::BIGINT AS bytes, count(*) FILTER (length <= 1024) AS tiny, min(length) AS smallest, max(length) AS largest FROM b")
 def file_sizes(spark, sf_dir):
     return D.size_summary(files(spark, sf_dir))
 
 
-@query("largest_files")
+@query("largest_files", BLOBS + "SELECT name, length FROM b ORDER BY length DESC, path LIMIT 20")
 def largest_files(spark, sf_dir):
     return named(D.extremes(files(spark, sf_dir))).select("name", "length")
 
 
-@query("partial_files")
+@query("partial_files", BLOBS + "SELECT name, length FROM b WHERE length <= 30000")
 def partial_files(spark, sf_dir):
-    return named(D.partial_files(files(spark, sf_dir))).select("name", "length")
+    """At a time when all are settled: those below a size that a part of the tables is below."""
+    return named(D.partial_files(files(spark, sf_dir), "2100-01-01 00:00:00", tiny=30_000)).select("name", "length")
 
 
-@query("download_activity")
+@query("download_activity", BLOBS + ", a AS (SELECT (SELECT max(floor(epoch(last_modified))) FROM b) - floor(epoch(last_modified)) AS age FROM b) SELECT count(*) FILTER (age <= 0) AS last_0_min, count(*) FILTER (age <= 60) AS last_1_min, count(*) FILTER (age <= 300) AS last_5_min FROM a")
 def download_activity(spark, sf_dir):
-    return D.activity(files(spark, sf_dir)).drop("newest", "oldest")
+    return D.activity(files(spark, sf_dir), minutes=(0, 1, 5)).drop("newest", "oldest")
+
+
+@query("file_audit", BLOBS + "SELECT name, length, sha256, rows, row_groups, (SELECT count(*) FROM c WHERE c.path = b.path) AS columns FROM b JOIN m USING (path)")
+def file_audit(spark, sf_dir):
+    """What one visit tells of each file."""
+    return named(visits(spark, sf_dir)).select("name", "length", "sha256", "rows", "row_groups", F.size("fields").cast("long").alias("columns"))
 
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -52,26 +78,36 @@ def footer_rows(spark, sf_dir):
     return named(D.footers(files(spark, sf_dir))).groupBy("name").agg(F.sum("rows").alias("rows"))
 
 
-@query("readability_audit")
+@query("readability_audit", BLOBS + "SELECT count(*) AS files, count(*) AS readable, 0::BIGINT AS unreadable, sum(rows)::BIGINT AS rows, (SELECT count(DISTINCT s) FROM (SELECT path, list(name || type ORDER BY name) AS s FROM c GROUP BY 1)) AS schema_groups FROM m")
 def readability_audit(spark, sf_dir):
     return D.readability(D.footers(files(spark, sf_dir)))
 
 
-@query("schema_groups")
+@query("schema_groups", BLOBS + ", g AS (SELECT path, list(name || type ORDER BY name) AS s, count(*)::INT AS columns, coalesce(max(CASE WHEN type IS NULL THEN name END), '') AS nested_columns FROM c GROUP BY 1) SELECT count(*) AS files, sum(rows)::BIGINT AS rows, any_value(columns) AS columns, any_value(nested_columns) AS nested_columns FROM g JOIN m USING (path) GROUP BY s")
 def schema_groups(spark, sf_dir):
-    return D.schema_groups(D.footers(files(spark, sf_dir))).drop("example")
+    return A.schema_groups(visits(spark, sf_dir)).drop("example", "schema_hash")
+
 
+@query("column_union", BLOBS + f"""
+, k AS (SELECT path_in_schema AS name, sum(stats_null_count)::BIGINT AS nulls, sum(num_values)::BIGINT AS n FROM parquet_metadata('{AT}/*.parquet') GROUP BY 1)
+SELECT c.name AS "column", count(*) AS files, (SELECT count(*) FROM m) - count(*) AS missing_files, bool_or(type IS NULL) AS nested, count(DISTINCT type) > 1 AS conflict, any_value(nulls) AS nulls, round(any_value(nulls / n), 9) AS null_fraction FROM c LEFT JOIN k USING (name) GROUP BY 1""")
+def column_union(spark, sf_dir):
+    """All columns of all footers, with the nulls that their statistics tell."""
+    return A.column_union(visits(spark, sf_dir)).drop("types")
 
-@query("hash_inventory")
+
+@query("hash_inventory", BLOBS + "SELECT name, length, sha256 FROM b")
 def hash_inventory(spark, sf_dir):
     return named(D.hash_inventory(files(spark, sf_dir))).select("name", "length", "sha256")
 
 
-@query("delivery_receipt")
+@query("delivery_receipt", BLOBS + """
+, s AS (SELECT sha256(uri)[1:2] AS shard, sha256(string_agg(concat_ws(' ', uri, length, sha256), chr(10) ORDER BY concat_ws(' ', uri, length, sha256))) AS digest FROM b GROUP BY 1)
+SELECT count(*) AS files, sum(length)::BIGINT AS bytes, count(*) FILTER (length <= 1024) AS tiny, count(*) AS readable, 0::BIGINT AS unreadable, sum(rows)::BIGINT AS rows,
+  (SELECT count(DISTINCT g) FROM (SELECT list(name || type ORDER BY name) AS g FROM c GROUP BY path)) AS schema_groups, (SELECT sha256(string_agg(shard || ' ' || digest, chr(10) ORDER BY shard)) FROM s) AS root FROM b JOIN m USING (path)""")
 def delivery_receipt(spark, sf_dir):
-    found = files(spark, sf_dir)
-    inventory = D.hash_inventory(found)
-    return D.receipt(D.footers(found), D.size_summary(found), D.root_digest(D.shard_digests(inventory)))
+    """The receipt of a delivery from one visit to each file."""
+    return A.delivery_facts(visits(spark, sf_dir))
 
 
 @query("stat_fingerprint")
@@ -79,16 +115,42 @@ def stat_fingerprint(spark, sf_dir):
     return D.stat_fingerprint(files(spark, sf_dir))
 
 
-@query("dropzones")
+@query("dropzones", BLOBS + "SELECT '.' AS zone, count(*) AS files, sum(length)::BIGINT AS bytes, count(*) AS parquet_files FROM b")
 def dropzones(spark, sf_dir):
     return D.by_dropzone(files(spark, sf_dir), sf_dir.rstrip("/").rsplit("/", 1)[-1])
 
 
-@query("sampled_files")
+@query("sampled_files", BLOBS + "SELECT name FROM (SELECT name, row_number() OVER (ORDER BY path) - 1 AS k, count(*) OVER () AS n FROM b) WHERE k IN (0, round_even((n - 1) / 4.0, 0)::INT, round_even((n - 1) / 2.0, 0)::INT, round_even(3 * (n - 1) / 4.0, 0)::INT, n - 1)")
 def sampled_files(spark, sf_dir):
     return named(sampled(files(spark, sf_dir).select("path"), "evenly_spaced", 5)).select("name")
 
 
+def delivered(spark, sf_dir):
+    """Events as files of three schemas: whole packets, packets without features, and some whose object ids are text."""
+    at = scratch(spark)
+    e = table(spark, sf_dir, "events")
+    kind = F.col("event_id") % 3
+    alerts(e.where(kind == 0)).coalesce(1).write.parquet(f"{at}/night=1")
+    alerts(e.where(kind == 1)).drop("lc_features").coalesce(1).write.parquet(f"{at}/night=2")
+    alerts(e.where(kind == 2)).withColumn("diaObjectId", F.col("diaObjectId").cast("string")).coalesce(1).write.parquet(f"{at}/night=3")
+    A.visit(D.discover(spark, at, "*.parquet")).write.parquet(f"{at}-visits")
+    return spark.read.parquet(f"{at}-visits")
+
+
+@query("pinned_groups", "SELECT event_id % 3 < 2 AS admitted, count(*) AS rows, 1::BIGINT AS files, CASE WHEN event_id % 3 < 2 THEN '' ELSE 'diaObjectId: string' END AS errors FROM events GROUP BY event_id % 3")
+def pinned_groups(spark, sf_dir):
+    """Files by the schema of their footers, and why a group is refused."""
+    return A.pinned(spark, delivered(spark, sf_dir), C.admission_errors, lambda df: df)[1].select("admitted", "rows", "files", "errors")
+
+
+@query("pinned_sources", over_packets("SELECT population, count(*) AS rows, count(*) FILTER (k % 10 <> 0 AND (source_id - 1) % 3 = 0) AS with_features, count(DISTINCT (source_id - 1) % 3) AS files FROM sources WHERE (source_id - 1) % 3 < 2 GROUP BY 1"))
+def pinned_sources(spark, sf_dir):
+    """The admitted groups as one typed table, by population, and how many files they come from."""
+    scan = A.pinned(spark, delivered(spark, sf_dir), C.admission_errors, lambda df: C.project_sources(df, "a1", "_file"))[0]
+    by_file = scan.groupBy("population", "_file").agg(F.count("*").alias("rows"), F.count("lc_features_json").alias("with_features"))
+    return by_file.groupBy("population").agg(F.sum("rows").alias("rows"), F.sum("with_features").alias("with_features"), F.count("*").alias("files"))
+
+
 @query("heavy_fields", "SELECT 'text_bytes' AS path, 'binary' AS type UNION ALL SELECT 'cutout.size', 'int'  UNION ALL SELECT 'cutout', 'struct<size:int>'")
 def heavy_fields(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
@@ -177,14 +239,29 @@ def stream_nightly_bands(spark, sf_dir):
     return spark.read.parquet(f"{at}/out")
 
 
-@query("stream_file_status", "SELECT 'completed' AS status, count(*) AS rows FROM orders")
+@query("stream_file_status", """
+WITH o AS (SELECT o_orderkey % 8 AS part FROM orders),
+r AS (SELECT * FROM (VALUES ('first', 'completed', 0, 3), ('first', 'failed', 4, 6), ('second', 'skipped_completed', 0, 3), ('second', 'failed', 4, 6), ('second', 'completed', 7, 7)) r(run, status, low, high))
+SELECT run, status, any_value(high - low + 1)::BIGINT AS files, count(*) FILTER (status = 'completed') + CASE WHEN status <> 'completed' THEN NULL ELSE 0 END AS rows FROM r JOIN o ON part BETWEEN low AND high GROUP BY run, status
+UNION ALL SELECT 'table', 'orders', 5, count(*) FROM o WHERE part IN (0, 1, 2, 3, 7)""")
 def stream_file_status(spark, sf_dir):
-    """The table family of a stream, batch by batch, with a status for each file."""
-    from skyledger.streaming.incremental import file_stream, ingest_with_status
-
-    at, schema = scratch(spark), table(spark, sf_dir, "orders").schema
-    ingest_with_status(file_stream(spark, f"{sf_dir}/orders.parquet", schema), lambda df: {"orders": df.drop("_raw_file")}, f"{at}/out", f"{at}/check").awaitTermination()
-    return spark.read.parquet(f"{at}/out/file_status").groupBy("status").agg(F.sum("rows").alias("rows"))
+    """Two runs over files of orders of which some are broken, each in its way; one more has come before the second. Files fail alone."""
+    from skyledger.streaming.incremental import file_status, ingest_run
+
+    at, orders = scratch(spark), table(spark, sf_dir, "orders")
+    part = lambda *k: orders.where((F.col("o_orderkey") % 8).isin(*k)).coalesce(1)
+    for k in range(4):
+        part(k).write.parquet(f"{at}/in/good{k}")
+    part(4).drop("o_custkey").write.parquet(f"{at}/in/short")
+    part(5).select(F.to_json(F.struct("*"))).write.text(f"{at}/in/text")
+    part(6).withColumn("o_totalprice", F.col("o_orderdate").cast("string")).write.parquet(f"{at}/in/other")
+    for run in ("first", "second"):
+        ingest_run(spark, f"{at}/in", f"{at}/out", orders.schema, lambda df: {"orders": df}, run).awaitTermination()
+        if run == "first":
+            part(7).write.parquet(f"{at}/in/late")
+    told = file_status(spark, f"{at}/out").groupBy("run", "status").agg(F.count("*").alias("files"), F.sum("rows").alias("rows"))
+    kept = spark.read.option("recursiveFileLookup", True).parquet(f"{at}/out/orders").agg(F.lit("table").alias("run"), F.lit("orders").alias("status"), F.countDistinct("_raw_file").alias("files"), F.count("*").alias("rows"))
+    return told.unionByName(kept)
 
 
 @query("night_partitions", "SELECT o_orderdate::DATE::VARCHAR AS night_key, count(*) AS rows FROM orders GROUP BY 1")

@@ -15,8 +15,38 @@ from pyspark.sql import functions as F
 TINY_BYTES, SETTLED_SECONDS = 1024, 300
 
 
+def empty_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
+    """``path, length, modified`` of the files without a byte, which Spark's readers pass over. Executors list the folders, a task each (see ``opened`` for the stores)."""
+
+    def place(path: str):
+        from pyarrow import fs
+
+        return (fs.LocalFileSystem(), re.sub("^file:/+", "/", path), "file:") if path.startswith(("file:", "/")) else (*fs.FileSystem.from_uri(path), path.split("/", 3)[0] + "//")
+
+    def look(deep: bool):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            import fnmatch
+
+            from pyarrow import fs
+
+            for b in batches:
+                for folder in b["path"]:
+                    store, at, scheme = place(folder)
+                    for x in store.get_file_info(fs.FileSelector(at, recursive=deep)):
+                        folder_here = not deep and x.type == fs.FileType.Directory
+                        if folder_here or (x.type == fs.FileType.File and not x.size and fnmatch.fnmatch(x.base_name, glob)):
+                            yield pd.DataFrame([(scheme + x.path, None if folder_here else 0, x.mtime)], columns=["path", "length", "modified"]).astype({"length": "Int64"})
+
+        return run
+
+    schema = "path string, length long, modified timestamp"
+    here = spark.createDataFrame([(root,)], "path string").mapInPandas(look(False), schema)
+    folders = here.where("length is null").select("path")
+    return here.where("length is not null").unionByName(folders.repartition(F.xxhash64("path")).mapInPandas(look(True), schema)).where(~F.col("path").endswith(".gitkeep"))
+
+
 def discover(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """``path, length, modified`` of all files below a root; contents are not read."""
+    """``path, length, modified`` of all files below a root that hold anything; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
     return files.select("path", "length", F.col("modificationTime").alias("modified")).where(~F.col("path").endswith(".gitkeep"))
 
@@ -43,9 +73,9 @@ def aged(files: DataFrame, as_of: str | None) -> DataFrame:
     return files.crossJoin(F.broadcast(newest)).withColumn("age", F.unix_timestamp("_newest") - F.unix_timestamp("modified")).drop("_newest")
 
 
-def partial_files(files: DataFrame, as_of: str | None = None) -> DataFrame:
+def partial_files(files: DataFrame, as_of: str | None = None, tiny: int = TINY_BYTES) -> DataFrame:
     """Files that may still be written: tiny, or modified less than ``SETTLED_SECONDS`` before ``as_of`` (or the newest file)."""
-    return aged(files, as_of).where((F.col("length") <= TINY_BYTES) | (F.col("age") < SETTLED_SECONDS)).drop("age")
+    return aged(files, as_of).where((F.col("length") <= tiny) | (F.col("age") < SETTLED_SECONDS)).drop("age")
 
 
 def activity(files: DataFrame, as_of: str | None = None, minutes: tuple[int, ...] = (5, 15, 60)) -> DataFrame:

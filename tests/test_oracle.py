@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 
 from skyledger.plans import ORACLE, QUERIES
+from skyledger.plans.delivery_queries import AT
 
 SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -32,7 +33,7 @@ def test_query(spark, duck, name):
     if name not in ORACLE:
         assert list(got.columns)
         return
-    want = duck.execute(ORACLE[name]).df()
+    want = duck.execute(ORACLE[name].replace(AT, SF)).df()
     assert sorted(got.columns) == sorted(want.columns)
     kinds = lambda df: {c: df[c].dtype.kind for c in df.columns if df[c].dtype.kind in "ifb" and not df[c].isna().any()}
     if len(got):
