@@ -29,10 +29,10 @@ def footer_facts(source) -> tuple:
     file = pq.ParquetFile(source)
     meta, schema = file.metadata, file.schema_arrow
     nulls: dict[str, int | None] = {}
-    for k in range(meta.num_columns if meta.num_row_groups else 0):
-        path = meta.schema.column(k).path
-        counts = [s.null_count if (s := meta.row_group(g).column(k).statistics) is not None and s.has_null_count else None for g in range(meta.num_row_groups)]
-        nulls[path] = None if None in counts else sum(counts)
+    filled = [meta.row_group(g) for g in range(meta.num_row_groups) if meta.row_group(g).num_rows]
+    for k in range(meta.num_columns):
+        counts = [s.null_count if (s := g.column(k).statistics) is not None and s.has_null_count else None for g in filled]
+        nulls[meta.schema.column(k).path] = None if None in counts else sum(counts)
     fields = [{"name": x.name, "type": str(x.type), "nullable": x.nullable, "nested": pa.types.is_nested(x.type), "nulls": nulls.get(x.name)} for x in schema]
     text = "\n".join(f"{x.name}:{x.type}" for x in schema)
     return meta.num_rows, meta.num_row_groups, hashlib.sha256(text.encode()).hexdigest()[:16], fields
