@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from skyledger.functions.scalars import AMBIGUOUS, DIA, SSO, population
 from skyledger.functions.timescale import is_finite, utc_date, window_bounds
+from skyledger.sources.delivery import stat_fingerprint
 
 #: name, path in the packet, type; the first three and the flag must exist with just these types
 FLAT = [
@@ -200,15 +201,22 @@ def query_set(sources: DataFrame, day: str, next_day: str) -> DataFrame:
 
 
 def reconciliation(sources: DataFrame, acquisitions: DataFrame, start: str, stop: str) -> DataFrame:
-    """Sums that must agree: populations, days (with rows outside) and multiplicity, each with the total."""
-    one = lambda df, c, name: df.agg(F.coalesce(F.sum(c), F.lit(0)).alias(name))
-    totals = sources.agg(
-        F.count("*").alias("total"), F.count_if(F.col("population") == DIA).alias("dia"), F.count_if(F.col("population").isin(DIA, SSO, AMBIGUOUS)).alias("populations")
-    )
-    gone = out_of_window(sources, acquisitions).agg((F.sum("outside") + F.sum("unmappable")).alias("outside"))
-    inside = one(daily_coverage(sources, acquisitions, start, stop), "source_rows", "days")
+    """Sums that must agree: populations, days (with rows outside) and multiplicity, each with the total.
+
+    One grouping by acquisition, day and population, whose rows are few, gives the first two, and one by object the third.
+    """
+    small = sources.groupBy("acquisition_id", utc_date(F.col("mjd_tai")).alias("day"), "population").agg(F.count("*").alias("n"))
+    asked = acquisitions.groupBy("acquisition_id").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    low, high = F.greatest("start", F.lit(start).cast("date")), F.least("stop", F.lit(stop).cast("date"))
+    inside, outside = (F.col("day") >= low) & (F.col("day") < high), F.col("day").isNull() | (F.col("day") < F.col("start")) | (F.col("day") >= F.col("stop"))
+    known = F.col("start").isNotNull()
+    total = lambda when: F.coalesce(F.sum(F.when(when, F.col("n"))), F.lit(0))
+    totals = small.join(F.broadcast(asked), "acquisition_id", "left").agg(  # acquisitions are a short list
+        total(F.lit(True)).alias("total"), total(F.col("population") == DIA).alias("dia"), total(F.col("population").isin(DIA, SSO, AMBIGUOUS)).alias("populations"),
+        total(known & inside).alias("days"), total(known & outside).alias("outside"),
+    )
     sizes = multiplicity_histogram(sources).agg(F.coalesce(F.sum(F.col("multiplicity") * F.col("objects")), F.lit(0)).alias("by_object"))
-    joined = totals.join(gone).join(inside).join(sizes)  # one row each
+    joined = totals.join(sizes)  # one row each
     check = lambda name, x, y: F.struct(F.lit(name).alias("invariant"), x.cast("long").alias("observed"), y.cast("long").alias("expected"), (x == y).alias("passed"))
     c = F.col
     rows = F.array(check("populations", c("populations"), c("total")), check("days", c("days") + c("outside"), c("total")), check("multiplicity", c("by_object"), c("dia")))
@@ -233,12 +241,16 @@ def evidence_agreement(observed: DataFrame, expected: DataFrame, key: str, value
 
 
 def catalog_summary(sources: DataFrame, acquisitions: DataFrame, start: str, stop: str) -> DataFrame:
-    """``item, rows`` of the catalog's tables."""
-    tables = {
-        "sources": sources, "objects": object_summary(sources), "acquisitions": acquisitions,
-        "daily_coverage": daily_coverage(sources, acquisitions, start, stop), "multiplicity": multiplicity_histogram(sources),
-    }
-    return reduce(DataFrame.unionByName, (df.agg(F.count("*").alias("rows")).select(F.lit(n).alias("item"), "rows") for n, df in tables.items()))
+    """``item, rows`` of the catalog's tables; one grouping by object tells the rows of all sources, of objects and of their histogram."""
+    by_object = sources.groupBy("object_id").agg(F.count("*").alias("n"))
+    by_size = by_object.groupBy(F.when(F.col("object_id").isNotNull(), F.col("n")).alias("multiplicity")).agg(F.count("*").alias("objects"), F.sum("n").alias("rows"))
+    facts = by_size.agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("sources"), F.coalesce(F.sum(F.when(F.col("multiplicity").isNotNull(), F.col("objects"))), F.lit(0)).alias("objects"), F.count("multiplicity").alias("multiplicity")
+    )
+    first, last = F.greatest("start", F.lit(start).cast("date")), F.least("stop", F.lit(stop).cast("date"))
+    asked = acquisitions.agg(F.count("*").alias("acquisitions"), F.coalesce(F.sum(F.greatest(F.datediff(last, first), F.lit(0))), F.lit(0)).alias("daily_coverage"))
+    whole = facts.join(asked)  # one row each
+    return whole.select(*(F.col(c).cast("long").alias(c) for c in whole.columns)).unpivot([], whole.columns, "item", "rows")
 
 
 
@@ -247,3 +259,87 @@ def open_catalog(spark: SparkSession, manifest: DataFrame, contract: str, finger
     row = manifest.first()
     if row is None or row.contract != contract or row.status != "PASS" or row.fingerprint != fingerprint:
         raise ValueError("the catalog is not of this contract, did not pass, or its inputs have changed")
+
+
+#: Columns of what a catalog is proved by: rows, days and populations by acquisition, and how many objects have how many rows.
+EVIDENCE = ["kind", "acquisition_id", "key", "n"]
+
+
+def evidence(sources: DataFrame) -> DataFrame:
+    """``kind, acquisition_id, key, n``: the facts of a catalog as one table. All come from two groupings, one by acquisition, day and population, one by object."""
+    small = sources.groupBy("acquisition_id", utc_date(F.col("mjd_tai")).cast("string").alias("day"), "population").agg(F.count("*").alias("n"))
+    days = small.groupBy("acquisition_id", F.coalesce("day", F.lit("unmappable")).alias("day"), "population").agg(F.sum("n").alias("n"))
+    sets = days.groupingSets([["acquisition_id"], ["acquisition_id", "day"], ["acquisition_id", "population"]], "acquisition_id", "day", "population").agg(F.sum("n").alias("n"))
+    kind = F.when(F.col("day").isNotNull(), "day").when(F.col("population").isNotNull(), "population").otherwise("rows")
+    told = sets.select(kind.alias("kind"), "acquisition_id", F.coalesce("day", "population", F.lit("all")).alias("key"), "n")
+    sizes = multiplicity_histogram(sources).select(F.lit("objects").alias("kind"), F.lit(None).cast("string").alias("acquisition_id"), F.col("multiplicity").cast("string").alias("key"), F.col("objects").alias("n"))
+    return told.unionByName(sizes)
+
+
+def disagreements(observed: DataFrame, expected: DataFrame) -> DataFrame:
+    """``kind, acquisition_id, key, observed, expected`` where two tables of evidence differ, or one lacks what the other has. Only kinds that both tell are compared."""
+    both = observed.select("kind").distinct().join(expected.select("kind").distinct(), "kind", "left_semi")
+    o, e = (df.join(F.broadcast(both), "kind", "left_semi").select("kind", "acquisition_id", "key", F.col("n").alias(name)) for df, name in ((observed, "observed"), (expected, "expected")))  # four kinds
+    e = e.toDF("_kind", "_acquisition", "_key", "expected")
+    met = o.join(e, (F.col("kind") == F.col("_kind")) & F.col("acquisition_id").eqNullSafe(F.col("_acquisition")) & (F.col("key") == F.col("_key")), "full_outer")
+    return met.where(~F.col("observed").eqNullSafe(F.col("expected"))).select(
+        F.coalesce("kind", "_kind").alias("kind"), F.coalesce("acquisition_id", "_acquisition").alias("acquisition_id"), F.coalesce("key", "_key").alias("key"), "observed", "expected"
+    )
+
+
+def receipt_evidence(receipts: DataFrame) -> DataFrame:
+    """Readable rows of deliveries (``acquisition_id, readable_rows``) as evidence; an acquisition may have several."""
+    total = receipts.groupBy("acquisition_id").agg(F.sum("readable_rows").alias("n"))
+    return total.select(F.lit("rows").alias("kind"), "acquisition_id", F.lit("all").alias("key"), "n")
+
+
+class Refused(ValueError):
+    """A catalog that can't be sealed or opened, and why."""
+
+
+def refuse(what: str, wrong: DataFrame, most: int = 5) -> None:
+    """Raise if there are disagreements; the first are named."""
+    found = [f"{r.kind} {r.acquisition_id or ''} {r.key}: {r.observed} instead of {r.expected}" for r in wrong.orderBy("kind", "acquisition_id", "key").limit(most).collect()]
+    if found:
+        raise Refused(f"{what}: " + "; ".join(found))
+
+
+def seal_catalog(spark: SparkSession, folder: str, contract: str, files: DataFrame, sources: DataFrame, receipts: DataFrame, accepted: DataFrame | None = None) -> None:
+    """Write what proves a catalog, and last, if nothing contradicts it, the manifest that it passed.
+
+    files: ``path, length, modified`` of its inputs. The counted rows must be those of the receipts, and every source id must be there once; where a characterisation was
+    accepted before (a table of ``evidence``), days, populations and objects must be the same. A folder that holds a catalog is never overwritten.
+    """
+    before = stat_fingerprint(files).first().fingerprint
+    evidence(sources).write.mode("errorifexists").parquet(f"{folder}/evidence")
+    found = spark.read.parquet(f"{folder}/evidence")
+    refuse("rows differ from the receipts", disagreements(found.where("kind = 'rows'"), receipt_evidence(receipts)))
+    ids = id_stats(sources, "source_id").first()
+    if ids.nulls or ids.duplicate_excess:
+        raise Refused(f"source ids: {ids.nulls} missing, {ids.duplicate_excess} repeated")
+    if accepted is not None:
+        refuse("the catalog differs from its accepted characterisation", disagreements(found, accepted))
+    if stat_fingerprint(files).first().fingerprint != before:
+        raise Refused("the inputs changed while they were read")
+    manifest = spark.createDataFrame([(contract, "PASS", before, ids.total)], "contract string, status string, fingerprint string, source_rows long")
+    manifest.coalesce(1).write.parquet(f"{folder}/manifest")
+
+
+def open_sealed(spark: SparkSession, folder: str, contract: str, files: DataFrame, sources: DataFrame, recount: bool = True) -> list[str]:
+    """Make the views of a sealed catalog (their names are returned), unless it is of another contract, did not pass, its inputs are no longer those that were
+    sealed, or, with ``recount``, a day, population or multiplicity counted now is not the one sealed."""
+    row = spark.read.parquet(f"{folder}/manifest").first() if path_exists(spark, f"{folder}/manifest") else None
+    if row is None or row.status != "PASS":
+        raise Refused("the catalog has not passed")
+    if row.contract != contract:
+        raise Refused(f"the catalog is of contract {row.contract}")
+    if stat_fingerprint(files).first().fingerprint != row.fingerprint:
+        raise Refused("the inputs have changed since the catalog was sealed")
+    if recount:
+        refuse("the catalog is not what was sealed", disagreements(evidence(sources), spark.read.parquet(f"{folder}/evidence")))
+    return create_views(sources)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)

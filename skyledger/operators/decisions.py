@@ -73,13 +73,6 @@ def delivery_checks(alerts: DataFrame, low: float, high: float, raw_rows: int |
     return run_checks(alerts, rules).unionByName(duplicate_check(alerts, ["diaSourceId"]))
 
 
-def schema_fields(documents: DataFrame, column: str) -> DataFrame:
-    """``family, field, description`` of schema documents: family -> field -> text."""
-    parsed = F.from_json(column, "map<string,map<string,string>>")
-    families = documents.select(F.explode(parsed).alias("family", "fields"))
-    return families.select("family", F.explode("fields").alias("field", "description"))
-
-
 def prefix_meaning(field: Column) -> Column:
     """What a field's prefix tells. Fixed values, by prefix."""
     known = {

@@ -95,40 +95,66 @@ def histogram(df: DataFrame, column: str, bins: int, low: float | None = None, h
     return counted.select("bin", "n", F.round(F.col("low") + (F.col("high") - F.col("low")) * F.col("bin") / bins, 6).alias("left_edge"))
 
 
-def ranked_value(values: DataFrame, rank: int, bins: int = 1024, few: int = 10_000) -> float | None:
-    """The value of a rank (from 0) of the column ``x``: bins of equal width are counted, and the one that holds the rank is cut again,
-    until it holds one value or a few, so that no task gathers all values. Two scans mostly; null if there are too few values."""
-    part, edge = values, values.agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count("x").alias("n")).first()
-    if rank >= edge.n:
-        return None
-    while edge.low < edge.high:
-        if edge.n <= few:
-            return sorted(r.x for r in part.collect())[rank]
-        place = F.least(F.floor((F.col("x") / 2 - edge.low / 2) / (edge.high / 2 - edge.low / 2) * bins), F.lit(bins - 1))
-        for found in part.groupBy(place.alias("bin")).agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).orderBy("bin").collect():  # bins rows
-            if rank < found.n:
-                break
-            rank -= found.n
-        part, edge = values.where(F.col("x").between(found.low, found.high)), found
-    return edge.low
-
-
-def quantile(values: DataFrame, share: float, n: int) -> float:
-    """The exact quantile of the column ``x`` of n values, between two neighbours in proportion."""
-    at = share * (n - 1)
-    low = ranked_value(values, int(at))
-    high = ranked_value(values, int(at) + 1) if at > int(at) else low
-    return low + (high - low) * (at - int(at))
+def brackets(values: DataFrame, shares: list[float], accuracy: int) -> tuple[list[tuple[float, float]], int]:
+    """Closed intervals, apart from each other and rising, that hold the quantiles of ``shares`` of the column ``x``, and the number of values. One mergeable sketch tells
+    them all; its ranks are off by one part in ``accuracy`` at most."""
+    wide = 2.0 / accuracy
+    asked = sorted({min(max(s + d, 0.0), 1.0) for s in shares for d in (-wide, wide)})
+    told = values.agg(F.count("x").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"), F.percentile_approx("x", asked, accuracy).alias("q")).first()
+    if not told.n:
+        return [], 0
+    at = dict(zip(asked, told.q, strict=True)) | {0.0: told.low, 1.0: told.high}
+    out: list[tuple[float, float]] = []
+    for low, high in sorted((at[max(s - wide, 0.0)], at[min(s + wide, 1.0)]) for s in shares):
+        if out and low <= out[-1][1]:
+            out[-1] = out[-1][0], max(high, out[-1][1])
+        else:
+            out.append((low, high))
+    return out, told.n
+
+
+def ranked_values(values: DataFrame, inside: list[tuple[float, float]], ranks: list[int]) -> DataFrame:
+    """``rank, value`` of the column ``x`` at those ``ranks`` (from 0) that lie inside the intervals; one scan. Values between intervals are only counted,
+    those inside are counted by value, and both before the shuffle; ranks inside an interval come from running counts."""
+    part, value = F.lit(2 * len(inside)), F.lit(None).cast("double")
+    for k, (low, high) in reversed(list(enumerate(inside))):
+        part = F.when(F.col("x") < low, 2 * k).when(F.col("x") <= high, 2 * k + 1).otherwise(part)
+        value = F.when((F.col("x") >= low) & (F.col("x") <= high), F.col("x")).otherwise(value)
+    counted = values.where("x is not null").groupBy(part.alias("part"), value.alias("value")).agg(F.count("*").alias("n"))
+    total = F.sum("n").over(W.partitionBy("part").orderBy("value"))
+    running = counted.withColumn("upto", total)
+    whole = running.groupBy("part").agg(F.sum("n").alias("all"))  # a row an interval and a row between
+    before = F.coalesce(F.sum("all").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = running.where("value is not null").join(F.broadcast(whole.select("part", before.alias("before"))), "part")
+    first, last = F.col("before") + F.col("upto") - F.col("n"), F.col("before") + F.col("upto")
+    asked = F.filter(F.array(*(F.lit(r).cast("long") for r in ranks)), lambda r: (r >= first) & (r < last))
+    return placed.select(F.explode(asked).alias("rank"), "value")
+
+
+def quantiles(values: DataFrame, shares: list[float], accuracy: int = 10_000) -> list[float]:
+    """Exact quantiles of the column ``x`` (finite numbers and nulls), each between two neighbouring values in proportion; no values, no quantiles.
+
+    Two scans for any number of shares: a sketch brackets all wanted ranks, and the values inside the brackets, about 4 / accuracy of all for each, are counted and ranked. Should
+    a rank ever lie outside its bracket, as the sketch's bound excludes, brackets are widened and counted once more.
+    """
+    inside, n = brackets(values, shares, accuracy)
+    if not n:
+        return []
+    spots = [s * (n - 1) for s in shares]
+    ranks = sorted({r for at in spots for r in (int(at), min(int(at) + 1, n - 1))})
+    found = dict(ranked_values(values, inside, ranks).collect())  # a row a rank
+    if len(found) < len(ranks):
+        found = dict(ranked_values(values, [(-float("inf"), float("inf"))], ranks).collect())
+    return [found[int(at)] + (found[min(int(at) + 1, n - 1)] - found[int(at)]) * (at - int(at)) for at in spots]
 
 
 def clipped_histogram(df: DataFrame, column: str, bins: int, low: float = 0.005, high: float = 0.995) -> DataFrame:
     """Finite values beyond two exact quantiles are moved to them first."""
     x = number(F.col(column))
     values = df.select(x.alias("x")).where(F.col("x").isNotNull() & (F.abs("x") < float("inf")))
-    n = values.count()
-    if n == 0:
+    edges = quantiles(values, [low, high])
+    if not edges:
         return histogram(values, "x", bins)
-    edges = quantile(values, low, n), quantile(values, high, n)
     return histogram(values.select(F.greatest(F.least("x", F.lit(edges[1])), F.lit(edges[0])).alias(column)), column, bins, *edges)
 
 
@@ -151,9 +177,22 @@ def date_distribution(df: DataFrame, year: str, month: str, day: str, mjd: str)
     return rows_by(df, F.coalesce(parts, mjd_to_date(F.bround(F.col(mjd)))).alias("date"))
 
 
-def sky_sample(df: DataFrame, ra: str, dec: str, key: str, most: int = 60_000, seed: int = 42) -> DataFrame:
-    """A repeatable even choice of at most ``most`` rows, by the hash of key and seed."""
-    return df.where(F.col(ra).isNotNull() & F.col(dec).isNotNull()).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(most).select(key, ra, dec)
+def drawn(key: str, seed: int) -> Column:
+    """A repeatable place in an even order of rows, by a hash of key and seed."""
+    return F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
+
+
+def sky_sample(df: DataFrame, ra: str, dec: str, key: str, most: int = 60_000, seed: int = 42, by: str | None = None) -> DataFrame:
+    """A repeatable even choice of at most ``most`` rows with a position, or of as many for each value of ``by``, a null one included.
+
+    Each task keeps the first rows of each group before anything is shuffled, so that a band with a third of all rows sends no more than others.
+    """
+    placed = df.where(F.col(ra).isNotNull() & F.col(dec).isNotNull()).select(key, ra, dec, *([by] if by else []))
+    order = [drawn(key, seed), F.col(key)]
+    if by is None:
+        return placed.orderBy(*order).limit(most)
+    rank = F.row_number().over(W.partitionBy(by).orderBy(*order))
+    return placed.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")
 
 
 def ranked_files(df: DataFrame, path: Column) -> DataFrame:

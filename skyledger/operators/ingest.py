@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skyledger.functions.nested import stable_json
 from skyledger.functions.scalars import number
 from skyledger.functions.timescale import approximate_night
 
@@ -63,11 +64,15 @@ def shadow_json(df: DataFrame) -> DataFrame:
     return df.withColumns({f"{c}_json": F.to_json(c, {"ignoreNullFields": "false"}) for c in nested})
 
 
-def nested_summary(df: DataFrame) -> DataFrame:
-    """``column, type, rows, filled`` of nested columns."""
+def nested_summary(df: DataFrame, *order: str, most: int = 3, chars: int = 500) -> DataFrame:
+    """``column, kind, rows, filled, examples`` of nested columns; the examples are the ``most`` first filled values in ``order``, as stable JSON cut at ``chars``."""
     nested = [f for f in df.schema.fields if isinstance(f.dataType, (T.StructType, T.MapType, T.ArrayType))]
     facts = F.array(*(F.struct(F.lit(f.name).alias("column"), F.lit(type(f.dataType).__name__.removesuffix("Type").lower()).alias("kind"), F.count("*").alias("rows"), F.count(f.name).alias("filled")) for f in nested))
-    return df.agg(facts.alias("f")).select(F.explode("f").alias("f")).select("f.*")
+    told = df.agg(facts.alias("f")).select(F.explode("f").alias("f")).select("f.*")
+    keys = [quoted(c) for c in order]
+    first = [df.where(quoted(f.name).isNotNull()).select(F.struct(*keys).alias("at"), F.lit(f.name).alias("column"), F.substring(stable_json(quoted(f.name), f.dataType), 1, chars).alias("json")).orderBy("at").limit(most) for f in nested]
+    shown = reduce(DataFrame.unionByName, first).groupBy("column").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "json"))), lambda x: x["json"]), " ").alias("examples"))  # `most` rows a column
+    return told.join(shown, "column", "left")
 
 
 def lightcurve_features(packets: DataFrame, column: str = "lc_features", keep: tuple = ("diaSourceId", "diaObjectId", "midpointMjdTai")) -> DataFrame:

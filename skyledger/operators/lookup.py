@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from itertools import zip_longest
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -84,6 +83,10 @@ def completeness(parts: DataFrame, comparable: bool, expected: int | None) -> Da
     return parts.agg(F.sum("kept").alias("kept"), F.count_if(F.col("status") == "possibly_truncated").alias("truncated_parts"), F.round(share, 6).alias("fraction"))
 
 
+#: Scalars that a task hands on at once.
+WALKED = 20_000
+
+
 def walk_json(texts: DataFrame, column: str) -> DataFrame:
     """``path, field, value, kind`` of every scalar at any depth; each text is read once. kind: integer, number, text, boolean or null.
     Text that is no JSON has none. The field of a list's own scalars is the one that the list stands under."""
@@ -91,7 +94,8 @@ def walk_json(texts: DataFrame, column: str) -> DataFrame:
 
 
 def walk_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Scalars of JSON texts; without recursion, so that depth has no limit but the parser's."""
+    """Scalars of JSON texts, at most about ``WALKED`` at once; without recursion, so that depth has no limit but the parser's."""
+    frame = lambda rows: pd.DataFrame(rows, columns=["path", "field", "value", "kind"])
     for batch in batches:
         found = []
         for text in batch.iloc[:, 0]:
@@ -110,7 +114,10 @@ def walk_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 else:
                     kind = "null" if x is None else "boolean" if isinstance(x, bool) else "integer" if isinstance(x, int) else "number"
                     found.append((p, f, None if x is None else json.dumps(x), kind))
-        yield pd.DataFrame(found, columns=["path", "field", "value", "kind"])
+                if len(found) >= WALKED:
+                    yield frame(found)
+                    found = []
+        yield frame(found)
 
 
 # Names of identifiers.
@@ -153,53 +160,6 @@ def candidate_summary(candidates: DataFrame, most: int = 5) -> DataFrame:
     return joined.select("id_type", F.coalesce("ids", F.lit(0)).alias("ids"), F.coalesce("fields", F.lit(0)).alias("fields"), F.coalesce("examples", F.lit("[]")).alias("examples"))
 
 
-#: Names under which envelopes hold their rows, in the order in which they are looked for.
-ENVELOPES = ["data", "results", "rows", "items", "alerts", "objects", "sources"]
-
-
-def unwrapped(payload) -> list:
-    """The rows of one payload: of a list, of a list of lists, of a list of envelopes, of an envelope inside others, of lists by column, or one row."""
-    out, todo = [], [payload]
-    while todo:
-        x = todo.pop()
-        if isinstance(x, list):
-            if x and all(isinstance(y, list) for y in x):
-                out += [z for y in x for z in y]
-            elif x and all(isinstance(y, dict) and "data" in y for y in x):
-                todo += [y["data"] for y in reversed(x)]
-            else:
-                out += x
-        elif isinstance(x, dict):
-            held = next((x[k] for k in ENVELOPES if isinstance(x.get(k), (list, dict))), None)
-            if isinstance(held, list):
-                out += held
-            elif held is not None:
-                todo.append(held)
-            elif x and all(isinstance(y, list) for y in x.values()):
-                out += [dict(zip(x, row, strict=True)) for row in zip_longest(*x.values())]  # shorter lists end in nulls
-            else:
-                out.append(x)
-        elif x is not None:
-            out.append({"value": x})
-    return out
-
-
-def payload_rows(texts: DataFrame, column: str, schema: str) -> DataFrame:
-    """The rows of JSON payloads of the usual shapes (see ``unwrapped``), with the columns of ``schema``; what is no JSON has none."""
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for text in batch.iloc[:, 0]:
-                try:
-                    rows += map(json.dumps, unwrapped(json.loads(text)))
-                except (ValueError, TypeError):
-                    continue
-            yield pd.DataFrame({"row": rows}, dtype=object)
-
-    return texts.select(column).mapInPandas(read, "row string").select(F.from_json("row", schema).alias("r")).select("r.*")
-
-
 #: Concepts, and what a field's name holds that speaks of one.
 CONCEPTS = {
     "object_id": ["objectid", "diaobjectid", "diaobject", "ssobjectid"],

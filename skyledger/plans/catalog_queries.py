@@ -1,5 +1,7 @@
 """Queries of the cohort catalog."""
 
+from pyspark.sql import functions as F
+
 from skyledger.operators import catalog as C
 from skyledger.plans.registry import query
 from skyledger.plans.sql import ACQUISITIONS, over_packets
@@ -186,3 +188,21 @@ def acquisition_overlaps(spark, sf_dir):
 
     w = table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("acquisition_id")).agg(F.min("o_orderdate").cast("date").alias("start"), F.max("o_orderdate").cast("date").alias("stop"))
     return C.overlapping_windows(w)
+
+
+@query("sealed_catalog", over_packets("""
+, e AS (SELECT g, 'rows' AS kind, acquisition_id, 'all' AS key, count(*) AS n FROM sources, (VALUES (0), (1)) v(g) WHERE g = 0 OR source_id <> 8 GROUP BY ALL
+  UNION ALL SELECT g, 'day', acquisition_id, utc_day::VARCHAR, count(*) FROM sources, (VALUES (0), (1)) v(g) WHERE g = 0 OR source_id <> 8 GROUP BY ALL
+  UNION ALL SELECT g, 'population', acquisition_id, population, count(*) FROM sources, (VALUES (0), (1)) v(g) WHERE g = 0 OR source_id <> 8 GROUP BY ALL
+  UNION ALL SELECT g, 'objects', NULL, m::VARCHAR, count(*) FROM (SELECT g, object_id, count(*) AS m FROM sources, (VALUES (0), (1)) v(g) WHERE object_id IS NOT NULL AND (g = 0 OR source_id <> 8) GROUP BY ALL) GROUP BY ALL)
+SELECT coalesce(a.kind, b.kind) AS kind, coalesce(a.acquisition_id, b.acquisition_id) AS acquisition_id, coalesce(a.key, b.key) AS key, b.n AS observed, a.n AS expected
+FROM (SELECT * FROM e WHERE g = 0) a FULL JOIN (SELECT * FROM e WHERE g = 1) b ON a.kind = b.kind AND a.acquisition_id IS NOT DISTINCT FROM b.acquisition_id AND a.key = b.key WHERE a.n IS DISTINCT FROM b.n"""))
+def sealed_catalog(spark, sf_dir):
+    """A catalog that is sealed and opened, and what a cohort that lacks one source disagrees with it in."""
+    from skyledger.plans.delivery_queries import files, scratch
+
+    at, s = scratch(spark), sources(spark, sf_dir)
+    inputs = files(spark, sf_dir)
+    C.seal_catalog(spark, at, "v1", inputs, s, s.groupBy("acquisition_id").agg(F.count("*").alias("readable_rows")))
+    C.open_sealed(spark, at, "v1", inputs, s)
+    return C.disagreements(C.evidence(s.where("source_id <> 8")), spark.read.parquet(f"{at}/evidence"))

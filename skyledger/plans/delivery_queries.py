@@ -11,6 +11,7 @@ from skyledger.plans.sql import over_packets
 from skyledger.sources import audit as A
 from skyledger.sources import delivery as D
 from skyledger.sources.adapters import alerts, table
+from skyledger.sources.chain import broken_entries
 
 
 def files(spark, sf_dir):
@@ -185,19 +186,40 @@ def expected_messages(spark, sf_dir):
 
 
 
-@query("log_chain")
+@query("log_chain", """
+WITH o AS (SELECT l_orderkey % 10 AS o, count(*) AS k FROM lineitem GROUP BY l_orderkey),
+p AS (SELECT 'modified' AS problems, count(*) AS entries FROM o WHERE o = 1 AND k >= 2 UNION ALL SELECT 'sequence,chain,state', count(*) FROM o WHERE o = 2 AND k >= 2
+  UNION ALL SELECT 'sequence', sum(k - 2)::BIGINT FROM o WHERE o = 2 AND k > 2 UNION ALL SELECT 'malformed', count(*) FROM o WHERE o = 3 UNION ALL SELECT 'chain,state', count(*) FROM o WHERE o = 3 AND k >= 2
+  UNION ALL SELECT 'transition', count(*) FROM o WHERE o = 4)
+SELECT * FROM p WHERE entries > 0""")
 def log_chain(spark, sf_dir):
-    """Order lines as log entries: some with a broken hash, and some steps that no edge allows."""
-    from pyspark.sql import Window as W
-
-    o = W.partitionBy("l_orderkey").orderBy("l_linenumber")
-    rows = table(spark, sf_dir, "lineitem").dropDuplicates(["l_orderkey", "l_linenumber"])
-    logs = rows.select(
-        F.col("l_orderkey").alias("acquisition_id"), F.col("l_linenumber").cast("long").alias("seq"), F.coalesce(F.lag("l_linestatus").over(o), F.lit("new")).alias("from_state"), F.col("l_linestatus").alias("to_state"),
-        F.when(F.col("l_orderkey") % 50 == 0, "x").otherwise(F.lag(F.col("l_partkey").cast("string")).over(o)).alias("prev_entry_sha256"), F.col("l_partkey").cast("string").alias("entry_sha256"),
-    )
-    edges = spark.createDataFrame([("new", "O"), ("new", "F"), ("O", "O"), ("F", "F"), ("F", "O")], "from_state string, to_state string")
-    return D.log_chain(logs, edges).groupBy("problems").agg(F.count("*").alias("entries"))
+    """A sealed log an order, an entry a line: some with a changed word, a lost first entry, a broken line, or a first state that none may start from."""
+    order, k = F.col("l_orderkey"), F.col("l_orderkey") % 10
+
+    def entry(seq, part, before, state_before):
+        state = F.when((k == 4) & (seq == 1), "archived").when(seq % 2 == 1, "declared").otherwise("failed")
+        members = {
+            "actor": F.lit("builder"), "at_utc": F.lit("2024-01-01T00:00:00Z"), "evidence": F.struct(F.array(part).alias("parts"), F.lit("\u00e9").alias("word")), "from": state_before,
+            "prev_entry_sha256": before, "reason": F.concat(F.lit("part "), part.cast("string")), "seq": seq, "to": state,
+        }
+        body = lambda **more: F.to_json(F.struct(*(v.alias(n) for n, v in sorted((members | more).items()))), {"ignoreNullFields": "false"})
+        seal = F.sha2(F.replace(body(), F.lit("\u00e9"), F.lit("\\u00e9")), 256)
+        return seal, state, body(entry_sha256=seal)
+
+    def step(acc, x):
+        seal, state, line = entry(F.size(acc["lines"]) + 1, x["l_partkey"], acc["seal"], acc["state"])
+        return F.struct(seal.alias("seal"), state.alias("state"), F.concat(acc["lines"], F.array(line)).alias("lines"))
+
+    none = F.lit(None).cast("string")
+    start = F.struct(none.alias("seal"), none.alias("state"), F.array().cast("array<string>").alias("lines"))
+    logs = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("x"))
+    whole = logs.select(order.alias("log"), F.aggregate("x", start, step)["lines"].alias("lines"))
+    k = F.col("log") % 10
+    kept = F.when(k == 2, F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(1)))).otherwise(F.col("lines"))
+    lines = whole.withColumn("lines", kept).select("log", F.posexplode("lines").alias("at", "line"))
+    broken = F.when((k == 1) & (F.col("at") == 1), F.replace("line", F.lit('"reason":"part'), F.lit('"reason":"Part'))).when((k == 3) & (F.col("at") == 0), "{").otherwise(F.col("line"))
+    edges = spark.createDataFrame([(None, "declared"), ("declared", "failed"), ("failed", "declared"), ("archived", "failed")], "from_state string, to_state string")
+    return broken_entries(lines.select("log", (F.col("at") + 1).alias("number"), broken.alias("line")), edges).groupBy("problems").agg(F.count("*").alias("entries"))
 
 
 def scratch(spark):

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from skyledger.functions.scalars import sky_cell
 from skyledger.functions.timescale import approximate_night, mjd_of, rows_in_window
 from skyledger.operators import explore as X
+from skyledger.operators import documents as J
 from skyledger.operators import lookup as L
 from skyledger.plans.catalog_queries import sources
 from skyledger.plans.registry import query
@@ -139,9 +140,23 @@ def missing_percent(spark, sf_dir):
     return m.select("column", F.round(100 * F.col("fraction"), 6).alias("percent"))
 
 
-@query("sky_sample")
+@query("sky_sample", over_packets("SELECT source_id AS \"diaSourceId\", round(ra, 6) AS ra, round(dec, 6) AS dec FROM sources ORDER BY md5(source_id || ':42'), source_id LIMIT 2000"))
 def sky_sample(spark, sf_dir):
-    return X.sky_sample(packets(spark, sf_dir), "ra", "dec", "diaSourceId", 60_000)
+    return X.sky_sample(packets(spark, sf_dir), "ra", "dec", "diaSourceId", 2000).withColumns({c: F.round(c, 6) for c in ("ra", "dec")})
+
+
+@query("sky_sample_by_band", over_packets("SELECT source_id AS \"diaSourceId\", band FROM (SELECT source_id, band, row_number() OVER (PARTITION BY band ORDER BY md5(source_id || ':42'), source_id) AS k FROM sources) WHERE k <= 300"))
+def sky_sample_by_band(spark, sf_dir):
+    """The same number of rows of each band."""
+    return X.sky_sample(packets(spark, sf_dir), "ra", "dec", "diaSourceId", 300, by="band").select("diaSourceId", "band")
+
+
+@query("flux_quantiles", "\nUNION ALL ".join(f"SELECT {q}::DOUBLE AS share, round(quantile_cont(value, {q}), 9) AS flux FROM events" for q in (0.0, 0.005, 0.25, 0.5, 0.9, 0.995, 1.0)))
+def flux_quantiles(spark, sf_dir):
+    """Exact quantiles of all fluxes, in two scans."""
+    shares = [0.0, 0.005, 0.25, 0.5, 0.9, 0.995, 1.0]
+    found = X.quantiles(packets(spark, sf_dir).select(F.col("psfFlux").alias("x")), shares, 500)
+    return spark.createDataFrame(list(zip(shares, found, strict=True)), "share double, flux double").withColumn("flux", F.round("flux", 9))
 
 
 @query("sky_cells", over_packets("""
@@ -271,14 +286,18 @@ def best_candidate(spark, sf_dir):
     return L.best_candidate(json_candidate_ids(spark, sf_dir), "source")
 
 
-@query("payload_rows", "SELECT event_id AS id, event_type AS name FROM events")
+@query("payload_rows", "SELECT event_id AS id, event_type AS name FROM events UNION ALL SELECT -event_id, NULL FROM events WHERE event_id % 9 = 6")
 def payload_rows(spark, sf_dir):
-    """Payloads of six usual shapes, in turn."""
+    """Payloads of nine shapes, in turn, among them lists by column of different lengths."""
     e = table(spark, sf_dir, "events")
+    id_, name = F.col("event_id").cast("string"), F.concat(F.lit('"'), "event_type", F.lit('"'))
     one = F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("name")))
-    shapes = [one, F.concat(F.lit("["), one, F.lit("]")), F.concat(F.lit('{"rows":['), one, F.lit("]}")), F.concat(F.lit("[["), one, F.lit("]]")), F.concat(F.lit('[{"data":['), one, F.lit("]}]")),
-        F.concat(F.lit('{"results":{"items":{"id":['), F.col("event_id"), F.lit('],"name":["'), F.col("event_type"), F.lit('"]}}}'))]
-    return L.payload_rows(e.select(F.element_at(F.array(*shapes), (F.col("event_id") % 6 + 1).cast("int")).alias("t")), "t", "id bigint, name string")
+    around = lambda before, after: F.concat(F.lit(before), one, F.lit(after))
+    shapes = [
+        one, around("[", "]"), around('{"rows":[', "]}"), around("[[", "]]"), around('[{"data":[', "]}]"), F.concat(F.lit('{"results":{"items":{"id":['), id_, F.lit('],"name":['), name, F.lit("]}}}")),
+        F.concat(F.lit('{"id":['), id_, F.lit(","), F.lit("-"), id_, F.lit('],"name":['), name, F.lit("]}")), around('[{"data":{"rows":[', ']}},{"data":null}]'), around('{"data":null,"alerts":{"objects":[', "]}}"),
+    ]
+    return J.payload_rows(e.select(F.element_at(F.array(*shapes), (F.col("event_id") % 9 + 1).cast("int")).alias("t")), "t", "id bigint, name string")
 
 
 @query("partition_labels", over_packets("SELECT 'band=' || b.value AS label, count(s.source_id) AS rows FROM (VALUES ('g'), ('r'), ('u')) b(value) LEFT JOIN sources s ON s.band = b.value GROUP BY 1"))

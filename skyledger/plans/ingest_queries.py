@@ -80,9 +80,11 @@ def duplicate_rate(spark, sf_dir):
     return I.deduplicate(table(spark, sf_dir, "lineitem"), ["absent", "l_orderkey"], ["l_linenumber"])[1]
 
 
-@query("nested_summary", over_packets("SELECT 'pred' AS \"column\", 'struct' AS kind, count(*) AS rows, count(*) AS filled FROM sources UNION ALL SELECT 'clf', 'struct', count(*), count(*) FROM sources UNION ALL SELECT 'lc_features', 'map', count(*), count(*) FILTER (k % 10 <> 0) FROM sources"))
+@query("nested_summary", over_packets("""
+, f AS (SELECT string_agg('{"is_sso":' || is_sso || '}', ' ' ORDER BY source_id) AS pred, string_agg('{"cats_class":' || cats_class || ',"cats_score":' || CASE WHEN k % 25 = 0 THEN 'null' ELSE cats_score::VARCHAR END || '}', ' ' ORDER BY source_id) AS clf FROM (SELECT * FROM sources ORDER BY source_id LIMIT 3))
+SELECT 'pred' AS "column", 'struct' AS kind, count(*) AS rows, count(*) AS filled, (SELECT pred FROM f) AS examples FROM sources UNION ALL SELECT 'clf', 'struct', count(*), count(*), (SELECT clf FROM f) FROM sources"""))
 def nested_summary(spark, sf_dir):
-    return I.nested_summary(packets(spark, sf_dir))
+    return I.nested_summary(packets(spark, sf_dir).drop("lc_features"), "diaSourceId")
 
 
 @query("shadow_json", over_packets("SELECT source_id AS \"diaSourceId\", '{\"is_sso\":' || is_sso || '}' AS pred_json FROM sources"))

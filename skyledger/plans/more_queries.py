@@ -4,11 +4,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from skyledger.functions.nested import rewrite_counts, stable_json
 from skyledger.functions.scalars import packet_type, text_of_bytes
 from skyledger.functions.timescale import split_window, time_bucket, utc_to_tai
 from skyledger.operators import decisions as Z
+from skyledger.operators import documents as J
 from skyledger.operators import lookup as L
 from skyledger.operators.ingest import table_family
+from skyledger.operators.sinks import write_tables
 from skyledger.plans.catalog_queries import sources
 from skyledger.plans.delivery_queries import scratch
 from skyledger.plans.explore_queries import WINDOWS, capped_windows
@@ -45,13 +48,22 @@ def delivery_checks(spark, sf_dir):
     return Z.delivery_checks(packets(spark, sf_dir), 60310.0, 60320.0)
 
 
-@query("schema_doc_fields", "SELECT n_name AS family, 'r:' || r_name AS field, 'nation ' || n_nationkey AS description, 'unknown column family' AS meaning FROM nation JOIN region ON n_regionkey = r_regionkey")
+@query("schema_doc_fields", """
+WITH n AS (SELECT n_name, 'i:' || r_name AS field, 'nation ' || n_nationkey AS text, n_nationkey % 4 AS shape FROM nation JOIN region ON n_regionkey = r_regionkey)
+SELECT field, CASE WHEN shape = 0 THEN n_name END AS family, CASE WHEN shape <> 1 THEN 'int' END AS type, text AS description, 'original alert/survey field' AS meaning FROM n
+UNION ALL SELECT 'bare ' || n_name, NULL, NULL, NULL, 'unprefixed or service-specific field' FROM n WHERE shape = 2""")
 def schema_doc_fields(spark, sf_dir):
-    """Documents family -> field -> text, one a nation."""
+    """A document a nation: nested with families, flat with texts, a list with a bare name behind, or flat with attributes."""
     joined = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    inner = F.create_map(F.concat(F.lit("r:"), "r_name"), F.concat(F.lit("nation "), F.col("n_nationkey").cast("string")))
-    texts = joined.select(F.to_json(F.create_map("n_name", inner)).alias("doc"))
-    return Z.schema_fields(texts, "doc").withColumn("meaning", Z.prefix_meaning(F.col("field")))
+    field, text, int_ = F.concat(F.lit("i:"), "r_name"), F.concat(F.lit("nation "), F.col("n_nationkey").cast("string")), F.lit("int")
+    j = lambda key, value: F.to_json(F.create_map(key, value))
+    described = F.struct(int_.alias("type"), text.alias("doc"))
+    shapes = [
+        j(F.col("n_name"), F.create_map(field, described)), j(field, text),
+        F.concat(F.lit("["), F.to_json(F.struct(int_.alias("type"), text.alias("description"), field.alias("name"))), F.lit(',"bare '), "n_name", F.lit('"]')), j(field, described),
+    ]
+    texts = joined.select(F.element_at(F.array(*shapes), (F.col("n_nationkey") % 4 + 1).cast("int")).alias("doc"))
+    return J.schema_fields(texts, "doc").drop("attributes").withColumn("meaning", Z.prefix_meaning(F.col("field")))
 
 
 @query("field_concepts", """
@@ -98,17 +110,40 @@ def window_parts(spark, sf_dir):
     return sources(spark, sf_dir).select(part.alias("part")).where("part is not null").groupBy("part").agg(F.count("*").alias("rows"))
 
 
-@query("family_round_trip", over_packets("SELECT 'alerts' AS table_name, count(*) AS rows, 8::BIGINT AS columns FROM sources UNION ALL SELECT 'lightcurve_features', count(*) FILTER (k % 10 <> 0), 7 FROM sources"))
+@query("family_round_trip", over_packets("""
+, t AS (SELECT 'alerts' AS "table", count(*) AS rows, 9::BIGINT AS columns, 0::BIGINT AS nested_values, 0::BIGINT AS nonfinite FROM sources
+UNION ALL SELECT 'objects', count(DISTINCT raw_object_id) FILTER (raw_object_id > 0), 9, 0, 0 FROM sources UNION ALL SELECT 'forced_photometry', count(*), 3, 0, 0 FROM sources
+UNION ALL SELECT 'classifications', count(*), 4, count(*), count(*) FILTER (k % 25 = 0) FROM sources UNION ALL SELECT 'lightcurve_features', count(*) FILTER (k % 10 <> 0), 8, 0, 0 FROM sources
+UNION ALL SELECT 'nightly_summary', 1, 15, 0, 0)
+SELECT *, rows AS rows_read FROM t"""))
 def family_round_trip(spark, sf_dir):
-    """Two tables of the family, written and read back by name."""
-    at, out = scratch(spark), None
-    for name, df in table_family(packets(spark, sf_dir)).items():
-        if name in ("alerts", "lightcurve_features"):
-            df.write.parquet(f"{at}/{name}")
-            back = spark.read.parquet(f"{at}/{name}")
-            row = back.agg(F.count("*").alias("rows")).select(F.lit(name).alias("table_name"), "rows", F.lit(len(back.columns)).cast("long").alias("columns"))
-            out = row if out is None else out.unionByName(row)
-    return out
+    """All tables of the family written in turn; the report of the writer, and the rows that are read back by name."""
+    at = scratch(spark)
+    report, detail = write_tables(spark, table_family(packets(spark, sf_dir), run_name="demo"), at)
+    back = None
+    for r in report.collect():  # the tables of the family
+        row = spark.read.parquet(f"{at}/{r.table}").agg(F.count("*").alias("rows_read")).select(F.lit(r.table).alias("table"), "rows_read")
+        back = row if back is None else back.unionByName(row)
+    kinds = lambda what: F.coalesce(F.sum(F.when(F.col("what") == what, F.col("values"))), F.lit(0))
+    told = detail.groupBy("table").agg(kinds("nested").alias("nested_values"), kinds("nonfinite").alias("nonfinite"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return report.join(told, "table", "left").join(back, "table").where("status = 'written'").select("table", "rows", "columns", zero("nested_values"), zero("nonfinite"), "rows_read")
+
+
+@query("nested_rewrites", over_packets("SELECT 'deep[]{}.score' AS path, 'nonfinite' AS what, 2 * count(*) FILTER (k % 25 = 0) AS values FROM sources UNION ALL SELECT 'deep[]{}.raw', 'bytes', 2 * count(*) FROM sources UNION ALL SELECT 'clf.cats_score', 'nonfinite', count(*) FILTER (k % 25 = 0) FROM sources"))
+def nested_rewrites(spark, sf_dir):
+    """What is rewritten in lists of maps of structs, by path."""
+    inner = F.create_map("band", F.struct(F.col("clf.cats_score").alias("score"), F.encode("band", "UTF-8").alias("raw")))
+    return rewrite_counts(packets(spark, sf_dir).select("diaSourceId", "clf", F.array(inner, inner).alias("deep")))
+
+
+@query("stable_json", over_packets("""
+SELECT source_id AS "diaSourceId", '[{"' || band || '":{"a":"' || band || '","z":' || CASE WHEN k % 25 = 0 THEN 'null' ELSE k::VARCHAR || '.5' END || '}}]' AS json FROM sources"""))
+def stable_json_query(spark, sf_dir):
+    """Lists of maps of structs as JSON: members in order, bytes as text, no number that is none."""
+    score = F.when(F.isnan("clf.cats_score"), F.col("clf.cats_score")).otherwise(F.bround(F.col("clf.cats_score") * 100) + 0.5)
+    deep = packets(spark, sf_dir).select("diaSourceId", F.array(F.create_map("band", F.struct(score.alias("z"), F.encode("band", "UTF-8").alias("a")))).alias("deep"))
+    return deep.select("diaSourceId", stable_json(F.col("deep"), deep.schema["deep"].dataType).alias("json"))
 
 
 @query("report_files", over_packets("SELECT band, count(*)::VARCHAR AS rows FROM sources GROUP BY 1"))

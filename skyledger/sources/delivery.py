@@ -200,19 +200,6 @@ def receipt(metadata: DataFrame, sizes: DataFrame, root: DataFrame) -> DataFrame
     return readability(metadata).join(sizes.select("bytes")).join(root.select("root"))
 
 
-def log_chain(logs: DataFrame, edges: DataFrame) -> DataFrame:
-    """Broken links of transition logs: gaps in seq, a previous hash or state that differs, a step that is no edge."""
-    order = W.partitionBy("acquisition_id").orderBy("seq")
-    seen = logs.withColumns({"before": F.lag("seq").over(order), "hash_before": F.lag("entry_sha256").over(order), "state_before": F.lag("to_state").over(order)})
-    legal = seen.join(edges.withColumn("legal", F.lit(True)), ["from_state", "to_state"], "left")
-    first = F.col("before").isNull()
-    problem = F.array_compact(F.array(
-        F.when(~first & (F.col("seq") != F.col("before") + 1), F.lit("gap")), F.when(~first & ~F.col("prev_entry_sha256").eqNullSafe(F.col("hash_before")), F.lit("hash")),
-        F.when(~first & (F.col("from_state") != F.col("state_before")), F.lit("state")), F.when(~first & F.col("legal").isNull(), F.lit("edge")),
-    ))
-    return legal.select("acquisition_id", "seq", F.array_join(problem, ",").alias("problems")).where("problems <> ''")
-
-
 def newest_directory(files: DataFrame) -> DataFrame:
     folder = F.regexp_replace("path", "/[^/]+$", "")
     return files.agg(F.max_by(folder, F.struct("modified", "path")).alias("directory"))

@@ -58,13 +58,6 @@ def test_watermarks(spark):
     assert D.expected_messages(df).first().asDict() == {"topic": "t", "expected": 3, "invalid": 1, "repeated_partitions": 1}
 
 
-def test_log_chain(spark):
-    logs = [("a", 1, "", "new", None, "h1"), ("a", 2, "new", "done", "h1", "h2"), ("a", 4, "done", "new", "bad", "h4")]
-    df = spark.createDataFrame(logs, "acquisition_id string, seq long, from_state string, to_state string, prev_entry_sha256 string, entry_sha256 string")
-    edges = spark.createDataFrame([("new", "done")], "from_state string, to_state string")
-    assert [(r.seq, r.problems) for r in D.log_chain(df, edges).collect()] == [(4, "gap,hash,edge")]
-
-
 def test_stream_restart_reads_nothing_twice(spark, folder, tmp_path):
     schema = spark.createDataFrame([], "id long, band string").schema
     for _ in range(2):
@@ -174,9 +167,34 @@ def test_exact_quantiles(spark):
     rng = np.random.default_rng(4)
     x = np.concatenate([rng.normal(0, 1, 3000), np.full(500, 2.0), [1e300, -1e300, 5.0, 5.0]])
     df = spark.createDataFrame([(float(v),) for v in x], "x double")
-    for rank in (0, 1, 17, 2999, 3100, len(x) - 1):
-        assert X.ranked_value(df, rank, bins=8, few=50) == np.sort(x)[rank]
-    assert abs(X.quantile(df, 0.3, len(x)) - np.quantile(x, 0.3)) < 1e-12
+    shares = [0.0, 0.001, 0.3, 0.3001, 0.5, 0.87, 1.0]
+    for accuracy in (20, 200, 10_000):
+        assert np.allclose(X.quantiles(df, shares, accuracy), np.quantile(x, shares), rtol=1e-12)
+    inside, n = X.brackets(df, [0.25, 0.5], 200)
+    assert n == len(x) and len(inside) == 2 and sum(((x >= a) & (x <= b)).sum() for a, b in inside) < len(x) / 10
+    assert X.ranked_values(df, [(0.0, 0.1)], [0, len(x) - 1]).collect() == []  # ranks that no interval holds are not made up
+    assert X.quantiles(df.limit(0), [0.5]) == [] and X.quantiles(df.where("x = 5"), [0.1, 0.9]) == [5.0, 5.0]
+
+
+def plan_after_run(df) -> str:
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
+def test_ranks_inside_brackets_take_one_scan(spark):
+    """The counts are used twice, and the second use reads the first one's shuffle."""
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select(F.col("value").alias("x"))
+    plan = plan_after_run(X.ranked_values(events, [(10.0, 12.0), (50.0, 51.0)], [5, 100, 500]))
+    assert plan.count("FileScan") - plan.count("ReusedExchange") <= 1
+
+
+def test_banded_samples_are_cut_before_the_shuffle(spark):
+    df = spark.createDataFrame([(k, 1.0, 2.0, "r" if k % 3 else None) for k in range(60)] + [(99, None, 1.0, "g")], "id long, ra double, dec double, band string")
+    picked = X.sky_sample(df, "ra", "dec", "id", 7, by="band")
+    assert sorted((r.band or "", r["count"]) for r in picked.groupBy("band").count().collect()) == [("", 7), ("r", 7)]
+    assert {r.id for r in picked.collect()} == {r.id for r in X.sky_sample(df.repartition(5), "ra", "dec", "id", 7, by="band").collect()}
+    plan = picked._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("WindowGroupLimit") == 2 and plan.rindex("WindowGroupLimit") > plan.index("Exchange")
 
 
 def test_flatten_skips_heavy_columns(spark):
@@ -204,12 +222,6 @@ def test_identifiers(spark):
     assert told == {"diaObjectId": (1, '["3.0"]'), "diaSourceId": (1, '["a1"]'), "other_object_ids": (0, "[]"), "other_source_ids": (0, "[]")}
 
 
-def test_payload_shapes():
-    a, b = {"x": 1}, {"x": 2}
-    assert L.unwrapped([[a], [b]]) == L.unwrapped([{"data": [a]}, {"data": [b]}]) == L.unwrapped({"data": {"rows": [a, b]}}) == L.unwrapped({"x": [1, 2]}) == [a, b]
-    assert L.unwrapped({"data": None, "items": [a]}) == L.unwrapped(a) == [a] and L.unwrapped(None) == [] and L.unwrapped(5) == [{"value": 5}]
-
-
 def test_time_columns_count_only_numbers(spark):
     from skyledger.functions.timescale import rows_in_window
 
