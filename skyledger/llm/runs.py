@@ -233,7 +233,8 @@ def text_key(docs: DataFrame) -> DataFrame:
 
 def periodic_runs(docs: DataFrame) -> DataFrame:
     """``doc_id, copy, start, length, period`` of all maximal runs of all documents (numbers of words), each once for rows that are equal in id and text."""
-    rows = exploded(text_key(docs)).repartition(F.xxhash64("doc_id", "copy", "octave", "start"))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # tiles are small beside their work, so that their bytes must not tell the number of tasks
+    rows = exploded(text_key(docs)).repartition(tasks, F.xxhash64("doc_id", "copy", "octave", "start"))
     return durable(stitched(solved(rows)))
 
 
