@@ -33,19 +33,37 @@ def partition_checks(spark, sf_dir):
 
 
 @query("feasibility_decision", over_packets(WINDOWS + """
-SELECT CASE WHEN count(*) FILTER (status = 'possibly_truncated') = 0 THEN 'yes' ELSE 'unresolved' END AS decision, (count(*) FILTER (status = 'possibly_truncated') > 0)::BIGINT AS blockers FROM p"""))
+SELECT CASE WHEN count(*) FILTER (status = 'possibly_truncated') = 0 THEN 'yes' ELSE 'unresolved' END AS decision, CASE WHEN count(*) FILTER (status = 'possibly_truncated') > 0 THEN 'At least one partition was failed, skipped, unsupported, unsafe, or possibly truncated.' ELSE '' END AS blockers,
+  count(*) FILTER (status = 'possibly_truncated') > 0 AS transfer_considered FROM p"""))
 def feasibility_decision(spark, sf_dir):
     parts = asked(spark, sf_dir)
-    return Z.feasibility(parts, Z.partition_checks(parts, True, True), all_alerts=True, by_tag=True, comparable=True)
+    found = Z.feasibility(parts, Z.partition_checks(parts, True, True), all_alerts=True, by_tag=True, comparable=True)
+    return found.withColumn("blockers", F.array_join("blockers", " "))
+
+
+@query("bounded_checks", over_packets(WINDOWS + """
+, t AS (SELECT 'extraction' AS "table", 'truncation_pagination' AS "check", count(*) FILTER (status = 'possibly_truncated') AS bad_rows, 'warning' AS severity FROM p UNION ALL SELECT 'extraction', 'detail_fetch_coverage', 0, 'info'
+  UNION ALL SELECT 'object_summary', v, 0, 'error' FROM (VALUES ('non_empty'), ('required_columns'), ('object_id_present'), ('ra_range'), ('dec_range'), ('duplicate_keys')) x(v))
+SELECT "table", "check", bad_rows = 0 AS passed, severity, bad_rows FROM t"""))
+def bounded_checks(spark, sf_dir):
+    """A bounded extraction: its objects, and its partitions under a cap."""
+    objects = sources(spark, sf_dir).where("object_id is not null").groupBy("object_id").agg(F.min("ra").alias("ra"), F.min("dec").alias("dec"))
+    return Z.bounded_checks({"object_summary": objects}, asked(spark, sf_dir))
 
 
 @query("delivery_checks", over_packets("""
-SELECT 'delivery_present' AS "check", count(*) > 0 AS passed, 'error' AS severity, 0::BIGINT AS bad_rows FROM sources UNION ALL SELECT 'raw_rows_processed', true, 'error', 0 UNION ALL SELECT 'object_identifier_present', true, 'error', 0
-UNION ALL SELECT 'source_identifier_present', true, 'error', 0 UNION ALL SELECT 'coordinate_fields_available', true, 'warning', 0 UNION ALL SELECT 'time_fields_available', true, 'warning', 0 UNION ALL SELECT 'band_fields_available', true, 'warning', 0
-UNION ALL SELECT 'forced_photometry_available', false, 'warning', 1 UNION ALL SELECT 'rows_within_window', count(*) FILTER (mjd_tai < 60310 OR mjd_tai >= 60320) = 0, 'warning', count(*) FILTER (mjd_tai < 60310 OR mjd_tai >= 60320) FROM sources
-UNION ALL SELECT 'duplicate_keys', count(*) = count(DISTINCT source_id), 'error', count(*) - count(DISTINCT source_id) FROM sources"""))
+, f AS (SELECT count(*) AS n, count(raw_object_id) AS o, count(DISTINCT raw_object_id) AS objects, count(*) FILTER (mjd_tai < 60310 OR mjd_tai >= 60320) AS outside, count(*) - count(DISTINCT source_id) AS repeats FROM sources),
+c AS (SELECT * FROM f, (VALUES ('raw_delivery_present', 1, 'warning', 3), ('raw_file_count_positive', 1, 'warning', 3), ('raw_row_count_positive', 1, 'warning', 4), ('delivery_present', 1, 'warning', 4), ('target_date_not_pre_alert', 1, 'error', 0), ('timezone_utc', 1, 'error', 0),
+  ('processed_alerts_present', 1, 'error', 4), ('object_identifier_present', 1, 'error', 5), ('source_identifier_present', 1, 'error', 4), ('coordinate_fields_available', 1, 'warning', 6), ('time_fields_available', 1, 'warning', 4), ('band_fields_available', 1, 'warning', 4),
+  ('duplicate_source_id_rate', 2, 'warning', 7), ('object_grouping_count', 1, 'warning', 8), ('date_window_consistency', 3, 'warning', 9), ('nested_sanitization_report_present', 0, 'error', 3), ('full_night_completeness_evidence', 0, 'warning', 0),
+  ('completeness_claim_allowed', 0, 'warning', 0), ('smoke_completeness_blocked', 1, 'info', 0)) v(name, rule, level, what)),
+j AS (SELECT *, CASE rule WHEN 0 THEN false WHEN 1 THEN true WHEN 2 THEN repeats = 0 ELSE outside = 0 END AS passed FROM c)
+SELECT name AS "check", passed, CASE WHEN passed THEN 'info' ELSE level END AS severity, CASE what WHEN 3 THEN 3 WHEN 4 THEN n WHEN 5 THEN o WHEN 6 THEN 2 * n WHEN 7 THEN repeats / n::DOUBLE WHEN 8 THEN objects WHEN 9 THEN outside END::DOUBLE AS value FROM j"""))
 def delivery_checks(spark, sf_dir):
-    return Z.delivery_checks(packets(spark, sf_dir), 60310.0, 60320.0)
+    """A delivery of three files with three nested columns and no report of them; rows beyond the window."""
+    rows = packets(spark, sf_dir)
+    raw = rows.agg(F.lit(3).alias("files"), F.count("*").alias("rows"), F.lit(3).alias("nested_columns"))
+    return Z.validate_delivery(rows, raw, "2024-01-01", "2024-01-11", "2023-12-01")
 
 
 @query("schema_doc_fields", """

@@ -164,3 +164,44 @@ def test_catalog_is_verified_when_opened(spark):
     C.open_catalog(spark, manifest, "v1", "abc")
     with pytest.raises(ValueError):
         C.open_catalog(spark, manifest, "v1", "other")
+
+
+def delivered(spark, rows=((1, 5, 60310.5), (2, 5, 60310.9))):
+    return spark.createDataFrame(list(rows), "diaSourceId long, diaObjectId long, midpointMjdTai double")
+
+
+def failing(spark, alerts, files=1, rows=2, nested=0, **named):
+    from skyledger.operators.decisions import validate_delivery
+
+    raw = spark.createDataFrame([(files, rows, nested)], "files long, rows long, nested_columns long")
+    told = validate_delivery(alerts, raw, "2024-01-01", "2024-01-02", "2023-12-01", **named).collect()
+    assert len(told) == 19 and all((r.severity == "info") == r.passed or r.check == "smoke_completeness_blocked" for r in told)
+    return {r.check for r in told if not r.passed}
+
+
+def test_delivery_claims_need_all_evidence(spark):
+    base = {"coordinate_fields_available", "band_fields_available"}
+    blocked = {"full_night_completeness_evidence", "completeness_claim_allowed"}
+    good = delivered(spark)
+    assert failing(spark, good, night_complete=True) == base and failing(spark, good) == base | blocked
+    for named in ({"lag_zero": False}, {"truncated": True}, {"filtered": True}, {"all_alerts": False}):
+        assert failing(spark, good, night_complete=True, **named) == base | blocked
+    assert failing(spark, good, night_complete=True, nested=2) == base | blocked | {"nested_sanitization_report_present"}
+    assert failing(spark, good, night_complete=True, nested=2, nested_report=True) == base
+    assert failing(spark, good, scope="tag_filtered_smoke_delivery", night_complete=True) == base | {"completeness_claim_allowed", "smoke_completeness_blocked"}
+    assert failing(spark, delivered(spark, [(1, 5, 60310.5), (1, 5, 60311.0)]), night_complete=True) == base | blocked | {"duplicate_source_id_rate", "date_window_consistency"}
+    assert failing(spark, delivered(spark, [(1, None, None)]), night_complete=True) >= blocked | {"object_identifier_present", "object_grouping_count", "date_window_consistency", "time_fields_available"}
+    assert failing(spark, delivered(spark, []), files=0, rows=0) >= {"raw_delivery_present", "delivery_present", "processed_alerts_present"}
+
+
+def test_blockers_are_named_in_order(spark):
+    from skyledger.operators.decisions import BLOCKERS, feasibility
+
+    parts = lambda *s: spark.createDataFrame([(x,) for x in s], "status string")
+    checks = lambda ok: spark.createDataFrame([(ok, "error")], "passed boolean, severity string")
+    told = lambda p, c, *a, **k: tuple(feasibility(p, c, *a, **k).first())
+    assert told(parts("empty", "exhausted"), checks(True), True, False, True) == ("yes", [], False)
+    assert told(parts("exhausted", "failed"), checks(False), False, True, False, scope="tag") == ("unresolved", list(BLOCKERS.values()), True)
+    assert told(parts("unsafe"), checks(True), True, True, True) == ("unsafe_to_attempt", [BLOCKERS["partitions"]], True)
+    assert told(parts("exhausted"), checks(True), False, False, True)[0] == "no" and told(parts("exhausted"), checks(False), True, False, True)[0] == "no"
+    assert told(parts(None), checks(True), True, False, True) == ("no", [BLOCKERS["partitions"]], True)
