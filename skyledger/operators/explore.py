@@ -202,21 +202,68 @@ def ranked_files(df: DataFrame, path: Column) -> DataFrame:
 
 
 def nightly_statistics(df: DataFrame, night: Column, band: str, bands: list[str], obj: str, tags: dict[str, Column]) -> DataFrame:
-    """A row a night: alerts, objects, alerts by band, rows by tag. One pass, as conditional counts."""
-    by_band = [F.count_if(F.col(band) == b).alias(f"band_{b}") for b in bands]
-    by_tag = [F.count_if(c).alias(f"tag_{t}") for t, c in tags.items()]
-    return df.groupBy(night.alias("night")).agg(F.count("*").alias("alerts"), F.countDistinct(obj).alias("objects"), *by_band, *by_tag)
+    """A row a night: alerts, objects, alerts by band, rows by tag. Conditional counts by night and object first, so that objects need no distinct count and no row is expanded."""
+    counts = {**{f"band_{b}": F.col(band) == b for b in bands}, **{f"tag_{t}": c for t, c in tags.items()}}
+    by_object = df.groupBy(night.alias("night"), F.col(obj).alias("_object")).agg(F.count("*").alias("alerts"), *(F.count_if(c).alias(k) for k, c in counts.items()))
+    return by_object.groupBy("night").agg(F.sum("alerts").alias("alerts"), F.count("_object").alias("objects"), *(F.sum(k).alias(k) for k in counts))
 
 
-def readiness_report(df: DataFrame, source: str, obj: str, numeric: list[str], counted: list[str]) -> DataFrame:
-    """``section, metric, value``: summary, ranges, missingness and commonest values in one table."""
-    row = lambda section, metric, value: F.struct(F.lit(section).alias("section"), F.lit(metric).alias("metric"), value.cast("double").alias("value"))
-    facts = [row("summary", "rows", F.count("*")), row("summary", "sources", F.count(source)), row("summary", "objects", F.count(obj))]
+def fact(section: str, metric: Column | str, value: Column) -> Column:
+    return F.struct(F.lit(section).alias("section"), (F.lit(metric) if isinstance(metric, str) else metric).alias("metric"), value.cast("double").alias("value"))
+
+
+def counted_values(df: DataFrame, section: str, column: str) -> DataFrame:
+    return value_counts(df, column).select(F.lit(section).alias("section"), F.concat(F.lit(f"{column}="), "value").alias("metric"), F.col("n").cast("double").alias("value"))
+
+
+def readiness_report(df: DataFrame, source: str, obj: str, numeric: list[str], counted: list[str], features: DataFrame | None = None, band: str = "feature_band") -> DataFrame:
+    """``section, metric, value``: summary with unique ids, ranges, missingness, commonest values and, if it is given, the table of features in one table."""
+    facts = [fact("summary", "rows", F.count("*")), fact("summary", "sources", F.count(source)), fact("summary", "objects", F.count(obj))]
     for c in numeric:
         x = number(F.col(c))
-        facts += [row("range", f"{c}_least", F.min(x)), row("range", f"{c}_greatest", F.max(x)), row("missing", c, F.count_if(x.isNull()))]
-    tops = [value_counts(df, c).select(F.lit("values").alias("section"), F.concat(F.lit(f"{c}="), "value").alias("metric"), F.col("n").cast("double").alias("value")) for c in counted]
-    return reduce(DataFrame.unionByName, [stacked(df, facts), *tops])
+        facts += [fact("range", f"{c}_least", F.min(x)), fact("range", f"{c}_greatest", F.max(x)), fact("missing", c, F.count_if(x.isNull()))]
+    unique = delivery_summary(df, source, obj)
+    parts = [stacked(df, facts), unique.select(F.explode(F.array(*(fact("summary", c, F.col(c)) for c in ("unique_sources", "unique_objects")))).alias("f")).select("f.*")]
+    parts += [counted_values(df, "values", c) for c in counted]
+    if features is not None:
+        names = [c for c in features.columns if c.startswith("feature_") and c != band]
+        parts += [stacked(features, [fact("features", "rows", F.count("*")), fact("features", "columns", F.lit(len(names)))]), counted_values(features, "features", band)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def quick_report(df: DataFrame, source: str, obj: str, band: str, flux: str, error: str, ranged: list[str]) -> DataFrame:
+    """``section, metric, value``: a first look at rows that may be a part of a delivery: sizes, bands, unique ids, ranges of time and sky, what is missing of
+    every column, and what hints at variable objects: those with two alerts or more, the most alerts of one, alerts by band, amplitudes, and chi-square-like values.
+
+    Nothing in it claims that an object varies. All counts of columns come from one scan, those of objects from one grouping (the chi-square-like value needs its mean first).
+    """
+    facts = [fact("rows", "rows", F.count("*")), fact("rows", "columns", F.lit(len(df.columns)))]
+    for c in ranged:
+        x = number(F.col(c))
+        facts += [fact("range", f"{c}_numeric", F.count(x)), fact("range", f"{c}_least", F.min(x)), fact("range", f"{c}_greatest", F.max(x))]
+    facts += [fact("missing", c, F.count_if(F.col(f"`{c}`").isNull() | (F.isnan(c) if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)) else F.lit(False)))) for c in df.columns]
+    x = number(F.col(flux))
+    objects = df.where(F.col(obj).isNotNull()).groupBy(obj).agg(F.count("*").alias("n"), (F.max(x) - F.min(x)).alias("amplitude"))
+    hooks = [
+        fact("ids", "unique_objects", F.count("*")), fact("variability", "objects_with_two_or_more", F.count_if(F.col("n") >= 2)), fact("variability", "most_alerts", F.coalesce(F.max("n"), F.lit(0))),
+        fact("variability", "amplitude_nonzero_objects", F.count_if(F.col("amplitude") > 0)), fact("variability", "amplitude_greatest", F.max("amplitude")),
+    ]
+    chi = chi_like(df, obj, flux, error)
+    sources = df.where(F.col(source).isNotNull()).groupBy(source).agg(F.lit(1))
+    return reduce(DataFrame.unionByName, [
+        stacked(df, facts), counted_values(df, "bands", band), stacked(objects, hooks), stacked(sources, [fact("ids", "unique_sources", F.count("*"))]),
+        stacked(chi, [fact("variability", "chi_like_objects", F.count("*")), fact("variability", "chi_like_greatest", F.max("chi_like"))]),
+    ])
+
+
+def histograms(df: DataFrame, columns: dict[str, Column], bins: int) -> DataFrame:
+    """``column, bin, n, left_edge`` of the finite numbers of several columns, each over its own range: two scans for all of them."""
+    values = df.select(F.explode(F.array(*(F.struct(F.lit(n).alias("column"), number(c).alias("x")) for n, c in columns.items()))).alias("v")).select("v.*")
+    values = values.where(F.col("x").isNotNull() & (F.abs("x") < float("inf")))
+    ranges = values.groupBy("column").agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    met = values.join(F.broadcast(ranges), "column")  # a row a column
+    counted = met.groupBy("column", "low", "high", bin_of(F.col("x"), F.col("low"), F.col("high"), bins).alias("bin")).agg(F.count("*").alias("n"))
+    return counted.select("column", "bin", "n", F.round(F.col("low") + (F.col("high") - F.col("low")) * F.col("bin") / bins, 6).alias("left_edge"))
 
 
 def sampled(paths: DataFrame, how: str, most: int, seed: int = 0) -> DataFrame:

@@ -161,12 +161,21 @@ def nightly_summary(packets: DataFrame, by_night: bool = False) -> DataFrame:
 
 
 def sample_objects(df: DataFrame) -> DataFrame:
-    """Objects of a sample: rows, sources, first and last time, bands, and the place of the first row."""
-    order = F.struct("midpointMjdTai", "diaSourceId")
-    return df.where("diaObjectId is not null").groupBy("diaObjectId").agg(
-        F.count("*").alias("rows"), F.countDistinct("diaSourceId").alias("sources"), F.min("midpointMjdTai").alias("first_mjd"), F.max("midpointMjdTai").alias("last_mjd"),
-        F.array_join(F.array_sort(F.collect_set("band")), ",").alias("bands"), F.min_by("ra", order).alias("ra"), F.min_by("dec", order).alias("dec"),
+    """Objects of a sample: rows, sources, first and last time, bands, and the place of the first row. Rows are grouped by object and source first, so that sources need no distinct count."""
+    order = F.struct(F.col("midpointMjdTai").alias("t"), F.col("diaSourceId").alias("s"))
+    by_source = df.where("diaObjectId is not null").groupBy("diaObjectId", "diaSourceId").agg(
+        F.count("*").alias("n"), F.min("midpointMjdTai").alias("first_mjd"), F.max("midpointMjdTai").alias("last_mjd"), F.collect_set("band").alias("b"), F.min(order).alias("at"), F.min_by(F.struct("ra", "dec"), order).alias("place"),
     )
+    return by_source.groupBy("diaObjectId").agg(
+        F.sum("n").alias("rows"), F.count("diaSourceId").alias("sources"), F.min("first_mjd").alias("first_mjd"), F.max("last_mjd").alias("last_mjd"),
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("b")))), ",").alias("bands"), F.min_by("place", "at").alias("place"),
+    ).select("diaObjectId", "rows", "sources", "first_mjd", "last_mjd", "bands", "place.ra", "place.dec")
+
+
+def table_counts(family: dict[str, DataFrame], time: str = "midpointMjdTai") -> DataFrame:
+    """``table_name, night_key, rows`` of each table of a family; a table without the time is of the night ``unsplit``."""
+    by = [(with_night(df, time) if time in df.columns else df.withColumn("night_key", F.lit("unsplit"))).groupBy("night_key").agg(F.count("*").alias("rows")).select(F.lit(n).alias("table_name"), "night_key", "rows") for n, df in family.items()]
+    return reduce(DataFrame.unionByName, by)
 
 
 def deduplicate(df: DataFrame, keys: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -58,6 +58,20 @@ def partition_windows(df: DataFrame, time: str, low: float, high: float, parts:
     return every.join(counts, "part", "left").select("part", rows.alias("rows"), F.least(rows, F.lit(cap)).cast("long").alias("kept"), status.alias("status"))
 
 
+def classify_partitions(results: DataFrame) -> DataFrame:
+    """``part, rows, status, message`` of answers ``part, ok, rows, requested, error``: failed, empty, possibly truncated at the rows that were asked for, or exhausted.
+
+    A failed answer has no rows, whatever came with it; one that asked for no number of rows can't have been cut.
+    """
+    ok, rows, cap = F.coalesce(F.col("ok"), F.lit(False)), F.coalesce(F.col("rows"), F.lit(0)), F.coalesce(F.col("requested"), F.lit(0))
+    case = F.when(~ok, 0).when(rows == 0, 1).when((cap > 0) & (rows >= cap), 2).otherwise(3)
+    told = results.withColumns({"_case": case, "_rows": F.when(ok, rows).otherwise(0).cast("long")})
+    of = lambda *values: F.element_at(F.array(*values), F.col("_case") + 1)
+    fixed = ["Partition returned zero rows", "Partition returned the requested row cap", "Partition returned fewer rows than requested cap"]
+    message = of(F.coalesce(F.col("error"), F.lit("request failed")), *map(F.lit, fixed))
+    return told.select("part", F.col("_rows").alias("rows"), of(*map(F.lit, ["failed", "empty", "possibly_truncated", "exhausted"])).alias("status"), message.alias("message"))
+
+
 def refine_windows(df: DataFrame, time: str, low: float, high: float, parts: int, cap: int, most_parts: int) -> tuple[DataFrame, int]:
     """Double the number of parts until none may be truncated; at most log2(most_parts / parts) small jobs."""
     while True:
@@ -87,18 +101,20 @@ def completeness(parts: DataFrame, comparable: bool, expected: int | None) -> Da
 WALKED = 20_000
 
 
-def walk_json(texts: DataFrame, column: str) -> DataFrame:
-    """``path, field, value, kind`` of every scalar at any depth; each text is read once. kind: integer, number, text, boolean or null.
+def walk_json(texts: DataFrame, column: str, origin: str | None = None) -> DataFrame:
+    """``path, field, value, kind`` (and ``origin``, where a column tells it) of every scalar at any depth; each text is read once. kind: integer, number, text, boolean or null.
     Text that is no JSON has none. The field of a list's own scalars is the one that the list stands under."""
-    return texts.select(column).where(F.col(column).isNotNull()).mapInPandas(walk_batch, "path string, field string, value string, kind string")
+    named = texts.select(column, F.col(origin).cast("string").alias("origin") if origin else F.lit(None).cast("string").alias("origin")).where(F.col(column).isNotNull())
+    found = named.mapInPandas(walk_batch, "path string, field string, value string, kind string, origin string")
+    return found if origin else found.drop("origin")
 
 
 def walk_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Scalars of JSON texts, at most about ``WALKED`` at once; without recursion, so that depth has no limit but the parser's."""
-    frame = lambda rows: pd.DataFrame(rows, columns=["path", "field", "value", "kind"])
+    frame = lambda rows: pd.DataFrame(rows, columns=["path", "field", "value", "kind", "origin"])
     for batch in batches:
         found = []
-        for text in batch.iloc[:, 0]:
+        for text, origin in zip(batch.iloc[:, 0], batch.iloc[:, 1], strict=True):
             try:
                 todo = [("$", "", json.loads(text))]
             except (ValueError, RecursionError):
@@ -110,10 +126,10 @@ def walk_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 elif isinstance(x, list):
                     todo += [(f"{p}[{k}]", f, v) for k, v in enumerate(x)]
                 elif isinstance(x, str):
-                    found.append((p, f, x, "text"))
+                    found.append((p, f, x, "text", origin))
                 else:
                     kind = "null" if x is None else "boolean" if isinstance(x, bool) else "integer" if isinstance(x, int) else "number"
-                    found.append((p, f, None if x is None else json.dumps(x), kind))
+                    found.append((p, f, None if x is None else json.dumps(x), kind, origin))
                 if len(found) >= WALKED:
                     yield frame(found)
                     found = []
@@ -127,7 +143,7 @@ ID_TYPES = ["diaObjectId", "diaSourceId", "other_object_ids", "other_source_ids"
 
 
 def candidate_ids(scalars: DataFrame) -> DataFrame:
-    """``id_type, confidence, field, value`` of what looks like an identifier, each value of a field once.
+    """``id_type, confidence, field, value, path`` (and ``origin``, if the scalars have one) of what looks like an identifier, each value of a field once, where it stands first.
 
     The field's name tells the type: names that are known are of high confidence, others that speak of an object's or a source's id of medium.
     A number must be whole and positive; text must not be blank or say that it is nothing. A list's own scalars are no fields.
@@ -141,7 +157,9 @@ def candidate_ids(scalars: DataFrame) -> DataFrame:
     usable = F.when(F.col("kind").isin("integer", "number"), (number > 0) & (number == F.floor(number))).when(F.col("kind") == "text", (text != "") & ~text.isin("nan", "none", "null"))
     found = scalars.withColumn("id_type", kind).where(kind.isNotNull() & F.coalesce(usable, F.lit(False)) & ~F.col("path").endswith("]"))
     confidence = F.when(F.col("id_type").isin("diaObjectId", "diaSourceId"), "high").otherwise("medium")
-    return found.select("id_type", confidence.alias("confidence"), "field", "value").distinct()
+    named = found.select("id_type", confidence.alias("confidence"), "field", "value", F.struct(*([F.col("origin")] if "origin" in scalars.columns else []), "path").alias("at"))
+    first = named.groupBy("id_type", "confidence", "field", "value").agg(F.min("at").alias("at"))
+    return first.select("id_type", "confidence", "field", "value", "at.*")
 
 
 def best_candidate(candidates: DataFrame, kind: str) -> DataFrame:
@@ -151,13 +169,23 @@ def best_candidate(candidates: DataFrame, kind: str) -> DataFrame:
 
 
 def candidate_summary(candidates: DataFrame, most: int = 5) -> DataFrame:
-    """``id_type, ids, fields, examples`` of all four types; the examples are the ``most`` least values, as a JSON list."""
+    """``id_type, ids, fields, examples`` of all four types, and ``origins, first_origins`` if the candidates have them; the examples are the ``most`` least values, as a JSON
+    list, the first origins likewise. Values and origins are counted before they meet, and no list is longer than ``most``."""
     types = candidates.sparkSession.createDataFrame([(t,) for t in ID_TYPES], "id_type string")
     counts = candidates.groupBy("id_type", "field").agg(F.count("*").alias("n")).groupBy("id_type").agg(F.sum("n").alias("ids"), F.count("*").alias("fields"))
-    first = candidates.select("id_type", "value").withColumn("place", F.row_number().over(W.partitionBy("id_type").orderBy("value"))).where(F.col("place") <= most)
-    shown = first.groupBy("id_type").agg(F.to_json(F.array_sort(F.collect_list("value"))).alias("examples"))
-    joined = types.join(counts, "id_type", "left").join(shown, "id_type", "left")
-    return joined.select("id_type", F.coalesce("ids", F.lit(0)).alias("ids"), F.coalesce("fields", F.lit(0)).alias("fields"), F.coalesce("examples", F.lit("[]")).alias("examples"))
+
+    def firsts(values: DataFrame, name: str) -> DataFrame:
+        ranked = values.withColumn("place", F.row_number().over(W.partitionBy("id_type").orderBy("value"))).where(F.col("place") <= most)
+        return ranked.groupBy("id_type").agg(F.to_json(F.array_sort(F.collect_list("value"))).alias(name))
+
+    joined = types.join(counts, "id_type", "left").join(firsts(candidates.select("id_type", "value"), "examples"), "id_type", "left")
+    zero, none = (lambda c: F.coalesce(c, F.lit(0)).alias(c)), (lambda c: F.coalesce(c, F.lit("[]")).alias(c))
+    columns = ["id_type", zero("ids"), zero("fields"), none("examples")]
+    if "origin" in candidates.columns:
+        origins = candidates.where("origin is not null").groupBy("id_type", F.col("origin").alias("value")).agg(F.lit(1))
+        joined = joined.join(origins.groupBy("id_type").agg(F.count("*").alias("origins")), "id_type", "left").join(firsts(origins.select("id_type", "value"), "first_origins"), "id_type", "left")
+        columns += [zero("origins"), none("first_origins")]
+    return joined.select(*columns)
 
 
 #: Concepts, and what a field's name holds that speaks of one.

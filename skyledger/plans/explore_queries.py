@@ -7,6 +7,7 @@ from skyledger.functions.timescale import approximate_night, mjd_of, rows_in_win
 from skyledger.operators import explore as X
 from skyledger.operators import documents as J
 from skyledger.operators import lookup as L
+from skyledger.operators.ingest import lightcurve_features
 from skyledger.plans.catalog_queries import sources
 from skyledger.plans.registry import query
 from skyledger.plans.sql import over_packets
@@ -181,10 +182,36 @@ def nightly_stats_pivot(spark, sf_dir):
 
 @query("readiness_report", over_packets("""
 SELECT 'summary' AS section, 'rows' AS metric, count(*)::DOUBLE AS value FROM sources UNION ALL SELECT 'summary', 'sources', count(source_id) FROM sources UNION ALL SELECT 'summary', 'objects', count(raw_object_id) FROM sources
+UNION ALL SELECT 'summary', 'unique_sources', count(DISTINCT source_id) FROM sources UNION ALL SELECT 'summary', 'unique_objects', count(DISTINCT raw_object_id) FROM sources
 UNION ALL SELECT 'range', 'psfFlux_least', min(flux) FROM sources UNION ALL SELECT 'range', 'psfFlux_greatest', max(flux) FROM sources UNION ALL SELECT 'missing', 'psfFlux', count(*) FILTER (flux IS NULL) FROM sources
-UNION ALL (SELECT 'values', 'band=' || band, count(*) FROM sources GROUP BY band)"""))
+UNION ALL (SELECT 'values', 'band=' || band, count(*) FROM sources GROUP BY band) UNION ALL SELECT 'features', 'rows', count(*) FROM sources WHERE k % 10 <> 0 UNION ALL SELECT 'features', 'columns', 2
+UNION ALL (SELECT 'features', 'feature_band=' || band, count(*) FROM sources WHERE k % 10 <> 0 GROUP BY band)"""))
 def readiness_report(spark, sf_dir):
-    return X.readiness_report(packets(spark, sf_dir), "diaSourceId", "diaObjectId", ["psfFlux"], ["band"])
+    rows = packets(spark, sf_dir)
+    return X.readiness_report(rows, "diaSourceId", "diaObjectId", ["psfFlux"], ["band"], lightcurve_features(rows))
+
+
+@query("quick_report", over_packets("""
+, g AS (SELECT raw_object_id, count(*) AS n, max(flux) - min(flux) AS a, avg(flux) AS m FROM sources WHERE raw_object_id IS NOT NULL GROUP BY 1),
+x AS (SELECT raw_object_id, sum(((flux - m) / flux_err) ** 2) / greatest(count(*) - 1, 1) AS chi FROM sources JOIN g USING (raw_object_id) GROUP BY 1 HAVING count(*) >= 2)
+SELECT 'rows' AS section, 'rows' AS metric, count(*)::DOUBLE AS value FROM sources UNION ALL SELECT 'rows', 'columns', 11 UNION ALL (SELECT 'bands', 'band=' || band, count(*) FROM sources GROUP BY band)
+UNION ALL SELECT 'ids', 'unique_objects', count(DISTINCT raw_object_id) FROM sources UNION ALL SELECT 'ids', 'unique_sources', count(DISTINCT source_id) FROM sources
+UNION ALL SELECT 'range', 'ra_numeric', count(ra) FROM sources UNION ALL SELECT 'range', 'ra_least', round(min(ra), 6) FROM sources UNION ALL SELECT 'range', 'ra_greatest', round(max(ra), 6) FROM sources
+UNION ALL SELECT 'missing', c, CASE c WHEN 'diaObjectId' THEN (SELECT count(*) FROM sources WHERE raw_object_id IS NULL) WHEN 'lc_features' THEN (SELECT count(*) FROM sources WHERE k % 10 = 0) ELSE 0 END FROM (VALUES ('diaSourceId'), ('diaObjectId'), ('midpointMjdTai'), ('pred'), ('ra'), ('dec'), ('band'), ('psfFlux'), ('psfFluxErr'), ('clf'), ('lc_features')) v(c)
+UNION ALL SELECT 'variability', 'objects_with_two_or_more', count(*) FILTER (n >= 2) FROM g UNION ALL SELECT 'variability', 'most_alerts', max(n) FROM g UNION ALL SELECT 'variability', 'amplitude_nonzero_objects', count(*) FILTER (a > 0) FROM g
+UNION ALL SELECT 'variability', 'amplitude_greatest', round(max(a), 6) FROM g UNION ALL SELECT 'variability', 'chi_like_objects', count(*) FROM x UNION ALL SELECT 'variability', 'chi_like_greatest', round(max(chi), 6) FROM x"""))
+def quick_report(spark, sf_dir):
+    return X.quick_report(packets(spark, sf_dir), "diaSourceId", "diaObjectId", "band", "psfFlux", "psfFluxErr", ["ra"]).withColumn("value", F.round("value", 6))
+
+
+@query("score_histograms", over_packets("""
+, v AS (SELECT 'cats_score' AS "column", cats_score AS x FROM sources WHERE NOT isnan(cats_score) UNION ALL SELECT 'snr', flux / flux_err FROM sources UNION ALL SELECT 'k', k FROM sources),
+r AS (SELECT "column", min(x) AS lo, max(x) AS hi FROM v GROUP BY 1), b AS (SELECT "column", least(floor((x - lo) / (hi - lo) * 30), 29)::INT AS bin, lo, hi FROM v JOIN r USING ("column"))
+SELECT "column", bin, count(*) AS n, round(lo + (hi - lo) * bin / 30, 6) AS left_edge FROM b GROUP BY "column", bin, lo, hi"""))
+def score_histograms(spark, sf_dir):
+    """Three scores, each over its own range."""
+    rows = packets(spark, sf_dir).join(table(spark, sf_dir, "events").select((F.col("event_id") + 1).alias("diaSourceId"), F.get_json_object("props", "$.k").alias("k")), "diaSourceId")
+    return X.histograms(rows, {"cats_score": F.col("clf.cats_score"), "snr": F.col("psfFlux") / F.col("psfFluxErr"), "k": F.col("k")}, 30)
 
 
 @query("rows_in_window", over_packets("""
@@ -247,11 +274,28 @@ def window_completeness(spark, sf_dir):
     return L.completeness(capped_windows(spark, sf_dir), True, 10_000)
 
 
-@query("refined_windows")
+@query("refined_windows", over_packets("""
+, n AS (SELECT unnest([2, 4, 8, 16, 32, 64]) AS parts), w AS (SELECT parts, least(floor((mjd_tai - 60310.0) / (30.0::DOUBLE / parts)), parts - 1)::INT AS part, count(*) AS n FROM sources, n WHERE mjd_tai >= 60310 AND mjd_tai < 60340 GROUP BY ALL),
+t AS (SELECT coalesce(min(parts) FILTER (most < 1300), 64) AS parts FROM (SELECT parts, max(n) AS most FROM w GROUP BY 1))
+SELECT r.part::INT AS part, coalesce(n, 0) AS rows, least(coalesce(n, 0), 1300)::BIGINT AS kept, CASE WHEN coalesce(n, 0) = 0 THEN 'empty' WHEN n >= 1300 THEN 'possibly_truncated' ELSE 'exhausted' END AS status
+FROM (SELECT unnest(range(64)) AS part) r JOIN t ON r.part < t.parts LEFT JOIN w ON w.parts = t.parts AND w.part = r.part"""))
 def refined_windows(spark, sf_dir):
     return L.refine_windows(sources(spark, sf_dir), "mjd_tai", LOW, HIGH, 2, 1300, 64)[0]
 
 
+@query("classified_partitions", """
+WITH p AS (SELECT l_suppkey AS part, count(*) FILTER (l_suppkey % 5 <> 1) AS n, l_suppkey % 7 <> 2 AS ok, CASE WHEN l_suppkey % 3 = 0 THEN NULL ELSE 600 END AS requested, CASE WHEN l_suppkey % 2 = 0 THEN 'timed out' END AS error FROM lineitem GROUP BY 1)
+SELECT part, CASE WHEN ok THEN n ELSE 0 END AS rows, CASE WHEN NOT ok THEN 'failed' WHEN n = 0 THEN 'empty' WHEN n >= requested THEN 'possibly_truncated' ELSE 'exhausted' END AS status,
+  CASE WHEN NOT ok THEN coalesce(error, 'request failed') WHEN n = 0 THEN 'Partition returned zero rows' WHEN n >= requested THEN 'Partition returned the requested row cap' ELSE 'Partition returned fewer rows than requested cap' END AS message FROM p""")
+def classified_partitions(spark, sf_dir):
+    """Answers by supplier: some failed, some without rows, some at their cap."""
+    s = F.first("l_suppkey")
+    answers = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("part")).agg(
+        F.count_if(F.col("l_suppkey") % 5 != 1).alias("rows"), (s % 7 != 2).alias("ok"), F.when(s % 3 != 0, 600).alias("requested"), F.when(s % 2 == 0, "timed out").alias("error")
+    )
+    return L.classify_partitions(answers)
+
+
 @query("json_walk", "SELECT '$.k' AS path, 'k' AS field, json_extract_string(props, '$.k') AS value, 'integer' AS kind FROM events WHERE props IS NOT NULL")
 def json_walk(spark, sf_dir):
     return L.walk_json(table(spark, sf_dir, "events"), "props")
@@ -259,24 +303,27 @@ def json_walk(spark, sf_dir):
 
 
 IDS = """
-WITH c AS (SELECT DISTINCT * FROM (
-  SELECT 'diaObjectId' AS id_type, 'high' AS confidence, 'objectId' AS field, user_id::VARCHAR AS value FROM events WHERE user_id > 0 UNION ALL SELECT 'diaSourceId', 'high', 'r:diaSourceId', event_id::VARCHAR FROM events WHERE event_id > 0
-  UNION ALL SELECT 'other_object_ids', 'medium', 'host-object-id', event_type FROM events))
+WITH c AS (SELECT id_type, confidence, field, value, min(origin) AS origin, any_value(path) AS path FROM (
+  SELECT 'diaObjectId' AS id_type, 'high' AS confidence, 'objectId' AS field, user_id::VARCHAR AS value, event_type AS origin, '$.objectId' AS path FROM events WHERE user_id > 0
+  UNION ALL SELECT 'diaSourceId', 'high', 'r:diaSourceId', event_id::VARCHAR, event_type, '$.rows[0].r:diaSourceId' FROM events WHERE event_id > 0
+  UNION ALL SELECT 'other_object_ids', 'medium', 'host-object-id', event_type, event_type, '$.host-object-id' FROM events) GROUP BY 1, 2, 3, 4)
 """
 
 
 @query("json_candidate_ids", IDS + "SELECT * FROM c")
 def json_candidate_ids(spark, sf_dir):
-    """Identifiers found in nested JSON that is made of the events' own columns."""
+    """Identifiers found in nested JSON that is made of the events' own columns, and where they stand first."""
     inner = F.array(F.struct(F.col("event_id").alias("r:diaSourceId")).cast("struct<`r:diaSourceId`:bigint>"))
-    texts = table(spark, sf_dir, "events").select(F.to_json(F.struct(F.col("user_id").alias("objectId"), inner.alias("rows"), F.col("event_type").alias("host-object-id"), F.lit("none").alias("sourceId"), F.lit(True).alias("objectIdKnown"))).alias("j"))
-    return L.candidate_ids(L.walk_json(texts, "j"))
+    text = F.to_json(F.struct(F.col("user_id").alias("objectId"), inner.alias("rows"), F.col("event_type").alias("host-object-id"), F.lit("none").alias("sourceId"), F.lit(True).alias("objectIdKnown")))
+    return L.candidate_ids(L.walk_json(table(spark, sf_dir, "events").select("event_type", text.alias("j")), "j", "event_type"))
 
 
 @query("candidate_summary", IDS + """
-, r AS (SELECT *, row_number() OVER (PARTITION BY id_type ORDER BY value) AS place FROM c)
-SELECT t.id_type, count(r.value) AS ids, count(DISTINCT r.field) AS fields, '[' || coalesce(string_agg('"' || r.value || '"', ',' ORDER BY r.value) FILTER (r.place <= 5), '') || ']' AS examples
-FROM (VALUES ('diaObjectId'), ('diaSourceId'), ('other_object_ids'), ('other_source_ids')) t(id_type) LEFT JOIN r ON r.id_type = t.id_type GROUP BY 1""")
+, r AS (SELECT *, row_number() OVER (PARTITION BY id_type ORDER BY value) AS place FROM c),
+o AS (SELECT id_type, count(*) AS origins, '[' || string_agg('"' || origin || '"', ',' ORDER BY origin) FILTER (k <= 5) || ']' AS first_origins FROM (SELECT id_type, origin, row_number() OVER (PARTITION BY id_type ORDER BY origin) AS k FROM c GROUP BY 1, 2) GROUP BY 1)
+SELECT t.id_type, count(r.value) AS ids, count(DISTINCT r.field) AS fields, '[' || coalesce(string_agg('"' || r.value || '"', ',' ORDER BY r.value) FILTER (r.place <= 5), '') || ']' AS examples,
+  coalesce(any_value(o.origins), 0) AS origins, coalesce(any_value(o.first_origins), '[]') AS first_origins
+FROM (VALUES ('diaObjectId'), ('diaSourceId'), ('other_object_ids'), ('other_source_ids')) t(id_type) LEFT JOIN r ON r.id_type = t.id_type LEFT JOIN o ON o.id_type = t.id_type GROUP BY 1""")
 def candidate_summary(spark, sf_dir):
     return L.candidate_summary(json_candidate_ids(spark, sf_dir))
 

@@ -40,6 +40,16 @@ def nightly_summary(spark, sf_dir):
     return I.nightly_summary(packets(spark, sf_dir), by_night=True).drop("first_mjd", "last_mjd", "band_list")
 
 
+@query("family_nights", over_packets("""
+, t AS (SELECT 'alerts' AS table_name, night FROM sources UNION ALL SELECT 'objects', (SELECT s.night FROM sources s WHERE s.raw_object_id = g.raw_object_id ORDER BY s.source_id LIMIT 1) FROM (SELECT DISTINCT raw_object_id FROM sources WHERE raw_object_id > 0) g
+  UNION ALL SELECT 'lightcurve_features', night FROM sources WHERE k % 10 <> 0)
+SELECT table_name, night::VARCHAR AS night_key, count(*) AS rows FROM t GROUP BY 1, 2 UNION ALL SELECT 'classifications', 'unsplit', count(*) FROM sources"""))
+def family_nights(spark, sf_dir):
+    """Rows by night of the tables of a family; one of them has no time."""
+    family = I.table_family(packets(spark, sf_dir))
+    return I.table_counts({k: family[k] for k in ("alerts", "objects", "lightcurve_features", "classifications")})
+
+
 @query("night_split_counts", over_packets("SELECT CASE WHEN night BETWEEN DATE '2024-01-03' AND DATE '2024-01-04' THEN night::VARCHAR ELSE 'out_of_window' END AS night, count(*) AS rows FROM sources GROUP BY 1"))
 def night_split_counts(spark, sf_dir):
     return I.split_nights(packets(spark, sf_dir), ["2024-01-03", "2024-01-04"], "midpointMjdTai")

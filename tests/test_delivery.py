@@ -219,6 +219,7 @@ def test_identifiers(spark):
     assert sorted((r.id_type, r.value) for r in found.collect()) == [("diaObjectId", "3.0"), ("diaSourceId", "a1")]
     assert L.best_candidate(found, "object").first().value == "3.0"
     told = {r.id_type: (r.ids, r.examples) for r in L.candidate_summary(found).collect()}
+    assert {r.id_type for r in found.collect() if r.path.startswith("$")} == {"diaObjectId", "diaSourceId"}
     assert told == {"diaObjectId": (1, '["3.0"]'), "diaSourceId": (1, '["a1"]'), "other_object_ids": (0, "[]"), "other_source_ids": (0, "[]")}
 
 
