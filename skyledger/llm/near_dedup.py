@@ -25,6 +25,8 @@ from skyledger.llm.simhash import fingerprints, simhash_components
 
 #: Families in which more than PAIRED texts are near no leader get a further one, up to ROUNDS; this changes the work and not the links.
 PAIRED, ROUNDS = 64, 10
+#: Shingles of leaders that may be broadcast (8 bytes each).
+HELD = 2_000_000
 #: Leaders that may be broadcast, texts of a shingle that one tile holds, texts in the sample and shingles told to be common.
 FEW, TILE, SAMPLED, COMMON = 1000, 1000, 4000, 200_000
 #: Keys that may be broadcast (16 bytes each and some overhead).
@@ -109,7 +111,8 @@ def leader_links(sets: DataFrame, least: float) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "copy")
     for _ in range(ROUNDS):
         leaders = durable(near.groupBy("family").agg(F.min_by(F.struct("id", "shingles"), order).alias("lead")))
-        few = F.broadcast(leaders) if leaders.count() <= FEW else leaders
+        size = leaders.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("lead.shingles")), F.lit(0)).alias("held")).first()
+        few = F.broadcast(leaders) if size.n <= FEW and size.held <= HELD else leaders
         close = similarity("shingles", "lead.shingles") >= least
         compared = durable(near.join(few, "family").select("id", "family", close.alias("close"), F.col("lead.id").alias("head")))
         edges.append(compared.where("close and id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")))
@@ -201,43 +204,78 @@ def similar_pairs(pairs: pd.DataFrame, sets: pd.DataFrame, least: float) -> pd.D
     return pairs.loc[near, ["a", "b"]]
 
 
-def sets_of(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The sets of the pairs ``a, b`` alone, so that no others are shuffled."""
+def of_pairs(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows whose ``id`` is in one of the pairs ``a, b``, so that no others are read further or shuffled."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    return sets.join(bounded(durable(ids)), "id", "left_semi")
+    return rows.join(bounded(durable(ids)), "id", "left_semi")
 
 
-def short_list(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Pairs ``a, b`` that can still be near when shingles are told by half of their bits, which takes half of the bytes.
+def parity_bits(row: np.ndarray, code: np.ndarray, texts: int) -> pa.Array:
+    """For each text a bitmap in which each of its distinct shingles has flipped one bit, as 64-bit words; about one bit a shingle, a power of two at least 64."""
+    n = np.bincount(row, minlength=texts)
+    bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    ends = np.cumsum(bits)
+    place = (ends - bits)[row] + (code.view(np.uint64) & (bits[row] - 1).astype(np.uint64)).astype(np.int64)
+    flipped = (np.bincount(place, minlength=int(bits.sum())) & 1).astype(np.uint8)
+    words = np.packbits(flipped, bitorder="little").view("<i8")
+    return pa.ListArray.from_arrays(pa.array(np.append(0, ends // 64), pa.int32()), pa.array(words))
 
-    Equal shingles have equal halves, so that two sets share no more than their halves do, and what one lost by equal halves of its own.
+
+def parity_maps(texts: DataFrame, width: int) -> DataFrame:
+    """``id, n, bits``: the number of distinct shingles of each text ``id, text``, and its parity bitmap (see ``parity_bits``)."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for rows, texts in runs(batches):
+            row, code = shingle_hashes(texts, width)
+            order = np.lexsort((code, row))
+            row, code = row[order], code[order]
+            new = np.append(True, (np.diff(row) != 0) | (np.diff(code) != 0)) if len(row) else np.zeros(0, bool)
+            row, code = row[new], code[new]
+            counts = pa.array(np.bincount(row, minlength=len(texts)), pa.int64())
+            yield pa.RecordBatch.from_arrays([rows.column(0), counts, parity_bits(row, code, len(texts))], names=["id", "n", "bits"])
+        trim()
+
+    return with_text(texts, "id").mapInArrow(measure, "id long, n long, bits array<long>")
+
+
+def folded(bits: Column, size: Column) -> Column:
+    """A bitmap of ``size`` words, or of twice as many, as one of ``size``: both halves are laid over each other."""
+    halves = F.zip_with(F.slice(bits, 1, size), F.slice(bits, size + 1, size), lambda x, y: x.bitwiseXOR(y))
+    return F.when(F.size(bits) > size, halves).otherwise(bits)
+
+
+def possible(pairs: DataFrame, maps: DataFrame, least: float) -> DataFrame:
+    """Those of the pairs ``a, b, ...`` that can have a similarity of ``least``, told by bitmaps alone.
+
+    A shingle of one set alone flips one bit of one bitmap, so that bitmaps differ in no more bits than sets in shingles, also when a larger one is folded. Nothing near is lost,
+    and of pairs that are not near few are left. Sizes of such pairs differ by less than a factor of two, so one fold is enough.
     """
-    halves = F.array_distinct(F.transform("shingles", lambda x: F.shiftright(x, 32).cast("int")))
-    cut = sets.select("id", F.size("shingles").alias("n"), halves.alias("h"))
-    met = pairs.join(cut.toDF("a", "na", "x"), "a").join(cut.toDF("b", "nb", "y"), "b")
-    most = F.size(F.array_intersect("x", "y")) + F.least(F.col("na") - F.size("x"), F.col("nb") - F.size("y"))
-    return met.where(most >= least / (1 + least) * (F.col("na") + F.col("nb")) - 1e-6).select("a", "b")
+    met = pairs.join(maps.toDF("a", "na", "x"), "a").join(maps.toDF("b", "nb", "y"), "b")
+    size = F.least(F.size("x"), F.size("y"))
+    differ = F.zip_with(folded(F.col("x"), size), folded(F.col("y"), size), lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long"))
+    apart = F.aggregate(differ, F.lit(0).cast("long"), lambda t, x: t + x)
+    total = F.col("na") + F.col("nb")
+    return met.where(((total - apart) / 2 >= least / (1 + least) * total - 1e-6) & (F.abs(F.col("na") - F.col("nb")) <= (1 - least) * F.greatest("na", "nb") + 1e-6)).select(*pairs.columns)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Those of the pairs ``a, b, by`` that have a similarity of ``least`` or more.
 
     by: a shingle of both texts. Where one brings many pairs together, its texts are dealt to blocks and each pair of
-    blocks is a tile, to which each set goes once and not with each of its pairs. Other pairs meet their sets by joins, those that
-    are left on a short list.
+    blocks is a tile, to which each set goes once and not with each of its pairs. Other pairs meet their sets by joins.
     """
     pairs = durable(pairs)
     tiles = F.ceil(F.sqrt(2.0 * F.count("*")) / BLOCK).cast("int")
     hot = durable(pairs.groupBy("by").agg(F.count("*").alias("n"), tiles.alias("tiles")).where(f"n > {LONE}").select("by", "tiles"))
-    told = durable(pairs.join(bounded(hot), "by", "left"))
+    told = pairs.join(bounded(hot), "by", "left")
     lone = durable(told.where("tiles is null").select("a", "b"))
-    few = durable(short_list(lone, sets_of(lone, sets), least))
-    own = sets_of(few, sets).select("id", "shingles")
-    lone = few.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b").where(similarity("x", "y") >= least).select("a", "b")
+    own = of_pairs(lone, sets).select("id", "shingles")
+    lone = lone.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b").where(similarity("x", "y") >= least).select("a", "b")
     block = lambda c: F.pmod(F.xxhash64(c), F.col("tiles")).cast("int")
     dealt = durable(told.where("tiles is not null").select("by", block("a").alias("p"), block("b").alias("q"), "a", "b"))
     key = ["by", "p", "q"]
-    needed = durable(dealt.select(*key, F.explode(F.array("a", "b")).alias("id")).distinct()).join(sets_of(dealt, sets).select("id", "shingles"), "id")
+    needed = durable(dealt.select(*key, F.explode(F.array("a", "b")).alias("id")).distinct()).join(of_pairs(dealt, sets).select("id", "shingles"), "id")
     both = dealt.groupBy(*key).cogroup(needed.groupBy(*key)).applyInPandas(lambda p, s: similar_pairs(p, s, least), "a long, b long")
     return durable(lone.unionByName(both))
 
@@ -246,13 +284,15 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 def exact_links(texts: DataFrame, width: int, least: float, count: int) -> DataFrame:
     """Edges ``a, b`` that connect, with those behind the roots, whatever a similarity of ``least`` connects.
 
-    texts: ``id, apart, text``. The partner with most shingles in common is tried first; then all pairs whose ends are still apart.
+    texts: ``id, apart, text``. Bitmaps leave few of the candidate pairs, and only their texts' sets are made. The partner with most shingles in common is tried first; then
+    all pairs whose ends are still apart.
     """
-    pairs = candidates(texts, width, least, count)
+    met = candidates(texts, width, least, count)
+    maps = durable(parity_maps(of_pairs(met, texts), width))
+    pairs = durable(possible(met, maps, least))
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared", "by"))
     best = durable(both.groupBy("a").agg(F.max_by(F.struct("b", "by"), F.struct("shared", "b")).alias("r")).select("a", "r.*"))
-    compared = texts.join(bounded(best.select(F.col("a").alias("id"))), "id", "left_semi")
-    sets = durable(shingle_sets(compared, width, "id", "apart"))
+    sets = durable(shingle_sets(of_pairs(pairs, texts), width, "id", "apart"))
     sure = verified(best.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("by").alias("by")), sets, least)
     roots = sets.select("id", F.col("id").bitwiseXOR(F.col("apart")).alias("root"))
     old = roots.toDF("a", "ra"), roots.toDF("b", "rb")
