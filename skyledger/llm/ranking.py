@@ -23,6 +23,8 @@ SCORED, CELLS = 2048, 4_000_000
 BETWEEN = bytes([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 #: White space for what ends a term, small letters for capitals; everything else as it is.
 PLAIN = bytes(32 if b in BETWEEN else b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: Bytes of classes that may be broadcast.
+FEW_BYTES = 16 << 20
 #: Sums of at most this are exact in doubles.
 EXACT = 1 << 53
 
@@ -187,7 +189,9 @@ def search_block(docs: DataFrame, told: DataFrame, most: int) -> DataFrame:
     best = durable(first_of(best, ["item"], [F.desc("score"), F.asc("first"), "h", "bag"], most).drop("rank", "first"))
     # a class whose first document is not among an item's best can't have a document there; at most `most` classes an item are left
     key = ["h", "m", "bag"]
-    wanted = best.select(*key).distinct()
+    wanted = durable(best.select(*key).distinct())
+    size = wanted.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("bag") + 24), F.lit(0)).alias("bytes")).first()
+    wanted = F.broadcast(wanted) if size.bytes <= FEW_BYTES else wanted.hint("merge")  # copies of one class then stay where they are until they are cut
     members = first_of(found.withColumn("h", F.xxhash64("bag", "m")).join(wanted, key).select(*key, "doc_id"), key, [F.asc_nulls_last("doc_id")], most).drop("rank")
     expanded = best.join(members, key).select("item", "doc_id", "score")
     named = spark.createDataFrame(list(enumerate(ids.tolist())), T.StructType([T.StructField("item", T.LongType()), told.schema["item_id"]]))

@@ -4,7 +4,6 @@ import random
 
 import numpy as np
 import pyarrow as pa
-import pytest
 
 from skyledger.llm import near_dedup as N
 
@@ -54,13 +53,11 @@ def test_bitmaps_lose_no_near_pair_and_drop_most_others(spark):
     assert sum(p in left for p in far) <= len(far) / 100
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_groups_equal_brute_force(spark, monkeypatch, small):
-    """With real constants, and with tiles, blocks and leaders so small that every path is taken."""
-    if small:
-        for name, value in {"TILE": 3, "LONE": 1, "BLOCK": 2, "PAIRED": 2, "FEW": 1, "SMALL": 5, "HELD": 10}.items():
-            monkeypatch.setattr(N, name, value)
-    texts = [*corpus(8), "", None, "same words here and nothing else at all", "same words here and nothing else at all", "w " * 3000]
+def test_groups_equal_brute_force(spark, monkeypatch):
+    """With tiles, blocks and leaders so small that every path is taken (the pipeline's test has the real constants)."""
+    for name, value in {"TILE": 3, "LONE": 1, "BLOCK": 2, "PAIRED": 2, "FEW": 1, "SMALL": 5, "HELD": 10}.items():
+        monkeypatch.setattr(N, name, value)
+    texts = [*corpus(8, groups=8), "", None, "same words here and nothing else at all", "same words here and nothing else at all", "w " * 3000]
     rows = list(enumerate(texts))
     df = spark.createDataFrame([(k, t, "x", 1) for k, t in rows], SCHEMA)
     sets, root = [shingles(t) for t in texts], list(range(len(texts)))

@@ -52,6 +52,7 @@ def test_equals_brute_force(spark, monkeypatch, step):
     monkeypatch.setattr(R, "SCORED", step)
     if step == 3:
         monkeypatch.setattr(R, "BLOCK_TERMS", 5)
+        monkeypatch.setattr(R, "FEW_BYTES", 0)
     docs = [(k, "the Cat sat") for k in range(100, 40, -1)] + [(k, f"the dog {'ran ' * (k % 4)}far. É{k % 3} naïve_cat") for k in range(30)]
     docs += [(None, "the cat sat"), (None, None), (200, None), (201, ""), (202, "... --"), (7, docs[7][1]), (203, "zebra\x00zebra " * 500), (204, "the the the the cat")]
     items = [(1, "The cat"), (2, "naïve É1 dog"), (3, "zebra zebra the"), (4, None), (5, "nowhere"), (6, ""), (8, "ran ran far")]
