@@ -92,12 +92,14 @@ def repeat_sample(packets: DataFrame, objects: int = 12, id_column: str = "diaOb
     inside a piece of about ``PIECE_ROWS``), so that no task orders all objects, nor all of one row count."""
     usable = packets.where(F.col(id_column) > 0)
     sizes = usable.groupBy(F.col(id_column).alias("object_id")).agg(F.count("*").alias("n")).where("n > 1")
-    span = sizes.agg(F.count("*").alias("total"), F.min("object_id").alias("low"), F.max("object_id").alias("high")).first()
-    pieces = max(1, -(-span.total // PIECE_ROWS))
-    width = max(1, -(-((span.high or 0) - (span.low or 0) + 1) // pieces))
-    sizes = sizes.withColumn("piece", F.floor((F.col("object_id") - (span.low or 0)) / width).cast("long"))
+    pieces = max(1, -(-sizes.count() // PIECE_ROWS))
+    # borders follow the ids where they crowd; a merged sketch of them is enough, since any borders give the same order
+    told = sizes.agg(F.count("*").alias("total"), F.percentile_approx("object_id", [k / pieces for k in range(1, pieces)] or [0.5], 10_000).alias("borders")).first()
+    borders = sorted(set(told.borders or [])) if pieces > 1 else []
+    held = F.array(*(F.lit(b).cast("long") for b in borders)) if borders else F.array().cast("array<long>")
+    sizes = sizes.withColumn("piece", F.size(F.filter(held, lambda b: b < F.col("object_id"))).cast("long"))
     bins = sizes.groupBy("n", "piece").agg(F.count("*").alias("c"))
-    starts = bins.withColumn("before", F.sum("c").over(W.orderBy("n", "piece")) - F.col("c")).withColumn("total", F.lit(span.total)).drop("c")
+    starts = bins.withColumn("before", F.sum("c").over(W.orderBy("n", "piece")) - F.col("c")).withColumn("total", F.lit(told.total)).drop("c")
     ranked = sizes.withColumn("inside", F.row_number().over(W.partitionBy("n", "piece").orderBy("object_id"))).join(starts, ["n", "piece"])
     place = F.col("before") + F.col("inside") - 1
     slot = F.when(F.col("total") <= objects, place).otherwise(F.floor(place * (objects - 1) / (F.col("total") - 1)))

@@ -71,3 +71,20 @@ def write_tables(spark: SparkSession, tables: dict[str, DataFrame], out: str) ->
     for frame, name in zip(frames, ("_report", "_report_detail"), strict=True):
         frame.coalesce(1).write.mode("overwrite").json(f"{out}/{name}")
     return frames
+
+
+def write_nights(tables: dict[str, DataFrame], out: str, time: str, start: str | None = None, stop: str | None = None) -> None:
+    """Each table in ``<out>/<table>/night_key=<night>``, by the approximate night of ``time``; rows outside the window, or without a time, have nights of their own.
+
+    A night's rows are dealt to as many files as adaptive execution finds worth, so that neither one task writes a large night nor all tasks each a little file.
+    """
+    from skyledger.operators.ingest import with_night
+
+    for name, df in tables.items():
+        dated = with_night(df, time, start=start, stop=stop).hint("rebalance", "night_key")
+        dated.write.mode("overwrite").partitionBy("night_key").parquet(f"{out}/{name}")
+
+
+def read_night(spark: SparkSession, out: str, table: str, night: str) -> DataFrame:
+    """One night of a table that ``write_nights`` wrote; no other folder is looked into."""
+    return spark.read.parquet(f"{out}/{table}").where(F.col("night_key").cast("string") == night)

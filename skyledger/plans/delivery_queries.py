@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from skyledger.operators import catalog as C
 from skyledger.operators.explore import sampled
+from skyledger.operators.ingest import table_family
+from skyledger.operators.sinks import write_nights
 from skyledger.plans.registry import query
 from skyledger.plans.sql import over_packets
 from skyledger.sources import audit as A
@@ -286,10 +288,31 @@ def stream_file_status(spark, sf_dir):
     return told.unionByName(kept)
 
 
-@query("night_partitions", "SELECT o_orderdate::DATE::VARCHAR AS night_key, count(*) AS rows FROM orders GROUP BY 1")
+@query("night_partitions", over_packets("SELECT CASE WHEN night >= DATE '2024-01-03' AND night < DATE '2024-01-06' THEN night::VARCHAR ELSE 'out_of_window' END AS night_key, count(*) AS rows, count(DISTINCT source_id) AS sources FROM sources GROUP BY 1"))
 def night_partitions(spark, sf_dir):
-    """Orders written by date and read back by partition; rows of a date go to one file."""
+    """Packets written by night and read back."""
     at = scratch(spark)
-    rows = table(spark, sf_dir, "orders").withColumn("night_key", F.col("o_orderdate").cast("date").cast("string"))
-    rows.select("o_orderkey", "night_key").repartition("night_key").write.partitionBy("night_key").parquet(at)
-    return spark.read.option("spark.sql.sources.partitionColumnTypeInference.enabled", False).parquet(at).groupBy(F.col("night_key").cast("string").alias("night_key")).agg(F.count("*").alias("rows"))
+    write_nights({"alerts": alerts(table(spark, sf_dir, "events")).drop("lc_features")}, at, "midpointMjdTai", "2024-01-03", "2024-01-06")
+    back = spark.read.parquet(f"{at}/alerts").groupBy(F.col("night_key").cast("string").alias("night_key"), "diaSourceId").agg(F.count("*").alias("n"))
+    return back.groupBy("night_key").agg(F.sum("n").alias("rows"), F.count("diaSourceId").alias("sources"))
+
+
+@query("loaded_files", "SELECT kind, k::INT AS _raw_file_index, count(*) AS rows, sum(o_orderkey)::BIGINT AS keys FROM orders, (VALUES (0, 'csv'), (1, 'json'), (2, 'parquet')) f(k, kind) WHERE o_orderkey % 3 = k GROUP BY 1, 2")
+def loaded_files(spark, sf_dir):
+    """Orders in files of three formats, loaded as one table with the number of each row's file."""
+    at, orders = scratch(spark), table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    part = lambda k: orders.where(F.col("o_orderkey") % 3 == k).coalesce(1)
+    part(0).write.option("header", True).csv(f"{at}/0")
+    part(1).write.json(f"{at}/1")
+    part(2).write.parquet(f"{at}/2")
+    rows = D.load_files(spark, at)
+    kind = F.element_at(F.array(*map(F.lit, ["csv", "json", "parquet"])), F.col("_raw_file_index") + 1)
+    return rows.groupBy(kind.alias("kind"), "_raw_file_index").agg(F.count("*").alias("rows"), F.sum(F.col("o_orderkey").cast("long")).alias("keys"))
+
+
+@query("forced_columns", over_packets("SELECT source_id AS \"diaSourceId\", raw_object_id AS \"diaObjectId\", round(flux * 2, 6) AS \"prvForcedFlux\", band AS fp_band FROM sources"))
+def forced_columns(spark, sf_dir):
+    """What of a wide packet is like forced photometry, by name."""
+    rows = alerts(table(spark, sf_dir, "events"))
+    wide = rows.withColumns({"prvForcedFlux": F.round(F.col("psfFlux") * 2, 6), "fp_band": F.col("band")})
+    return table_family(wide)["forced_photometry"]

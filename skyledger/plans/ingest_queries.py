@@ -135,9 +135,11 @@ def mjd_round_trip(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", mjd.alias("mjd"), T.mjd_to_date(mjd).alias("day"))
 
 
-@query("calendar_edges", "SELECT d::DATE AS utc_date, round(date_diff('day', DATE '1858-11-17', d::DATE) + 37 / 86400.0::DOUBLE, 9) AS tai_start FROM generate_series(DATE '2024-01-01', DATE '2024-02-02', INTERVAL 1 DAY) g(d)")
+@query("calendar_edges", "SELECT d.utc_date, round(date_diff('day', DATE '1858-11-17', d.utc_date) + 37 / 86400.0::DOUBLE, 9) AS tai_start FROM (SELECT unnest(generate_series(min(ts)::DATE, max(ts)::DATE, INTERVAL 1 DAY))::DATE AS utc_date FROM events) d")
 def calendar_edges(spark, sf_dir):
-    return T.calendar(spark, "2024-01-01", "2024-02-03").select("utc_date", F.round("tai_start", 9).alias("tai_start"))
+    """The days from the first to the last event."""
+    span = table(spark, sf_dir, "events").agg(F.min("ts").cast("date").cast("string").alias("a"), F.date_add(F.max("ts").cast("date"), 1).cast("string").alias("b")).first()
+    return T.calendar(spark, span.a, span.b).select("utc_date", F.round("tai_start", 9).alias("tai_start"))
 
 
 @query("parsed_dates", "SELECT o_orderkey, try_cast(left(o_orderdate::VARCHAR, 10) AS DATE) AS day, left(o_orderdate::VARCHAR, 10) >= '1995-01-01' AS usable FROM orders")

@@ -85,17 +85,16 @@ def schema_doc_fields(spark, sf_dir):
 
 
 @query("field_concepts", """
-WITH f AS (SELECT event_type || '_' || c AS field FROM (SELECT DISTINCT event_type FROM events), (VALUES ('mjd'), ('diaObjectId'), ('r:ra'), ('psfFlux'), ('band')) v(c)),
+WITH f AS (SELECT DISTINCT props_key AS field FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS props_key FROM benchmark) WHERE props_key <> ''),
 m AS (SELECT * FROM (VALUES ('object_id', 'objectid|diaobjectid|diaobject|ssobjectid'), ('source_id', 'candid|diasourceid|diasource|alertid'), ('ra', ':ra| ra|jradeg|coord_ra|ra'), ('dec', ':dec|jdedeg|coord_dec|declination|dec'),
   ('time', ':jd|mjd|midpointtai|tai|time|timestamp'), ('band_or_filter', 'fid|band|filter'), ('magnitude_or_flux', 'mag|flux|psf|snr'), ('classification', 'class|classification|rf_|snn|cats'), ('tag', 'tag'),
   ('crossmatch_or_context', 'xmatch|simbad|tns|gaia|host|ssnamenr|mpc'), ('forced_photometry', 'forced|forcedsource|diaforcedsource'), ('cutout', 'cutout|stamp')) m(concept, mark)),
 r AS (SELECT concept, field, row_number() OVER (PARTITION BY concept ORDER BY field) AS place FROM m, f WHERE regexp_matches(lower(field), mark))
 SELECT m.concept, count(r.field) AS fields, coalesce(string_agg(r.field, ', ' ORDER BY r.field) FILTER (r.place <= 20), '') AS examples FROM m LEFT JOIN r ON r.concept = m.concept GROUP BY 1""")
 def field_concepts(spark, sf_dir):
-    """Concepts of field names that are made of the events' kinds."""
-    kinds = table(spark, sf_dir, "events").select("event_type").distinct()
-    names = F.array(*map(F.lit, ["mjd", "diaObjectId", "r:ra", "psfFlux", "band"]))
-    return L.concepts(kinds.select("event_type", F.explode(names).alias("c")).select(F.concat_ws("_", "event_type", "c").alias("field")))
+    """Concepts of names, for which the words of the items stand."""
+    words = F.split(F.lower("text"), "[^a-z]+")
+    return L.concepts(table(spark, sf_dir, "benchmark").select(F.explode(words).alias("field")))
 
 
 @query("json_safe_bytes", r"SELECT doc_id, CASE WHEN lang = 'en' THEN text ELSE base64('\xFF'::BLOB || encode(text)) END AS safe FROM documents")
