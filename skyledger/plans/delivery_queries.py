@@ -113,6 +113,16 @@ def delivery_receipt(spark, sf_dir):
     return A.delivery_facts(visits(spark, sf_dir))
 
 
+@query("small_files", """
+WITH p AS (SELECT count(*) AS n FROM orders GROUP BY o_orderkey % 8)
+SELECT sum(ceil(n / 100.0))::BIGINT AS files, sum(ceil(n / 100.0))::BIGINT AS readable, 0::BIGINT AS unreadable, sum(n)::BIGINT AS rows, 1::BIGINT AS schema_groups FROM p""")
+def small_files(spark, sf_dir):
+    """A delivery of very many small files, a hundred orders each, audited in one visit to each file."""
+    at, part = scratch(spark), (F.col("o_orderkey") % 8).alias("part")
+    table(spark, sf_dir, "orders").select("*", part).repartition("part").write.option("maxRecordsPerFile", 100).partitionBy("part").parquet(at)
+    return A.delivery_facts(A.visit(D.discover(spark, at, "*.parquet"))).select("files", "readable", "unreadable", "rows", "schema_groups")
+
+
 @query("stat_fingerprint")
 def stat_fingerprint(spark, sf_dir):
     return D.stat_fingerprint(files(spark, sf_dir))
