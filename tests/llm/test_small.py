@@ -228,22 +228,24 @@ def test_url_rules(spark):
     assert url_filter(df.limit(0)).count() == 0
 
 
-def test_page_rank_follows_the_plain_iteration(spark):
+@pytest.mark.parametrize("pull", [False, True])
+def test_page_rank_follows_the_plain_iteration(spark, pull):
+    """Shares of the host that gives, and of the one that receives, as the operator uses them."""
     edges = [("a", "b", 2), ("a", "c", 1), ("b", "c", 1), ("c", "a", 3), ("d", "a", 1)]
     seeds = {("trust", "a"): 1.0, ("distrust", "c"): 1.0}
-    rank = propagate(spark.createDataFrame([(*k, v) for k, v in seeds.items()], "kind string, host string, seed double"), spark.createDataFrame(edges, "src string, dst string, weight long"), rounds=5)
+    rank = propagate(spark.createDataFrame([(*k, v) for k, v in seeds.items()], "kind string, host string, seed double"), spark.createDataFrame(edges, "src string, dst string, weight long"), rounds=5, pull=pull)
     want = {}
     for kind in ("trust", "distrust"):
         links_ = [(s, t, w) if kind == "trust" else (t, s, w) for s, t, w in edges]
         out = defaultdict(float)
-        for s, _, w in links_:
-            out[s] += w
+        for s, t, w in links_:
+            out[t if pull else s] += w
         start = {h: 0.15 * v for (k, h), v in seeds.items() if k == kind}
         now = dict(start)
         for _ in range(5):
             after = defaultdict(float, start)
             for s, t, w in links_:
-                after[t] += 0.85 * now.get(s, 0) * w / out[s]
+                after[t] += 0.85 * now.get(s, 0) * w / out[t if pull else s]
             now = after
         want |= {(kind, h): v for h, v in now.items() if v}
     got = {(r.kind, r.host): r.rank for r in rank.where("rank > 0").collect()}
