@@ -5,6 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from skyledger.operators import catalog as C
+from skyledger.operators import runs as R
 from skyledger.operators.explore import sampled
 from skyledger.operators.ingest import table_family
 from skyledger.operators.sinks import write_nights
@@ -170,6 +171,44 @@ def heavy_fields(spark, sf_dir):
     return D.heavy_fields(docs.select("doc_id", F.col("text").cast("binary").alias("text_bytes"), F.struct(F.length("text").alias("size")).alias("cutout")))
 
 
+@query("field_inventory", BLOBS + "SELECT name AS \"column\", count(*) AS files, name IN ('text_bytes', 'image') AS heavy, false AS binary, bool_or(type IS NULL) AS nested FROM c GROUP BY 1")
+def field_inventory(spark, sf_dir):
+    """Heavy, binary and nested columns of all delivered files, from their footers."""
+    return A.field_inventory(visits(spark, sf_dir)).drop("types")
+
+
+@query("delivery_progress", """
+WITH o AS (SELECT o_orderkey % 6 AS d, count(*) AS n FROM orders GROUP BY 1),
+s AS (SELECT d, n, CASE d WHEN 0 THEN 'ready_for_raw_schema_inspection' WHEN 1 THEN 'partial_download' WHEN 2 THEN 'appears_complete_unverified' WHEN 3 THEN 'blocked_corrupt_raw' WHEN 4 THEN 'partial_with_errors' ELSE 'raw_missing' END AS state,
+  CASE d WHEN 1 THEN n + 10 WHEN 2 THEN NULL ELSE n END AS expected, CASE WHEN d IN (3, 5) THEN 0 ELSE n END AS rows FROM o)
+SELECT 'd' || d AS delivery, CASE d WHEN 4 THEN 2 WHEN 5 THEN 0 ELSE 1 END::BIGINT AS files, rows::BIGINT AS readable_rows, state, CASE state WHEN 'ready_for_raw_schema_inspection' THEN 'ready_for_ingestion' WHEN 'appears_complete_unverified' THEN 'ready_for_ingestion'
+  WHEN 'blocked_corrupt_raw' THEN 'inspect_partial_only' ELSE 'resume_same_topic_same_directory' END AS action, greatest(expected - rows, 0)::BIGINT * CASE WHEN expected IS NULL THEN NULL ELSE 1 END AS remaining_rows FROM s""")
+def delivery_progress(spark, sf_dir):
+    """Deliveries of orders: whole, short, without an expectation, broken, broken in part, and missing; where each stands and what to do next."""
+    at, orders = scratch(spark), table(spark, sf_dir, "orders")
+    part = lambda k: orders.where(F.col("o_orderkey") % 6 == k).coalesce(1)
+    for k in (0, 1, 2, 4):
+        part(k).write.parquet(f"{at}/d{k}")
+    for k in (3, 4):  # text under a name that promises Parquet
+        part(k).select(F.to_json(F.struct("*"))).write.text(f"{at}-text{k}")
+        renamed(spark, f"{at}-text{k}", f"{at}/d{k}/broken.parquet")
+    expected = orders.groupBy(F.concat(F.lit("d"), F.col("o_orderkey") % 6).alias("delivery")).agg(F.count("*").alias("n"))
+    expected = expected.select("delivery", F.when(F.col("delivery") == "d1", F.col("n") + 10).when(F.col("delivery") != "d2", F.col("n")).alias("expected_total"), F.lit(None).cast("long").alias("progress"))
+    found = A.visit(D.discover(spark, at, "*.parquet"), digest=False)
+    found.write.parquet(f"{at}-visits")
+    audits = A.delivery_audits(spark.read.parquet(f"{at}-visits"), expected, A.plain(at), "2100-01-01 00:00:00", 100.0)
+    ready = R.raw_readiness(audits)
+    return R.next_action(ready).join(ready.select("delivery", "remaining_rows"), "delivery").join(audits.select("delivery", "files", "readable_rows"), "delivery")
+
+
+def renamed(spark, folder, to):
+    """The one file of a folder under another name."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path(to).getParent())
+    fs.rename(fs.globStatus(path(folder, "part-*"))[0].getPath(), path(to))
+
+
 ORDER_COLUMNS = "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority".split()
 
 

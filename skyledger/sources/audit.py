@@ -7,6 +7,7 @@ it in as many ways as needed. A file that can't be read is a row with its error.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyledger.sources.delivery import TINY_BYTES, file_type, opened
+from skyledger.sources.delivery import SETTLED_SECONDS, TINY_BYTES, file_type, opened
 
 FIELD = "struct<name:string,type:string,nullable:boolean,nested:boolean,nulls:bigint>"
 VISIT = f"path string, length long, modified timestamp, sha256 string, readable boolean, error string, rows long, row_groups long, schema_hash string, fields array<{FIELD}>"
@@ -130,6 +131,34 @@ def type_conflicts(visits: DataFrame) -> DataFrame:
     return typed.join(torn, "column", "left_semi")
 
 
+def field_inventory(visits: DataFrame, marks: str = "cutout|stamp|fits|image|bytes|binary") -> DataFrame:
+    """``column, types, files, heavy, binary, nested`` of all Parquet footers: what is heavy by its name, and what is bytes or nested by its type in some file."""
+    is_binary = F.lower("types").rlike("binary|bytes")
+    return column_union(visits).select("column", "types", "files", F.lower("column").rlike(marks).alias("heavy"), is_binary.alias("binary"), "nested")
+
+
+def delivery_audits(visits: DataFrame, expected: DataFrame, root: str, as_of: str, free_gb: float) -> DataFrame:
+    """The state of each delivery, a folder below ``root``, for ``operators.runs.raw_readiness``: its files, rows and times of one visit.
+
+    expected: ``delivery, expected_total, progress`` (both may be null). Deliveries that are expected and have no file are there as well, not present. active: some
+    file was modified less than ``SETTLED_SECONDS`` before ``as_of``. free_gb: what is free on the disk that takes the deliveries.
+    """
+    below = F.substring_index(plain_path(F.col("path")), root.rstrip("/") + "/", -1)
+    parquet = file_type(F.col("path")) == "parquet"
+    age = F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp("modified")
+    seen = visits.groupBy(F.substring_index(below, "/", 1).alias("delivery")).agg(
+        F.count("*").alias("files"), F.sum("length").alias("bytes"), F.count_if(parquet).alias("parquet_files"), F.count_if(parquet & ~F.col("readable")).alias("unreadable"),
+        (F.min(age) < SETTLED_SECONDS).alias("active"), F.count_if(F.col("length") <= TINY_BYTES).alias("tiny"), F.coalesce(F.sum("rows"), F.lit(0)).alias("readable_rows"),
+        F.max_by("path", F.struct("modified", "path")).alias("newest"), F.min_by("path", F.struct("modified", "path")).alias("oldest"),
+    )
+    met = expected.join(seen, "delivery", "full_outer")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return met.select(
+        "delivery", F.col("files").isNotNull().alias("present"), zero("files"), zero("bytes"), zero("parquet_files"), zero("unreadable"), F.coalesce("active", F.lit(False)).alias("active"), zero("tiny"),
+        zero("readable_rows"), "expected_total", "progress", F.lit(free_gb).alias("free_gb"), "newest", "oldest",
+    )
+
+
 def json_shapes(spark: SparkSession, root: str) -> DataFrame:
     """``path, shape, rows, columns`` of the JSON files below a root: ``list``, ``dict``, another kind, ``jsonl``, or ``invalid``.
 
@@ -177,3 +206,8 @@ def pinned(spark: SparkSession, visits: DataFrame, refuse: Callable[[T.StructTyp
 def plain_path(path: Column) -> Column:
     """Paths of the file scheme with one slash, as the listing has them."""
     return F.regexp_replace(path, "^file:/+", "file:/")
+
+
+def plain(path: str) -> str:
+    """The same for one path, without its scheme."""
+    return re.sub("^file:/+", "/", path)
