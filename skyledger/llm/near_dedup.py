@@ -12,7 +12,6 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -192,16 +191,19 @@ def candidates(texts: DataFrame, width: int, least: float, count: int) -> DataFr
     return pairs.where(f"shared + least(na - i - 1, nb - j - 1) >= {least / (1 + least)!r}D * (na + nb) - 1e-6D").select("a", "b", "shared", "by")
 
 
-def similar_pairs(pairs: pd.DataFrame, sets: pd.DataFrame, least: float) -> pd.DataFrame:
+def similar_pairs(pairs: pa.Table, sets: pa.Table, least: float) -> pa.Table:
     """The pairs ``a, b`` of one tile whose sets ``id, shingles`` (sorted) have a similarity of ``least`` or more."""
-    held = dict(zip(sets["id"], sets["shingles"], strict=True))
+    lists = sets["shingles"].combine_chunks()
+    ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+    place = {i: k for k, i in enumerate(sets["id"].to_pylist())}
+    held = lambda i: flat[ends[place[i]] : ends[place[i] + 1]]
     near = np.zeros(len(pairs), bool)
-    for k, (a, b) in enumerate(zip(pairs["a"], pairs["b"], strict=True)):
-        x, y = sorted((held[a], held[b]), key=len)
+    for k, (a, b) in enumerate(zip(pairs["a"].to_pylist(), pairs["b"].to_pylist(), strict=True)):
+        x, y = sorted((held(a), held(b)), key=len)
         at = np.minimum(np.searchsorted(y, x), len(y) - 1)
         shared = int((y[at] == x).sum())
         near[k] = shared >= least * (len(x) + len(y) - shared) - 1e-9
-    return pairs.loc[near, ["a", "b"]]
+    return pairs.select(["a", "b"]).filter(pa.array(near))
 
 
 def of_pairs(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -276,7 +278,7 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     dealt = durable(told.where("tiles is not null").select("by", block("a").alias("p"), block("b").alias("q"), "a", "b"))
     key = ["by", "p", "q"]
     needed = durable(dealt.select(*key, F.explode(F.array("a", "b")).alias("id")).distinct()).join(of_pairs(dealt, sets).select("id", "shingles"), "id")
-    both = dealt.groupBy(*key).cogroup(needed.groupBy(*key)).applyInPandas(lambda p, s: similar_pairs(p, s, least), "a long, b long")
+    both = dealt.groupBy(*key).cogroup(needed.groupBy(*key)).applyInArrow(lambda p, s: similar_pairs(p, s, least), "a long, b long")
     return durable(lone.unionByName(both))
 
 

@@ -8,7 +8,6 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +19,7 @@ from skyledger.llm.token_counts import CACHE_CHARS, load
 #: is under one sequence in thousands.
 GROUP_PIECES = 40_000
 #: Bytes of texts that are encoded at once; words that a worker keeps, and bytes of them.
-RUN_BYTES, KEPT_WORDS, KEPT_BYTES = 4 << 20, 600_000, 48 << 20
+RUN_BYTES, KEPT_WORDS, KEPT_BYTES = 2 << 20, 400_000, 32 << 20
 #: Units that the model is given in one line.
 UNITS_A_LINE = 128
 #: The tokenizer's pattern, for lower-case words of the printable ASCII and the Latin letters up to U+017F, but for the dotted capital I,
@@ -237,15 +236,16 @@ def pack(parts: DataFrame, capacity: int, group_pieces: int = GROUP_PIECES) -> D
     groups = max(1, -(-parts.count() // group_pieces))
     group = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True])
+    def run(rows: pa.Table) -> pa.Table:
+        order = [("length", "descending"), *((c, "ascending") for c in ("doc_id", "piece", "ids_crc32"))]
+        rows = rows.sort_by(order)
         where, offset = best_fit(rows["length"].to_numpy(), capacity)
-        prefix = int(rows["pack_group"].iloc[0]) << 32
-        return rows.drop(columns="pack_group").assign(sequence_id=prefix + where, offset=offset)
+        prefix = rows["pack_group"][0].as_py() << 32
+        return rows.select(names).append_column("sequence_id", pa.array(prefix + where)).append_column("offset", pa.array(offset))
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return parts.select(*names, group.alias("pack_group")).groupBy("pack_group").applyInPandas(run, schema)
+    return parts.select(*names, group.alias("pack_group")).groupBy("pack_group").applyInArrow(run, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048) -> DataFrame:

@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -136,7 +135,7 @@ def merge_links(fps: np.ndarray, rows: np.ndarray, columns: np.ndarray, bits: in
                 label[np.isin(label, found)] = label[own]
 
 
-def link_tile(rows: pd.DataFrame, bits: int) -> pd.DataFrame:
+def link_tile(rows: pa.Table, bits: int) -> pa.Table:
     """Spanning edges of one tile. Roles: 0 meets 0 and 1; 2 meets 3."""
     fps, role = rows["fp"].to_numpy().view(np.uint64), rows["role"].to_numpy()
     label, edges = np.arange(len(fps)), []
@@ -145,7 +144,7 @@ def link_tile(rows: pd.DataFrame, bits: int) -> pd.DataFrame:
         if len(at[one]) and len(at[other]):
             merge_links(fps, at[one], at[other], bits, label, edges)
     found = np.array(edges, np.uint64).reshape(-1, 2).view(np.int64)
-    return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
+    return pa.table({"a": found[:, 0], "b": found[:, 1]})
 
 
 @tidy
@@ -188,7 +187,7 @@ def links(fps: DataFrame, bits: int, leaf_rows: int = LEAF_ROWS, tile_rows: int
     query = F.transform(upto("hs"), lambda i: pair(key("q", block, i), F.lit(3)))
     tiles = F.when(F.col("hs").isNull(), whole).when(F.col("query"), query).otherwise(home)
     dealt = usual.select("leaf", "fp", F.explode(tiles).alias("t")).select("leaf", "fp", "t.tile", "t.role")
-    return dealt.groupBy("leaf", "tile").applyInPandas(lambda rows: link_tile(rows[["fp", "role"]], bits), "a long, b long").distinct()
+    return dealt.groupBy("leaf", "tile").applyInArrow(lambda rows: link_tile(rows, bits), "a long, b long").distinct()
 
 
 def simhash_components(rows: DataFrame, bits: int = 4) -> DataFrame:
