@@ -67,6 +67,7 @@ class WordIds:
         if ("ids", path) not in CACHES:
             release()
             CACHES["ids", path] = cls(path)
+            trim()  # reading the vocabulary takes more than keeping it
         return CACHES["ids", path]
 
     def encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
