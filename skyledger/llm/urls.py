@@ -9,7 +9,7 @@ from skyledger.llm.common import durable
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, rule): a rule is a host and a path prefix, written together.
-RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 #: Labels of a name that may be a site of its own, and parts of host names (between dots and hyphens) that make a host a blocked seed.
 SITE_LABELS = 3
 BLOCKED_PARTS = "adult ads bet bets casino pills porn poker spam track tracker viagra xxx".split()

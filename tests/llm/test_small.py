@@ -228,6 +228,12 @@ def test_url_rules(spark):
     assert url_filter(df.limit(0)).count() == 0
 
 
+def test_url_rules_are_those_of_the_contract(spark):
+    urls = {"x://net/de/": "allow", "x://shop.net/de/9": "allow", "x://casino.net/de/": "allow", "x://a.example.net/de/8": "block", "x://a.com/en/1": "block", "x://example.com/en/7": "allow", "x://a.org/es/": "block"}
+    df = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    assert [r.verdict for r in url_filter(df).orderBy("page_id").collect()] == list(urls.values())
+
+
 @pytest.mark.parametrize("pull", [False, True])
 def test_page_rank_follows_the_plain_iteration(spark, pull):
     """Shares of the host that gives, and of the one that receives, as the operator uses them."""
