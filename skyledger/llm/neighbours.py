@@ -3,7 +3,8 @@
 A row's quantisation error parallel to the row changes its high scores more than an orthogonal
 error does, so both the choice of codes and the codebooks weigh it more. Every row is indexed: its
 cell (nearest coarse centre) and a four-bit code for each pair of dimensions. A query scans the codes of
-the cells it probes by table look-ups, and the best of each chunk are scored again exactly.
+the cells it probes by table look-ups, and those of each chunk whose codes leave it open that they are among the best are
+scored again exactly.
 """
 
 from __future__ import annotations
@@ -18,23 +19,26 @@ from skyledger.llm.common import durable
 
 #: Rows that fit the index on the driver; rows and queries that meet in one task.
 FIT_ROWS, CHUNK_ROWS, QUERY_ROWS = 12_000, 8_192, 2_048
+#: Queries with which the number of cells to probe is measured.
+MEASURED = 300
 #: Cells grow with the rows up to this many, for which the fit rows are enough.
 MOST_CELLS = FIT_ROWS // 16
-#: Candidates of a chunk that are scored exactly, at least so many times the wanted number.
-RERANK = 12
+#: Candidates of a chunk that are scored exactly, at least so many times the wanted number; and all whose score by tables is below the
+#: wanted-th exact one by no more than so many times what their quantisation errors give if their signs are random.
+RERANK, SAFE = 12, 3.0
 
 
 class Index:
     """Coarse centres, codebooks (subspace x 16 x 2) and the number of cells to probe."""
 
-    def __init__(self, rows: np.ndarray, cells: int, wanted: int, threshold: float = 0.2, recall: float = 0.98, seed: int = 3):
+    def __init__(self, rows: np.ndarray, cells: int, wanted: int, threshold: float = 0.2, recall: float = 0.98, seed: int = 3, asked: np.ndarray | None = None):
         rng = np.random.default_rng(seed)
         self.dim = rows.shape[1]
         pad = self.dim % 2
         self.parts = (self.dim + pad) // 2
         self.weight = max(1.0, (self.dim - 1) * threshold**2 / (1 - threshold**2))  # of parallel error; orthogonal: 1
         self.centres = self.cluster(rows, min(cells, len(rows)), rng)
-        self.probes = self.measure(rows, wanted, recall, rng)
+        self.probes = self.measure(rows, wanted, recall, rng, asked)
         rest, unit = self.split(rows)
         books = [self.cluster(rest[:, m], min(16, len(rest)), rng, 8) for m in range(self.parts)]
         self.books = np.stack([np.pad(b, ((0, 16 - len(b)), (0, 0)), mode="edge") for b in books])
@@ -55,16 +59,18 @@ class Index:
     def cell(self, x: np.ndarray) -> np.ndarray:
         return np.argmin((self.centres**2).sum(1) - 2 * x @ self.centres.T, 1)
 
-    def measure(self, rows: np.ndarray, wanted: int, recall: float, rng) -> int:
-        """Cells a query must probe so that they hold ``recall`` of true neighbours, measured on the fit rows.
+    def measure(self, rows: np.ndarray, wanted: int, recall: float, rng, asked: np.ndarray | None) -> int:
+        """Cells a query must probe so that they hold ``recall`` of true neighbours, measured on the fit rows with queries
+        (``asked``; without: fit rows), which may be of another kind than the rows.
         Clustered data need few; data without structure need nearly all."""
         if len(self.centres) == 1:
             return 1
-        asked = rng.choice(len(rows), min(300, len(rows)), replace=False)
-        scores = rows[asked] @ rows.T
-        scores[np.arange(len(asked)), asked] = -np.inf
+        asked = rows if asked is None or not len(asked) else asked
+        asked = asked[rng.choice(len(asked), min(300, len(asked)), replace=False)]
+        scores = asked @ rows.T
+        scores[(asked[:, :1] == rows[:, 0]) & (np.abs(scores - (asked**2).sum(1)[:, None]) <= 1e-12 * np.abs(scores))] = -np.inf  # itself
         best = np.argpartition(-scores, min(wanted, len(rows) - 1) - 1, 1)[:, :wanted]
-        order = np.argsort(-(rows[asked] @ self.centres.T), 1)
+        order = np.argsort(-(asked @ self.centres.T), 1)
         rank = np.argsort(order, 1)
         found = np.take_along_axis(rank, self.cell(rows)[best], 1)
         return int(np.quantile(found, recall, method="higher")) + 1
@@ -109,10 +115,21 @@ class Index:
         codes = np.pad(codes, ((0, 0), (0, self.parts % 2)))
         return self.cell(x), codes[:, ::2] << 4 | codes[:, 1::2]
 
+    def missed(self, cell: int, x: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """rows x parts: squared lengths of what the codes of a cell's rows leave out."""
+        rest = np.pad(x - self.centres[cell], [(0, 0), (0, self.dim % 2)])
+        single = np.stack([codes >> 4, codes & 15], 2).reshape(len(codes), -1)
+        return np.stack([((rest[:, 2 * m : 2 * m + 2] - self.books[m][single[:, m]]) ** 2).sum(1) for m in range(self.parts)], 1)
+
+    def error(self, q: np.ndarray, missed: np.ndarray) -> np.ndarray:
+        """queries x rows: how far a score by tables is likely to be off."""
+        parts = (np.pad(q, ((0, 0), (0, self.dim % 2))).reshape(len(q), self.parts, 2) ** 2).sum(2)
+        return np.sqrt(parts @ missed.T)
+
     def tables(self, q: np.ndarray) -> np.ndarray:
         """queries x bytes x 256: the inner product with what a byte's two codes stand for."""
         q = np.pad(q, ((0, 0), (0, self.dim % 2))).reshape(len(q), self.parts, 2)
-        one = np.einsum("qmd,mkd->qmk", q, self.books).astype(np.float32)
+        one = np.einsum("qmd,mkd->qmk", q, self.books)
         one = np.pad(one, ((0, 0), (0, self.parts % 2), (0, 0)))
         return (one[:, ::2, :, None] + one[:, 1::2, None, :]).reshape(len(q), -1, 256)
 
@@ -130,20 +147,29 @@ def copies(ids: np.ndarray, rows: np.ndarray, most: int) -> tuple[np.ndarray, np
 
 
 def search(index: Index, cell: int, ids: np.ndarray, codes: np.ndarray, rows: np.ndarray, asked: np.ndarray, queries: np.ndarray, wanted: int) -> list[tuple]:
-    """The best ``wanted`` of a chunk (in order of id) for each query: different rows are scanned by tables, the best of them
-    scored exactly."""
+    """The best ``wanted`` of a chunk (in order of id) for each query: different rows are scanned by tables, and those that
+    may be among the best for all that their codes tell are scored exactly. Where codes tell little (near copies, few large components) these are many."""
     first, starts, own_ids = copies(ids, rows, wanted + 1)
     codes, rows, out = codes[first], rows[first], []
     most = min(len(first), RERANK * wanted + 1)
+    missed, longest = index.missed(cell, rows, codes), np.sqrt((rows**2).sum(1).max())
     for start in range(0, len(asked), 32):
         q = queries[start : start + 32]
-        tables = index.tables(q)
-        scores = np.repeat((q @ index.centres[cell]).astype(np.float32)[:, None], len(first), 1)
+        tables, base = index.tables(q), q @ index.centres[cell]
+        scores = np.zeros((len(q), len(first)))
         for j in range(codes.shape[1]):
             scores += tables[:, j][:, codes[:, j]]
         edge = np.partition(scores, len(first) - most, 1)[:, len(first) - most]
+        highest = scores + SAFE * index.error(q, missed)
         for k in range(len(q)):
-            chosen = np.flatnonzero(scores[k] >= edge[k])  # with all rows of one code: near copies tie there
+            chosen = scores[k] >= edge[k]  # with all rows of one code: near copies tie there
+            slack = 1e-12 * longest * np.sqrt((q[k] ** 2).sum())
+            # the query's own row may be one of the first wanted + 1 different ones
+            least = lambda x: np.partition(x, len(x) - wanted - 1)[len(x) - wanted - 1] - slack if len(x) > wanted else -np.inf
+            chosen |= highest[k] >= least(rows[chosen] @ q[k]) - base[k]
+            chosen = np.flatnonzero(chosen)
+            exact = rows[chosen] @ q[k]
+            chosen = chosen[exact >= least(exact)]
             exact = (rows[chosen] * q[k]).sum(1)
             found = np.concatenate([own_ids[starts[c] : starts[c + 1]] for c in chosen])
             score = np.repeat(exact, starts[chosen + 1] - starts[chosen])
@@ -185,7 +211,9 @@ def nearest(rows: DataFrame, wanted: int = 20, every: int = 20, id_column: str =
     sample = stacked(held.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).toPandas()["v"])
     n = lengths["count"]
     sample = np.unique(sample, axis=0)  # copies of one vector must not draw the codebooks to it
-    index = Index(sample, max(1, min(MOST_CELLS, n // CHUNK_ROWS)), wanted)
+    asked = held.where(F.col("id") % every == 0)
+    probing = asked.orderBy(F.xxhash64("id"), "id").limit(MEASURED).toPandas()["v"]
+    index = Index(sample, max(1, min(MOST_CELLS, n // CHUNK_ROWS)), wanted, asked=stacked(probing) if len(probing) else None)
 
     def encode(batches):
         for b in batches:
@@ -195,7 +223,6 @@ def nearest(rows: DataFrame, wanted: int = 20, every: int = 20, id_column: str =
     coded = durable(held.mapInPandas(encode, f"id long, v {kind}, cell int, codes binary"))
     sizes = {r.cell: r["count"] for r in coded.groupBy("cell").count().collect()}  # a row a cell
     chunks = {c: -(-k // CHUNK_ROWS) for c, k in sizes.items()}
-    asked = held.where(F.col("id") % every == 0)
 
     def probe(batches):
         for b in batches:

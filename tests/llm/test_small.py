@@ -190,6 +190,36 @@ def test_neighbours_in_cells_and_chunks(spark, monkeypatch):
     assert hits >= 0.9 * 600
 
 
+@pytest.mark.parametrize("kind", ["near copies", "few large components", "three components", "queries of another kind"])
+def test_neighbours_where_codes_tell_little(spark, monkeypatch, kind):
+    from skyledger.llm import neighbours
+
+    rng = np.random.default_rng(8)
+    n = 6000
+    x = rng.normal(size=(n, 3 if kind == "three components" else 32))
+    if kind == "near copies":
+        centres = rng.normal(size=(4, 32))
+        x = centres[rng.integers(0, 4, n)] + 0.01 * x
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+    elif kind == "few large components":
+        x *= np.arange(1, 33) ** -1.5
+    elif kind == "queries of another kind":
+        monkeypatch.setattr(neighbours, "CHUNK_ROWS", 500)
+        asked = rng.normal(size=(n, 32))
+        x = np.where((np.arange(n) % 20 == 0)[:, None], asked, 0.3 * x + rng.normal(size=(30, 32))[rng.integers(0, 30, n)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    hit = total = 0
+    got = {}
+    for r in nearest(df).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    for q in range(0, n, 20):
+        exact = x @ x[q]
+        exact[q] = -np.inf
+        hit += len(got[q] & set(np.argsort(-exact, kind="stable")[:20].tolist()))
+        total += 20
+    assert hit / total > (0.95 if kind == "queries of another kind" else 0.999)
+
+
 def test_anisotropic_codes_favour_the_parallel_error():
     v = np.random.default_rng(6).normal(size=(800, 64))
     v /= np.linalg.norm(v, axis=1, keepdims=True)
