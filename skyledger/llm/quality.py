@@ -95,6 +95,27 @@ def expected_path(n: int) -> float:
     return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
 
 
+def grow(rows: np.ndarray, low: np.ndarray, high: np.ndarray, depth: int, rng) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``feature, threshold, path`` of one tree (see ``IsolationForest``)."""
+    nodes = 2 ** (depth + 1) - 1
+    feature, threshold, path = np.full(nodes, -1, np.int16), np.zeros(nodes), np.zeros(nodes)
+    todo = [(0, rows, 0, low, high)]
+    while todo:
+        i, part, level, low, high = todo.pop()
+        wide = np.flatnonzero(high > low)
+        if level == depth or len(part) <= 1 or not len(wide):
+            path[i] = level + expected_path(len(part))
+            continue
+        f = int(rng.choice(wide))
+        cut = rng.uniform(low[f], high[f])
+        left = part[:, f] <= cut
+        feature[i], threshold[i] = f, cut
+        inner, outer = high.copy(), low.copy()
+        inner[f] = outer[f] = cut
+        todo += [(2 * i + 1, part[left], level + 1, low, inner), (2 * i + 2, part[~left], level + 1, outer, high)]
+    return feature, threshold, path
+
+
 class IsolationForest:
     """Random splits over small samples of usual rows; rows with short paths are easy to isolate.
 
@@ -115,20 +136,16 @@ class IsolationForest:
         self.threshold, self.path = np.zeros((trees, nodes)), np.zeros((trees, nodes))
         for t in range(trees):
             chosen = usual[rng.choice(len(usual), self.sample, replace=False)]
-            todo = [(0, chosen, 0, self.low, self.high)]
-            while todo:
-                i, part, level, low, high = todo.pop()
-                wide = np.flatnonzero(high > low)
-                if level == self.depth or len(part) <= 1 or not len(wide):
-                    self.path[t, i] = level + expected_path(len(part))
-                    continue
-                f = int(rng.choice(wide))
-                cut = rng.uniform(low[f], high[f])
-                left = part[:, f] <= cut
-                self.feature[t, i], self.threshold[t, i] = f, cut
-                inner, outer = high.copy(), low.copy()
-                inner[f] = outer[f] = cut
-                todo += [(2 * i + 1, part[left], level + 1, low, inner), (2 * i + 2, part[~left], level + 1, outer, high)]
+            self.feature[t], self.threshold[t], self.path[t] = grow(chosen, self.low, self.high, self.depth, rng)
+
+    @classmethod
+    def of(cls, trees: pd.DataFrame, low: np.ndarray, high: np.ndarray, depth: int) -> IsolationForest:
+        """A forest of trees that were grown elsewhere: ``size, feature, threshold, path``."""
+        self = cls.__new__(cls)
+        self.low, self.high, self.depth, self.sample = low, high, depth, round(trees["size"].mean())
+        self.feature = np.stack(trees["feature"].to_numpy()).astype(np.int16)
+        self.threshold, self.path = np.stack(trees["threshold"].to_numpy()), np.stack(trees["path"].to_numpy())
+        return self
 
     def score(self, rows: np.ndarray) -> np.ndarray:
         """2 ** (-mean path / expected path): near 1 for anomalies, below 0.5 for usual rows."""
@@ -144,41 +161,80 @@ class IsolationForest:
         return 2.0 ** (-total / len(self.feature) / max(expected_path(self.sample), 1e-9))
 
 
-def best_cut(score: np.ndarray, good: np.ndarray, keep_share: float) -> float:
-    """The threshold, among those that keep ``keep_share`` of the good rows, with the best mean of both classes' accuracy; of equal ones the least."""
-    least = float(np.quantile(score[good], keep_share, method="higher"))
-    bad, cuts = np.sort(score[~good]), np.unique(score[score >= least])
-    kept = np.searchsorted(np.sort(score[good]), cuts, "right") / good.sum()
-    caught = 1 - np.searchsorted(bad, cuts, "right") / max(1, len(bad))
-    return float(cuts[np.argmax(kept + caught)])
+def best_cut(score: np.ndarray, good: np.ndarray, keep_share: float, times: np.ndarray | None = None) -> float:
+    """The threshold, among those that keep ``keep_share`` of the good rows, with the best mean of both classes' accuracy; of equal ones the least.
+    times: how many rows have a score."""
+    times = np.ones(len(score), np.int64) if times is None else times
+    cuts, at = np.unique(score, return_inverse=True)
+    kept, missed = (np.cumsum(np.bincount(at[which], times[which], len(cuts))) for which in (good, ~good))
+    value = kept / kept[-1] - missed / max(1, missed[-1])
+    enough = kept > math.ceil(keep_share * (kept[-1] - 1) - 1e-9)
+    return float(cuts[enough][np.argmax(value[enough])])
+
+
+def edges(rows: DataFrame, low: float = 0.002, high: float = 0.998) -> tuple[np.ndarray, np.ndarray]:
+    """Two quantiles of each rate over all rows, to three digits: rates are counted by so many digits, a short list at any size."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            part, power = np.frexp(rates(b))
+            x = np.ldexp(np.round(part * 1024) / 1024, power)
+            for k in range(x.shape[1]):
+                value, n = np.unique(x[:, k], return_counts=True)
+                yield pd.DataFrame({"k": np.full(len(value), k), "value": value, "n": n})
+
+    counted = rows.mapInPandas(count, "k int, value double, n long").groupBy("k", "value").agg(F.sum("n").alias("n")).toPandas().sort_values(["k", "value"])
+    of = [g for _, g in counted.groupby("k")]
+    at = lambda g, q: g["value"].to_numpy()[np.searchsorted(np.cumsum(g["n"].to_numpy()), q * (g["n"].sum() - 1), "right")]
+    return np.array([at(g, low) for g in of]), np.array([at(g, high) for g in of])
+
+
+def grow_forest(usual: DataFrame, count: int, low: np.ndarray, high: np.ndarray, trees: int = 200, least: int = 256, seed: int = 7) -> IsolationForest:
+    """A forest in which each of the ``count`` usual rows is in one tree; in several, if there are too few for ``least`` rows a tree.
+
+    usual: ``order`` (a hash) and the statistics. A task grows a tree from its rows, of which it has a share of one in ``trees`` or ``least``; splits end at
+    the depth of ``least`` rows, so that the forest does not grow with the rows.
+    """
+    depth = max(1, math.ceil(math.log2(max(2, min(least, count)))))
+    several = min(trees, math.ceil(trees * least / count))
+    dealt = usual.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(several - 1)))).withColumn("tree", F.pmod(F.pmod("order", F.lit(trees)) + F.col("tree"), F.lit(trees)).cast("int"))
 
+    def plant(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["order", *BASE, *MORE])
+        rows = np.clip(rates(part), low, high)
+        return pd.DataFrame([(key[0], len(part), *grow(rows, low, high, depth, np.random.default_rng((seed, key[0]))))], columns=["tree", "size", "feature", "threshold", "path"])
 
-def fit_forest(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, keep_share: float = 0.998):
-    """Forest and threshold from labelled rows.
+    grown = dealt.groupBy("tree").applyInPandas(plant, "tree int, size long, feature array<short>, threshold array<double>, path array<double>")
+    return IsolationForest.of(grown.toPandas().sort_values("tree"), low, high, depth)
 
-    ``sample_rows`` bounds how many labelled documents (those of least hash, so that the choice is even
-    and repeatable) are brought to the driver, as statistics; rows of one id count once. The forest learns from good ones
-    that pass the base rules, and the threshold from others: each second document, in the order of a hash, is kept from the
+
+#: Thresholds are multiples of one part in so many.
+GRID = 100_000
+
+
+def fit_forest(docs: DataFrame, labels: DataFrame, keep_share: float = 0.998):
+    """Forest and threshold from all labelled rows; rows of one id count once.
+
+    The forest learns from good ones that pass the base rules, and the threshold from others: one half of the rows, by a hash, is kept from the
     forest, unless there are too few for both. The threshold separates its rows best (by the mean of both
     classes' accuracy) among those that keep at least ``keep_share`` of the good ones. Without good
-    rows there is no forest: None, and no threshold.
+    rows there is no forest: None, and no threshold. The driver sees counts and trees, whose number does not follow the rows.
     """
     labels = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    labels = durable(labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows))
-    chosen = docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id")  # sample_rows bounds what is broadcast
-    rows = rule_statistics(chosen, "doc_id", "quality").where(~base_failed())
-    once = rows.groupBy("doc_id").agg(F.min(F.struct("quality", *BASE, *MORE)).alias("r")).select(F.xxhash64("doc_id").alias("order"), "doc_id", "r.*")
-    known = once.toPandas().sort_values(["order", "doc_id"])  # sample_rows at most
-    good = known["quality"].to_numpy() == 1
-    if good.sum() < 8:
+    rows = rule_statistics(docs, "doc_id").where(~base_failed()).join(labels, "doc_id")
+    once = rows.groupBy("doc_id").agg(F.min(F.struct("quality", *BASE, *MORE)).alias("r"))
+    half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)) == 0
+    known = durable(once.select(F.xxhash64("doc_id").alias("order"), half.alias("learns"), (F.col("r.quality") == 1).alias("good"), *(f"r.{n}" for n in [*BASE, *MORE])))
+    n = known.agg(F.count_if("good").alias("good"), F.count_if(F.col("good") & F.col("learns")).alias("learns")).first()
+    if n.good < 8:
         return None, math.inf
-    seen = rates(known)
-    learns = np.arange(len(known)) % 2 == 0
-    if min((good & learns).sum(), (good & ~learns).sum()) < 256:
-        learns[:] = True
-    judges = np.ones(len(known), bool) if learns.all() else ~learns
-    forest = IsolationForest(seen[good & learns], seen[learns])
-    return forest, best_cut(forest.score(seen[judges]), good[judges], keep_share)
+    both = min(n.learns, n.good - n.learns) >= 256
+    learns, judges = (known.where("learns"), known.where("not learns")) if both else (known, known)
+    low, high = edges(learns)
+    forest = grow_forest(learns.where("good"), n.learns if both else n.good, low, high)
+    place = F.ceil(anomaly_score(forest)(F.struct(*BASE, *MORE)) * GRID)
+    scores = judges.groupBy(place.alias("place"), "good").count().toPandas()  # GRID bounds it
+    return forest, best_cut(scores["place"].to_numpy(float) / GRID, scores["good"].to_numpy(bool), keep_share, scores["count"].to_numpy())
 
 
 def base_failed():
@@ -186,14 +242,19 @@ def base_failed():
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def judge(stats: DataFrame, forest: IsolationForest | None, threshold: float) -> DataFrame:
-    """Add ``base_failed, anomaly, kept``."""
+def anomaly_score(forest: IsolationForest | None):
+    """The forest's score as a function of a struct of the statistics."""
 
     @F.pandas_udf("double")
     def anomaly(columns: pd.DataFrame) -> pd.Series:
         return pd.Series(forest.score(rates(columns)) if forest else np.zeros(len(columns)))
 
-    scored = stats.withColumn("anomaly", anomaly(F.struct(*BASE, *MORE)))
+    return anomaly
+
+
+def judge(stats: DataFrame, forest: IsolationForest | None, threshold: float) -> DataFrame:
+    """Add ``base_failed, anomaly, kept``."""
+    scored = stats.withColumn("anomaly", anomaly_score(forest)(F.struct(*BASE, *MORE)))
     return scored.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") <= threshold))
 
 

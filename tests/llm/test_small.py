@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -17,7 +18,7 @@ from skyledger.llm.lm import lm_scores
 from skyledger.llm.mixing import MIX_SQL, mix
 from skyledger.llm.neighbours import Index, nearest
 from skyledger.llm.packing import best_fit, pack_documents
-from skyledger.llm.quality import IsolationForest, quality_rules, statistics
+from skyledger.llm.quality import IsolationForest, quality_rules, rule_statistics, statistics
 from skyledger.llm.queries import tokenizer
 from skyledger.llm.sharding import shard_documents
 from skyledger.llm.simhash import VantageTree, fingerprint, forest, links, simhash_near_duplicates
@@ -412,6 +413,26 @@ def test_quality(docs, rows, labels, empty):
     assert statistics(b"a b c a b c")[4] == 6
 
 
+def test_quality_learns_from_every_labelled_row(spark):
+    """Bad rows that come last in the order of a hash, behind 20,000 good ones."""
+    from skyledger.llm.quality import best_cut, edges, rates
+
+    ids = spark.range(20_200).select(F.col("id").alias("doc_id"), (F.row_number().over(Window.orderBy(F.desc(F.xxhash64("id")))) > 100).cast("int").alias("quality"))
+    word = lambda k: F.concat(F.when(F.col("quality") == 0, "#$%A1").otherwise("w"), F.pmod(F.xxhash64("doc_id", k), F.lit(5000)))
+    rows = ids.withColumn("text", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(60)), word), " ")).localCheckpoint()
+    kept = quality_rules(rows.select("doc_id", "text"), rows.select("doc_id", "quality")).join(rows, "doc_id").groupBy("quality", "kept").count().collect()
+    kept = {(r.quality, r.kept): r["count"] for r in kept}
+    assert kept.get((0, True), 0) == 0 and kept[1, True] >= 0.99 * 20_100
+    rng = np.random.default_rng(4)
+    score, good, times = np.round(rng.random(300), 2), rng.random(300) < 0.8, rng.integers(1, 9, 300)
+    assert best_cut(score, good, 0.9, times) == best_cut(np.repeat(score, times), np.repeat(good, times), 0.9)
+    stats = rows.where("doc_id < 500").select("doc_id", "text")
+    stats = rule_statistics(stats, "doc_id")
+    low, high = edges(stats, 0.1, 0.9)
+    want = np.quantile(rates(stats.toPandas()), [0.1, 0.9], axis=0)
+    assert np.allclose([low, high], want, rtol=0.01, atol=1e-9)
+
+
 def test_isolation_forest_finds_what_stands_apart():
     rng = np.random.default_rng(9)
     usual, odd = rng.normal(0, 1, (2000, 5)), rng.normal(7, 1, (20, 5))
