@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skyledger.llm.common import durable, release, runs, schema_with, tidy, trim, with_text
@@ -171,22 +172,32 @@ def prefixes(texts: DataFrame, width: int, least: float, count: int) -> DataFram
     return with_text(texts, "id", "apart").mapInArrow(cut, "shingle long, id long, spot long, apart long")
 
 
-@tidy
-def candidates(texts: DataFrame, width: int, least: float, count: int) -> DataFrame:
-    """``a, b, shared, by``: all pairs of texts of different roots that can have a similarity of ``least``.
+def meetings(texts: DataFrame, width: int, least: float, count: int) -> DataFrame:
+    """``a, b, na, nb, i, j, shingle``: a row for each pair of texts of different roots and each shingle of both prefixes at which they can still have a similarity of ``least``.
 
     texts: ``id, apart, text``. Prefixes are shuffled once, by shingle, and both uses of them read that. Sizes bound the
-    similarity, and so do the shared shingles of both prefixes with what can follow the last of them. A shingle of very many texts is dealt to tiles.
+    similarity, and so do the shared shingles of both prefixes with what can follow the last of them. What comes before a shingle and in no
+    text of another root can't be shared: where many texts have a passage in common, this drops most of their pairs before they are made.
+    A shingle of very many texts is dealt to tiles.
     """
     first = prefixes(texts, width, least, count).repartition("shingle")
     root = F.col("id").bitwiseXOR(F.col("apart"))
     keys = first.groupBy("shingle").agg(F.count("*").alias("texts"), F.min(root).alias("low"), F.max(root).alias("high"), F.max("spot").alias("spot"))
     # spot is asked for here as well so that both uses of the shuffle read the same columns, and it is made once
     keys = keys.where("low <> high and spot >= 0").select("shingle", F.ceil(F.col("texts") / TILE).cast("int").alias("tiles"))
-    hits = durable(first.join(keys.hint("merge"), "shingle").select("shingle", "id", root.alias("root"), F.shiftright("spot", 32).cast("int").alias("n"), F.col("spot").bitwiseAND(0xFFFFFFFF).cast("int").alias("at"), "tiles"))
-    one = hits.select("shingle", F.pmod(F.xxhash64("id"), "tiles").cast("int").alias("tile"), F.col("id").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("at").alias("i"))
-    other = hits.select("shingle", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.col("id").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("at").alias("j"))
-    met = one.join(other, ["shingle", "tile"]).where(f"a < b and ra <> rb and least(na, nb) >= {least!r}D * greatest(na, nb) - 1e-6D")
+    hits = first.join(keys.hint("merge"), "shingle").select("shingle", "id", root.alias("root"), F.shiftright("spot", 32).cast("int").alias("n"), F.col("spot").bitwiseAND(0xFFFFFFFF).cast("int").alias("at"), "tiles")
+    upto = F.row_number().over(W.partitionBy("id").orderBy("at"))  # shingles of the text's prefix up to here that other roots have
+    hits = durable(hits.withColumn("upto", upto))
+    one = hits.select("shingle", F.pmod(F.xxhash64("id"), "tiles").cast("int").alias("tile"), F.col("id").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("at").alias("i"), F.col("upto").alias("ua"))
+    other = hits.select("shingle", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), F.col("id").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("at").alias("j"), F.col("upto").alias("ub"))
+    sized = f"a < b and ra <> rb and least(na, nb) >= {least!r}D * greatest(na, nb) - 1e-6D"
+    return one.join(other, ["shingle", "tile"]).where(f"{sized} and least(ua, ub) + least(na - i - 1, nb - j - 1) >= {least / (1 + least)!r}D * (na + nb) - 1e-6D")
+
+
+@tidy
+def candidates(texts: DataFrame, width: int, least: float, count: int) -> DataFrame:
+    """``a, b, shared, by``: all pairs of texts ``id, apart, text`` of different roots that can have a similarity of ``least``."""
+    met = meetings(texts, width, least, count)
     pairs = met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("i").alias("i"), F.max("j").alias("j"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.min("shingle").alias("by"))
     return pairs.where(f"shared + least(na - i - 1, nb - j - 1) >= {least / (1 + least)!r}D * (na + nb) - 1e-6D").select("a", "b", "shared", "by")
 

@@ -53,6 +53,16 @@ def test_bitmaps_lose_no_near_pair_and_drop_most_others(spark):
     assert sum(p in left for p in far) <= len(far) / 100
 
 
+def test_a_common_passage_makes_no_pairs_of_texts_that_differ_elsewhere(spark):
+    passage = " ".join(f"p{k}" for k in range(89))  # 85 shingles; 15 more are of one text alone, and prefixes hold 21
+    texts = [(k, 0, passage + "".join(f" own{k}x{j}" for j in range(15))) for k in range(60)]
+    near = [(60 + k, 0, passage + "".join(f" near{j if j < 14 else k}" for j in range(15))) for k in range(3)]
+    df = spark.createDataFrame(texts + near, "id long, apart long, text string")
+    met = N.meetings(df, 5, 0.8, 63)
+    assert {(r.a, r.b) for r in met.collect()} == {(60, 61), (60, 62), (61, 62)}
+    assert {(r.a, r.b) for r in N.candidates(df, 5, 0.8, 63).collect()} == {(60, 61), (60, 62), (61, 62)}
+
+
 def test_groups_equal_brute_force(spark, monkeypatch):
     """With tiles, blocks and leaders so small that every path is taken (the pipeline's test has the real constants)."""
     for name, value in {"TILE": 3, "LONE": 1, "BLOCK": 2, "PAIRED": 2, "FEW": 1, "SMALL": 5, "HELD": 10}.items():
