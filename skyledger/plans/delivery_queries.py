@@ -2,6 +2,7 @@
 
 import uuid
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skyledger.operators import catalog as C
@@ -114,13 +115,28 @@ def delivery_receipt(spark, sf_dir):
     return A.delivery_facts(visits(spark, sf_dir))
 
 
+def cut_in_files(rows, part, key, most, files=10):
+    """The rows, dealt so that many tasks write each part: all but one take a multiple of ``most`` rows of it, so that no more files are begun than by one task.
+
+    Rows of a part are numbered by buckets of a hash, with the counts of the buckets before (a short list).
+    """
+    dealt = rows.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(256)).cast("int"))
+    before = W.partitionBy(part).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    counts = dealt.groupBy(part, "_bucket").agg(F.count("*").alias("_n"))
+    starts = counts.select(part, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    number = F.row_number().over(W.partitionBy(part, "_bucket").orderBy(key)) - 1
+    told = dealt.withColumn("_number", number).join(F.broadcast(starts), [part, "_bucket"])  # 256 rows a part
+    group = F.floor((F.col("_start") + F.col("_number")) / (most * files))
+    return told.repartition(part, group).select(*rows.columns)
+
+
 @query("small_files", """
 WITH p AS (SELECT count(*) AS n FROM orders GROUP BY o_orderkey % 8)
 SELECT sum(ceil(n / 100.0))::BIGINT AS files, sum(ceil(n / 100.0))::BIGINT AS readable, 0::BIGINT AS unreadable, sum(n)::BIGINT AS rows, 1::BIGINT AS schema_groups FROM p""")
 def small_files(spark, sf_dir):
     """A delivery of very many small files, a hundred orders each, audited in one visit to each file."""
     at, part = scratch(spark), (F.col("o_orderkey") % 8).alias("part")
-    table(spark, sf_dir, "orders").select("*", part).repartition("part").write.option("maxRecordsPerFile", 100).partitionBy("part").parquet(at)
+    cut_in_files(table(spark, sf_dir, "orders").select("*", part), "part", "o_orderkey", 100).write.option("maxRecordsPerFile", 100).option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("part").parquet(at)
     return A.delivery_facts(A.visit(D.discover(spark, at, "*.parquet"))).select("files", "readable", "unreadable", "rows", "schema_groups")
 
 
