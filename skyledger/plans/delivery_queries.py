@@ -269,13 +269,18 @@ def log_chain(spark, sf_dir):
             "actor": F.lit("builder"), "at_utc": F.lit("2024-01-01T00:00:00Z"), "evidence": F.struct(F.array(part).alias("parts"), F.lit("\u00e9").alias("word")), "from": state_before,
             "prev_entry_sha256": before, "reason": F.concat(F.lit("part "), part.cast("string")), "seq": seq, "to": state,
         }
-        body = lambda **more: F.to_json(F.struct(*(v.alias(n) for n, v in sorted((members | more).items()))), {"ignoreNullFields": "false"})
-        seal = F.sha2(F.replace(body(), F.lit("\u00e9"), F.lit("\\u00e9")), 256)
-        return seal, state, body(entry_sha256=seal)
+        return state, F.to_json(F.struct(*(v.alias(n) for n, v in sorted(members.items()))), {"ignoreNullFields": "false"})
 
     def step(acc, x):
-        seal, state, line = entry(F.size(acc["lines"]) + 1, x["l_partkey"], acc["seal"], acc["state"])
-        return F.struct(seal.alias("seal"), state.alias("state"), F.concat(acc["lines"], F.array(line)).alias("lines"))
+        state, body = entry(F.size(acc["lines"]) + 1, x["l_partkey"], acc["seal"], acc["state"])
+
+        def sealed(b):
+            line = F.replace(b["body"], F.lit('"evidence":'), F.concat(F.lit('"entry_sha256":"'), b["seal"], F.lit('","evidence":')))
+            return F.struct(b["seal"].alias("seal"), b["state"].alias("state"), F.concat(acc["lines"], F.array(line)).alias("lines"))
+
+        # lambdas over lists of one bind a value, so that the body and its digest are made once for each entry
+        seal = lambda b: F.struct(F.sha2(F.replace(b["body"], F.lit("\u00e9"), F.lit("\\u00e9")), 256).alias("seal"), b["state"].alias("state"), b["body"].alias("body"))
+        return F.transform(F.transform(F.array(F.struct(state.alias("state"), body.alias("body"))), seal), sealed)[0]
 
     none = F.lit(None).cast("string")
     start = F.struct(none.alias("seal"), none.alias("state"), F.array().cast("array<string>").alias("lines"))
