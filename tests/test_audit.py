@@ -127,3 +127,16 @@ def test_broken_files_fail_alone(spark, tmp_path):
     }
     assert read("all") == [*range(15), *range(20, 25), 40, 41, 42]
     assert json.dumps(sorted(p.name for p in (tmp_path / "out" / "_staging").iterdir())) == "[]"
+
+
+def test_parts_cut_in_files_by_many_tasks(spark, tmp_path):
+    """Each part in as few files as its rows need, and more than one task writes it."""
+    from pyspark.sql import functions as F
+
+    from skyledger.plans.delivery_queries import cut_in_files
+
+    rows = spark.range(2345).select("id", (F.col("id") % 2).alias("part"))
+    dealt = cut_in_files(rows, "part", "id", 10, files=3)
+    dealt.write.option("maxRecordsPerFile", 10).partitionBy("part").parquet(f"{tmp_path}/out")
+    assert spark.read.parquet(f"{tmp_path}/out").select("id").distinct().count() == 2345
+    assert sorted(len(list((tmp_path / "out" / f"part={k}").glob("*.parquet"))) for k in range(2)) == [118, 118]
